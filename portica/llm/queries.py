@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import decontaminate, html_render, license_scan, mixing, quality_net, quality_rules, toxicity
+from . import decontaminate, html_render, license_scan, mixing, ngram_join, quality_net, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", *measures, (entries["failed"].bitwiseAND(base) != 0).alias("base_failed"), "kept", "failed")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_toxicity, op4_quality_rules, op6_mixing, op7_decontamination, op8_license_scan, op9_quality_classifier, op10_html_text)
+    for f in (op2_toxicity, op4_quality_rules, op5_ngram_join, op6_mixing, op7_decontamination, op8_license_scan, op9_quality_classifier, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {}
