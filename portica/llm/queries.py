@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import decontaminate, html_render, license_scan, mixing, ngram_join, quality_net, quality_rules, toxicity
+from . import decontaminate, html_render, license_scan, mixing, ngram_join, quality_net, quality_rules, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.find_repeats(_table(spark, sf_dir, "documents")), "bigint")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "v2")
     base = quality_rules.mask_of("base")
@@ -50,7 +54,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_toxicity, op4_quality_rules, op5_ngram_join, op6_mixing, op7_decontamination, op8_license_scan, op9_quality_classifier, op10_html_text)
+    for f in (op2_toxicity, op3_suffix_dedup, op4_quality_rules, op5_ngram_join, op6_mixing, op7_decontamination, op8_license_scan, op9_quality_classifier, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {}
