@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import decontaminate, html_render, license_scan, mixing, ngram_join, quality_net, quality_rules, suffix_dedup, toxicity
+from . import decontaminate, html_render, license_scan, lm_scoring, mixing, ngram_join, quality_net, quality_rules, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
@@ -54,7 +58,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_toxicity, op3_suffix_dedup, op4_quality_rules, op5_ngram_join, op6_mixing, op7_decontamination, op8_license_scan, op9_quality_classifier, op10_html_text)
+    for f in (op1_lm_scoring, op2_toxicity, op3_suffix_dedup, op4_quality_rules, op5_ngram_join, op6_mixing, op7_decontamination, op8_license_scan, op9_quality_classifier, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {}
