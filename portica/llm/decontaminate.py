@@ -110,9 +110,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     )
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` without any benchmark window, all columns kept."""
-    narrow = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
-    _, hits = find_hits(narrow, benchmark.select("item_id", "text"), window)
-    bad = hits.select("doc").distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["doc"]), "left_anti")
+def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without any benchmark window, all columns kept.
+
+    A bounded benchmark is looked up and verified beside each row, without a shuffle; a larger one is joined.
+    """
+    bench = benchmark.select("item_id", "text")
+    grams = benchmark_windows(bench, window, "item_id", "text").select("size", "gram").distinct()
+    bound = grams.select("size", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).limit(max_windows + 1).collect()
+    if len(bound) > max_windows:
+        narrow = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
+        bad = find_hits(narrow, bench, window, max_windows)[1].select("doc").distinct()
+        return docs.join(bad, docs[id_col].eqNullSafe(bad["doc"]), "left_anti")
+
+    def any_size(words: Column) -> Column:
+        found = F.lit(False)
+        for size in sorted({r["size"] for r in bound}):
+            found = found | _has_window(words, size, [r["h"] for r in bound if r["size"] == size], [r["gram"] for r in bound if r["size"] == size])
+        return found
+
+    # The words are bound by a lambda, so that they are split once for a row and not once for a window.
+    return docs.where(~F.exists(F.array(words_of(docs[text_col])), any_size))
+
+
+def _has_window(words: Column, size: int, hashes: list[int], grams: list[str]) -> Column:
+    def hit(start: Column) -> Column:
+        here = F.slice(words, start, size)
+        return F.xxhash64(here).isin(hashes) & F.array_join(here, " ").isin(grams)
+
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1)))
+    return F.coalesce(F.exists(starts, hit), F.lit(False))

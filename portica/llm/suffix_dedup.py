@@ -336,15 +336,15 @@ def _covered(texts: list[bytes], rows, settled: dict, sorted_: dict, width: int,
     return out
 
 
-def find_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n_bytes, spans, kept): a row for each row of `docs`; `doc` is the id as a string.
+def find_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """(doc, n_bytes, spans, kept): a row for each row of `docs(doc, text)`; `doc` is a string that names the row.
 
     `spans` are the removed byte runs [start, end) in order, `kept` the bytes that stay. Null and empty
     texts, and those shorter than `width`, keep all they have. Rows that repeat each lose what they share.
     """
     spark = docs.sparkSession
     n_parts = exchange.targets(spark)
-    rows = docs.select(docs[id_col].cast("string").alias("doc"), docs[text_col].alias("text")).withColumn("uid", F.xxhash64("doc", "text"))
+    rows = docs.select("doc", "text").withColumn("uid", F.xxhash64("doc", "text"))
     anchors = rows.select("uid", "text").mapInArrow(lambda b: _send_anchors(b, n_parts, width, seed), exchange.SCHEMA)
     settled = saved(exchange.deal(anchors, n_parts).mapInArrow(lambda b: _settle(b, n_parts), exchange.SCHEMA))
     settled = settled.selectExpr("1 AS kind", "part", "CAST(NULL AS bigint) AS uid", "CAST(NULL AS string) AS doc", "payload")
@@ -384,8 +384,30 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, id_col:
     return final.mapInArrow(finish, "doc string, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
-def digest(found: DataFrame, kind: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of find_repeats()."""
+def remove_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """`docs` with the repeated bytes taken out of the text, other columns as they were, in the same order.
+
+    What is left of a character that a cut went through is dropped. `size_col`, if there, is counted again;
+    null texts become ''. The other columns travel beside the text as JSON, so no join brings them back.
+    """
+    others = [c for c in docs.columns if c not in (text_col, size_col)]
+    schema = docs.select(*others).schema
+    rows = docs.select(F.to_json(F.struct(*others)).alias("doc"), docs[text_col].alias("text"))
+    found = find_repeats(rows, width, seed).select(F.from_json("doc", schema).alias("row"), F.col("kept").alias("kept"))
+    # decode() would put replacement characters where a cut went through one.
+    clean = found.select("row", F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), F.make_valid_utf8(F.col("kept").cast("string")).alias("marked"))
+    text = F.coalesce("whole", F.replace("marked", F.lit("\ufffd"), F.lit("")))
+    full = clean.select("row", text.alias(text_col))
+    columns = {c: F.col("row").getField(c).alias(c) for c in others} | {text_col: F.col(text_col)}
+    if size_col in docs.columns:
+        columns[size_col] = F.length(text_col).cast(docs.schema[size_col].dataType).alias(size_col)
+    return full.select(*(columns[c] for c in docs.columns))
+
+
+def digest(docs: DataFrame, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
+    kind = docs.schema[id_col].dataType
+    found = find_repeats(docs.select(docs[id_col].cast("string").alias("doc"), docs[text_col].alias("text")), width, seed)
     return found.select(
         F.col("doc").cast(kind).alias(id_col),
         "n_bytes",
