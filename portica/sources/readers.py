@@ -1,0 +1,108 @@
+"""Readers: explicit schemas, opaque symbols, decimals kept as text until they are checked."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from ..functions.checks import check_rows
+
+STATEMENT = {
+    "opening_positions": ("position_id", ["account_id", "position_id", "symbol", "quantity"]),
+    "trades": ("trade_id", ["account_id", "trade_id", "symbol", "side", "quantity", "price", "fee", "at"]),
+    "cash_flows": ("flow_id", ["account_id", "flow_id", "amount", "at"]),
+    "closing_positions": ("position_id", ["account_id", "position_id", "symbol", "quantity", "available"]),
+    "prices": ("symbol", ["symbol", "price", "at"]),
+}
+
+
+def _text(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def read_symbol_table(spark: SparkSession, path: str, value_cols: list[str], fmt: str = "csv") -> DataFrame:
+    """(symbol, values..): symbols as they stand, leading zeros and NA included; values as doubles or null."""
+    if fmt == "parquet":
+        df = spark.read.parquet(path)
+        if dict(df.dtypes).get("symbol") != "string":
+            raise ValueError("a Parquet symbol column must be a string")
+    else:
+        df = spark.read.schema(_text(["symbol", *value_cols])).option("header", True).option("enforceSchema", False).csv(path)
+    return df.select("symbol", *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in value_cols])
+
+
+def symbol_checks(df: DataFrame) -> DataFrame:
+    """Blank, padded or repeated symbols."""
+    s = F.col("symbol")
+    rules = {"blank": s.isNull() | (F.trim(s) == ""), "padded": F.coalesce((F.trim(s) != "") & s.rlike(r"^\s|\s$"), F.lit(False))}
+    again = df.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol", F.lit("repeated").alias("rule"))
+    return check_rows(df, rules, ["symbol"]).union(again)
+
+
+def read_nav(spark: SparkSession, path: str, book: str) -> DataFrame:
+    """(book, obs_time, nav) of a two-column CSV with a header; obs_time is lenient."""
+    from ..functions.columns import observation_time
+
+    raw = spark.read.schema(_text(["date", "nav"])).option("header", True).csv(path)
+    return raw.select(F.lit(book).alias("book"), observation_time(F.col("date")).alias("obs_time"), F.expr("try_cast(nav AS double)").alias("nav"))
+
+
+def nav_checks(nav: DataFrame) -> DataFrame:
+    rules = {"bad_time": F.col("obs_time").isNull(), "bad_nav": F.col("nav").isNull() | F.isnan("nav") | (F.col("nav") < 0)}
+    again = nav.groupBy("book", "obs_time").agg(F.count("*").alias("n")).where("n > 1").select("book", "obs_time", F.lit("repeated").alias("rule"))
+    return check_rows(nav, rules, ["book", "obs_time"]).union(again)
+
+
+def read_study_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Tables of one study document: sleeves' observations, evaluation periods, marks and FX rates."""
+    obs = "sleeve STRING, start STRING, end STRING, known_at STRING, net_return DOUBLE, fx_start DOUBLE, fx_end DOUBLE, fx_start_known_at STRING, fx_end_known_at STRING"
+    schema = (
+        f"study_id STRING, observations ARRAY<STRUCT<{obs}>>, periods ARRAY<STRUCT<start STRING, end STRING, cash_return DOUBLE, cash_known_at STRING>>, "
+        "markets ARRAY<STRUCT<observation_id STRING, at STRING, available_at STRING, prices MAP<STRING, DOUBLE>, fx MAP<STRING, DOUBLE>>>"
+    )
+    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    markets = raw.select("study_id", F.explode("markets").alias("m")).select("study_id", "m.*")
+    place = ["study_id", "observation_id", "at", "available_at"]
+    return {
+        "observations": raw.select("study_id", F.posexplode("observations").alias("vintage", "o")).select("study_id", "vintage", "o.*"),
+        "periods": raw.select("study_id", F.explode("periods").alias("p")).select("study_id", "p.*"),
+        "marks": markets.select(*place, F.explode("prices").alias("instrument_id", "price")),
+        "fx": markets.select(*place, F.explode("fx").alias("currency", "rate")),
+    }
+
+
+def read_statement(spark: SparkSession, path: str, decimal: str = "decimal(18,8)") -> dict[str, DataFrame]:
+    """The five tables of an account statement; numbers become decimals, null where they do not fit."""
+    out = {}
+    for name, (_, cols) in STATEMENT.items():
+        raw = spark.read.schema(_text(cols)).option("header", True).option("encoding", "UTF-8").csv(f"{path}/{name}.csv")
+        numbers = {"quantity", "price", "fee", "amount", "available"}
+        out[name] = raw.select(*[F.expr(f"try_cast({c} AS {decimal})").alias(c) if c in numbers else (F.to_timestamp(c).alias(c) if c == "at" else F.col(c)) for c in cols])
+    return out
+
+
+def read_candles(spark: SparkSession, path: str, product: str) -> DataFrame:
+    """(product, time, low, high, open, close, volume) of a JSON array of candle arrays."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<array<double>>")).alias("c"))
+    names = ["low", "high", "open", "close", "volume"]
+    return raw.select(F.lit(product).alias("product"), F.timestamp_seconds(F.col("c")[0].cast("long")).alias("time"), *[F.col("c")[i + 1].alias(n) for i, n in enumerate(names)])
+
+
+def candle_quality(candles: DataFrame, start: str, end: str, keys: list[str]) -> DataFrame:
+    """One row for each key: bars, repeats, missing days, invalid bars, ADV proxies and volatility in [start, end)."""
+    c = candles.where((F.col("time") >= F.lit(start).cast("timestamp")) & (F.col("time") < F.lit(end).cast("timestamp"))).withColumn("day", F.to_date("time"))
+    bad = (F.col("low") <= 0) | (F.col("volume") < 0) | (F.col("low") > F.least("open", "close")) | (F.col("high") < F.greatest("open", "close"))
+    by_day = c.groupBy(*keys, "day").agg(F.count("*").alias("n"), F.min_by("close", "time").alias("close"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy("day")
+    step = by_day.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1)
+    days = F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date"))
+    shape = step.groupBy(*keys).agg((F.sum("n") - F.count("*")).alias("duplicates"), (days - F.count("*")).cast("long").alias("missing_days"), F.stddev_samp("ret").alias("volatility"))
+    money = c.groupBy(*keys).agg(
+        F.count("*").alias("bars"),
+        F.sum(F.when(bad, 1).otherwise(0)).alias("invalid_bars"),
+        F.avg(F.col("close") * F.col("volume")).alias("adv"),
+        F.avg(F.col("low") * F.col("volume")).alias("adv_low"),
+        F.avg(F.col("high") * F.col("volume")).alias("adv_high"),
+    )
+    return money.join(shape, keys)
