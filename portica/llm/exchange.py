@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "part int, payload binary"
 ARROW = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 12 << 20
 
 
 def targets(spark: SparkSession) -> int:
