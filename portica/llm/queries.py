@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ship
 from . import decontaminate, html_render, license_scan, lm_scoring, mixing, ngram_join, quality_net, quality_rules, suffix_dedup, toxicity
+from .oracles import ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +57,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_render.extract_text(_table(spark, sf_dir, "pages"))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     f.__name__: f
     for f in (op1_lm_scoring, op2_toxicity, op3_suffix_dedup, op4_quality_rules, op5_ngram_join, op6_mixing, op7_decontamination, op8_license_scan, op9_quality_classifier, op10_html_text)
 }
 
-ORACLE_SQL: dict[str, str] = {}
