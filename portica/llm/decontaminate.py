@@ -65,7 +65,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_w
     small = len(bound) <= max_windows
     found = [_starts(F.col("words"), size, by_size[size] if small else None) for size in (by_size if small else range(1, window + 1))]
     if not found:
-        none = documents.where(F.lit(False)).select("doc", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(None).cast(grams.schema["item_id"].dataType).alias("item_id"))
+        nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
+        none = spark.range(0).select(nothing("doc", docs.schema["doc"].dataType), nothing("start", "int"), nothing("size", "int"), nothing("item_id", grams.schema["item_id"].dataType))
         return documents, none
     places = F.flatten(F.filter(F.array(*found), lambda a: a.isNotNull()))
     hits = worded.withColumn("place", F.explode(places)).select(
