@@ -21,24 +21,21 @@ from . import labelled, wordscan
 
 #: Labelled toxic rows to fit on, at most about; of the others CLEAN times as many, every CLEAN-th of them for the chain.
 PER_CLASS, CLEAN = 800, 6
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 STEPS, RATE = 30, 0.7
 THRESHOLD = 0.3
 #: Marks: at least this share of their documents' weight is toxic, and so many toxic ones would not come by chance.
 MARK_SHARE, MARK_MARGIN = 0.97, 3.0
 
-TEMPLATES = 6
+TEMPLATES = 5
 
 
 def base_features(w: wordscan.Words) -> np.ndarray:
-    """(tokens, 4) hashes: the word, its first four and five bytes, its last three."""
-    h = w.prefix.ranges
-    cols = [
-        w.hash,
-        h(w.start, np.minimum(w.start + 4, w.end)) ^ np.uint64(0x4444),
-        h(w.start, np.minimum(w.start + 5, w.end)) ^ np.uint64(0x5555),
-        h(np.maximum(w.end - 3, w.start), w.end) ^ np.uint64(0x3333),
-    ]
+    """(tokens, 3) hashes: the word, its first four and its first five bytes."""
+    cols = [w.hash]
+    for k in (4, 5):
+        whole = (w.end - w.start <= k).astype(np.uint64)  # a word is not the beginning of a longer one
+        cols.append(w.prefix.ranges(w.start, np.minimum(w.start + k, w.end)) ^ (np.uint64(k) << np.uint64(40)) ^ (whole << np.uint64(48)))
     return np.stack([(c >> np.uint64(32)).astype(np.uint32) for c in cols], axis=1)
 
 
@@ -108,12 +105,18 @@ def _pooled(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 def token_labels(base: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """1 for the tokens of toxic documents whose word or beginning stands almost only in toxic documents."""
     out = np.zeros(doc.size, dtype=np.int8)
+    before = np.zeros(doc.size, dtype=np.uint64)
+    before[1:] = np.where(doc[1:] == doc[:-1], base[:-1, 0], 0)
+    bad = y[doc] == 1
     surprise = -np.log(max(y.mean(), 1e-9))
     for col in range(3):
         pairs = np.unique(base[:, col].astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64))
         kind, where = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         values, group = np.unique(kind, return_inverse=True)
         toxic = np.bincount(group, y[where])
+        # Copies of one document are no further evidence: occurrences count by the word before them.
+        contexts = np.unique(base[bad, col].astype(np.uint64) << np.uint64(32) | before[bad])
+        toxic = np.minimum(toxic, np.bincount(np.searchsorted(values, (contexts >> np.uint64(32)).astype(np.uint32)), minlength=values.size))
         share = np.bincount(group, y[where] * weight[where]) / np.bincount(group, weight[where])
         marks = values[(toxic * surprise >= np.log(values.size) + MARK_MARGIN) & (share >= MARK_SHARE)]
         out |= np.isin(base[:, col], marks).astype(np.int8)
@@ -178,8 +181,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, label: str, per_class: int
             yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("y"), pa.array(cells, pa.binary())], names=["doc", "y", "base"])
 
     got = sorted(known.mapInArrow(features, "doc string, y int, base binary").collect(), key=lambda r: (r["doc"], r["y"]))
-    base = np.frombuffer(b"".join(bytes(r["base"]) for r in got), np.uint32).reshape(-1, 4)
-    doc = np.repeat(np.arange(len(got)), [len(r["base"]) // 16 for r in got])
+    base = np.frombuffer(b"".join(bytes(r["base"]) for r in got), np.uint32).reshape(-1, 3)
+    doc = np.repeat(np.arange(len(got)), [len(r["base"]) // 12 for r in got])
     y = np.array([r["y"] for r in got], dtype=float)
     return fit(base, doc, y, np.array([1 / share[int(v)] for v in y]))
 
