@@ -55,6 +55,7 @@ def require(checks: DataFrame, what: str = "check") -> None:
 def digest_rows(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     """(keys.., rows, digest): a hash of the rows of each key that does not depend on their order."""
     row = F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256)
-    # Two levels, so that a large key is hashed in parts that no task holds whole.
-    parts = df.select(*keys, row.alias("h")).groupBy(*keys, F.substring("h", 1, 2).alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("n"))
-    return parts.groupBy(*keys).agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "d"))), lambda s: F.concat(s["part"], s["d"])), ""), 256).alias("digest"))
+    # Sums of the hash's quarters do not depend on order and add up map-side, so a large key is never gathered.
+    quarters = [F.conv(F.substring(row, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)").cast("decimal(38,0)") for i in range(4)]
+    sums = df.select(*keys, *[q.alias(f"_q{i}") for i, q in enumerate(quarters)]).groupBy(*keys).agg(F.count("*").alias("rows"), *[F.sum(f"_q{i}").alias(f"_q{i}") for i in range(4)])
+    return sums.select(*keys, "rows", F.sha2(F.concat_ws("|", F.col("rows").cast("string"), *[F.col(f"_q{i}").cast("string") for i in range(4)]), 256).alias("digest"))
