@@ -33,12 +33,10 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Sets in a block of step 2; a block's lists are held by one task.
 BLOCK = 256
-#: Rounds of step 2, each with another sample of shingles; more rounds leave fewer pairs to step 3.
-ROUNDS = 3
-#: Members that speak for a component in the rounds after the first.
-SPEAKERS = 24
-#: Parts that the candidates of one query set are dealt to.
-PARTS = 16
+#: Hashes of step 2 by which sets meet; more leave fewer queries to step 3.
+SAMPLES = 2
+#: Query sets and indexed sets, about, that meet in a unit of step 3.
+UNIT = 64
 #: DivideSkip's weight of list lengths in the choice of long lists.
 MU = 0.02
 
@@ -241,8 +239,8 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
 
-def _run_round(sets: DataFrame, turn: int) -> DataFrame:
-    """Edges between sets that share their smallest token under this round's hash."""
+def _sampled_links(sets: DataFrame) -> DataFrame:
+    """Edges between sets that share the smallest token under one of SAMPLES hashes."""
     n_parts = exchange.targets(sets.sparkSession)
 
     def keyed(batches):
@@ -250,8 +248,9 @@ def _run_round(sets: DataFrame, turn: int) -> DataFrame:
             keys = []
             for raw in batch.column("shared").to_pylist():
                 ids = np.frombuffer(raw, np.uint64)
-                keys.append(int(ids[np.argmin(wordscan.mix(ids + np.uint64(turn * 0x9E3779B9)))] >> np.uint64(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(batch.column(c) for c in ("n", "sig", "shared"))], names=["key", "n", "sig", "shared"])
+                keys.append([int(ids[np.argmin(wordscan.mix(ids + np.uint64(k * 0x9E3779B9)))] >> np.uint64(1)) for k in range(SAMPLES)])
+            for k in range(SAMPLES):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in keys], pa.int64()), *(batch.column(c) for c in ("n", "sig", "shared"))], names=["key", "n", "sig", "shared"])
 
     def link(batches):
         key, held = None, ([], [], [])
@@ -273,69 +272,60 @@ def _run_round(sets: DataFrame, turn: int) -> DataFrame:
     return ranged.mapInArrow(link, "a bigint, b bigint")
 
 
-def _speakers(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Sets without a component, and about SPEAKERS of each component."""
-    sizes = saved(labels.groupBy("label").agg(F.count("*").alias("members")))
-    chosen = labels.join(sizes, "label").where(F.pmod(F.xxhash64("node"), F.col("members")) < SPEAKERS).select("node", F.lit(True).alias("speaks"))
-    known = labels.select("node", F.lit(True).alias("in_component"))
-    joined = sets.join(saved(known.join(chosen, "node", "left")), sets["sig"] == F.col("node"), "left")
-    return joined.where("in_component IS NULL OR speaks").select("sig", "n", "shared")
-
-
 def _remaining(sets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Edges between sets of different components that share a prefix token."""
+    """Edges between sets of different components that share a prefix token.
+
+    In a token's list, all sets but those of the largest component there are queries. Lists with the same
+    largest component are searched together, queries against all sets, in units of some queries and some indexed
+    sets; sizes decide how many units there are, so no task holds a whole list.
+    """
     n_parts = exchange.targets(sets.sparkSession)
     if labels is None:
-        named = sets.withColumn("label", F.col("sig"))
+        named = sets.select("sig", "prefix", F.col("sig").alias("label"), F.lit(1).cast("long").alias("size"))
     else:
-        named = sets.join(labels, sets["sig"] == labels["node"], "left").withColumn("label", F.coalesce("label", "sig"))
-    postings = saved(named.select("sig", "n", "label", F.explode("prefix").alias("token")))
-    mixed = saved(postings.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token"))
-    left = saved(postings.join(mixed, "token"))
-    x, y = left.alias("x"), left.alias("y")
-    near = (F.col("x.n") * NUMERATOR <= F.col("y.n") * DENOMINATOR) & (F.col("y.n") * NUMERATOR <= F.col("x.n") * DENOMINATOR)
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")) & near)
-    pairs = saved(pairs.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct())
-    own = sets.select(F.col("sig").alias("other"), "n", "shared")
-    # A query with many candidates is searched in several parts.
-    parts = pairs.select("a", F.col("b").alias("other"), F.pmod(F.xxhash64("b"), F.lit(PARTS)).alias("part"))
-    asked = parts.join(own, "other")
-    queries = parts.select("a", "part").distinct().join(own, F.col("a") == F.col("other"))
-    routed = asked.select("other", "a", "part", "n", "shared").union(queries.select("other", "a", "part", "n", "shared"))
+        sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
+        named = sets.select("sig", "prefix").join(sized, F.col("sig") == F.col("node"), "left").select("sig", "prefix", F.coalesce("label", "sig").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
+    postings = saved(named.select("sig", "label", "size", F.explode("prefix").alias("token")))
+    lists = postings.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("size", "label")).alias("top"))
+    mixed = saved(lists.where("lo < hi").select("token", F.col("top.label").alias("hub")))
+    members = saved(postings.join(mixed, "token").select("sig", "label", "hub").distinct())
+    sizes = saved(members.groupBy("hub").agg(F.count("*").alias("all"), F.sum(F.when(F.col("label") != F.col("hub"), 1).otherwise(0)).alias("asking")))
+    slots = lambda c: F.ceil(F.col(c) / UNIT).cast("int")
+    placed = members.join(sizes, "hub").select(
+        "sig", "label", F.col("hub").alias("meeting"), (F.col("label") != F.col("hub")).alias("asks"), slots("all").alias("blocks"), slots("asking").alias("turns"),
+        F.pmod(F.xxhash64("sig", F.lit(1)), slots("all")).cast("int").alias("block"), F.pmod(F.xxhash64("sig", F.lit(2)), slots("asking")).cast("int").alias("turn"),
+    )
+    held = placed.join(sets.select("sig", "n", "shared"), "sig")
+    columns = ["meeting", "block", "turn", "query", "sig", "n", "label", "shared"]
+    indexed = held.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("query", F.lit(False))
+    asked = held.where("asks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True))
+    units = indexed.select(*columns).union(asked.select(*columns)).repartition(n_parts, "meeting", "block", "turn").sortWithinPartitions("meeting", "block", "turn", "query", "sig")
 
     def link(batches):
-        query, sigs, sizes, found = None, [], [], []
-        sets_: list[np.ndarray] = []
-        own_: tuple[int, np.ndarray] | None = None
-
-        def close():
-            if own_ is None or not sigs:
-                return []
-            n, ids = own_
-            others, overlap = Lists(sets_).search(ids, int(need(np.int64(n))))
-            return [(query, sigs[j]) for j, c in zip(others.tolist(), overlap.tolist(), strict=True) if _linked(n, sizes[j], c)]
-
+        unit, lists, found = None, None, []
+        held: tuple[list, list, list, list] = ([], [], [], [])
         for batch in batches:
-            for a, other, n, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "other", "n", "shared")), strict=True):
-                if a == other or len(sigs) == BLOCK:
-                    found += close()
-                    query, sigs, sizes, sets_ = a, [], [], []
-                if a == other:
-                    own_ = (n, np.frombuffer(raw, np.uint64))
-                else:
-                    sigs.append(other)
-                    sizes.append(n)
-                    sets_.append(np.frombuffer(raw, np.uint64))
+            for m, blk, turn, query, sig, n, label, raw in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if (m, blk, turn) != unit:
+                    unit, lists, held = (m, blk, turn), None, ([], [], [], [])
+                ids = np.frombuffer(raw, np.uint64)
+                if not query:
+                    for column, value in zip(held, (sig, n, label, ids), strict=True):
+                        column.append(value)
+                    continue
+                if not held[0]:
+                    continue
+                if lists is None:
+                    lists = Lists(held[3])
+                others, overlap = lists.search(ids, int(need(np.int64(n))))
+                found += [(sig, held[0][j]) for j, c in zip(others.tolist(), overlap.tolist(), strict=True) if held[2][j] != label and _linked(n, held[1][j], c)]
             if len(found) > 10_000:
                 yield _edges(found)
                 found = []
-        found += close()
         if found:
             yield _edges(found)
 
-    # The query's own row comes first among its rows.
-    ordered = routed.withColumn("first", F.col("other") != F.col("a")).repartition(n_parts, "a", "part").sortWithinPartitions("a", "part", "first", "other")
-    return ordered.select("other", "a", "n", "shared").mapInArrow(link, "a bigint, b bigint")
+    return units.mapInArrow(link, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,13 +338,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id"
     narrow = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
     profile = saved(_profile(narrow, k))
     sets = _survivors(narrow, k)
-    edges = saved(_run_round(sets.select("sig", "n", "shared"), 0))
-    labels = None
-    for turn in range(1, ROUNDS + 1):
-        labels = None if edges.isEmpty() else components(edges)
-        if turn < ROUNDS:
-            some = sets if labels is None else _speakers(sets, labels)
-            edges = saved(edges.union(_run_round(some.select("sig", "n", "shared"), turn)))
+    edges = saved(_sampled_links(sets.select("sig", "n", "shared")))
+    labels = None if edges.isEmpty() else saved(components(edges))
     edges = saved(edges.union(_remaining(sets, labels)))
     if edges.isEmpty():
         classes = profile.withColumn("label", F.col("sig"))
