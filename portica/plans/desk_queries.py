@@ -291,7 +291,10 @@ def _(t: Tables) -> DataFrame:
     return ledger.reconcile_accounts(opening, flows, tr, closing, prices, accounts)[0]
 
 
-@query("n6_trade_proposals", text="reasons", whole="account_id n_trades", real="buy_cash nav_after cash_after", digits=3)
+@query("n6_trade_proposals", text="reasons", whole="account_id n_trades", real="buy_cash nav_after cash_after", digits=5, sql="""WITH h AS (SELECT book, asset, FLOOR(AVG(px)) AS price, COUNT(*) AS n FROM {px_many} GROUP BY 1, 2), g AS (SELECT *, n * 2.0 AS q, ROUND(1e7 * (0.1 + book % 3 * 0.05) - n * 2.0 * price, 8) AS gap, CEIL(ROUND(price * 100 * 1.001, 6)) / 100 AS ep FROM h),
+ d AS (SELECT *, GREATEST(0, LEAST(FLOOR((gap - 5) / (ep * 100)), FLOOR(gap / (ep * 100 * 1.0003)))) * 100 AS delta FROM g), f AS (SELECT *, delta * ep AS notional, CASE WHEN delta <> 0 THEN GREATEST(5, delta * ep * 0.0003) ELSE 0 END AS fee FROM d),
+ a AS (SELECT book, MAX(5e6 + book % 2 * 3e6) AS cash, SUM(CASE WHEN delta > 0 THEN notional + fee ELSE 0 END) AS buy_cash, 1e7 - SUM(delta * (ep - price) + fee) AS nav_after, MAX(5e6 + book % 2 * 3e6) - SUM(delta * ep + fee) AS cash_after, MAX((q + delta) * price) AS largest, SUM(CASE WHEN delta <> 0 THEN 1 ELSE 0 END) AS n_trades FROM f GROUP BY book)
+SELECT book AS account_id, n_trades, buy_cash, nav_after, cash_after, CONCAT_WS(',', CASE WHEN book % 7 = 0 THEN 'decision_unavailable_or_expired' END, CASE WHEN buy_cash > GREATEST(0, cash - 5e5) THEN 'insufficient_settled_cash_reconcile_sells_first' END, CASE WHEN largest > nav_after * 0.3 THEN 'projected_concentration_limit' END, CASE WHEN n_trades > 0 AND cash_after < nav_after * 0.05 THEN 'projected_cash_buffer_limit' END) AS reasons FROM a""")
 def _(t: Tables) -> DataFrame:
     held = t.px_many.groupBy("book", "asset").agg(F.floor(F.avg("px")).alias("price"), F.count("*").alias("n"))
     book = held.select(F.col("book").alias("account_id"), F.col("asset").alias("symbol"), F.lit(True).alias("managed"), (0.1 + F.col("book") % 3 * 0.05).alias("weight"), (F.col("n") * 2.0).alias("quantity"), (F.col("n") * 2.0).alias("available"), F.col("price").cast("double").alias("price"))
