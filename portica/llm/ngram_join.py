@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import exchange, wordscan
 from .exchange import saved
@@ -335,7 +335,14 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id"
     sets are one class; the component is the smallest id over all linked rows. Repeated ids share nothing by
     their id alone. A null id stays null and never names a component that has another id.
     """
-    narrow = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
+    classes = _classes(docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")), k)
+    smallest = saved(classes.where("n > 0").groupBy("label").agg(F.min("doc").alias("component")))
+    joined = classes.join(smallest, (classes["label"] == smallest["label"]) & (classes["n"] > 0), "left")
+    return joined.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+
+
+def _classes(narrow: DataFrame, k: int) -> DataFrame:
+    """(doc, n, label) for each row of `narrow(doc, text)`: rows with shingles and the same label are one component."""
     profile = saved(_profile(narrow, k))
     sets = _survivors(narrow, k)
     edges = saved(_sampled_links(sets.select("sig", "n", "shared")))
@@ -346,14 +353,33 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id"
     else:
         found = components(edges)
         classes = profile.join(found, profile["sig"] == found["node"], "left").withColumn("label", F.coalesce("label", "sig"))
-    classes = saved(classes.select("doc", "n", "label"))
-    smallest = saved(classes.where("n > 0").groupBy("label").agg(F.min("doc").alias("component")))
-    joined = classes.join(smallest, (classes["label"] == smallest["label"]) & (classes["n"] > 0), "left")
-    return joined.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    return saved(classes.select("doc", "n", "label"))
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of all columns; nulls count by their place."""
+    values = [F.to_json(F.struct(docs[f.name])) if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema]
+    return F.xxhash64(*values, *(v.isNull() for v in values))
 
 
 def keep_representatives(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id names their component, all columns kept."""
-    out = jaccard_components(docs, k, id_col, text_col)
-    lost = out.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("lost")).distinct()
-    return docs.join(lost, docs[id_col].eqNullSafe(lost["lost"]), "left_anti")
+    """One row of each component, all columns kept: that of the smallest id, then of the smallest row hash.
+
+    Rows are judged by themselves, whatever their ids: null ids come last in a component and repeated ids share
+    nothing. Of rows that are equal in all columns one stays. Rows without shingles all stay.
+    """
+    row = F.struct(docs[id_col].isNull().alias("last"), docs[id_col].alias("id"), _row_key(docs).alias("key"))
+    linked = _classes(docs.select(row.alias("doc"), docs[text_col].alias("text")), k).where("n > 0")
+    counted = saved(linked.groupBy("label", "doc").agg(F.count("*").alias("copies")))
+    kept = saved(counted.groupBy("label").agg(F.min("doc").alias("kept")))
+    judged = counted.join(kept, "label").select("doc.id", "doc.key", (F.col("doc") != F.col("kept")).alias("lost"), "copies")
+    marks = saved(judged.where("lost or copies > 1"))
+    lost, several = marks.where("lost"), marks.where("not lost")
+
+    def is_in(side: DataFrame) -> Column:
+        return docs[id_col].eqNullSafe(side["id"]) & (_row_key(docs) == side["key"])
+
+    if several.isEmpty():
+        return docs.join(lost, is_in(lost), "left_anti")
+    once = docs.join(several, is_in(several), "left_semi").distinct()
+    return docs.join(marks, is_in(marks), "left_anti").union(once)
