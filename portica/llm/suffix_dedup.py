@@ -209,7 +209,8 @@ def _state_of(s: Stretches, rows, settled: dict) -> np.ndarray:
     for i, row in enumerate(rows):
         known, states = settled[row[0]][:2]
         a, b = first[i], first[i + 1]
-        state[a + np.searchsorted(offset[a:b], known)] = states
+        # Rows that repeat share a uid: of their states for a stretch, that of the speaker holds.
+        np.maximum.at(state, a + np.searchsorted(offset[a:b], known), states)
     return state
 
 
@@ -217,7 +218,8 @@ def _open_stretches(batches, width: int, seed: int):
     """Rows (lead, uid, low, shift, body) of the stretches to sort."""
     texts, settled_, _ = _split(batches)
     settled = _by_uid(settled_, np.uint32, np.uint8)
-    for rows, plain in _text_chunks(texts, settled):
+    # Rows that repeat met here; one of them speaks for all.
+    for rows, plain in _text_chunks(list({row[0]: row for row in texts}.values()), settled):
         s = Stretches(plain, width, seed)
         state = _state_of(s, rows, settled)
         pick = np.flatnonzero((state == OPEN) | (state == SPOKEN))
@@ -310,7 +312,6 @@ def _covered(texts: list[bytes], rows, settled: dict, sorted_: dict, width: int,
     """Maximal removed runs of each text."""
     s = Stretches(texts, width, seed)
     full = s.low[:0]
-    state = np.zeros(s.low.size, dtype=np.uint8)
     offset = s.low - s.text_start[s.doc] if s.low.size else full
     first = np.searchsorted(s.doc, np.arange(len(rows) + 1))
     out = []
@@ -321,7 +322,6 @@ def _covered(texts: list[bytes], rows, settled: dict, sorted_: dict, width: int,
             known, states = settled[row[0]][:2]
             a, b = first[i], first[i + 1]
             at = a + np.searchsorted(offset[a:b], known)
-            state[at] = states
             done = at[states >= REPEATED]
             base = int(s.text_start[i])
             np.add.at(edge, s.low[done] - base, 1)
