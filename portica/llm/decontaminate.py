@@ -72,7 +72,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_w
     hits = worded.withColumn("place", F.explode(places)).select(
         "doc", "place.start", "place.size", F.array_join(F.slice("words", F.col("place.start"), F.col("place.size")), " ").alias("gram")
     )
-    side = F.broadcast(grams) if small else grams
+    # Items that share windows are rows of their own, so their number decides, not that of the windows.
+    side = F.broadcast(grams) if small and grams.limit(max_windows + 1).count() <= max_windows else grams
     return documents, hits.join(side, ["size", "gram"]).select("doc", "start", "size", "item_id")
 
 
@@ -115,14 +116,16 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     """The rows of `docs` without any benchmark window, all columns kept.
 
     A bounded benchmark is looked up and verified beside each row, without a shuffle; a larger one is joined.
+    Either way a row is judged by its text, whatever its id.
     """
     bench = benchmark.select("item_id", "text")
     grams = benchmark_windows(bench, window, "item_id", "text").select("size", "gram").distinct()
     bound = grams.select("size", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).limit(max_windows + 1).collect()
     if len(bound) > max_windows:
-        narrow = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
-        bad = find_hits(narrow, bench, window, max_windows)[1].select("doc").distinct()
-        return docs.join(bad, docs[id_col].eqNullSafe(bad["doc"]), "left_anti")
+        # Only the text decides, so rows of equal texts share a key.
+        key = F.struct(F.xxhash64(docs[text_col]), F.octet_length(docs[text_col]))
+        bad = find_hits(docs.select(key.alias("doc"), docs[text_col].alias("text")), bench, window, max_windows)[1].select("doc").distinct()
+        return docs.join(bad, key == bad["doc"], "left_anti")
 
     def any_size(words: Column) -> Column:
         found = F.lit(False)
