@@ -201,14 +201,6 @@ def test_language_model(docs, rows, empty):
     assert lm_scoring.score_texts(empty).count() == 0
 
 
-def test_language_model_is_a_distribution():
-    rng = np.random.default_rng(0)
-    weights = rng.normal(size=(lm_scoring.FEATURES, lm_scoring.CLASSES + 1)).astype(np.float32)
-    t = lm_scoring.Tokens([b"a b c d", b""])
-    assert np.allclose(lm_scoring._forward(weights, t.features()).sum(axis=1), 1, atol=1e-5)
-    assert t.kind.tolist()[-2:] == [lm_scoring.CLASSES] * 2
-
-
 def test_language_model_learns(spark):
     texts = [(i, "red green blue " * 20 if i % 2 else "uno dos tres " * 20, "", "", 0) for i in range(80)]
     got = lm_scoring.score_texts(spark.createDataFrame(texts, SCHEMA)).collect()
