@@ -55,7 +55,7 @@ def _traces(moments: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _attach(moments: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
-    return moments.join(F.broadcast(per_key), keys) if keys else moments.crossJoin(F.broadcast(per_key))
+    return moments.join(per_key, keys) if keys else moments.crossJoin(per_key)
 
 
 def _toward_identity(moments: DataFrame, intensities: DataFrame, keys: list[str], annualization: float) -> DataFrame:
@@ -123,42 +123,12 @@ def cov_ewma(returns: DataFrame, keys: list[str], decay: float = 0.94, annualiza
     return p.groupBy(*keys, "a", "b").agg((F.sum(F.col("u_a") * F.col("ret_a") * F.col("ret_b")) / F.sum("u_a") * annualization).alias("value"))
 
 
-def cov_random_matrix(returns: DataFrame, keys: list[str], annualization: float = 252.0) -> DataFrame:
-    """Correlation eigenvalues within the noise band replaced by their mean; unit diagonal and variances restored.
-
-    One dense eigenproblem for each key, in tasks; a key's matrix must fit in one.
-    """
-    import numpy as np
-    import pandas as pd
-
-    schema = ", ".join([f"{k} {returns.schema[k].dataType.simpleString()}" for k in keys] + ["a string", "b string", "value double", "n_signal int"])
-
-    def clean(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="t", columns="asset", values="ret").dropna()
-        T, N = wide.shape
-        s = np.cov(wide.to_numpy(), rowvar=False, ddof=1).reshape(N, N)
-        sd = np.sqrt(np.diag(s))
-        values, vectors = np.linalg.eigh(s / np.outer(sd, sd))
-        noise = values <= (1 + np.sqrt(N / T)) ** 2
-        if noise.any() and not noise.all():
-            values[noise] = values[noise].mean()
-        c = (vectors * values) @ vectors.T
-        d = np.sqrt(np.diag(c))
-        c = c / np.outer(d, d) * np.outer(sd, sd) * annualization
-        i, j = np.triu_indices(N)
-        out = pd.DataFrame({"a": wide.columns[i], "b": wide.columns[j], "value": c[i, j], "n_signal": int((~noise).sum())})
-        for k in keys:
-            out.insert(0, k, pdf[k].iloc[0])
-        return out[[*keys, "a", "b", "value", "n_signal"]]
-
-    return returns.groupBy(*keys).applyInPandas(clean, schema)
-
-
-def cov_factor(loadings: DataFrame, factor_cov: DataFrame, specific: DataFrame) -> DataFrame:
-    """(a, b, value) of X F X' + diag(d), upper triangle; `factor_cov(f, g, value)` is symmetric in full."""
+def cov_factor(loadings: DataFrame, factor_cov: DataFrame, specific: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, value) of X F X' + diag(d) for the requested `pairs(a, b)`; `factor_cov(f, g, value)` is symmetric in full."""
     xf = loadings.join(factor_cov, loadings["factor"] == factor_cov["f"]).groupBy("asset", "g").agg(F.sum(F.col("x") * F.col("value")).alias("xf"))
     right = loadings.select(F.col("asset").alias("b"), F.col("factor").alias("g"), F.col("x").alias("y"))
-    common = xf.withColumnRenamed("asset", "a").join(right, "g").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("xf") * F.col("y")).alias("c"))
+    asked = pairs.select("a", "b").distinct().join(xf.withColumnRenamed("asset", "a"), "a")
+    common = asked.join(right, ["b", "g"]).groupBy("a", "b").agg(F.sum(F.col("xf") * F.col("y")).alias("c"))
     own = specific.select(F.col("asset").alias("a"), "d")
     return common.join(own, "a", "left").select("a", "b", (F.col("c") + F.when(F.col("a") == F.col("b"), F.coalesce("d", F.lit(0.0))).otherwise(0.0)).alias("value"))
 
@@ -166,7 +136,7 @@ def cov_factor(loadings: DataFrame, factor_cov: DataFrame, specific: DataFrame)
 def factored_variance(weights: DataFrame, loadings: DataFrame, factor_cov: DataFrame, specific: DataFrame, keys: list[str]) -> DataFrame:
     """(keys.., variance) as (X'w)'F(X'w) + sum d w^2, without the full matrix."""
     e = weights.join(loadings, "asset").groupBy(*keys, "factor").agg(F.sum(F.col("x") * F.col("weight")).alias("e"))
-    pairs = e.join(F.broadcast(factor_cov), e["factor"] == factor_cov["f"]).select(*keys, F.col("e").alias("ef"), F.col("g").alias("factor"), "value")
+    pairs = e.join(factor_cov, e["factor"] == factor_cov["f"]).select(*keys, F.col("e").alias("ef"), F.col("g").alias("factor"), "value")
     common = pairs.join(e, [*keys, "factor"]).groupBy(*keys).agg(F.sum(F.col("ef") * F.col("value") * F.col("e")).alias("common"))
     own = weights.join(specific, "asset").groupBy(*keys).agg(F.sum(F.col("d") * F.col("weight") ** 2).alias("own"))
     return common.join(own, keys).select(*keys, (F.col("common") + F.col("own")).alias("variance"))

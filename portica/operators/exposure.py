@@ -68,12 +68,12 @@ def fund_look_through(weights: DataFrame, disclosures: DataFrame, keys: list[str
 
     `weights(keys.., at, instrument_id, weight)`; `disclosures(fund_id, holding_date, available_at,
     instrument_id, weight)`. A fund is known through its latest disclosure that is available and fresh at
-    `at`. Branches that are stale, circular or too deep, and what a fund does not disclose, stay unknown.
+    `at`, in the last revision of that holding date. Branches that are stale, circular or too deep, and what a fund does not disclose, stay unknown.
     """
     at = weights.select("at").distinct()
-    seen = disclosures.join(F.broadcast(at), F.col("available_at") <= F.col("at"))
-    last = Window.partitionBy("at", "fund_id")
-    seen = seen.withColumn("_d", F.max("holding_date").over(last)).where("holding_date = _d")
+    editions = disclosures.select("fund_id", "holding_date", "available_at").distinct()
+    seen = editions.crossJoin(at).where("available_at <= at").groupBy("at", "fund_id").agg(F.max(F.struct("holding_date", "available_at")).alias("_last"))
+    seen = seen.select("at", "fund_id", "_last.*").join(disclosures, ["fund_id", "holding_date", "available_at"])
     fresh = seen.where(F.datediff("at", "holding_date") <= max_age_days).groupBy("at", "fund_id", "instrument_id").agg(F.sum("weight").alias("part"))
     funds = disclosures.select(F.col("fund_id").alias("instrument_id")).distinct().withColumn("is_fund", F.lit(True))
     level = weights.select(*keys, "at", "instrument_id", "weight", F.array(F.col("instrument_id")).alias("path"))

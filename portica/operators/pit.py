@@ -13,6 +13,17 @@ def _latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def _greatest_so_far(obs: DataFrame, asked: DataFrame, by: list[str], known: Column, value: Column, at: str) -> DataFrame:
+    """(by.., at, found): for each asked (by.., at) the greatest `value` of the rows known by then.
+
+    Both sides go through one sort for each key, so no observation meets more than its own key's rows once.
+    """
+    rows = obs.select(*by, known.cast("timestamp").alias("_known"), F.lit(0).alias("_asks"), F.lit(None).cast(asked.schema[at].dataType).alias(at), value.alias("_value"))
+    both = rows.unionByName(asked.select(*by, F.col(at).cast("timestamp").alias("_known"), F.lit(1).alias("_asks"), at), allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy("_known", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("found", F.max("_value").over(w)).where("_asks = 1").select(*by, at, "found")
+
+
 def latest_as_of(obs: DataFrame, cutoffs: DataFrame, keys: list[str], max_age_days: float = 0.0) -> DataFrame:
     """(keys.., cutoff, obs_time, values.., age_days, status): the last observation at or before each cutoff.
 
@@ -20,13 +31,11 @@ def latest_as_of(obs: DataFrame, cutoffs: DataFrame, keys: list[str], max_age_da
     the limit) or missing.
     """
     shared = [k for k in keys if k in cutoffs.columns]
-    asked = cutoffs if shared == keys else obs.select(*[k for k in keys if k not in shared]).distinct().join(F.broadcast(cutoffs))
+    asked = cutoffs if shared == keys else obs.select(*keys).distinct().join(cutoffs, shared) if shared else obs.select(*keys).distinct().crossJoin(cutoffs)
     values = [c for c in obs.columns if c not in (*keys, "obs_time")]
-    o, q = obs.alias("o"), asked.alias("q")
-    on = [F.col(f"o.{k}") == F.col(f"q.{k}") for k in keys] + [F.col("o.obs_time") <= F.col("q.cutoff")]
-    found = q.join(o, on, "left").groupBy(*[F.col(f"q.{k}") for k in keys], F.col("q.cutoff")).agg(F.max(F.struct("o.obs_time", *[F.col(f"o.{v}") for v in values])).alias("m"))
+    found = _greatest_so_far(obs, asked.select(*keys, "cutoff").distinct(), keys, F.col("obs_time"), F.struct("obs_time", *values), "cutoff")
     age = age_days(F.col("cutoff"), F.col("obs_time"))
-    out = found.select(*keys, "cutoff", "m.*").withColumn("age_days", age)
+    out = found.select(*keys, "cutoff", "found.*").withColumn("age_days", age)
     status = F.when(F.col("obs_time").isNull(), "missing").when(F.col("age_days") > max_age_days, "stale").when(F.col("age_days") > 0, "carried").otherwise("ok")
     return out.withColumn("status", status)
 
@@ -65,10 +74,10 @@ def _at_most(df: DataFrame, by: list[str], col: str, limit: str) -> DataFrame:
 
 def latest_scores_as_of(scores: DataFrame, cutoffs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys.., cutoff, obs_time, available_at, score): bitemporal, latest (obs_time, available_at) by key."""
-    s = scores.withColumn("available_at", F.coalesce("available_at", "obs_time")).alias("s")
-    q = F.broadcast(cutoffs).alias("q")
-    seen = s.join(q, (F.col("s.obs_time") <= F.col("q.cutoff")) & (F.col("s.available_at") <= F.col("q.cutoff")))
-    return seen.groupBy(*[F.col(f"s.{k}").alias(k) for k in keys], F.col("q.cutoff").alias("cutoff")).agg(F.max(F.struct("s.obs_time", "s.available_at", "s.score")).alias("m")).select(*keys, "cutoff", "m.*")
+    s = scores.withColumn("available_at", F.coalesce("available_at", "obs_time"))
+    asked = s.select(*keys).distinct().crossJoin(cutoffs.select("cutoff").distinct())
+    found = _greatest_so_far(s, asked, keys, F.greatest("obs_time", "available_at"), F.struct("obs_time", "available_at", "score"), "cutoff")
+    return found.where("found IS NOT NULL").select(*keys, "cutoff", "found.*")
 
 
 def fx_base_returns(obs: DataFrame) -> DataFrame:
@@ -117,7 +126,7 @@ def rolling_asof_history(obs: DataFrame, decisions: DataFrame, lookback: int, mi
     Everything ends and is available by the decision. `max_span_days`, if the calendar allows one, bounds the
     range join.
     """
-    o, d = obs.alias("o"), F.broadcast(decisions).alias("d")
+    o, d = obs.alias("o"), decisions.alias("d")
     on = (F.col(f"o.{key}") == F.col(f"d.{key}")) & (F.col("o.end") <= F.col("d.decision_at")) & (F.col("o.available_at") <= F.col("d.decision_at"))
     if max_span_days is not None:
         on = on & (F.col("o.start") >= F.col("d.decision_at") - F.make_dt_interval(F.lit(max_span_days)))
@@ -134,7 +143,7 @@ def rolling_asof_history(obs: DataFrame, decisions: DataFrame, lookback: int, mi
 def mature_labels(labels: DataFrame, decisions: DataFrame, horizon: int) -> DataFrame:
     """Labels that a decision may use: known, ended and signalled before it; last revision by (signal_at, asset)."""
     sane = labels.where((F.col("label_end") > F.col("signal_at")) & (F.col("available_at") >= F.col("label_end")) & (F.col("horizon_sessions") == horizon)).alias("l")
-    d = F.broadcast(decisions).alias("d")
+    d = decisions.alias("d")
     seen = sane.join(d, (F.col("l.available_at") <= F.col("d.decision_at")) & (F.col("l.label_end") <= F.col("d.decision_at")) & (F.col("l.signal_at") < F.col("d.decision_at")))
     return _latest(seen.select("d.decision_at", "l.*"), ["decision_at", "signal_at", "asset"], [F.col("available_at").desc()])
 
@@ -174,11 +183,12 @@ def pit_market_check(inputs: DataFrame, held: DataFrame, keys: list[str]) -> Dat
 
 def risk_snapshot_as_of(risk: DataFrame, decisions: DataFrame, universe: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(inputs, missing): the last risk input by (keys, decision_at, asset), and universe assets without one."""
-    d = decisions.alias("d")
-    r = risk.where("estimated_at <= available_at").alias("r")
-    on = [F.col(f"r.{k}") == F.col(f"d.{k}") for k in keys] + [F.col("r.available_at") <= F.col("d.decision_at"), F.col("r.horizon") == F.col("d.horizon")]
-    seen = r.join(d, on).select("r.*", "d.decision_at")
-    inputs = _latest(seen, [*keys, "decision_at", "asset"], [F.col("available_at").desc(), F.col("estimated_at").desc()])
+    r = risk.where("estimated_at <= available_at")
+    by = [*keys, "horizon", "asset"]
+    wanted = r.select(*by).distinct().join(decisions.select(*keys, "horizon", "decision_at").distinct(), [*keys, "horizon"])
+    order = ["available_at", "estimated_at"]
+    found = _greatest_so_far(r, wanted, by, F.col("available_at"), F.struct(*order, *[c for c in r.columns if c not in (*order, *by)]), "decision_at")
+    inputs = found.where("found IS NOT NULL").select(*by, "decision_at", "found.*").select(*r.columns, "decision_at")
     asked = decisions.select(*keys, "decision_at").join(universe, keys)
     late = risk.select(*keys, "asset").distinct().withColumn("exists", F.lit(True))
     missing = asked.join(inputs.select(*keys, "decision_at", "asset"), [*keys, "decision_at", "asset"], "left_anti").join(late, [*keys, "asset"], "left")

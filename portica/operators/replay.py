@@ -15,36 +15,57 @@ def replay_schedule(targets: DataFrame, returns: DataFrame, keys: list[str], cos
     """(keys.., t, turnover, cost, gross, net, wealth, status) of target weights (keys.., t, asset, weight).
 
     What is held before a trade is the last target grown by the last return, so it needs the row before only.
-    `returns(asset, t, ret)`; `cash(t, cash_return)` pays on what is not invested. A cost of everything or a
-    gross loss of everything is an error status.
+    An asset without a target on a date of its key has the target zero; the first date of a key starts free.
+    `returns(asset, t, ret)`; `cash(t, cash_return)` pays on what is not invested. Status `ruined`: a cost of
+    everything or a gross loss of everything; `missing_return`: a weight without a return, which counts as zero.
     """
-    j = targets.join(returns, ["asset", "t"])
+    j = _with_exits(targets, keys).join(returns, ["asset", "t"], "left")
+    j = j.withColumn("_unknown", F.col("ret").isNull() & (F.col("weight") != 0)).withColumn("ret", F.coalesce("ret", F.lit(0.0)))
     if cash is not None:
-        j = j.join(F.broadcast(cash), "t", "left")
+        j = j.join(cash, "t", "left")
     paid = F.coalesce("cash_return", F.lit(0.0)) if cash is not None else F.lit(0.0)
-    day = j.groupBy(*keys, "t").agg(F.sum(F.col("weight") * F.col("ret")).alias("_g"), F.sum("weight").alias("_in"), F.max(paid).alias("_c")).withColumn("gross", F.col("_g") + (1 - F.col("_in")) * F.col("_c"))
+    day = j.groupBy(*keys, "t").agg(F.sum(F.col("weight") * F.col("ret")).alias("_g"), F.sum("weight").alias("_in"), F.max(paid).alias("_c"), F.max("_unknown").alias("_unknown")).withColumn("gross", F.col("_g") + (1 - F.col("_in")) * F.col("_c"))
     rows = j.join(day.select(*keys, "t", "gross"), [*keys, "t"])
-    w = Window.partitionBy(*keys, "asset").orderBy("t")
-    held = F.lag(F.col("weight") * (1 + F.col("ret")) / (1 + F.col("gross"))).over(w)
-    turn = rows.withColumn("_held", held).groupBy(*keys, "t").agg(F.sum(F.when(F.col("_held").isNull(), 0.0).otherwise(F.abs(F.col("weight") - F.col("_held")))).alias("turnover"))
-    out = day.select(*keys, "t", "gross").join(turn, [*keys, "t"]).withColumn("cost", F.col("turnover") * cost_rate)
+    turn = rows.withColumn("_d", _trade(keys)).groupBy(*keys, "t").agg(F.sum("_d").alias("turnover"))
+    out = day.select(*keys, "t", "gross", "_unknown").join(turn, [*keys, "t"]).withColumn("cost", F.col("turnover") * cost_rate)
     out = out.withColumn("net", (1 - F.col("cost")) * (1 + F.col("gross")) - 1)
     path = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("wealth", F.product(1 + F.col("net")).over(path))
-    return out.withColumn("status", F.when((F.col("cost") >= 1) | (F.col("gross") <= -1), "ruined").otherwise("ok"))
+    status = F.when((F.col("cost") >= 1) | (F.col("gross") <= -1), "ruined").when(F.col("_unknown"), "missing_return").otherwise("ok")
+    return out.withColumn("status", status).drop("_unknown")
+
+
+def _with_exits(targets: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., asset, t, weight, _first): the targets, and a zero on the date after an asset's last row in a run.
+
+    `_first` is the first date of the key.
+    """
+    days = targets.select(*keys, "t").distinct()
+    per_key = Window.partitionBy(*keys)
+    days = days.withColumn("_next", F.lead("t").over(per_key.orderBy("t"))).withColumn("_first", F.min("t").over(per_key))
+    again = F.lead("t").over(Window.partitionBy(*keys, "asset").orderBy("t"))
+    rows = targets.select(*keys, "asset", "t", "weight").join(days, [*keys, "t"]).withColumn("_again", again)
+    gone = rows.where(F.col("_next").isNotNull() & ~F.col("_again").eqNullSafe(F.col("_next")))
+    return rows.select(*keys, "asset", "t", "weight", "_first").union(gone.select(*keys, "asset", "_next", F.lit(0.0), "_first"))
+
+
+def _trade(keys: list[str]) -> Column:
+    """What is traded of an asset: its target less what the last target has grown to; nothing on the first date."""
+    w = Window.partitionBy(*keys, "asset").orderBy("t")
+    held = F.coalesce(F.lag(F.col("weight") * (1 + F.col("ret")) / (1 + F.col("gross"))).over(w), F.lit(0.0))
+    return F.when(F.col("t") == F.col("_first"), 0.0).otherwise(F.abs(F.col("weight") - held))
 
 
 def replay_with_impact(targets: DataFrame, returns: DataFrame, liquidity: DataFrame, keys: list[str], linear_rate: float, coef: float, capital: float) -> DataFrame:
     """(keys.., t, turnover, cost, net, wealth) where the square-root impact depends on the wealth so far.
 
-    Everything but one number for each date is summed first; wealth is then a fold over the dates of a key.
+    Everything but one number for each date is summed first; wealth is then a fold over the dates of a key, which
+    holds one key's dates (ten thousand are fine). An asset without liquidity trades without impact.
     """
     base = replay_schedule(targets, returns, keys)
-    j = targets.join(returns, ["asset", "t"]).join(base.select(*keys, "t", "gross"), [*keys, "t"]).join(liquidity, "asset")
-    w = Window.partitionBy(*keys, "asset").orderBy("t")
-    held = F.lag(F.col("weight") * (1 + F.col("ret")) / (1 + F.col("gross"))).over(w)
-    d = j.withColumn("_d", F.abs(F.col("weight") - F.coalesce(held, F.col("weight"))))
-    a = d.groupBy(*keys, "t").agg(F.sum(F.lit(coef) * F.col("volatility") * F.pow("_d", F.lit(1.5)) / F.sqrt("adv")).alias("a"))
+    j = _with_exits(targets, keys).join(returns, ["asset", "t"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+    d = j.join(base.select(*keys, "t", "gross"), [*keys, "t"]).withColumn("_d", _trade(keys)).join(liquidity, "asset", "left")
+    a = d.groupBy(*keys, "t").agg(F.sum(F.lit(coef) * F.col("volatility") * F.pow("_d", F.lit(1.5)) / F.sqrt("adv")).alias("a")).withColumn("a", F.coalesce("a", F.lit(0.0)))
     rows = base.select(*keys, "t", "turnover", "gross").join(a, [*keys, "t"])
     listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "turnover", "gross", "a"))).alias("days"))
     kind = "struct<wealth:double,out:array<struct<t:timestamp,turnover:double,cost:double,net:double,wealth:double>>>"

@@ -85,7 +85,7 @@ def apply_exposure_caps(weights: DataFrame, caps: DataFrame, keys: list[str], at
     gross = F.sum(F.abs("_w")).over(all_)
     x = x.withColumn("_w", F.col("_w") * F.when(gross > max_gross, F.lit(max_gross) / F.when(gross > 0, gross)).otherwise(1.0))
     for a in attributes:
-        mine = F.broadcast(caps.where(F.col("attribute") == a).select(F.lower("bucket").alias("_bucket"), F.col("cap").alias("_cap")))
+        mine = caps.where(F.col("attribute") == a).select(F.lower("bucket").alias("_bucket"), F.col("cap").alias("_cap"))
         x = x.withColumn("_bucket", F.lower(a)).join(mine, "_bucket", "left")
         held = F.sum(F.abs("_w")).over(Window.partitionBy(*keys, "_bucket"))
         x = x.withColumn("_w", F.col("_w") * F.when(held > F.col("_cap"), F.col("_cap") / F.when(held > 0, held)).otherwise(1.0)).drop("_bucket", "_cap")

@@ -143,13 +143,18 @@ def _(t: Tables) -> DataFrame:
 
 # --- replay
 
-_REP = """WITH w AS (SELECT portfolio_id, c.asset, t, ret, weight * 0.9 AS weight FROM {cand} c JOIN {ret_small} r ON r.asset = c.asset), g AS (SELECT portfolio_id, t, SUM(weight * ret) + (1 - SUM(weight)) * 0.0001 AS gross FROM w GROUP BY 1, 2), h AS (SELECT w.*, gross, LAG(weight * (1 + ret) / (1 + gross)) OVER (PARTITION BY w.portfolio_id, asset ORDER BY w.t) AS held FROM w JOIN g ON g.portfolio_id = w.portfolio_id AND g.t = w.t),
- d AS (SELECT portfolio_id, t, MAX(gross) AS gross, SUM(CASE WHEN held IS NULL THEN 0 ELSE ABS(weight - held) END) AS turnover FROM h GROUP BY 1, 2), n AS (SELECT *, (1 - turnover * 0.001) * (1 + gross) - 1 AS net FROM d), r AS (SELECT *, EXP(SUM(LN(1 + net)) OVER (PARTITION BY portfolio_id ORDER BY t)) AS wealth FROM n)"""
+_GRID = """days AS (SELECT DISTINCT t FROM {ret_small}), tgt AS (SELECT portfolio_id, asset, t, weight * 0.9 AS weight FROM {cand}, days WHERE (portfolio_id + LENGTH(asset) + EXTRACT(DAY FROM t)) % 4 <> 0), on_ AS (SELECT DISTINCT portfolio_id, t FROM tgt),
+ w AS (SELECT a.portfolio_id, a.asset, o.t, COALESCE(ret, 0) AS ret, COALESCE(weight, 0) AS weight FROM (SELECT DISTINCT portfolio_id, asset FROM tgt) a JOIN on_ o ON o.portfolio_id = a.portfolio_id LEFT JOIN tgt ON tgt.portfolio_id = a.portfolio_id AND tgt.asset = a.asset AND tgt.t = o.t LEFT JOIN {ret_small} r ON r.asset = a.asset AND r.t = o.t)"""
+_TRADED = "CASE WHEN h.t = MIN(h.t) OVER (PARTITION BY h.portfolio_id) THEN 0 ELSE ABS(weight - COALESCE(held, 0)) END AS d FROM (SELECT w.*, gross, LAG(weight * (1 + ret) / (1 + gross)) OVER (PARTITION BY w.portfolio_id, asset ORDER BY w.t) AS held FROM w JOIN g ON g.portfolio_id = w.portfolio_id AND g.t = w.t) h"
+_REP = f"""WITH {_GRID}, g AS (SELECT portfolio_id, t, SUM(weight * ret) + (1 - SUM(weight)) * 0.0001 AS gross FROM w GROUP BY 1, 2), x AS (SELECT portfolio_id, t, gross, {_TRADED}),
+ d AS (SELECT portfolio_id, t, MAX(gross) AS gross, SUM(d) AS turnover FROM x GROUP BY 1, 2), n AS (SELECT *, (1 - turnover * 0.001) * (1 + gross) - 1 AS net FROM d), r AS (SELECT *, EXP(SUM(LN(1 + net)) OVER (PARTITION BY portfolio_id ORDER BY t)) AS wealth FROM n)"""
+_HELD = "(portfolio_id + LENGTH(asset) + EXTRACT(DAY FROM t)) % 4 <> 0"
 
 
 def _targets(t: Tables) -> DataFrame:
+    """Weights by day; each asset leaves a portfolio on some days and enters again."""
     days = t.ret_small.select("t").distinct()
-    return t.cand.withColumn("weight", F.col("weight") * 0.9).crossJoin(F.broadcast(days))
+    return t.cand.withColumn("weight", F.col("weight") * 0.9).crossJoin(days).where(_HELD)
 
 
 def _replay(t: Tables) -> DataFrame:
@@ -162,8 +167,8 @@ def _(t: Tables) -> DataFrame:
     return _replay(t)
 
 
-@query("m2_replay_with_impact", text="d", whole="portfolio_id", real="cost wealth", digits=6, sql="""WITH RECURSIVE w AS (SELECT portfolio_id, c.asset, r.t, ret, weight * 0.9 AS weight, adv, volatility FROM {cand} c JOIN {ret_small} r ON r.asset = c.asset JOIN {liq_small} l ON l.asset = c.asset), g AS (SELECT portfolio_id, t, SUM(weight * ret) AS gross FROM w GROUP BY 1, 2), h AS (SELECT w.*, gross, ABS(weight - COALESCE(LAG(weight * (1 + ret) / (1 + gross)) OVER (PARTITION BY w.portfolio_id, asset ORDER BY w.t), weight)) AS d FROM w JOIN g ON g.portfolio_id = w.portfolio_id AND g.t = w.t),
- a AS (SELECT portfolio_id, t, MAX(gross) AS gross, SUM(d) AS turnover, SUM(0.05 * volatility * POWER(d, 1.5) / SQRT(adv)) AS a, ROW_NUMBER() OVER (PARTITION BY portfolio_id ORDER BY t) AS k FROM h GROUP BY 1, 2), walk AS (SELECT portfolio_id, CAST(NULL AS DATE) AS d, 0::BIGINT AS k, 0::DOUBLE AS cost, 1::DOUBLE AS wealth FROM (SELECT DISTINCT portfolio_id FROM a) p
+@query("m2_replay_with_impact", text="d", whole="portfolio_id", real="cost wealth", digits=6, sql=f"""WITH RECURSIVE {_GRID}, g AS (SELECT portfolio_id, t, SUM(weight * ret) AS gross FROM w GROUP BY 1, 2), x AS (SELECT portfolio_id, asset, t, gross, {_TRADED}),
+ a AS (SELECT portfolio_id, t, MAX(gross) AS gross, SUM(d) AS turnover, SUM(0.05 * volatility * POWER(d, 1.5) / SQRT(adv)) AS a, ROW_NUMBER() OVER (PARTITION BY portfolio_id ORDER BY t) AS k FROM x JOIN {{liq_small}} l ON l.asset = x.asset GROUP BY 1, 2), walk AS (SELECT portfolio_id, CAST(NULL AS DATE) AS d, 0::BIGINT AS k, 0::DOUBLE AS cost, 1::DOUBLE AS wealth FROM (SELECT DISTINCT portfolio_id FROM a) p
  UNION ALL SELECT a.portfolio_id, a.t, a.k, a.turnover * 0.0005 + a.a * SQRT(walk.wealth * 1000), walk.wealth * (1 - (a.turnover * 0.0005 + a.a * SQRT(walk.wealth * 1000))) * (1 + a.gross) FROM walk JOIN a ON a.portfolio_id = walk.portfolio_id AND a.k = walk.k + 1)
 SELECT portfolio_id, d, cost, wealth FROM walk WHERE k > 0""")
 def _(t: Tables) -> DataFrame:

@@ -260,7 +260,10 @@ _EDGES = """SELECT 'R' || r_name AS fund_id, 'N' || n_name AS instrument_id, 0.9
 @query("c8_fund_look_through", text="instrument_id", whole="portfolio_id", real="exposure", sql=f"WITH e AS ({_EDGES}), w AS (SELECT CAST(r_regionkey AS BIGINT) % 2 AS portfolio_id, 'R' || r_name AS id, 1.0 / COUNT(*) OVER (PARTITION BY r_regionkey % 2) AS weight FROM {{region}})\nSELECT portfolio_id, b.instrument_id, SUM(w.weight * a.weight * b.weight) AS exposure FROM w JOIN e a ON a.fund_id = w.id JOIN e b ON b.fund_id = a.instrument_id GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
     day = F.lit("2024-01-10").cast("date")
-    edges = t.sql(_EDGES).withColumn("holding_date", day).withColumn("available_at", day)
+    edges = t.sql(_EDGES).withColumn("holding_date", day)
+    # Every disclosure is revised; the first edition held twice as much.
+    first = edges.withColumn("weight", F.col("weight") * 2).withColumn("available_at", day)
+    edges = first.union(edges.withColumn("available_at", F.date_add(day, 3)))
     w = t.sql("SELECT CAST(r_regionkey AS BIGINT) % 2 AS portfolio_id, 'R' || r_name AS instrument_id, 1.0 / COUNT(*) OVER (PARTITION BY r_regionkey % 2) AS weight FROM {region}").withColumn("at", F.lit("2024-02-01").cast("date"))
     return exposure.fund_look_through(w, edges, ["portfolio_id"], max_depth=3)[0]
 

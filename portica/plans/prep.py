@@ -1,6 +1,7 @@
 """Prep views over the shared tables, written once for Spark SQL and for the SQL of the oracle.
 
-`{name}` stands for a raw table or another view; `@EL(a, i)` for the i-th element of an array, from 1.
+`{name}` stands for a raw table or another view; `@EL(a, i)` for the i-th element of an array, from 1, and
+`@EACH(a)` for a row by element with its place.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ _ASSETS = "(SELECT * FROM (VALUES ('click', 0), ('error', 1), ('purchase', 2), (
 
 VIEWS = {
     # Five assets by day: the kinds of events with their mean value.
-    "px_small": "SELECT event_type AS asset, CAST(ts AS DATE) AS t, AVG(value) AS px, COUNT(*) AS volume FROM {events} GROUP BY event_type, CAST(ts AS DATE)",
+    "px_small": "SELECT event_type AS asset, CAST(ts AS DATE) AS t, CAST(SUM(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / COUNT(*) AS px, COUNT(*) AS volume FROM {events} GROUP BY event_type, CAST(ts AS DATE)",
     "ret_small": "SELECT asset, t, ret FROM (SELECT asset, t, px / LAG(px) OVER (PARTITION BY asset ORDER BY t) - 1 AS ret FROM {px_small}) x WHERE ret IS NOT NULL",
     # Brands by month: unit prices.
-    "px_month": "SELECT p_brand AS asset, CAST(DATE_TRUNC('month', l_shipdate) AS DATE) AS t, SUM(l_extendedprice) / SUM(l_quantity) AS px FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_brand, CAST(DATE_TRUNC('month', l_shipdate) AS DATE)",
+    "px_month": "SELECT p_brand AS asset, CAST(DATE_TRUNC('month', l_shipdate) AS DATE) AS t, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) / CAST(SUM(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS px FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_brand, CAST(DATE_TRUNC('month', l_shipdate) AS DATE)",
     "ret_month": "SELECT asset, t, ret FROM (SELECT asset, t, px / LAG(px) OVER (PARTITION BY asset ORDER BY t) - 1 AS ret FROM {px_month}) x WHERE ret IS NOT NULL",
     # One small panel for each supplier.
     "px_many": "SELECT l_suppkey AS book, l_returnflag AS asset, CAST(DATE_TRUNC('month', l_shipdate) AS DATE) AS t, SUM(l_extendedprice) / SUM(l_quantity) AS px FROM {lineitem} GROUP BY l_suppkey, l_returnflag, CAST(DATE_TRUNC('month', l_shipdate) AS DATE)",
@@ -53,8 +54,8 @@ VIEWS = {
         "0.001 + 0.2 * (0.01 + (o_custkey % 7) * 0.002) * SQRT(o_totalprice / (1000000.0 * (1 + CAST(SUBSTRING(o_orderpriority, 1, 1) AS INT)))) + ((o_orderkey % 11) - 5) * 0.0001 AS signed_adverse_rate, "
         "CAST(o_orderdate AS DATE) AS accepted_at, CAST(o_orderdate + INTERVAL '1' DAY AS DATE) AS last_fill_at, CAST(o_orderdate + INTERVAL '3' DAY AS DATE) AS known_at FROM {orders}"
     ),
-    "loadings": " UNION ALL ".join(f"SELECT vec_id AS asset, 'f{i}' AS factor, CAST(@EL(embedding, {i}) AS DOUBLE) AS x FROM {{embeddings}}" for i in range(1, 6)),
-    "vec_weights": "SELECT 1 AS portfolio_id, vec_id AS asset, label AS grp, CAST(vec_id % 10 + 1 AS DOUBLE) / SUM(CAST(vec_id % 10 + 1 AS DOUBLE)) OVER (PARTITION BY 1) AS weight FROM {embeddings}",
+    "loadings": "SELECT vec_id AS asset, 'f' || CAST(i AS VARCHAR(9)) AS factor, CAST(@EL(embedding, i) AS DOUBLE) AS x FROM (SELECT vec_id, embedding, @EACH(embedding) AS i FROM {embeddings}) e",
+    "vec_weights": "SELECT 1 AS portfolio_id, vec_id AS asset, label AS grp, CAST(vec_id % 10 + 1 AS DOUBLE) / total AS weight FROM {embeddings} CROSS JOIN (SELECT SUM(CAST(vec_id % 10 + 1 AS DOUBLE)) AS total FROM {embeddings}) s",
     "decision_log": "SELECT user_id, ts, event_id, event_type <> 'error' AS published, event_type AS status FROM {events}",
 }
 
@@ -76,7 +77,7 @@ def oracle(text: str) -> str:
 
     for name in _names(text):
         visit(name)
-    plain = lambda s: re.sub(r"@EL\((\w+), (\d+)\)", r"list_extract(\1, \2)", re.sub(r"\{(\w+)\}", r"\1", s))
+    plain = lambda s: re.sub(r"@EACH\((\w+)\)", r"UNNEST(RANGE(1, LEN(\1) + 1))", re.sub(r"@EL\((\w+), (\w+)\)", r"list_extract(\1, \2)", re.sub(r"\{(\w+)\}", r"\1", s)))
     if not order:
         return plain(text)
     ctes = ", ".join(f"{n} AS ({plain(VIEWS[n])})" for n in order)
@@ -103,5 +104,5 @@ class Tables:
         return self.got[name]
 
     def sql(self, text: str) -> DataFrame:
-        text = re.sub(r"@EL\((\w+), (\d+)\)", r"element_at(\1, \2)", text)
+        text = re.sub(r"@EACH\((\w+)\)", r"EXPLODE(SEQUENCE(1, SIZE(\1)))", re.sub(r"@EL\((\w+), (\w+)\)", r"element_at(\1, \2)", text))
         return self.spark.sql(text, **{n: self.view(n) for n in _names(text)})

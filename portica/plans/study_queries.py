@@ -59,11 +59,6 @@ def _(t: Tables) -> DataFrame:
     return covariance.cov_ewma(t.ret_small, [])
 
 
-@query("e7_random_matrix", text="a b", whole="book n_signal", real="value", digits=6)
-def _(t: Tables) -> DataFrame:
-    return covariance.cov_random_matrix(t.ret_month.withColumn("book", F.lit(1)), ["book"])
-
-
 _FC = "SELECT a.factor AS f, b.factor AS g, COVAR_SAMP(a.x, b.x) AS value FROM {loadings} a JOIN {loadings} b ON a.asset = b.asset GROUP BY 1, 2"
 
 
@@ -73,11 +68,12 @@ def _(t: Tables) -> DataFrame:
     return covariance.factored_variance(t.vec_weights, t.loadings, t.sql(_FC), spec, ["grp"])
 
 
-@query("e8_cov_factor", whole="a b", real="value", digits=8, sql=f"WITH c AS ({_FC})\nSELECT x.asset AS a, y.asset AS b, SUM(x.x * value * y.x) + CASE WHEN x.asset = y.asset THEN 0.01 ELSE 0 END AS value FROM {{loadings}} x JOIN c ON c.f = x.factor JOIN {{loadings}} y ON y.factor = c.g WHERE x.asset <= y.asset AND x.asset < 40 AND y.asset < 40 GROUP BY x.asset, y.asset")
+@query("e8_cov_factor", whole="a b", real="value", digits=8, sql=f"WITH c AS ({_FC})\nSELECT x.asset AS a, y.asset AS b, SUM(x.x * value * y.x) + CASE WHEN x.asset = y.asset THEN 0.01 ELSE 0 END AS value FROM {{loadings}} x JOIN c ON c.f = x.factor JOIN {{loadings}} y ON y.factor = c.g WHERE y.asset IN (x.asset, x.asset + 1) GROUP BY x.asset, y.asset")
 def _(t: Tables) -> DataFrame:
-    """Requested pairs only: those of the first forty assets."""
-    some = t.loadings.where("asset < 40")
-    return covariance.cov_factor(some, t.sql(_FC), some.select("asset").distinct().withColumn("d", F.lit(0.01)))
+    """The variances, and the covariances of neighbours by id."""
+    assets = t.loadings.select("asset").distinct()
+    pairs = assets.select(F.col("asset").alias("a"), F.explode(F.array("asset", F.col("asset") + 1)).alias("b"))
+    return covariance.cov_factor(t.loadings, t.sql(_FC), assets.withColumn("d", F.lit(0.01)), pairs)
 
 
 _COR = "SELECT a.asset AS a, b.asset AS b, COVAR_SAMP(a.ret, b.ret) / NULLIF(STDDEV_SAMP(a.ret) * STDDEV_SAMP(b.ret), 0) AS value FROM {ret_small} a JOIN {ret_small} b ON a.t = b.t AND a.asset <= b.asset GROUP BY 1, 2"

@@ -60,6 +60,14 @@ def test_tilt_golden_case(spark):
     assert rows(exposure.factor_tilt(w, s, 0.0, ["k"]), "weight") == [(0.5,), (0.5,)]
 
 
+def test_look_through_uses_the_last_revision(spark):
+    d = date(2024, 1, 1)
+    w = spark.createDataFrame([(1, date(2024, 2, 1), "F", 1.0)], "k int, at date, instrument_id string, weight double")
+    e = spark.createDataFrame([("F", d, d, "S", 0.6), ("F", d, date(2024, 1, 5), "S", 0.5), ("F", d, date(2024, 3, 1), "S", 0.9)], "fund_id string, holding_date date, available_at date, instrument_id string, weight double")
+    x, t = exposure.fund_look_through(w, e, ["k"])
+    assert x.first()["exposure"] == 0.5 and rows(t, "known_weight", "unknown_weight") == [(0.5, 0.5)]
+
+
 def test_look_through_adds_paths_and_keeps_unknown(spark):
     d = date(2024, 1, 1)
     w = spark.createDataFrame([(1, date(2024, 2, 1), "F1", 0.5), (1, date(2024, 2, 1), "F2", 0.5)], "k int, at date, instrument_id string, weight double")
@@ -144,6 +152,17 @@ def test_replay_golden(spark):
     assert [round(x["turnover"], 9) for x in out] == [0.0, round(1 / 3, 9)] and out[-1]["wealth"] == 1.5
 
 
+def test_replay_switch_of_all_holdings(spark):
+    t = spark.createDataFrame([(1, 1, "A", 1.0), (1, 2, "B", 1.0), (1, 3, "B", 1.0), (1, 4, "A", 1.0)], "k int, t int, asset string, weight double")
+    r = spark.createDataFrame([(a, d, 0.0) for a in "AB" for d in (1, 2, 3)], "asset string, t int, ret double")
+    out = replay.replay_schedule(t, r, ["k"], 0.1).orderBy("t").collect()
+    assert [x["turnover"] for x in out] == [0.0, 2.0, 0.0, 2.0] and round(out[1]["net"], 9) == -0.2
+    assert [x["status"] for x in out] == ["ok", "ok", "ok", "missing_return"]
+    liq = spark.createDataFrame([("A", 4.0, 1.0), ("B", 4.0, 1.0)], "asset string, adv double, volatility double")
+    hit = replay.replay_with_impact(t.withColumn("t", F.timestamp_seconds("t")), r.withColumn("t", F.timestamp_seconds("t")), liq, ["k"], 0.0, 0.1, 1.0).orderBy("t").collect()
+    assert [round(x["cost"], 9) for x in hit[:2]] == [0.0, 0.1]  # two trades of 1: 0.1 * 1 / sqrt(4) each
+
+
 def test_overfitting_golden(spark):
     block = [(0.02, -0.01), (-0.01, 0.02)]
     data = [(1, s, i, (0.02 if (i // 4 + k) % 2 else -0.01) + 0.001 * (i % 2)) for k, s in enumerate("xy") for i in range(16)]
