@@ -358,7 +358,7 @@ def _classes(narrow: DataFrame, k: int) -> DataFrame:
 
 def _row_key(docs: DataFrame) -> Column:
     """A hash of all columns; nulls count by their place."""
-    values = [F.to_json(F.struct(docs[f.name])) if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema]
+    values = [exchange.hashable(docs, name) for name in docs.columns]
     return F.xxhash64(*values, *(v.isNull() for v in values))
 
 
@@ -381,5 +381,7 @@ def keep_representatives(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_i
 
     if several.isEmpty():
         return docs.join(lost, is_in(lost), "left_anti")
-    once = docs.join(several, is_in(several), "left_semi").distinct()
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    once = docs.join(several, is_in(several), "left_semi").select(docs[id_col].alias("id"), _row_key(docs).alias("key"), whole)
+    once = once.dropDuplicates(["id", "key"]).select("row.*")
     return docs.join(marks, is_in(marks), "left_anti").union(once)

@@ -16,7 +16,9 @@ sort are all starts of such strings, but most can be settled without their text:
 4. An anchor that stands at a partition's edge may go on in the next: windows of such anchors are compared
    across boundaries by their hashes.
 
-Texts travel compressed. Hashes are of 64 bits; within a bucket of step 2, 48 bits of the anchor are kept.
+Texts travel compressed. Within a bucket of step 2, 48 bits of an anchor's hash are kept; anchors that agree by
+chance only lead to step 3, which compares bytes. Stretches count as equal if their anchors and the 64-bit
+hashes of their whole texts agree, so a false match needs a collision among the few texts of one anchor.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import exchange, wordscan
 from .exchange import saved
@@ -159,16 +161,19 @@ def _settle(batches, n_parts: int):
         yield out
 
 
-def _split(batches) -> tuple[list[tuple[int, str, bytes]], list[bytes], list[bytes]]:
-    """The texts and the payloads (settled, sorted) that met in a partition."""
-    texts, settled, sorted_ = [], [], []
+def _split(batches) -> tuple[list[tuple[int, int, bytes]], list[bytes], list[bytes], list[pa.Array]]:
+    """The texts (uid, place, bytes) and payloads (settled, sorted) that met in a partition, and the rows' names."""
+    texts, settled, sorted_, names, at = [], [], [], [], 0
     for batch in batches:
-        for kind, uid, doc, body in zip(*(batch.column(c).to_pylist() for c in ("kind", "uid", "doc", "payload")), strict=True):
+        if "doc" in batch.schema.names:
+            names.append(batch.column("doc"))
+        for kind, uid, body in zip(*(batch.column(c).to_pylist() for c in ("kind", "uid", "payload")), strict=True):
             if kind == 0:
-                texts.append((uid, doc, body))
+                texts.append((uid, at, body))
             else:
                 (settled if kind == 1 else sorted_).append(body)
-    return texts, settled, sorted_
+            at += 1
+    return texts, settled, sorted_, names
 
 
 def _by_uid(payloads: list[bytes], *kinds) -> dict[int, list[np.ndarray]]:
@@ -185,7 +190,7 @@ def _by_uid(payloads: list[bytes], *kinds) -> dict[int, list[np.ndarray]]:
     return {int(u): [e[a:b] for e in entries] for u, a, b in zip(names.tolist(), begin.tolist(), ends.tolist(), strict=True)}
 
 
-def _text_chunks(texts: list[tuple[int, str, bytes]], wanted: dict):
+def _text_chunks(texts: list[tuple[int, int, bytes]], wanted: dict):
     """(rows, plain texts) in chunks, for the uids that are wanted."""
     unpack = zstandard.ZstdDecompressor()
     rows, plain, size = [], [], 0
@@ -216,7 +221,7 @@ def _state_of(s: Stretches, rows, settled: dict) -> np.ndarray:
 
 def _open_stretches(batches, width: int, seed: int):
     """Rows (lead, uid, low, shift, body) of the stretches to sort."""
-    texts, settled_, _ = _split(batches)
+    texts, settled_, *_ = _split(batches)
     settled = _by_uid(settled_, np.uint32, np.uint8)
     # Rows that repeat met here; one of them speaks for all.
     for rows, plain in _text_chunks(list({row[0]: row for row in texts}.values()), settled):
@@ -283,29 +288,28 @@ def _across(batches, n_parts: int):
         yield _kinded(out, 2)
 
 
-_KIND = "kind int, part int, uid bigint, doc string, payload binary"
-_NAMES = ["kind", "part", "uid", "doc", "payload"]
+_KIND = "kind int, part int, payload binary"
 
 
 def _kinded(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
-    n = batch.num_rows
-    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), batch.column("part"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), batch.column("payload")], names=_NAMES)
-
-
-def _compress(batches, n_parts: int):
-    pack = zstandard.ZstdCompressor(level=1)
-    for part, texts in wordscan.groups(batches, "text", 4 * wordscan.CHUNK_BYTES):
-        uid = part.column("uid").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([0] * len(uid), pa.int32()),
-                pa.array([u % n_parts for u in uid], pa.int32()),
-                part.column("uid"),
-                part.column("doc").cast(pa.string()),
-                pa.array([pack.compress(t) for t in texts], pa.binary()),
-            ],
-            names=_NAMES,
-        )
+    return pa.RecordBatch.from_arrays([pa.array([kind] * batch.num_rows, pa.int32()), batch.column("part"), batch.column("payload")], names=["kind", "part", "payload"])
+
+
+def _compressed(rows: DataFrame, n_parts: int, named: bool) -> DataFrame:
+    """(kind, part, uid, [doc,] payload): the texts, each for the bucket of its uid; `doc` in its own type."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1)
+        for part, texts in wordscan.groups(batches, "text", 4 * wordscan.CHUNK_BYTES):
+            uid = part.column("uid").to_pylist()
+            doc = [part.column("doc")] if named else []
+            arrays = [pa.array([0] * len(uid), pa.int32()), pa.array([u % n_parts for u in uid], pa.int32()), part.column("uid"), *doc, pa.array([pack.compress(t) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    doc_field = [T.StructField("doc", rows.schema["doc"].dataType)] if named else []
+    fields = [T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("uid", T.LongType()), *doc_field, T.StructField("payload", T.BinaryType())]
+    schema = T.StructType(fields)
+    return rows.select("uid", *(["doc"] if named else []), "text").mapInArrow(run, schema)
 
 
 def _covered(texts: list[bytes], rows, settled: dict, sorted_: dict, width: int, seed: int) -> list[list[tuple[int, int]]]:
@@ -337,28 +341,29 @@ def _covered(texts: list[bytes], rows, settled: dict, sorted_: dict, width: int,
 
 
 def find_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """(doc, n_bytes, spans, kept): a row for each row of `docs(doc, text)`; `doc` is a string that names the row.
+    """(doc, n_bytes, spans, kept): a row for each row of `docs(doc, text)`; `doc` names the row, in any type.
 
     `spans` are the removed byte runs [start, end) in order, `kept` the bytes that stay. Null and empty
     texts, and those shorter than `width`, keep all they have. Rows that repeat each lose what they share.
     """
     spark = docs.sparkSession
     n_parts = exchange.targets(spark)
-    rows = docs.select("doc", "text").withColumn("uid", F.xxhash64("doc", "text"))
+    rows = docs.select("doc", "text").withColumn("uid", F.xxhash64(exchange.hashable(docs, "doc"), "text"))
     anchors = rows.select("uid", "text").mapInArrow(lambda b: _send_anchors(b, n_parts, width, seed), exchange.SCHEMA)
     settled = saved(exchange.deal(anchors, n_parts).mapInArrow(lambda b: _settle(b, n_parts), exchange.SCHEMA))
-    settled = settled.selectExpr("1 AS kind", "part", "CAST(NULL AS bigint) AS uid", "CAST(NULL AS string) AS doc", "payload")
-    texts = rows.mapInArrow(lambda b: _compress(b, n_parts), _KIND)
-    met = exchange.deal(texts.union(settled), n_parts)
+    settled = settled.withColumn("kind", F.lit(1))
+    met = exchange.deal(_compressed(rows, n_parts, False).unionByName(settled, allowMissingColumns=True), n_parts)
     stretches = saved(met.mapInArrow(lambda b: _open_stretches(b, width, seed), "lead binary, uid bigint, low bigint, shift int, body binary"))
     ranged = stretches.repartitionByRange(n_parts, "lead", "uid", "low")
     sorted_ = saved(ranged.mapInArrow(lambda b: _sort_bucket(b, n_parts, width), _KIND))
     edges = sorted_.where("kind = 3").select("part", "payload")
     across = exchange.deal(edges, n_parts).mapInArrow(lambda b: _across(b, n_parts), _KIND)
-    known = settled.union(sorted_.where("kind = 2")).union(across)
+    known = settled.unionByName(sorted_.where("kind = 2")).unionByName(across)
+    out = T.StructType([rows.schema["doc"]]).add("n_bytes", T.LongType()).add("spans", T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))).add("kept", T.BinaryType())
 
     def finish(batches):
-        texts_, settled_p, sorted_p = _split(batches)
+        texts_, settled_p, sorted_p, names = _split(batches)
+        named = pa.concat_arrays(names) if names else None
         settled_, sorted__ = _by_uid(settled_p, np.uint32, np.uint8), _by_uid(sorted_p, np.uint32)
         everything = {row[0] for row in texts_}
         for rows_, plain in _text_chunks(texts_, everything):
@@ -372,7 +377,7 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
                 kept.append(b"".join([*parts, t[at:]]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[1] for r in rows_], pa.string()),
+                    named.take(pa.array([r[1] for r in rows_], pa.int64())),
                     pa.array([len(t) for t in plain], pa.int64()),
                     pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array(kept, pa.binary()),
@@ -380,20 +385,22 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
                 names=["doc", "n_bytes", "spans", "kept"],
             )
 
-    final = exchange.deal(rows.mapInArrow(lambda b: _compress(b, n_parts), _KIND).union(known), n_parts)
-    return final.mapInArrow(finish, "doc string, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    final = exchange.deal(_compressed(rows, n_parts, True).unionByName(known, allowMissingColumns=True), n_parts)
+    return final.mapInArrow(finish, out)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """`docs` with the repeated bytes taken out of the text, other columns as they were, in the same order.
 
     What is left of a character that a cut went through is dropped. `size_col`, if there, is counted again;
-    null texts become ''. The other columns travel beside the text as JSON, so no join brings them back.
+    null texts become ''. The other columns travel beside the text as one struct in their own types, whatever
+    their names, so no join brings them back. Each row is judged by itself: null and repeated ids and rows that
+    repeat all stay, and each loses what it shares. An empty table gives no rows.
     """
     others = [c for c in docs.columns if c not in (text_col, size_col)]
-    schema = docs.select(*others).schema
-    rows = docs.select(F.to_json(F.struct(*others)).alias("doc"), docs[text_col].alias("text"))
-    found = find_repeats(rows, width, seed).select(F.from_json("doc", schema).alias("row"), F.col("kept").alias("kept"))
+    columns_of = F.struct(*[docs[c] for c in others]) if others else F.struct(F.lit(0).alias("_"))
+    rows = docs.select(columns_of.alias("doc"), docs[text_col].alias("text"))
+    found = find_repeats(rows, width, seed).select(F.col("doc").alias("row"), "kept")
     # decode() would put replacement characters where a cut went through one.
     clean = found.select("row", F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), F.make_valid_utf8(F.col("kept").cast("string")).alias("marked"))
     text = F.coalesce("whole", F.replace("marked", F.lit("\ufffd"), F.lit("")))
@@ -405,11 +412,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, text_c
 
 
 def digest(docs: DataFrame, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
-    kind = docs.schema[id_col].dataType
-    found = find_repeats(docs.select(docs[id_col].cast("string").alias("doc"), docs[text_col].alias("text")), width, seed)
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row.
+
+    Null and empty texts have no bytes; null ids, repeated ids and repeated rows each give a row. An empty table
+    gives no rows. Other columns are not read, so their names may clash with any of these.
+    """
+    found = find_repeats(docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")), width, seed)
     return found.select(
-        F.col("doc").cast(kind).alias(id_col),
+        F.col("doc").alias(id_col),
         "n_bytes",
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
