@@ -1,9 +1,11 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The normalised word windows of the benchmark form a hash set.  While the set stays within `max_windows`
-it travels as a literal set inside the plan and every training window is looked up in place; beyond that
-the windows of the documents are joined to it by hash with a shuffle.  Hits are verified on the words
-themselves, then give spans, per-document counts, or the documents to drop.
+The normalised word windows of the benchmark form a hash set, and only window sizes that occur are looked for.
+While the set stays within `max_windows` it travels as a literal set inside the plan and every training window
+is looked up in place; a larger set is joined by hash. Hits are then verified on the words themselves. They give
+spans and items per document, or the documents to drop.
+
+Rows are named by their id and their text, so that rows which share an id, or have none, are judged apart.
 """
 
 from __future__ import annotations
@@ -47,49 +49,51 @@ def benchmark_windows(benchmark: DataFrame, window: int, id_col: str, text_col:
     )
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> tuple[DataFrame, DataFrame]:
-    """(documents, hits): documents(doc, n_words) and verified hits(doc, start, size, item_id).
+def _gram(words: Column, start: Column, size: Column) -> Column:
+    return F.array_join(F.slice(words, start, size), " ")
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, hits, grams): documents(doc, n_words), verified hits(doc, start, size, gram), grams(item_id, size, gram).
 
-    `docs` has `doc` and `text`; `benchmark` has `item_id` and `text`; other columns are not read. `start`
-    counts words from 1. Null and empty texts have no words and no hits; repeated rows of `doc` each appear
-    in documents and their hits repeat.
+    `docs` has `doc`, of any type, and `text`; `benchmark` has `item_id` and `text`; other columns are not read.
+    `start` counts words from 1. Null and empty texts have no words and no hits; repeated rows of `doc` each
+    appear in documents. Items that share a window do not multiply hits.
     """
-    spark = docs.sparkSession
     grams = benchmark_windows(benchmark, window, "item_id", "text")
+    windows = grams.select("size", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
     worded = docs.select("doc", words_of(F.col("text")).alias("words"))
     documents = worded.select("doc", F.size("words").cast("long").alias("n_words"))
-    bound = grams.select("size", F.xxhash64(F.split("gram", " ")).alias("h")).distinct().limit(max_windows + 1).collect()
-    by_size: dict[int, list[int]] = {}
-    for size, h in bound:
-        by_size.setdefault(size, []).append(h)
+    bound = windows.select("size", "h").distinct().limit(max_windows + 1).collect()
     small = len(bound) <= max_windows
-    found = [_starts(F.col("words"), size, by_size[size] if small else None) for size in (by_size if small else range(1, window + 1))]
-    if not found:
-        nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
-        none = spark.range(0).select(nothing("doc", docs.schema["doc"].dataType), nothing("start", "int"), nothing("size", "int"), nothing("item_id", grams.schema["item_id"].dataType))
-        return documents, none
-    places = F.flatten(F.filter(F.array(*found), lambda a: a.isNotNull()))
-    hits = worded.withColumn("place", F.explode(places)).select(
-        "doc", "place.start", "place.size", F.array_join(F.slice("words", F.col("place.start"), F.col("place.size")), " ").alias("gram")
-    )
-    # Items that share windows are rows of their own, so their number decides, not that of the windows.
-    side = F.broadcast(grams) if small and grams.limit(max_windows + 1).count() <= max_windows else grams
-    return documents, hits.join(side, ["size", "gram"]).select("doc", "start", "size", "item_id")
+    sizes = sorted({r["size"] for r in bound} if small else {r["size"] for r in windows.select("size").distinct().collect()})
+    known = {z: [r["h"] for r in bound if r["size"] == z] if small else None for z in sizes}
+    if not sizes:
+        none = documents.where("1 = 0").select("doc", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit("").alias("gram"))
+        return documents, none, grams
+    places = F.explode(F.flatten(F.filter(F.array(*[_starts(F.col("words"), z, known[z]) for z in sizes]), lambda a: a.isNotNull())))
+    if small:
+        found = worded.withColumn("place", places).select("doc", "place.start", "place.size", _gram(F.col("words"), F.col("place.start"), F.col("place.size")).alias("gram"))
+        return documents, found.join(windows.select("size", "gram"), ["size", "gram"], "left_semi").select("doc", "start", "size", "gram"), grams
+    # Only hashes travel; the words of the few documents with a hit are met again for the verification.
+    place = worded.withColumn("place", places).select("doc", "place.start", "place.size", F.xxhash64(F.slice("words", F.col("place.start"), F.col("place.size"))).alias("h"))
+    likely = place.join(windows, ["size", "h"]).groupBy(F.col("doc").alias("hit_doc")).agg(F.collect_set(F.struct("start", "size", "gram")).alias("likely"))
+    met = worded.dropDuplicates(["doc"]).join(likely, F.col("doc").eqNullSafe(F.col("hit_doc"))).select("doc", "words", F.inline("likely"))
+    return documents, met.where(_gram(F.col("words"), F.col("start"), F.col("size")) == F.col("gram")).select("doc", "start", "size", "gram"), grams
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated.
 
     A document word inside any occurrence of a benchmark window counts as hit. Null or empty texts give
-    zeros. Rows that repeat a doc_id count together. An empty benchmark leaves every document clean.
+    zeros. Rows that repeat an id are judged apart, by their own texts; null ids too. An empty benchmark leaves
+    every document clean, an empty table gives no rows. Other columns are not read.
     """
-    narrow = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
+    row = F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("hash"), F.octet_length(docs[text_col]).alias("bytes"))
     bench = benchmark.select(benchmark["item_id"].alias("item_id"), benchmark["text"].alias("text"))
-    documents, hits = find_hits(narrow, bench, window, max_windows)
-    spans = hits.groupBy("doc").agg(
-        F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"),
-        F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
-    )
+    documents, hits, grams = find_hits(docs.select(row.alias("doc"), docs[text_col].alias("text")), bench, window, max_windows)
+    spans = hits.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"))
+    items = hits.select("doc", "size", "gram").distinct().join(grams, ["size", "gram"]).groupBy("doc").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("next")),
@@ -99,11 +103,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         ),
         lambda acc: acc["n"],
     )
-    found = spans.select(
-        "doc", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    found = spans.select(F.col("doc").alias("hit_doc"), covered.alias("n_hit")).join(items, F.col("hit_doc").eqNullSafe(items["doc"])).select(
+        "hit_doc", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     )
-    return documents.join(found, documents["doc"].eqNullSafe(found["doc"]), "left").select(
-        documents["doc"].alias(id_col),
+    return documents.join(found, F.col("doc").eqNullSafe(F.col("hit_doc")), "left").select(
+        F.col("doc.id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
@@ -116,7 +120,8 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     """The rows of `docs` without any benchmark window, all columns kept.
 
     A bounded benchmark is looked up and verified beside each row, without a shuffle; a larger one is joined.
-    Either way a row is judged by its text, whatever its id.
+    Either way a row is judged by its text, whatever its id: null and repeated ids, repeated rows and null texts
+    stay unless their own text has a window. Columns of any type and name come through.
     """
     bench = benchmark.select("item_id", "text")
     grams = benchmark_windows(bench, window, "item_id", "text").select("size", "gram").distinct()
