@@ -82,7 +82,9 @@ def mix_sources(
     `budget` is a multiple of the corpus tokens. Block b of a source is its b-th pass, in a permutation of
     its own; `offset` counts the source's tokens before the document in that block. The last block ends with
     the document that reaches the source's part of the budget. Documents without tokens are never read;
-    an empty table gives no rows. Rows with equal ids follow each other in the order of their token counts.
+    an empty table gives no rows. Null sources are the source ''. Rows with equal ids follow each other in the
+    order of their token counts, each read as often as the others; null ids are an id of their own. Other columns
+    are not read, so their names may clash with any of these.
     """
     counted = saved(token_counts(docs, id_col, text_col, source_col).where("n_tokens > 0"))
     sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -94,11 +96,11 @@ def mix_sources(
     if tokens:
         total = sum(tokens.values())
         w = weights_at({s: n / total for s, n in tokens.items()}, find_exponent(tokens, spend, target_entropy, max_repeats))
-        for s, n in tokens.items():
-            part = round(w[s] * spend)
-            plan += [(s, b, min(n, part - b * n), w[s]) for b in range(math.ceil(part / n))]
-    blocks = docs.sparkSession.createDataFrame(plan, "source string, block int, quota long, weight double")
-    read = counted.join(F.broadcast(blocks), "source").withColumn("order", F.md5(F.concat_ws("|", F.lit(seed), F.col("block").cast("string"), F.col("doc").cast("string"))))
+        plan = [(s, n, round(w[s] * spend), w[s]) for s, n in tokens.items()]
+    parts = docs.sparkSession.createDataFrame(plan, "source string, n long, part long, weight double").where("part > 0")
+    blocks = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("part") / F.col("n")).cast("int") - 1)))
+    blocks = blocks.select("source", "block", F.least("n", F.col("part") - F.col("block") * F.col("n")).alias("quota"), "weight")
+    read = counted.join(blocks, "source").withColumn("order", F.md5(F.concat_ws("|", F.lit(seed), F.col("block").cast("string"), F.col("doc").cast("string"))))
     read = read.withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
     heads = read.groupBy("source", "block", "bucket").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy("source", "block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

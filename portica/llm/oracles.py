@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+from .quality_rules import RULES
+
+#: Parameters of the mixing queries: sources are nearly even, so their budget is what cuts; of languages, the entropy and then the limit on repeats binds.
+MIXING = {
+    "op6_mixing": {"source": "source", "budget": 1.5, "target_entropy": 0.95, "max_repeats": 4.0},
+    "mixing_languages_by_entropy": {"source": "lang", "budget": 1.0, "target_entropy": 0.95, "max_repeats": 4.0},
+    "mixing_languages_by_repeats": {"source": "lang", "budget": 1.0, "target_entropy": 0.99, "max_repeats": 1.4},
+}
+
 _TOKENS = r"REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[^\x20\x09-\x0D]+')"
 _LOW = "TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LOW_TOKENS = rf"REGEXP_EXTRACT_ALL({_LOW}, '[^\x20\x09-\x0D]+')"
@@ -36,12 +45,27 @@ OP7 = rf"""WITH b AS (SELECT item_id, {_LOW_WORDS} AS words FROM benchmark), bw
  t AS (SELECT doc_id, COUNT(*) AS n_items, STRING_AGG(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) x GROUP BY doc_id)
 SELECT d.doc_id, CAST(LEN(words) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, SHA256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
 
-# With the whole corpus as budget and shares that are even enough, the exponent is 1; the bisection follows otherwise.
-OP6 = r"""WITH RECURSIVE d AS (SELECT doc_id, COALESCE(source, '') AS source, LEN(REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents), s AS (SELECT source, SUM(n_tokens) AS n, SUM(n_tokens) / SUM(SUM(n_tokens)) OVER () AS p FROM d WHERE n_tokens > 0 GROUP BY source),
- bis(k, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT k + 1, CASE WHEN h >= 0.95 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN h >= 0.95 THEN hi ELSE (lo + hi) / 2 END FROM bis, LATERAL (SELECT -SUM(w * LN(w)) / LN(COUNT(*)) AS h FROM (SELECT POWER(p, (lo + hi) / 2) / SUM(POWER(p, (lo + hi) / 2)) OVER () AS w FROM s) q) z WHERE k < 60),
- a AS (SELECT CASE WHEN (SELECT -SUM(p * LN(p)) / LN(COUNT(*)) FROM s) >= 0.95 THEN 1.0 ELSE (SELECT lo FROM bis WHERE k = 60) END AS a), w AS (SELECT source, n, POWER(p, a) / SUM(POWER(p, a)) OVER () AS weight, SUM(n) OVER () AS total FROM s, a),
- b AS (SELECT source, n, weight, UNNEST(RANGE(0, CAST(CEIL(ROUND_EVEN(weight * total, 0) / n) AS BIGINT))) AS block, ROUND_EVEN(weight * total, 0) AS part FROM w),
+
+
+def mixing_sql(source: str = "source", budget: float = 1.0, target_entropy: float = 0.95, max_repeats: float = 4.0) -> str:
+    """Bisects the exponent for the entropy, then for the limit on repeats if that binds; then the blocks."""
+    w = "POWER(p / top, {a}) / SUM(POWER(p / top, {a})) OVER ()"
+    mid = w.format(a="((lo + hi) / 2)")
+    return rf"""WITH RECURSIVE d AS (SELECT doc_id, COALESCE({source}, '') AS source, LEN(REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
+ s AS (SELECT *, MAX(p) OVER () AS top, CAST(FLOOR(all_tokens * {budget}) AS BIGINT) AS spend FROM (SELECT source, SUM(n_tokens) AS n, SUM(SUM(n_tokens)) OVER () AS all_tokens, SUM(n_tokens) / SUM(SUM(n_tokens)) OVER () AS p FROM d WHERE n_tokens > 0 GROUP BY source) z),
+ bis(k, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT k + 1, CASE WHEN h >= {target_entropy} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN h >= {target_entropy} THEN hi ELSE (lo + hi) / 2 END FROM bis, LATERAL (SELECT -SUM(w * LN(w)) / LN(COUNT(*)) AS h FROM (SELECT {mid} AS w FROM s) q) z WHERE k < 60),
+ rep(k, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT k + 1, CASE WHEN m > {max_repeats} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN m > {max_repeats} THEN hi ELSE (lo + hi) / 2 END FROM rep, LATERAL (SELECT MAX(w * spend / n) AS m FROM (SELECT n, spend, {mid} AS w FROM s) q) z WHERE k < 60),
+ e AS (SELECT CASE WHEN (SELECT -SUM(p * LN(p)) / LN(COUNT(*)) FROM s) >= {target_entropy} THEN 1.0 ELSE (SELECT lo FROM bis WHERE k = 60) END AS e),
+ a AS (SELECT CASE WHEN (SELECT MAX(w * spend / n) FROM (SELECT n, spend, {w.format(a="e")} AS w FROM s, e) q) > {max_repeats} THEN GREATEST(e, (SELECT lo FROM rep WHERE k = 60)) ELSE e END AS a FROM e),
+ w AS (SELECT source, n, spend, {w.format(a="a")} AS weight FROM s, a), v AS (SELECT source, n, weight, CAST(ROUND_EVEN(weight * spend, 0) AS BIGINT) AS part FROM w),
+ b AS (SELECT source, n, weight, part, UNNEST(RANGE(0, CAST(CEIL(part / n) AS BIGINT))) AS block FROM v),
  r AS (SELECT doc_id, d.source, n_tokens, block, weight, LEAST(n, part - block * n) AS quota, SUM(n_tokens) OVER (PARTITION BY d.source, block ORDER BY MD5('mix|' || block || '|' || doc_id), doc_id, n_tokens) - n_tokens AS offset_ FROM d JOIN b ON b.source = d.source WHERE n_tokens > 0)
 SELECT doc_id, source, n_tokens, CAST(block AS INTEGER) AS block, CAST(offset_ AS BIGINT) AS "offset", ROUND(weight, 9) AS weight FROM r WHERE offset_ < quota"""
 
-ORACLE_SQL = {"op3_suffix_dedup": OP3, "op4_quality_rules": OP4, "op5_ngram_join": OP5, "op6_mixing": OP6, "op7_decontamination": OP7}
+
+_BITS = ", ".join(f"({2**i}, '{name}')" for i, name in enumerate(RULES))
+ABLATIONS = f"""WITH f AS (SELECT failed FROM ({OP4}) x)
+SELECT rule, CAST(SUM(CASE WHEN failed & bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failed, CAST(SUM(CASE WHEN failed = bit THEN 1 ELSE 0 END) AS BIGINT) AS n_only, CAST(SUM(CASE WHEN failed & ({2 ** len(RULES) - 1} - bit) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_kept_without
+ FROM f, (VALUES {_BITS}) AS r(bit, rule) GROUP BY rule"""
+
+ORACLE_SQL = {"op3_suffix_dedup": OP3, "op4_quality_rules": OP4, "quality_rule_ablations": ABLATIONS, "op5_ngram_join": OP5, "op6_mixing": mixing_sql(**MIXING["op6_mixing"]), "mixing_languages_by_entropy": mixing_sql(**MIXING["mixing_languages_by_entropy"]), "mixing_languages_by_repeats": mixing_sql(**MIXING["mixing_languages_by_repeats"]), "op7_decontamination": OP7}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ship
 from . import decontaminate, html_render, license_scan, lm_scoring, mixing, ngram_join, quality_net, quality_rules, suffix_dedup, toxicity
-from .oracles import ORACLE_SQL
+from .oracles import MIXING, ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,19 +14,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents under a model of those that are not held out."""
     return lm_scoring.score_texts(_table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; the operator gives spans too."""
     out = toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the byte strings that repeat."""
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of all documents under the strictest policy."""
     entries = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "v2")
     base = quality_rules.mask_of("base")
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -34,26 +38,53 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by their shingles."""
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def _mixed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    p = MIXING[name]
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), p["budget"], p["target_entropy"], p["max_repeats"], source_col=p["source"])
+    return mixed.withColumn("weight", F.round("weight", 9))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
+    """Half as many tokens again as the corpus has, over sources: two passes, the second one cut."""
+    return _mixed(spark, sf_dir, "op6_mixing")
+
+
+def mixing_languages_by_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages flattened until the entropy is reached."""
+    return _mixed(spark, sf_dir, "mixing_languages_by_entropy")
+
+
+def mixing_languages_by_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages flattened as far as the limit on repeats allows."""
+    return _mixed(spark, sf_dir, "mixing_languages_by_repeats")
+
+
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule: documents it fails, that only it rejects, and that would stay without it."""
+    return quality_rules.ablations(quality_rules.ledger(_table(spark, sf_dir, "documents")), "v2")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of every document."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and inherited licences of every document."""
     return license_scan.scan(license_scan.placed(_table(spark, sf_dir, "documents")))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents."""
     return quality_net.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
     return html_render.extract_text(_table(spark, sf_dir, "pages"))
 
 
@@ -61,6 +92,6 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_toxicity, op3_suffix_dedup, op4_quality_rules, op5_ngram_join, op6_mixing, op7_decontamination, op8_license_scan, op9_quality_classifier, op10_html_text)
+    for f in (op1_lm_scoring, op2_toxicity, op3_suffix_dedup, op4_quality_rules, quality_rule_ablations, op5_ngram_join, op6_mixing, mixing_languages_by_entropy, mixing_languages_by_repeats, op7_decontamination, op8_license_scan, op9_quality_classifier, op10_html_text)
 }
 
