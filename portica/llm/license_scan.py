@@ -1,122 +1,144 @@
 """License scans with DataFrame functions only.
 
-Documents have a place in a directory tree. Lines that name a licence are compared to templates by the
-cosine of sparse TF-IDF vectors, with document frequencies over the whole corpus. A document that matches
-has that licence itself; a document that is mostly licence text is a licence file and speaks for its
-directory; every other document takes the licence of its nearest ancestor directory that has one, found by
-a join on paths.
+Documents have a place in a directory tree. Units of a document - its lines, blocks of lines, header, opening and
+whole text - are compared to templates (notices and whole licences) by the cosine of sparse TF-IDF vectors, with
+document frequencies of all terms over the whole corpus. A document with a unit that matches has that licence
+itself. It is a licence file, and speaks for its directory, if its whole text or its opening matches a licence
+text, or if most of its words stand in matched lines. Every other document takes the licence of its nearest
+ancestor directory that has one, found by a join on paths.
+
+Which units need a comparison follows from the templates: their most frequent terms, as far as they weigh less
+than the threshold together in every template, cannot reach it alone. A unit without one of the other, telling
+terms is never a match, and the few documents with such a term are all that is compared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-# Opening words of common licence notices, by SPDX identifier.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0"],
-    "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
-    "GPL-3.0-only": ["This work is licensed under the GNU General Public License, version 3"],
-    "GPL-2.0-only": ["This work is licensed under the GNU General Public License, version 2"],
-    "LGPL-3.0-only": ["This library is licensed under the GNU Lesser General Public License, version 3"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "Creative Commons Attribution ShareAlike 4.0 International License"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "Creative Commons Attribution NonCommercial 4.0 International License"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain"],
-}
-#: A line is compared if it has one of these words.
-CUES = ("license", "licensed", "licence", "licenced", "copyright", "redistribution", "permission", "spdx", "unencumbered", "commons")
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from .exchange import saved
+from .license_texts import NOTICES, TEXTS
+
 THRESHOLD = 0.5
 #: A licence file: at least this share of its words stands in matched lines.
 FILE_SHARE = 0.5
+#: Terms of a document's opening.
+OPENING = 120
 
+_TERM = r"[a-z0-9](?:[a-z0-9.\-]*[a-z0-9])?"
+#: Leading lines that begin as comments do.
+_COMMENT = r"^\s*(?:[ \t]*(?:#|//|/\*|\*|--|;|%|<!--)[^\n]*(?:\n|$))+"
 
-def terms_of(text: Column) -> Column:
-    """Lower-case runs of letters, digits, dots and hyphens that hold a letter or digit at both ends."""
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9\-.]+|\.(?=\s|$)|-(?=\s|$)"), lambda t: t.rlike("[a-z0-9]"))
 
+def terms_of(text: Column) -> Column:
+    """Lower-case runs of letters, digits, dots and hyphens that hold a letter or digit at both ends; null has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TERM), F.lit(0))
 
-def templates_frame(spark) -> DataFrame:
-    rows = [(name, f"{name}/{i}", text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
-    return spark.createDataFrame(rows, "license string, notice string, template string")
 
+def templates_frame(spark: SparkSession) -> DataFrame:
+    """(license, notice, whole, template): a row for each template; `whole` marks licence texts."""
+    rows = [(name, f"{name}/{i}", False, text) for name, texts in NOTICES.items() for i, text in enumerate(texts)]
+    rows += [(name, f"{name}/text", True, text) for name, text in TEXTS.items()]
+    return spark.createDataFrame(rows, "license string, notice string, whole boolean, template string")
 
-def _cued_lines(docs: DataFrame) -> DataFrame:
-    """(doc, path, n_words, line_no, terms) for the lines that have a cue; others stay in their row."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
-    cued = F.filter(lines, lambda s: F.lower(s["line"]).rlike("|".join(CUES)))
-    return (
-        docs.where(low.rlike("|".join(CUES)))
-        .select("doc", "path", F.size(terms_of(F.col("text"))).alias("n_words"), F.explode(cued).alias("at"))
-        .select("doc", "path", "n_words", "at.line_no", terms_of(F.col("at.line")).alias("terms"))
-        .where(F.exists("terms", lambda t: t.isin(*CUES)))
-    )
 
+def _inverse(df: Column, total: int) -> Column:
+    return F.log((F.lit(total) + 1) / (df + 1)) + 1
 
-def term_weights(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
-    """Inverse document frequencies of the template terms over all documents, and that of an unseen term."""
-    found = F.array_distinct(F.filter(terms_of(F.coalesce("text", F.lit(""))), lambda t: t.isin(vocabulary)))
-    rows = docs.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.count()
-    top = F.log((F.lit(total) + 1) / F.lit(1.0)) + 1
-    got = rows.select("term", (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1).alias("idf")).collect()
-    unseen = docs.sparkSession.range(1).select(top.alias("idf")).first()["idf"]
-    return {t: unseen for t in vocabulary} | {r["term"]: r["idf"] for r in got}, unseen
 
+def _template_vectors(spark: SparkSession, frequencies: DataFrame, total: int) -> list:
+    """Rows (license, notice, whole, term, unit, df) with unit vectors; as many as the fixed templates have terms."""
+    tf = templates_frame(spark).withColumn("term", F.explode(terms_of(F.col("template")))).groupBy("license", "notice", "whole", "term").agg(F.count("*").alias("tf"))
+    tf = tf.join(frequencies, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("w", F.col("tf") * _inverse(F.col("df"), total))
+    norm = tf.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return tf.join(norm, "notice").select("license", "notice", "whole", "term", (F.col("w") / F.col("norm")).alias("unit"), "df").collect()
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path") -> DataFrame:
-    """(id, path, own_license, similarity, is_license_file, license, inherited_from, depth) for each row.
 
-    `path` is slash-separated; its last part is the document. A null path is '' and neither gives nor takes.
-    Null and empty texts have no own licence but may inherit. Among equal similarities the licence first by
-    name wins, in a directory with several licence files the one of greatest similarity. Repeated rows each
-    get a row. Lines are compared whole, wherever they stand.
-    """
-    spark = docs.sparkSession
-    base = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"), F.coalesce(docs[path_col], F.lit("")).alias("path"))
-    templates = templates_frame(spark).withColumn("term", F.explode(terms_of(F.col("template")))).groupBy("license", "notice", "term").agg(F.count("*").alias("tf"))
-    vectors = templates.collect()
-    idf, unseen = term_weights(base, sorted({r["term"] for r in vectors}))
-    rows, norms = [], {}
+def telling_terms(vectors: list, threshold: float) -> list[str]:
+    """Template terms of which every match has one: all but the most frequent that stay below the threshold together."""
+    left = {r["notice"]: threshold * threshold * (1 - 1e-9) for r in vectors}
+    by_term: dict[tuple[int, str], list] = {}
     for r in vectors:
-        w = r["tf"] * idf[r["term"]]
-        norms[r["notice"]] = norms.get(r["notice"], 0.0) + w * w
-        rows.append((r["license"], r["notice"], r["term"], w, idf[r["term"]]))
-    units = [(name, notice, t, w / norms[notice] ** 0.5, i) for name, notice, t, w, i in rows]
-    table = spark.createDataFrame(units, "license string, notice string, term string, unit double, idf double")
-    known = F.broadcast(table.select("term", "idf").distinct())
-    lines = _cued_lines(base)
-    parts = lines.select("doc", "path", "n_words", "line_no", F.size("terms").alias("line_words"), F.explode("terms").alias("term"))
-    key = ["doc", "path", "n_words", "line_no", "line_words"]
-    weighted = (
-        parts.groupBy(*key, "term").agg(F.count("*").alias("tf")).join(known, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
+        by_term.setdefault((-r["df"], r["term"]), []).append((r["notice"], r["unit"] ** 2))
+    telling = []
+    for (_, term), parts in sorted(by_term.items()):
+        if all(left[notice] > square for notice, square in parts):
+            for notice, square in parts:
+                left[notice] -= square
+        else:
+            telling.append(term)
+    return telling
+
+
+def _units(candidates: DataFrame, telling: list[str]) -> DataFrame:
+    """(row, n_words, kind, place, terms): what is compared of each candidate; only units with a telling term."""
+    one = lambda kind, text: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("place"), terms_of(text).alias("terms")))
+    many = lambda kind, texts: F.transform(texts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), terms_of(x).alias("terms")))
+    opening = F.array(F.struct(F.lit("opening").alias("kind"), F.lit(0).alias("place"), F.slice(terms_of(F.col("text")), 1, OPENING).alias("terms")))
+    blocks = F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda b: F.contains(F.trim(b), F.lit("\n")))
+    all_ = F.concat(many("line", F.split("text", "\n")), many("block", blocks), one("header", F.regexp_extract("text", _COMMENT, 0)), opening, one("file", F.col("text")))
+    some = F.filter(all_, lambda u: F.arrays_overlap(u["terms"], F.array(*map(F.lit, telling))))
+    return candidates.select("row", F.size(terms_of(F.col("text"))).alias("n_words"), F.inline(some))
+
+
+def similarities(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(row, n_words, kind, place, line_words, license, notice, whole, similarity): units of `docs(row, text)` that match."""
+    spark = docs.sparkSession
+    terms = docs.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
+    frequencies = saved(terms.groupBy("term").agg(F.count("*").alias("df")))
+    total = docs.count()
+    vectors = _template_vectors(spark, frequencies, total)
+    telling = telling_terms(vectors, threshold)
+    hint = F.arrays_overlap(terms_of(F.col("text")), F.array(*map(F.lit, telling)))
+    key = ["row", "n_words", "kind", "place", "line_words"]
+    units = saved(_units(docs.where(hint).dropDuplicates(["row"]), telling))
+    counts = units.select("row", "n_words", "kind", "place", F.size("terms").alias("line_words"), F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    weighted = saved(counts.join(frequencies, "term", "left").withColumn("w", F.col("tf") * _inverse(F.coalesce("df", F.lit(1)), total)).select(*key, "term", "w"))
+    norm = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    table = spark.createDataFrame([(r["license"], r["notice"], r["whole"], r["term"], r["unit"]) for r in vectors], "license string, notice string, whole boolean, term string, unit double")
+    dots = weighted.join(F.broadcast(table), "term").groupBy(*key, "license", "notice", "whole").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
+    found = dots.join(norm, key).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 9))
+    return found.where(F.col("similarity") >= threshold).select(*key, "license", "notice", "whole", "similarity")
+
+
+def own_licenses(matches: DataFrame) -> DataFrame:
+    """(row, own_license, similarity, is_license_file) from similarities(); the licence first by name among equals."""
+    lines = matches.where("kind = 'line'").select("row", "n_words", "place", "line_words").distinct()
+    mostly = lines.groupBy("row").agg((F.sum("line_words") / F.max("n_words") >= FILE_SHARE).alias("mostly"))
+    is_text = F.col("whole") & F.col("kind").isin("file", "opening")
+    best = matches.groupBy("row").agg(
+        F.min(F.struct((-F.col("similarity")).alias("less"), "license")).alias("any"),
+        F.min(F.when(is_text, F.struct((-F.col("similarity")).alias("less"), "license"))).alias("text"),
     )
-    norm = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("vector"))
-    scores = (
-        norm.select(*key, "norm", F.explode("vector").alias("v"))
-        .select(*key, "norm", "v.*")
-        .join(F.broadcast(table.select("license", "notice", "term", "unit")), "term")
-        .groupBy(*key, "license", "notice")
-        .agg((F.sum(F.col("w") * F.col("unit")) / F.first("norm")).alias("similarity"))
-        .where(F.col("similarity") >= threshold)
+    # What a licence file is follows from its whole text or opening, whatever single lines say.
+    chosen = F.coalesce("text", "any")
+    return best.join(mostly, "row", "left").select(
+        "row", chosen["license"].alias("own_license"), (-chosen["less"]).alias("similarity"), (F.col("text").isNotNull() | F.coalesce("mostly", F.lit(False))).alias("is_license_file")
     )
-    best = scores.groupBy(*key).agg(F.min(F.struct((-F.round("similarity", 9)).alias("less"), "license")).alias("b"))
-    own = best.groupBy("doc", "path").agg(
-        F.min(F.struct("b.less", "b.license")).alias("b"), (F.sum("line_words") / F.max("n_words") >= FILE_SHARE).alias("is_license_file")
-    ).select("doc", "path", F.col("b.license").alias("own_license"), (-F.col("b.less")).alias("similarity"), "is_license_file")
-    parent = F.regexp_replace("path", "/?[^/]*$", "")
-    speakers = own.where("is_license_file and path <> ''").groupBy(parent.alias("dir")).agg(F.min(F.struct((-F.col("similarity")).alias("less"), F.col("own_license").alias("license"))).alias("s"))
-    speakers = speakers.select("dir", F.col("s.license").alias("dir_license"))
-    parts_of = F.split("own_dir", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts_of)), lambda n: F.struct(F.array_join(F.slice(parts_of, F.lit(1), n), "/").alias("dir"), n.alias("depth")))
-    dirs = base.where("path <> ''").select(parent.alias("own_dir")).distinct().select("own_dir", F.inline(above))
-    nearest = dirs.join(speakers, "dir").groupBy("own_dir").agg(F.max(F.struct("depth", "dir", "dir_license")).alias("n")).select("own_dir", "n.*")
-    places = base.select("doc", "path", parent.alias("own_dir"))
-    named = places.join(own.withColumnsRenamed({"doc": "o_doc", "path": "o_path"}), F.col("doc").eqNullSafe(F.col("o_doc")) & (F.col("path") == F.col("o_path")), "left")
+
+
+def parent_of(path: Column) -> Column:
+    return F.regexp_replace(path, "/?[^/]*$", "")
+
+
+def nearest_ancestors(paths: DataFrame, speakers: DataFrame) -> DataFrame:
+    """(own_dir, dir, depth, dir_license) for each directory of `paths(path)` with a speaker in it or above.
+
+    `speakers(dir, dir_license)` has one row for each directory. Distinct directories meet their ancestors by
+    path; a directory with many documents counts once.
+    """
+    parts = F.split("own_dir", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("dir"), n.alias("depth")))
+    dirs = paths.where("path <> ''").select(parent_of(F.col("path")).alias("own_dir")).distinct().select("own_dir", F.inline(above))
+    return dirs.join(speakers, "dir").groupBy("own_dir").agg(F.max(F.struct("depth", "dir", "dir_license")).alias("n")).select("own_dir", "n.*")
+
+
+def inherit(places: DataFrame, own: DataFrame, speakers: DataFrame) -> DataFrame:
+    """`places(row, path)` with own licences and, where there is none, that of the nearest ancestor directory."""
+    nearest = nearest_ancestors(places.select("path"), speakers)
+    named = places.withColumn("own_dir", F.when(F.col("path") != "", parent_of(F.col("path")))).join(own.withColumnRenamed("row", "own_row"), F.col("row").eqNullSafe(F.col("own_row")), "left")
     return named.join(nearest, "own_dir", "left").select(
-        F.col("doc").alias(id_col),
+        "row",
         "path",
         "own_license",
         "similarity",
@@ -127,6 +149,24 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     )
 
 
+def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path") -> DataFrame:
+    """(id, path, own_license, similarity, is_license_file, license, inherited_from, depth) for each row.
+
+    `path` is slash-separated; its last part is the document. A null path is '' and neither gives nor takes.
+    Null and empty texts have no own licence but may inherit. Among equal similarities the licence first by
+    name wins, in a directory with several licence files the one of greatest similarity. Rows are judged by their
+    own text, so rows that repeat an id may differ; repeated rows each get a row; an empty table gives none. Other
+    columns are not read, so their names may clash with any of these.
+    """
+    path = F.coalesce(docs[path_col], F.lit(""))
+    row = F.struct(docs[id_col].alias("id"), path.alias("path"), F.xxhash64(docs[text_col]).alias("hash"), F.octet_length(docs[text_col]).alias("bytes"))
+    base = docs.select(row.alias("row"), path.alias("path"), docs[text_col].alias("text"))
+    own = saved(own_licenses(similarities(base.select("row", "text"), threshold)))
+    said = own.where("is_license_file and row.path <> ''")
+    speakers = said.groupBy(parent_of(F.col("row.path")).alias("dir")).agg(F.min(F.struct((-F.col("similarity")).alias("less"), "own_license")).alias("s")).select("dir", F.col("s.own_license").alias("dir_license"))
+    return inherit(base.select("row", "path"), own, speakers).select(F.col("row.id").alias(id_col), "path", "own_license", "similarity", "is_license_file", "license", "inherited_from", "depth")
+
+
 def placed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The documents with a path from source and id: source / ten thousands / thousands / id.txt."""
     n = F.col(id_col)

@@ -63,9 +63,15 @@ def mixing_sql(source: str = "source", budget: float = 1.0, target_entropy: floa
 SELECT doc_id, source, n_tokens, CAST(block AS INTEGER) AS block, CAST(offset_ AS BIGINT) AS "offset", ROUND(weight, 9) AS weight FROM r WHERE offset_ < quota"""
 
 
+LICENSE_PATHS = r"""WITH d AS (SELECT doc_id, text, COALESCE(source, '') || '/' || CAST(doc_id // 10000 AS VARCHAR) || '/' || CAST(doc_id // 1000 AS VARCHAR) AS dir, CASE WHEN CONTAINS(text, 'Apache License') THEN 'Apache-2.0' WHEN CONTAINS(text, 'MIT License') THEN 'MIT' END AS own FROM documents),
+ s AS (SELECT dir, MIN(own) AS said FROM d WHERE own IS NOT NULL AND LENGTH(text) < 1000 GROUP BY dir), dirs AS (SELECT DISTINCT dir AS own_dir, STRING_SPLIT(dir, '/') AS parts FROM d),
+ a AS (SELECT own_dir, n AS depth, ARRAY_TO_STRING(parts[1 : n], '/') AS dir FROM (SELECT own_dir, parts, UNNEST(RANGE(1, LEN(parts) + 1)) AS n FROM dirs) x),
+ m AS (SELECT own_dir, a.dir, depth, said, ROW_NUMBER() OVER (PARTITION BY own_dir ORDER BY depth DESC) AS r FROM a JOIN s ON s.dir = a.dir)
+SELECT doc_id, d.dir || '/' || doc_id || '.txt' AS path, COALESCE(own, said) AS license, CASE WHEN own IS NULL THEN m.dir END AS inherited_from, CASE WHEN own IS NULL THEN depth END AS depth FROM d LEFT JOIN m ON m.own_dir = d.dir AND r = 1"""
+
 _BITS = ", ".join(f"({2**i}, '{name}')" for i, name in enumerate(RULES))
 ABLATIONS = f"""WITH f AS (SELECT failed FROM ({OP4}) x)
 SELECT rule, CAST(SUM(CASE WHEN failed & bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failed, CAST(SUM(CASE WHEN failed = bit THEN 1 ELSE 0 END) AS BIGINT) AS n_only, CAST(SUM(CASE WHEN failed & ({2 ** len(RULES) - 1} - bit) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_kept_without
  FROM f, (VALUES {_BITS}) AS r(bit, rule) GROUP BY rule"""
 
-ORACLE_SQL = {"op3_suffix_dedup": OP3, "op4_quality_rules": OP4, "quality_rule_ablations": ABLATIONS, "op5_ngram_join": OP5, "op6_mixing": mixing_sql(**MIXING["op6_mixing"]), "mixing_languages_by_entropy": mixing_sql(**MIXING["mixing_languages_by_entropy"]), "mixing_languages_by_repeats": mixing_sql(**MIXING["mixing_languages_by_repeats"]), "op7_decontamination": OP7}
+ORACLE_SQL = {"op3_suffix_dedup": OP3, "op4_quality_rules": OP4, "quality_rule_ablations": ABLATIONS, "op5_ngram_join": OP5, "op6_mixing": mixing_sql(**MIXING["op6_mixing"]), "mixing_languages_by_entropy": mixing_sql(**MIXING["mixing_languages_by_entropy"]), "mixing_languages_by_repeats": mixing_sql(**MIXING["mixing_languages_by_repeats"]), "op7_decontamination": OP7, "license_inheritance": LICENSE_PATHS}

@@ -78,6 +78,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(license_scan.placed(_table(spark, sf_dir, "documents")))
 
 
+def license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path half alone: documents of a few words that name a licence speak for their directories."""
+    docs = license_scan.placed(_table(spark, sf_dir, "documents"))
+    name = F.when(F.contains("text", F.lit("Apache License")), "Apache-2.0").when(F.contains("text", F.lit("MIT License")), "MIT")
+    places = docs.select(F.col("doc_id").alias("row"), "path", "text")
+    own = places.select("row", name.alias("own_license"), F.lit(1.0).alias("similarity"), (F.length("text") < 1000).alias("is_license_file")).where("own_license IS NOT NULL")
+    speakers = places.join(own.where("is_license_file"), "row").groupBy(license_scan.parent_of(F.col("path")).alias("dir")).agg(F.min("own_license").alias("dir_license"))
+    out = license_scan.inherit(places.select("row", "path"), own, speakers)
+    return out.select(F.col("row").alias("doc_id"), "path", "license", "inherited_from", F.col("depth").cast("bigint").alias("depth"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
     return quality_net.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -92,6 +103,6 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_toxicity, op3_suffix_dedup, op4_quality_rules, quality_rule_ablations, op5_ngram_join, op6_mixing, mixing_languages_by_entropy, mixing_languages_by_repeats, op7_decontamination, op8_license_scan, op9_quality_classifier, op10_html_text)
+    for f in (op1_lm_scoring, op2_toxicity, op3_suffix_dedup, op4_quality_rules, quality_rule_ablations, op5_ngram_join, op6_mixing, mixing_languages_by_entropy, mixing_languages_by_repeats, op7_decontamination, op8_license_scan, license_inheritance, op9_quality_classifier, op10_html_text)
 }
 
