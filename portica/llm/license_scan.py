@@ -90,15 +90,15 @@ def similarities(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     vectors = _template_vectors(spark, frequencies, total)
     telling = telling_terms(vectors, threshold)
     hint = F.arrays_overlap(terms_of(F.col("text")), F.array(*map(F.lit, telling)))
-    key = ["row", "n_words", "kind", "place", "line_words"]
-    units = saved(_units(docs.where(hint).dropDuplicates(["row"]), telling))
-    counts = units.select("row", "n_words", "kind", "place", F.size("terms").alias("line_words"), F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
-    weighted = saved(counts.join(frequencies, "term", "left").withColumn("w", F.col("tf") * _inverse(F.coalesce("df", F.lit(1)), total)).select(*key, "term", "w"))
-    norm = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    table = spark.createDataFrame([(r["license"], r["notice"], r["whole"], r["term"], r["unit"]) for r in vectors], "license string, notice string, whole boolean, term string, unit double")
-    dots = weighted.join(F.broadcast(table), "term").groupBy(*key, "license", "notice", "whole").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
-    found = dots.join(norm, key).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 9))
-    return found.where(F.col("similarity") >= threshold).select(*key, "license", "notice", "whole", "similarity")
+    units = saved(_units(docs.where(hint).dropDuplicates(["row"]), telling).withColumn("unit", F.xxhash64("row", "kind", "place")))
+    counts = units.select("unit", F.explode("terms").alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    weighted = saved(counts.join(frequencies, "term", "left").select("unit", "term", (F.col("tf") * _inverse(F.coalesce("df", F.lit(1)), total)).alias("w")))
+    norm = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    table = spark.createDataFrame([(r["license"], r["notice"], r["whole"], r["term"], r["unit"]) for r in vectors], "license string, notice string, whole boolean, term string, share double")
+    dots = weighted.join(F.broadcast(table), "term").groupBy("unit", "license", "notice", "whole").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
+    found = dots.join(norm, "unit").withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("similarity") >= threshold)
+    named = units.select("unit", "row", "n_words", "kind", "place", F.size("terms").alias("line_words"))
+    return named.join(found, "unit").select("row", "n_words", "kind", "place", "line_words", "license", "notice", "whole", "similarity")
 
 
 def own_licenses(matches: DataFrame) -> DataFrame:
