@@ -1,8 +1,8 @@
 """License scans with DataFrame functions only.
 
-Documents have a place in a directory tree. Units of a document - its lines, blocks of lines, header, opening and
-whole text - are compared to templates (notices and whole licences) by the cosine of sparse TF-IDF vectors, with
-document frequencies of all terms over the whole corpus. A document with a unit that matches has that licence
+Documents have a place in a directory tree. Units of a document are compared to templates by the cosine of sparse
+TF-IDF vectors, with document frequencies of all terms over the whole corpus: lines, blocks of lines and headers to
+notices and licence texts, the opening and the whole text to licence texts. A document with a unit that matches has that licence
 itself. It is a licence file, and speaks for its directory, if its whole text or its opening matches a licence
 text, or if most of its words stand in matched lines. Every other document takes the licence of its nearest
 ancestor directory that has one, found by a join on paths.
@@ -70,14 +70,19 @@ def telling_terms(vectors: list, threshold: float) -> list[str]:
     return telling
 
 
-def _units(candidates: DataFrame, telling: list[str]) -> DataFrame:
+def _has(terms: Column, telling: list[str]) -> Column:
+    return F.arrays_overlap(terms, F.array(*map(F.lit, telling))) if telling else F.lit(False)
+
+
+def _units(candidates: DataFrame, telling: list[str], telling_whole: list[str]) -> DataFrame:
     """(row, n_words, kind, place, terms): what is compared of each candidate; only units with a telling term."""
     one = lambda kind, text: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("place"), terms_of(text).alias("terms")))
     many = lambda kind, texts: F.transform(texts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), terms_of(x).alias("terms")))
     opening = F.array(F.struct(F.lit("opening").alias("kind"), F.lit(0).alias("place"), F.slice(terms_of(F.col("text")), 1, OPENING).alias("terms")))
     blocks = F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda b: F.contains(F.trim(b), F.lit("\n")))
-    all_ = F.concat(many("line", F.split("text", "\n")), many("block", blocks), one("header", F.regexp_extract("text", _COMMENT, 0)), opening, one("file", F.col("text")))
-    some = F.filter(all_, lambda u: F.arrays_overlap(u["terms"], F.array(*map(F.lit, telling))))
+    parts = F.concat(many("line", F.split("text", "\n")), many("block", blocks), one("header", F.regexp_extract("text", _COMMENT, 0)))
+    whole = F.concat(opening, one("file", F.col("text")))
+    some = F.concat(F.filter(parts, lambda u: _has(u["terms"], telling)), F.filter(whole, lambda u: _has(u["terms"], telling_whole)))
     return candidates.select("row", F.size(terms_of(F.col("text"))).alias("n_words"), F.inline(some))
 
 
@@ -85,12 +90,14 @@ def similarities(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(row, n_words, kind, place, line_words, license, notice, whole, similarity): units of `docs(row, text)` that match."""
     spark = docs.sparkSession
     terms = docs.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
-    frequencies = saved(terms.groupBy("term").agg(F.count("*").alias("df")))
+    in_templates = [r["term"] for r in templates_frame(spark).select(F.explode(terms_of(F.col("template"))).alias("term")).distinct().collect()]
+    # A term of the corpus that is not in this table stands in one document.
+    frequencies = saved(terms.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") > 1) | F.col("term").isin(in_templates)))
     total = docs.count()
     vectors = _template_vectors(spark, frequencies, total)
-    telling = telling_terms(vectors, threshold)
-    hint = F.arrays_overlap(terms_of(F.col("text")), F.array(*map(F.lit, telling)))
-    units = saved(_units(docs.where(hint).dropDuplicates(["row"]), telling).withColumn("unit", F.xxhash64("row", "kind", "place")))
+    telling, telling_whole = telling_terms(vectors, threshold), telling_terms([r for r in vectors if r["whole"]], threshold)
+    hint = _has(terms_of(F.col("text")), sorted({*telling, *telling_whole}))
+    units = saved(_units(docs.where(hint).dropDuplicates(["row"]), telling, telling_whole).withColumn("unit", F.xxhash64("row", "kind", "place")))
     counts = units.select("unit", F.explode("terms").alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
     weighted = saved(counts.join(frequencies, "term", "left").select("unit", "term", (F.col("tf") * _inverse(F.coalesce("df", F.lit(1)), total)).alias("w")))
     norm = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -98,7 +105,7 @@ def similarities(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     dots = weighted.join(F.broadcast(table), "term").groupBy("unit", "license", "notice", "whole").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
     found = dots.join(norm, "unit").withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("similarity") >= threshold)
     named = units.select("unit", "row", "n_words", "kind", "place", F.size("terms").alias("line_words"))
-    return named.join(found, "unit").select("row", "n_words", "kind", "place", "line_words", "license", "notice", "whole", "similarity")
+    return named.join(found, "unit").where(F.col("whole") | ~F.col("kind").isin("opening", "file")).select("row", "n_words", "kind", "place", "line_words", "license", "notice", "whole", "similarity")
 
 
 def own_licenses(matches: DataFrame) -> DataFrame:

@@ -22,21 +22,19 @@ def brute(texts, threshold):
     idf = lambda t, d=None: math.log((len(texts) + 1) / ((df[t] if df[t] or d is None else d) + 1)) + 1
     vector = lambda ts: {t: n * idf(t) for t, n in Counter(ts).items()}
     norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
-    templates = [(name, vector(terms(t))) for name, ts in license_texts.NOTICES.items() for t in ts]
-    templates += [(name, vector(terms(t))) for name, t in license_texts.TEXTS.items()]
+    notices = [(name, vector(terms(t))) for name, ts in license_texts.NOTICES.items() for t in ts]
+    texts_ = [(name, vector(terms(t))) for name, t in license_texts.TEXTS.items()]
     out = {}
     for i, x in enumerate(texts):
         if not x:
             continue
         header = re.match(license_scan._COMMENT, x)
-        units = [terms(u) for u in [*x.split("\n"), *(b for b in re.split(r"\n[ \t\r]*\n", x) if "\n" in b.strip(" ")), header[0] if header else "", x]]
-        units.append(terms(x)[: license_scan.OPENING])
-        for u in units:
-            v = vector(u)
-            for name, t in templates:
-                c = round(sum(w * t.get(k, 0) for k, w in v.items()) / (norm(v) * norm(t)), 9) if v else 0
-                if c >= threshold:
-                    out[i] = min(out.get(i, (1, "")), (-c, name))
+        units = [terms(u) for u in [*x.split("\n"), *(b for b in re.split(r"\n[ \t\r]*\n", x) if "\n" in b.strip(" ")), header[0] if header else ""]]
+        pairs = [(vector(u), t) for u in units for t in notices + texts_] + [(vector(u), t) for u in (terms(x), terms(x)[: license_scan.OPENING]) for t in texts_]
+        for v, (name, t) in pairs:
+            c = round(sum(w * t.get(k, 0) for k, w in v.items()) / (norm(v) * norm(t)), 9) if v else 0
+            if c >= threshold:
+                out[i] = min(out.get(i, (1, "")), (-c, name))
     return out
 
 
