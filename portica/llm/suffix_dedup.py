@@ -7,7 +7,8 @@ sort are all starts of such strings, but most can be settled without their text:
    ties. Equal windows have equal anchors at equal offsets, so the windows of one anchor (a *stretch*, whose
    text spans them all) can only equal windows of anchors with the same bytes.
 2. Anchors travel packed to hash buckets as hashes. An anchor alone settles its windows as unique; stretches
-   of equal text settle all their windows as repeated. What is left are stretches whose anchors agree and
+   of equal text settle all their windows as repeated. Equal stretches that meet in a task are settled there and
+   one of them travels, so a passage that a third of all rows share does not fill one bucket. What is left are stretches whose anchors agree and
    whose texts differ: edges of shared passages, and near copies.
 3. Those stretches are range-partitioned by their leading bytes from the anchor on, with splitters that
    Spark samples; ties split further by place, so a very common passage spreads over tasks. Every task sorts
@@ -39,6 +40,9 @@ SEED = 100
 #: Leading bytes from the anchor on by which stretches are range-partitioned.
 LEAD = 24
 
+#: Anchors that a task holds before it sends them.
+HELD = 600_000
+
 UNIQUE, OPEN, REPEATED, SPOKEN = 0, 1, 2, 3  # a stretch: settled as unique, to be sorted, settled as repeated, both of the last two
 
 
@@ -120,39 +124,59 @@ def multikey_sort(buf: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.n
 
 
 def _send_anchors(batches, n_parts: int, width: int, seed: int):
-    sender = exchange.Sender(n_parts)
+    held, owners, size = [], 0, 0
     for part, texts in wordscan.groups(batches, "text"):
         s = Stretches(texts, width, seed)
         uid = np.array(part.column("uid").to_pylist(), dtype=np.int64)
         offset = (s.low - s.text_start[s.doc]).astype(np.uint32) if s.low.size else np.empty(0, np.uint32)
-        six = exchange.six(s.hash).view("V6")
-        sender.add((s.hash >> np.uint64(48)) % np.uint64(n_parts), s.doc, [six, s.content(), offset], [uid])
-        if sender.full() and (out := sender.flush()):
-            yield out
+        held.append((s.hash, s.content(), offset, s.doc + owners, uid))
+        owners += uid.size
+        size += s.hash.size
+        if size >= HELD:
+            yield from _packed_anchors(held, n_parts)
+            held, owners, size = [], 0, 0
+    if size:
+        yield from _packed_anchors(held, n_parts)
+
+
+def _packed_anchors(held: list[tuple], n_parts: int):
+    """The anchors of some texts, one of equal stretches for their bucket, the others for that of their text."""
+    seeds, content, offset, owner, uid = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((content, seeds))
+    new = np.ones(order.size, dtype=bool)
+    new[1:] = (seeds[order][1:] != seeds[order][:-1]) | (content[order][1:] != content[order][:-1])
+    copies = np.zeros(order.size, dtype=np.uint8)  # 0: settled here as repeated; else one, or 2 for more
+    heads = np.flatnonzero(new)
+    copies[order[heads]] = np.minimum(np.diff(np.append(heads, order.size)), 2)
+    target = np.where(copies > 0, (seeds >> np.uint64(48)) % np.uint64(n_parts), (uid[owner] % n_parts).astype(np.uint64))
+    sender = exchange.Sender(n_parts)
+    sender.add(target, owner, [exchange.six(seeds).view("V6"), content, offset, copies], [uid])
     if out := sender.flush():
         yield out
 
 
 def _settle(batches, n_parts: int):
     """Sends each stretch that is not unique back to its document with what is known of it."""
-    (uid,), per, (seed6, content, offset) = exchange.read_all(batches, [np.int64], ["V6", np.uint64, np.uint32])
+    (uid,), per, (seed6, content, offset, met) = exchange.read_all(batches, [np.int64], ["V6", np.uint64, np.uint32, np.uint8])
     if not offset.size:
         return
     seeds = exchange.from_six(np.frombuffer(seed6.tobytes(), np.uint8))
     owner = np.repeat(np.arange(uid.size), per)
-    order = np.lexsort((content, seeds))
+    done = np.flatnonzero(met == 0)
+    order = np.flatnonzero(met)
+    order = order[np.lexsort((content[order], seeds[order]))]
     s, c = seeds[order], content[order]
     new_seed = np.ones(s.size, dtype=bool)
     new_seed[1:] = s[1:] != s[:-1]
     new_text = new_seed.copy()
     new_text[1:] |= c[1:] != c[:-1]
     seed_of, text_of = np.cumsum(new_seed) - 1, np.cumsum(new_text) - 1
-    copies = np.bincount(text_of)[text_of]
+    copies = np.bincount(text_of, met[order])[text_of]
     texts = np.bincount(seed_of, weights=new_text)[seed_of]
     # One of several equal stretches speaks for them where their anchor has other texts too.
     state = np.where(copies > 1, np.where((texts > 1) & new_text, SPOKEN, REPEATED), np.where(texts > 1, OPEN, UNIQUE))
     use = state != UNIQUE
-    order, state = order[use], state[use].astype(np.uint8)
+    order, state = np.concatenate((order[use], done)), np.concatenate((state[use], np.full(done.size, REPEATED))).astype(np.uint8)
     back = np.argsort(owner[order], kind="stable")
     order, state = order[back], state[back]
     sender = exchange.Sender(n_parts)
