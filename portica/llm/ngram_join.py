@@ -5,9 +5,11 @@ document with n shingles needs an overlap of at least T = ceil(t * n) with any p
 
 1. shingles travel packed to hash buckets, where their document frequencies are counted over the corpus;
    only shingles of two or more different sets can add to an overlap, and a set with fewer than T of them
-   has no partner;
+   has no partner. Shingles that tasks find in a good part of their sets are known to be shared and are put last
+   in the order of frequencies, without being counted, so that no bucket holds one of them for every set;
 2. sets that are left meet in runs that share a sampled shingle. A run is cut into blocks; in a block the
-   lists of a query set are searched with DivideSkip: the short lists are merged and counted, documents that
+   lists of a query set are searched with DivideSkip: the short lists are merged in order and runs of one
+   document counted, documents that
    reach T less the number of long lists are looked up in the long ones by binary search;
 3. links join sets into components. Sets in the same component need no further search, so what is left are
    pairs of different components that share one of the T-th rarest shingles (the prefix), which every linked
@@ -37,6 +39,9 @@ BLOCK = 256
 SAMPLES = 2
 #: Query sets and indexed sets, about, that meet in a unit of step 3.
 UNIT = 64
+#: A shingle is common if the chunks of text that have it in CHUNK_SHARE of their sets hold COMMON of all sets.
+CHUNK_SHARE, COMMON = 0.02, 0.005
+_LAST = np.uint32(0xFFFFFFFF)
 #: DivideSkip's weight of list lengths in the choice of long lists.
 MU = 0.02
 
@@ -91,16 +96,28 @@ class Lists:
         longest = int(self.length[at[-1]]) if at.size else 0
         n_long = min(int(least / (MU * np.log2(longest + 1) + 1)), max(least - 1, 0), at.size) if longest > 8 else 0
         short, long_ = at[: at.size - n_long], at[at.size - n_long :]
-        merged = np.concatenate([self.owner[b : b + c] for b, c in zip(self.begin[short].tolist(), self.length[short].tolist(), strict=True)]) if short.size else np.empty(0, int)
-        seen = np.bincount(merged, minlength=self.n)
-        some = np.flatnonzero(seen >= max(least - n_long, 1))
+        some, seen = self._merge(short)
+        enough = seen >= max(least - n_long, 1)
+        some, seen = some[enough], seen[enough]
         if n_long and some.size:
             probe = (long_[:, None] * self.n + some[None, :]).reshape(-1)
             hit = np.searchsorted(self.place, probe)
             found = self.place[np.minimum(hit, self.place.size - 1)] == probe
-            seen[some] += found.reshape(n_long, -1).sum(axis=0)
-        some = some[seen[some] >= least]
-        return some, seen[some]
+            seen = seen + found.reshape(n_long, -1).sum(axis=0)
+        return some[seen >= least], seen[seen >= least]
+
+    def _merge(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sets, number of lists that hold each) of some lists.
+
+        The lists are rising runs, which a stable sort merges as runs; it stands for the heap.
+        """
+        runs = [self.owner[b : b + c] for b, c in zip(self.begin[lists].tolist(), self.length[lists].tolist(), strict=True)]
+        if not runs:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        merged = np.concatenate(runs)
+        merged.sort(kind="stable")
+        heads = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
+        return merged[heads], np.diff(np.append(heads, merged.size))
 
 
 def _linked(na: int, nb, overlap):
@@ -114,24 +131,47 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, sig, n) by row."""
+    """(doc, sig, n, common): a row for each row of docs, and rows (common, n) for shingles that chunks have often."""
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):
+        often: dict[int, int] = {}
         for part, texts in wordscan.groups(batches, "text"):
-            sig, size = _signatures(*shingle_sets(wordscan.Words(texts), k), len(texts))
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(sig), pa.array(size.astype(np.int64))], names=["doc", "sig", "n"])
+            h, doc = shingle_sets(wordscan.Words(texts), k)
+            sig, size = _signatures(h, doc, len(texts))
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(sig), pa.array(size.astype(np.int64)), pa.nulls(len(texts), pa.int64())], names=["doc", "sig", "n", "common"])
+            fresh = np.zeros(len(texts), dtype=bool)
+            fresh[np.unique(sig, return_index=True)[1]] = True
+            token, seen = np.unique(h[fresh[doc]], return_counts=True)
+            some = seen >= max(CHUNK_SHARE * fresh.sum(), 2)
+            for t, c in zip(token[some].tolist(), seen[some].tolist(), strict=True):
+                often[t] = often.get(t, 0) + c
+        if often:
+            tokens = np.array(list(often), dtype=np.uint64).view(np.int64)
+            none = pa.nulls(tokens.size, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(tokens.size, part.column("doc").type), none, pa.array(list(often.values()), pa.int64()), pa.array(tokens)], names=["doc", "sig", "n", "common"])
+
+    return docs.mapInArrow(run, f"doc {kind}, sig bigint, n bigint, common bigint")
 
-    return docs.mapInArrow(run, f"doc {kind}, sig bigint, n bigint")
 
+def _common_shingles(profile: DataFrame) -> np.ndarray:
+    """Hashes of shingles that at least COMMON of the rows hold; their number is bounded by the mean set size / COMMON."""
+    rows = profile.where("common IS NULL").count()
+    often = profile.where("common IS NOT NULL").groupBy("common").agg(F.sum("n").alias("n")).where(F.col("n") >= max(COMMON * rows, 64))
+    return np.sort(np.array([r["common"] for r in often.collect()], dtype=np.int64).view(np.uint64))
 
-def _survivors(docs: DataFrame, k: int) -> DataFrame:
+
+def _survivors(docs: DataFrame, k: int, common: np.ndarray) -> DataFrame:
     """(sig, n, shared, prefix): the sets that can have a partner, once each; arrays of token ids.
 
-    `shared` holds all tokens of other sets too (sorted), `prefix` the rarest that any partner must meet.
+    `shared` holds all tokens of other sets too (sorted), `prefix` the rarest that any partner must meet. Tokens
+    of `common` are known to be shared and count as the most frequent.
     """
     n_parts = exchange.targets(docs.sparkSession)
 
+    def is_common(h: np.ndarray) -> np.ndarray:
+        return common[np.minimum(np.searchsorted(common, h), common.size - 1)] == h if common.size else np.zeros(h.size, bool)
+
     def send(batches):
         sender, sent = exchange.Sender(n_parts), set()
         for _, texts in wordscan.groups(batches, "text"):
@@ -146,7 +186,9 @@ def _survivors(docs: DataFrame, k: int) -> DataFrame:
             h, doc = h[use], doc[use]
             # Entries of an owner must stand together in each payload; texts are in order already.
             six = exchange.six(h).reshape(-1, 6)
-            sender.add((h >> np.uint64(48)) % np.uint64(n_parts), doc, [six.view("V6").reshape(-1)], [sig, size.astype(np.uint32)])
+            often = is_common(h)
+            target = np.where(often, (sig[doc] % n_parts).astype(np.uint64), (h >> np.uint64(48)) % np.uint64(n_parts))
+            sender.add(target, doc, [six.view("V6").reshape(-1), often.astype(np.uint8)], [sig, size.astype(np.uint32)])
             if sender.full() and (out := sender.flush()):
                 yield out
                 if len(sent) > 2_000_000:  # forgetting only sends a set twice
@@ -155,11 +197,13 @@ def _survivors(docs: DataFrame, k: int) -> DataFrame:
             yield out
 
     def count(batches):
-        (sig, size), per, (token,) = exchange.read_all(batches, [np.int64, np.uint32], ["V6"])
+        (sig, size), per, (token, often) = exchange.read_all(batches, [np.int64, np.uint32], ["V6", np.uint8])
         if not sig.size:
             return
-        # Back to more than 48 bits: the bucket is known here and is part of the token.
-        token = exchange.from_six(np.frombuffer(token.tobytes(), np.uint8)) | np.uint64(TaskContext.get().partitionId() % 65536 << 48)
+        # Back to more than 48 bits: the bucket is known here and is part of the token, that of a common one is its own.
+        often = often == 1
+        token = exchange.from_six(np.frombuffer(token.tobytes(), np.uint8))
+        token |= np.where(often, np.uint64(0xFFFF << 48), np.uint64(TaskContext.get().partitionId() % 65535 << 48))
         owner = np.repeat(np.arange(sig.size), per)
         order = np.lexsort((sig[owner], token))
         token, owner = token[order], owner[order]
@@ -167,7 +211,7 @@ def _survivors(docs: DataFrame, k: int) -> DataFrame:
         again[1:] = (token[1:] == token[:-1]) & (sig[owner[1:]] == sig[owner[:-1]])
         token, owner = token[~again], owner[~again]
         _, group, df = np.unique(token, return_inverse=True, return_counts=True)
-        df = df[group]
+        df = np.where(token >= np.uint64(0xFFFF << 48), _LAST, df[group].astype(np.uint32))
         use = df > 1
         token, owner, df = token[use], owner[use], df[use]
         order = np.argsort(owner, kind="stable")
@@ -344,7 +388,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id"
 def _classes(narrow: DataFrame, k: int) -> DataFrame:
     """(doc, n, label) for each row of `narrow(doc, text)`: rows with shingles and the same label are one component."""
     profile = saved(_profile(narrow, k))
-    sets = _survivors(narrow, k)
+    sets = _survivors(narrow, k, _common_shingles(profile))
+    profile = profile.where("common IS NULL").drop("common")
     edges = saved(_sampled_links(sets.select("sig", "n", "shared")))
     labels = None if edges.isEmpty() else saved(components(edges))
     edges = saved(edges.union(_remaining(sets, labels)))
