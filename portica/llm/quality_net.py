@@ -20,7 +20,6 @@ SLOTS, DIMS, NONZERO, REACH = 1 << 13, 32, 3, 2
 #: Labelled rows of each class to fit on, at most about.
 PER_CLASS = 6000
 HIDDEN, EPOCHS, BATCH = 24, 40, 256
-BLOCKS = 8
 THRESHOLD = 0.7
 
 
@@ -50,12 +49,14 @@ def _accumulate(table: np.ndarray, w: wordscan.Words) -> None:
 def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """The (SLOTS, DIMS) context vectors of a corpus, rows of unit length; a fixed size for any input."""
 
+    n_parts = exchange.targets(docs.sparkSession)  # as many sums as buckets, so none meets more as the corpus grows
+
     def count(batches):
         table = np.zeros(SLOTS * DIMS)
         for _, texts in wordscan.groups(batches, "text"):
             _accumulate(table, wordscan.Words(texts))
         if table.any():
-            yield exchange.rows(list(range(BLOCKS)), [b.astype(np.float32).tobytes() for b in np.split(table, BLOCKS)])
+            yield exchange.rows(list(range(n_parts)), [b.astype(np.float32).tobytes() for b in np.array_split(table, n_parts)])
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
@@ -66,10 +67,10 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             yield exchange.rows(list(sums), [v.tobytes() for v in sums.values()])
 
     counted = docs.select(docs[text_col].alias("text")).mapInArrow(count, exchange.SCHEMA)
-    table = np.zeros((BLOCKS, SLOTS * DIMS // BLOCKS))
-    for row in exchange.deal(counted, BLOCKS).mapInArrow(total, exchange.SCHEMA).collect():
-        table[row["part"]] = np.frombuffer(row["payload"], np.float64)
-    table = table.reshape(SLOTS, DIMS)
+    segments = np.array_split(np.zeros(SLOTS * DIMS), n_parts)
+    for row in exchange.deal(counted, n_parts).mapInArrow(total, exchange.SCHEMA).collect():
+        segments[row["part"]] = np.frombuffer(row["payload"], np.float64)
+    table = np.concatenate(segments).reshape(SLOTS, DIMS)
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
@@ -162,13 +163,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
 
     Corpus vectors come from all documents; the network is fitted on a bounded sample of labelled rows that
     are not held out. Null and empty texts are scored from zero features. Without usable labels the score is
-    that of an untrained network. Repeated rows are each scored; other columns are not read.
+    that of an untrained network. Repeated rows are each scored; null ids are not held out and have no label. An
+    empty table gives no rows. Other columns are not read, so their names may clash with any of these.
     """
     table = context_vectors(docs, text_col)
     narrow = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
     kind = narrow.schema["doc"].dataType.simpleString()
     rows, share = labelled.sample(labels, label, {0: per_class, 1: per_class})
-    known = narrow.join(F.broadcast(rows), "doc").select("doc", "y", "text")
+    known = labelled.texts(rows, narrow)
 
     def measure(batches):
         for part, texts in wordscan.groups(batches, "text"):

@@ -21,6 +21,8 @@ from . import labelled, wordscan
 
 #: Labelled toxic rows to fit on, at most about; of the others CLEAN times as many, every CLEAN-th of them for the chain.
 PER_CLASS, CLEAN = 800, 6
+#: Rows to fit on have texts of at most so many bytes, which bounds what the fit holds; every text is scored whole.
+FIT_BYTES = 20_000
 BUCKETS = 1 << 18
 STEPS, RATE = 30, 0.7
 THRESHOLD = 0.3
@@ -171,7 +173,7 @@ def fit(base: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray) ->
 def fit_documents(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str, text_col: str) -> Chain:
     narrow = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
     rows, share = labelled.sample(labels, label, {0: CLEAN * per_class, 1: per_class})
-    known = narrow.join(F.broadcast(rows), "doc").select(F.col("doc").cast("string").alias("doc"), "y", "text")
+    known = labelled.texts(rows, narrow, FIT_BYTES).select(F.col("doc").cast("string").alias("doc"), "y", "text")
 
     def features(batches):
         for part, texts in wordscan.groups(batches, "text"):
@@ -212,7 +214,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
 
     The chain is fitted on a bounded sample of labelled rows that are not held out, then scores every whole
     text beside its row. Null and empty texts have no spans and the score of a text without marks. Without
-    usable labels all scores are low. Repeated rows are each scored; other columns are not read.
+    usable labels all scores are low. Repeated rows are each scored; null ids are not held out and have no label.
+    An empty table gives no rows. Other columns are not read, so their names may clash with any of these.
     """
     chain = fit_documents(docs, labels, label, per_class, id_col, text_col)
     narrow = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
