@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .exchange import saved
+
 WINDOW = 10
 #: Distinct benchmark windows up to which the set is sent to every task: 8 bytes each, so 1.6 MB at most.
 MAX_WINDOWS = 200_000
@@ -92,6 +94,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     row = F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("hash"), F.octet_length(docs[text_col]).alias("bytes"))
     bench = benchmark.select(benchmark["item_id"].alias("item_id"), benchmark["text"].alias("text"))
     documents, hits, grams = find_hits(docs.select(row.alias("doc"), docs[text_col].alias("text")), bench, window, max_windows)
+    hits = saved(hits)  # spans and items both read them
     spans = hits.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"))
     items = hits.select("doc", "size", "gram").distinct().join(grams, ["size", "gram"]).groupBy("doc").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     covered = F.aggregate(
