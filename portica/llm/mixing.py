@@ -98,9 +98,9 @@ def mix_sources(
         w = weights_at({s: n / total for s, n in tokens.items()}, find_exponent(tokens, spend, target_entropy, max_repeats))
         plan = [(s, n, round(w[s] * spend), w[s]) for s, n in tokens.items()]
     parts = docs.sparkSession.createDataFrame(plan, "source string, n long, part long, weight double").where("part > 0")
-    blocks = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("part") / F.col("n")).cast("int") - 1)))
-    blocks = blocks.select("source", "block", F.least("n", F.col("part") - F.col("block") * F.col("n")).alias("quota"), "weight")
-    read = counted.join(blocks, "source").withColumn("order", F.md5(F.concat_ws("|", F.lit(seed), F.col("block").cast("string"), F.col("doc").cast("string"))))
+    # A row for each source, MAX_SOURCES at most; documents of a hot source stay where they are.
+    read = counted.join(F.broadcast(parts), "source").withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("part") / F.col("n")).cast("int") - 1)))
+    read = read.withColumn("quota", F.least("n", F.col("part") - F.col("block") * F.col("n"))).withColumn("order", F.md5(F.concat_ws("|", F.lit(seed), F.col("block").cast("string"), F.col("doc").cast("string"))))
     read = read.withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
     heads = read.groupBy("source", "block", "bucket").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy("source", "block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
