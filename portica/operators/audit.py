@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 TOLERANCE = 1e-7
 
 
-def constraint_residuals(weights: DataFrame, limits: DataFrame, keys: list[str], group_caps: DataFrame | None = None, groups: DataFrame | None = None, factor_bounds: DataFrame | None = None, loadings: DataFrame | None = None, budget_equality: bool = True) -> DataFrame:
+def constraint_residuals(weights: DataFrame, limits: DataFrame, keys: list[str], group_caps: DataFrame | None = None, groups: DataFrame | None = None, factor_bounds: DataFrame | None = None, loadings: DataFrame | None = None, budget_equality: bool = True, tracking: DataFrame | None = None) -> DataFrame:
     """(keys.., constraint, residual, ok): positive residuals are violations, accepted up to TOLERANCE.
 
-    `weights(keys.., asset, weight, current, lower, upper)`; `limits(keys.., invested, max_turnover)`.
+    `weights(keys.., asset, weight, current, lower, upper)`; `limits(keys.., invested, max_turnover)`, where
+    `turnover_offset`, if there, is turnover that has happened already, and `max_tracking_error` bounds the
+    `tracking(keys.., tracking_error)` of risk.
     """
     w = weights.groupBy(*keys).agg(
         F.sum("weight").alias("total"),
@@ -20,11 +22,12 @@ def constraint_residuals(weights: DataFrame, limits: DataFrame, keys: list[str],
     )
     j = w.join(limits, keys)
     budget = F.col("total") - F.col("invested")
+    spent = F.coalesce("turnover_offset", F.lit(0.0)) if "turnover_offset" in limits.columns else F.lit(0.0)
     rows = F.array(
         F.struct(F.lit("budget").alias("constraint"), (F.abs(budget) if budget_equality else budget).alias("residual")),
         F.struct(F.lit("lower").alias("constraint"), F.col("lower").alias("residual")),
         F.struct(F.lit("upper").alias("constraint"), F.col("upper").alias("residual")),
-        F.struct(F.lit("turnover").alias("constraint"), (F.col("turnover") - F.col("max_turnover")).alias("residual")),
+        F.struct(F.lit("turnover").alias("constraint"), (F.col("turnover") + spent - F.col("max_turnover")).alias("residual")),
     )
     out = j.select(*keys, F.inline(rows))
     if group_caps is not None and groups is not None:
@@ -34,6 +37,9 @@ def constraint_residuals(weights: DataFrame, limits: DataFrame, keys: list[str],
         e = weights.join(loadings, "asset").groupBy(*keys, "factor").agg(F.sum(F.col("x") * F.col("weight")).alias("e")).join(factor_bounds, "factor")
         both = F.array(F.struct(F.concat(F.lit("factor_lower:"), "factor").alias("constraint"), (F.col("lo") - F.col("e")).alias("residual")), F.struct(F.concat(F.lit("factor_upper:"), "factor").alias("constraint"), (F.col("e") - F.col("hi")).alias("residual")))
         out = out.union(e.select(*keys, F.inline(both)))
+    if tracking is not None:
+        te = tracking.join(limits.select(*keys, "max_tracking_error"), keys).where("max_tracking_error IS NOT NULL")
+        out = out.union(te.select(*keys, F.lit("tracking_error"), F.col("tracking_error") - F.col("max_tracking_error")))
     return out.withColumn("ok", F.col("residual") <= TOLERANCE)
 
 

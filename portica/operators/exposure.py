@@ -63,6 +63,16 @@ def factor_exposures(weights: DataFrame, loadings: DataFrame, keys: list[str]) -
     return j.groupBy(*keys, "factor").agg(F.sum(F.col("x") * F.col("weight")).alias("exposure"), F.sum(F.col("x") * (F.col("weight") - F.col("_b"))).alias("active"))
 
 
+def shifted_factor_bounds(bounds: DataFrame, benchmark: DataFrame, loadings: DataFrame, keys: list[str]) -> DataFrame:
+    """`bounds(keys.., factor, lo, hi)` of active exposures as bounds of exposures: moved by the benchmark's own.
+
+    `benchmark(keys.., asset, weight)`; a factor that no benchmark asset loads on keeps its bounds.
+    """
+    own = factor_exposures(benchmark, loadings, keys).select(*keys, "factor", F.col("exposure").alias("_own"))
+    j = bounds.join(own, [*keys, "factor"], "left").withColumn("_own", F.coalesce("_own", F.lit(0.0)))
+    return j.select(*keys, "factor", (F.col("lo") + F.col("_own")).alias("lo"), (F.col("hi") + F.col("_own")).alias("hi"))
+
+
 def fund_look_through(weights: DataFrame, disclosures: DataFrame, keys: list[str], max_depth: int = 8, max_age_days: int = 180) -> tuple[DataFrame, DataFrame]:
     """(exposures, totals): funds expanded to what they hold, level by level.
 

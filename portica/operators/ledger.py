@@ -78,7 +78,9 @@ def reconcile_accounts(opening: DataFrame, flows: DataFrame, trades: DataFrame,
 
     `accounts(account_id, opening_at, closing_at, opening_cash, closing_cash)`, `opening/closing(account_id, symbol,
     quantity)`, `flows(account_id, amount, at)`, `trades(account_id, trade_id, symbol, side, quantity, price, fee,
-    at)`, `prices(symbol, price)`; decimals. Blocked accounts carry their reasons.
+    at)`, `prices(symbol, price)`; decimals. Blocked accounts carry their reasons. `closing` may have `available`,
+    which must lie between zero and the quantity. Accounts of trades or flows that have no statement are blocked
+    as `unknown_account`.
     """
     sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
     money = trades.select("account_id", (-sign * F.col("quantity") * F.col("price") - F.col("fee")).cast("decimal(28,8)").alias("amount"), "at", F.col("fee") < 0)
@@ -95,16 +97,21 @@ def reconcile_accounts(opening: DataFrame, flows: DataFrame, trades: DataFrame,
     positions = positions.join(prices, "symbol", "left").withColumn("match", F.col("computed") == F.col("stated"))
     per = positions.groupBy("account_id").agg(F.sum(F.when(F.col("match"), 0).otherwise(1)).alias("mismatches"), F.sum((F.col("computed") * F.col("price")).cast("decimal(28,8)")).alias("value"))
     a = accounts.join(moved, "account_id", "left").join(again, "account_id", "left").join(per, "account_id", "left")
+    wrong = ~F.col("available").between(0, F.col("quantity")) if "available" in closing.columns else F.lit(False)
+    a = a.join(closing.where(wrong).groupBy("account_id").agg(F.count("*").alias("unavailable")), "account_id", "left")
     a = a.withColumn("cash", (F.col("opening_cash") + F.coalesce("moved", zero)).cast("decimal(28,8)")).withColumn("nav", (F.col("cash") + F.coalesce("value", zero)).cast("decimal(28,8)"))
     n = lambda c: F.coalesce(c, F.lit(0))
     reasons = F.filter(
         F.array(
             F.when(F.col("cash") != F.col("closing_cash"), "cash"), F.when(n("mismatches") > 0, "positions"), F.when(n("outside") > 0, "events_outside_period"),
-            F.when(n("negative_fees") > 0, "negative_fee"), F.when(n("duplicates") > 0, "duplicate_trade"),
+            F.when(n("negative_fees") > 0, "negative_fee"), F.when(n("duplicates") > 0, "duplicate_trade"), F.when(n("unavailable") > 0, "bad_available"),
         ), lambda x: x.isNotNull(),
     )
     a = a.withColumn("reasons", F.array_join(reasons, ",")).withColumn("status", F.when(F.col("reasons") == "", "reconciled").otherwise("blocked"))
-    return a.select("account_id", "cash", "nav", "status", "reasons"), positions
+    strangers = trades.select("account_id").union(flows.select("account_id")).distinct().join(accounts, "account_id", "left_anti")
+    none = F.lit(None).cast("decimal(28,8)")
+    unknown = strangers.select("account_id", none.alias("cash"), none.alias("nav"), F.lit("blocked").alias("status"), F.lit("unknown_account").alias("reasons"))
+    return a.select("account_id", "cash", "nav", "status", "reasons").union(unknown), positions
 
 
 def trade_proposals(

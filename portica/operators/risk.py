@@ -86,6 +86,44 @@ def sharpe_ratio(portfolios: DataFrame, rf: float = 0.0) -> DataFrame:
     return portfolios.withColumn("status", status).withColumn("sharpe", F.when(F.col("status") == "ok", excess / F.sqrt("variance")))
 
 
+def excess_return_ratio(portfolios: DataFrame) -> DataFrame:
+    """`portfolios(.., mean, benchmark_mean, tracking_error)` with active return over tracking error, as sharpe_ratio."""
+    active = F.col("mean") - F.col("benchmark_mean")
+    status = F.when(F.col("tracking_error") <= 1e-9, "undefined_ratio").when(active <= 0, "no_positive_excess_return").otherwise("ok")
+    return portfolios.withColumn("status", status).withColumn("ratio", F.when(F.col("status") == "ok", active / F.col("tracking_error")))
+
+
+def target_distance_values(candidates: DataFrame, target: DataFrame, keys: list[str], linear: DataFrame | None = None, turnover_penalty: float = 0.0, impact: DataFrame | None = None) -> DataFrame:
+    """(keys.., kind, value, status): less the squared distance of candidates (keys.., asset, weight) to `target(asset, weight)`.
+
+    With `linear(asset, held, buy_rate, sell_rate)` the costs of the way from `held` count too, with the penalty
+    on turnover, and with `impact(asset, coef)` the 3/2-power impact. An asset on one side only has weight zero on
+    the other.
+    """
+    names = target.select("asset").union(linear.select("asset") if linear is not None else target.select("asset")).distinct()
+    grid = candidates.select(*keys).distinct().crossJoin(names).select(*keys, "asset").union(candidates.select(*keys, "asset")).distinct()
+    zero = F.lit(0.0)
+    j = grid.join(candidates, [*keys, "asset"], "left").join(target.withColumnRenamed("weight", "_target"), "asset", "left")
+    j = j.withColumn("weight", F.coalesce("weight", zero)).withColumn("_target", F.coalesce("_target", zero))
+    paid = zero
+    if linear is not None:
+        j = j.join(linear, "asset", "left").withColumn("_d", F.col("weight") - F.coalesce("held", zero))
+        paid = F.when(F.col("_d") > 0, F.col("_d") * F.coalesce("buy_rate", zero)).otherwise(-F.col("_d") * F.coalesce("sell_rate", zero)) + F.abs("_d") * turnover_penalty
+        if impact is not None:
+            j = j.join(impact, "asset", "left")
+            paid = paid + F.coalesce("coef", zero) * F.pow(F.abs("_d"), F.lit(1.5))
+    total = j.groupBy(*keys).agg((-F.sum((F.col("weight") - F.col("_target")) ** 2 + paid)).alias("value"))
+    return total.select(*keys, F.lit("target_distance").alias("kind"), "value", F.lit("ok").alias("status"))
+
+
+def tail_values(pnl: DataFrame, keys: list[str], beta: float) -> DataFrame:
+    """(keys.., kind, value, status): less CVaR, EVaR and CDaR of candidates' `pnl(keys.., scenario_no, pnl)`."""
+    losses = pnl.select(*keys, (-F.col("pnl")).alias("loss"))
+    parts = [("cvar", cvar(losses, keys, beta)), ("evar", evar(losses, keys, beta)), ("cdar", cdar(pnl, keys, beta))]
+    rows = [df.select(*keys, F.lit(kind).alias("kind"), (-F.col("value")).alias("value"), F.lit("ok").alias("status")) for kind, df in parts]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
 def diversification_ratio(weights: DataFrame, cov: DataFrame, keys: list[str], cov_keys: list[str] | None = None) -> DataFrame:
     """(keys.., ratio): w' sigma over the portfolio's volatility; null at zero volatility."""
     own = cov.where("a = b").select(*(cov_keys or []), F.col("a").alias("asset"), F.sqrt("value").alias("sigma"))

@@ -13,14 +13,22 @@ def equal_weights(universe: DataFrame, keys: list[str], invested: float = 1.0, c
     return out.withColumn("status", F.when(n * cap < invested - 1e-12, "infeasible").otherwise("ok"))
 
 
-def inverse_vol_weights(returns: DataFrame, keys: list[str], invested: float = 1.0) -> DataFrame:
-    """(keys.., asset, volatility, weight, status) by one over sample volatility; zero volatility is an error."""
+def inverse_vol_weights(returns: DataFrame, keys: list[str], invested: float = 1.0, cap: float | None = None) -> DataFrame:
+    """(keys.., asset, volatility, weight, status) by one over sample volatility; zero volatility is an error.
+
+    With a `cap` the weights move to the nearest ones within it that sum to the same; `infeasible` if none do.
+    """
     s = returns.groupBy(*keys, "asset").agg(F.stddev_samp("ret").alias("volatility"))
     w = Window.partitionBy(*keys)
     inv = ratio(F.lit(1.0), F.col("volatility"))
     bad = F.max(F.when(F.coalesce("volatility", F.lit(0.0)) == 0, 1).otherwise(0)).over(w)
     out = s.withColumn("_inv", inv).withColumn("_bad", bad)
-    return out.withColumn("weight", F.when(F.col("_bad") == 0, F.lit(invested) * F.col("_inv") / F.sum("_inv").over(w))).select(*keys, "asset", "volatility", "weight", F.when(F.col("_bad") == 1, "zero_volatility").otherwise("ok").alias("status"))
+    out = out.withColumn("weight", F.when(F.col("_bad") == 0, F.lit(invested) * F.col("_inv") / F.sum("_inv").over(w))).select(*keys, "asset", "volatility", "weight", F.when(F.col("_bad") == 1, "zero_volatility").otherwise("ok").alias("status"))
+    if cap is None:
+        return out
+    near = project_capped_simplex(out.where("status = 'ok'").select(*keys, "asset", F.col("weight").alias("v")), keys, 0.0, cap, invested)
+    near = near.select(*keys, "asset", F.col("weight").alias("_w"), F.col("status").alias("_s"))
+    return out.join(near, [*keys, "asset"], "left").select(*keys, "asset", "volatility", F.col("_w").alias("weight"), F.coalesce("_s", "status").alias("status"))
 
 
 def project_capped_simplex(values: DataFrame, keys: list[str], lo: float, hi: float, total: float) -> DataFrame:

@@ -234,3 +234,54 @@ def test_study_json(spark, tmp_path):
 def test_digest_ignores_order(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "k int, x string")
     assert rows(checks.digest_rows(df, ["x"], ["k"]), "k", "digest") == rows(checks.digest_rows(df.repartition(3, "x"), ["x"], ["k"]), "k", "digest")
+
+
+def test_residuals_of_tracking_and_spent_turnover(spark):
+    w = spark.createDataFrame([(1, "A", 0.6, 0.5, 0.0, 1.0), (1, "B", 0.4, 0.5, 0.0, 1.0)], "k int, asset string, weight double, current double, lower double, upper double")
+    limits = spark.createDataFrame([(1, 1.0, 0.3, 0.25, 0.05)], "k int, invested double, max_turnover double, turnover_offset double, max_tracking_error double")
+    te = spark.createDataFrame([(1, 0.08)], "k int, tracking_error double")
+    got = {r["constraint"]: (round(r["residual"], 9), r["ok"]) for r in audit.constraint_residuals(w, limits, ["k"], tracking=te).collect()}
+    assert got["turnover"] == (0.15, False) and got["tracking_error"] == (0.03, False) and got["budget"] == (0.0, True)
+
+
+def test_bounds_move_with_the_benchmark(spark):
+    x = spark.createDataFrame([("A", "f", 2.0), ("B", "f", 1.0)], "asset string, factor string, x double")
+    b = spark.createDataFrame([(1, "A", 0.5), (1, "B", 0.5)], "k int, asset string, weight double")
+    bounds = spark.createDataFrame([(1, "f", -0.1, 0.1), (1, "g", -1.0, 1.0)], "k int, factor string, lo double, hi double")
+    assert rows(exposure.shifted_factor_bounds(bounds, b, x, ["k"]), "factor", "lo", "hi") == [("f", 1.4, 1.6), ("g", -1.0, 1.0)]
+
+
+def test_inverse_vol_within_a_cap(spark):
+    r = [(1, a, t, s * (-1) ** t) for a, s in (("A", 0.01), ("B", 0.02), ("C", 0.04)) for t in range(6)]
+    df = spark.createDataFrame(r, "k int, asset string, t int, ret double")
+    free = dict(rows(targets.inverse_vol_weights(df, ["k"]), "asset", "weight"))
+    assert abs(free["A"] - 4 / 7) < 1e-9
+    got = dict(rows(targets.inverse_vol_weights(df, ["k"], 1.0, 0.5), "asset", "weight"))
+    assert abs(sum(got.values()) - 1) < 1e-9 and abs(got["A"] - 0.5) < 1e-9 and abs(got["B"] - got["C"] - (free["B"] - free["C"])) < 1e-9
+    assert {r["status"] for r in targets.inverse_vol_weights(df, ["k"], 1.0, 0.3).collect()} == {"infeasible"}
+
+
+def test_more_objectives(spark):
+    c = spark.createDataFrame([(1, "A", 0.5), (1, "C", 0.5)], "p int, asset string, weight double")
+    t = spark.createDataFrame([("A", 0.75), ("B", 0.25)], "asset string, weight double")
+    assert abs(risk.target_distance_values(c, t, ["p"]).first()["value"] + 0.375) < 1e-12
+    lin = spark.createDataFrame([("A", 1.0, 0.01, 0.02)], "asset string, held double, buy_rate double, sell_rate double")
+    imp = spark.createDataFrame([("A", 0.1)], "asset string, coef double")
+    want = 0.375 + 0.5 * 0.02 + 1.0 * 0.003 + 0.1 * 0.5**1.5
+    assert abs(risk.target_distance_values(c, t, ["p"], lin, 0.003, imp).first()["value"] + want) < 1e-12
+    pnl = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate((1, -2, 3, -4, 5, -6, 2, 1, 0, -1))], "p int, scenario_no int, pnl double")
+    got = dict(rows(risk.tail_values(pnl, ["p"], 0.8), "kind", "value"))
+    assert abs(got["cvar"] + 5.0) < 1e-9 and -6.0 <= got["evar"] <= -5.0 and got["cdar"] < 0
+    e = spark.createDataFrame([(1, 0.03, 0.01, 0.04), (2, 0.01, 0.02, 0.04), (3, 0.03, 0.01, 0.0)], "p int, mean double, benchmark_mean double, tracking_error double")
+    assert rows(risk.excess_return_ratio(e), "p", "status") == [(1, "ok"), (2, "no_positive_excess_return"), (3, "undefined_ratio")]
+
+
+def test_reconcile_reports_unknown_accounts_and_bad_available(spark):
+    at = "timestamp'2024-01-02'"
+    acc = spark.sql("SELECT 1 AS account_id, timestamp'2024-01-01' AS opening_at, timestamp'2024-02-01' AS closing_at, CAST(0 AS DECIMAL(18,8)) AS opening_cash, CAST(90 AS DECIMAL(28,8)) AS closing_cash")
+    tr = spark.sql(f"SELECT a AS account_id, a AS trade_id, 'S' AS symbol, 'buy' AS side, CAST(1 AS DECIMAL(18,8)) AS quantity, CAST(10 AS DECIMAL(18,8)) AS price, CAST(0 AS DECIMAL(18,8)) AS fee, {at} AS at FROM VALUES (1), (2) AS v(a)")
+    fl = spark.sql(f"SELECT 1 AS account_id, CAST(100 AS DECIMAL(18,8)) AS amount, {at} AS at")
+    cl = spark.sql("SELECT 1 AS account_id, 'S' AS symbol, CAST(1 AS DECIMAL(18,8)) AS quantity, CAST(2 AS DECIMAL(18,8)) AS available")
+    px = spark.sql("SELECT 'S' AS symbol, CAST(11 AS DECIMAL(18,8)) AS price")
+    got = {r["account_id"]: (r["status"], r["reasons"]) for r in ledger.reconcile_accounts(cl.where("1 = 0"), fl, tr, cl, px, acc)[0].collect()}
+    assert got == {1: ("blocked", "bad_available"), 2: ("blocked", "unknown_account")}
