@@ -54,14 +54,25 @@ def retained_holdings_audit(problems: DataFrame, residuals: DataFrame, keys: lis
     return problems.join(worst, keys, "left").withColumn("status", F.when(unknown, "unknown").when(F.col("worst") <= TOLERANCE, "compliant").otherwise("noncompliant"))
 
 
-def cross_asset_report(targets: DataFrame, accounts: DataFrame, limits: dict[str, float], keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(report, bindings): totals of each account and the limits that bind, with what was observed.
+# Codes of limits that bind.
+BINDING_CODES = {
+    "gross": "GROSS_LEVERAGE", "min_net": "NET_LEVERAGE_MIN", "max_net": "NET_LEVERAGE_MAX", "turnover": "TURNOVER", "participation": "ADV_PARTICIPATION", "days_to_liquidate": "DAYS_TO_LIQUIDATE",
+    "initial_margin_use": "INITIAL_MARGIN", "maintenance_margin_use": "MAINTENANCE_MARGIN", "min_cash": "CASH",
+    "asset_class": "ASSET_CLASS", "currency": "CURRENCY", "venue": "VENUE", "strategy": "STRATEGY",
+}
+BINDING_TOLERANCE = 1e-10
+
+
+def cross_asset_report(targets: DataFrame, accounts: DataFrame, limits: dict[str, float], keys: list[str], caps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(report, bindings): totals of each account and the limits that bind: code, observed, allowed and scope.
 
     `targets(keys.., instrument_id, weight, current, linear_rate, impact_coef, volatility, adv, initial_margin,
-    maintenance_margin, margin_mode)`, `accounts(keys.., nav, cash_value)`; money in the account's base.
+    maintenance_margin, margin_mode)`, `accounts(keys.., nav, cash_value)`; money in the account's base. `limits` are
+    named as in BINDING_CODES. `caps(bucket, name, cap)` bound the gross weight of one asset_class, currency, venue
+    or strategy, which are then columns of `targets`; names in any case.
     """
     d = F.col("weight") - F.col("current")
-    j = targets.join(accounts, keys).withColumn("_q", F.abs(d) * F.col("nav")).withColumn("_held", F.abs("weight") * F.col("nav"))
+    j = targets.join(accounts, keys).withColumn("_q", F.abs(d) * F.col("nav"))
     settles = F.col("margin_mode").isin("none", "cash")
     r = j.groupBy(*keys).agg(
         F.sum(F.abs("weight")).alias("gross"),
@@ -73,12 +84,24 @@ def cross_asset_report(targets: DataFrame, accounts: DataFrame, limits: dict[str
         F.sum(F.abs("weight") * F.col("maintenance_margin")).alias("maintenance_margin_use"),
         (F.max("cash_value") - F.sum(F.when(settles, d * F.col("nav")).otherwise(0.0))).alias("_cash"),
         F.max(F.col("_q") / F.col("adv")).alias("max_participation"),
-        F.max(F.col("_held") / (F.col("adv") * limits.get("participation", 0.1))).alias("days_to_liquidate"),
+        (F.max(F.col("_q") / F.col("adv")) / limits.get("participation", 0.1)).alias("days_to_liquidate"),
     )
     r = r.withColumn("cash_residual", F.col("_cash") - F.col("linear_cost") - F.col("impact_cost")).drop("_cash")
-    watched = [m for m in ("gross", "turnover", "initial_margin_use", "maintenance_margin_use", "max_participation", "days_to_liquidate") if m in limits]
-    rows = F.array(*[F.struct(F.lit(m).alias("limit_name"), F.col(m).alias("observed"), F.lit(float(limits[m])).alias("allowed")) for m in watched])
-    return r, r.select(*keys, F.inline(rows)).where("observed > allowed + 1e-10")
+    at_most = {"gross": "gross", "max_net": "net", "turnover": "turnover", "participation": "max_participation", "days_to_liquidate": "days_to_liquidate", "initial_margin_use": "initial_margin_use", "maintenance_margin_use": "maintenance_margin_use"}
+    at_least = {"min_net": ("net", BINDING_TOLERANCE), "min_cash": ("cash_residual", 0.0)}
+    row = lambda code, seen, broken: F.struct(F.lit(BINDING_CODES[code]).alias("code"), F.col(seen).cast("double").alias("observed"), F.lit(float(limits[code])).alias("allowed"), F.lit("portfolio").alias("scope"), broken.alias("_broken"))
+    rows = [row(c, seen, F.col(seen) > limits[c] + BINDING_TOLERANCE) for c, seen in at_most.items() if c in limits]
+    rows += [row(c, seen, F.col(seen) < limits[c] - slack) for c, (seen, slack) in at_least.items() if c in limits]
+    shape = "array<struct<code string, observed double, allowed double, scope string, _broken boolean>>"
+    bindings = r.select(*keys, F.inline(F.array(*rows).cast(shape))).where("_broken").drop("_broken")
+    if caps is not None:
+        names = [b for b in ("asset_class", "currency", "venue", "strategy") if b in targets.columns]
+        each = F.explode(F.array(*[F.struct(F.lit(b).alias("bucket"), F.lower(b).alias("_name")) for b in names]))
+        held = targets.select(*keys, F.abs("weight").alias("_w"), each.alias("_b")).groupBy(*keys, "_b.bucket", "_b._name").agg(F.sum("_w").alias("observed"))
+        c = held.join(caps.select("bucket", F.lower("name").alias("_name"), F.col("name").alias("scope"), F.col("cap").alias("allowed")), ["bucket", "_name"])
+        code = F.coalesce(*[F.when(F.col("bucket") == b, BINDING_CODES[b]) for b in names])
+        bindings = bindings.union(c.where(F.col("observed") > F.col("allowed") + BINDING_TOLERANCE).select(*keys, code, "observed", "allowed", "scope"))
+    return r, bindings
 
 
 def minimum_turnover_bound(weights: DataFrame, keys: list[str], invested: float, groups: DataFrame | None = None, group_caps: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.checks import check_rows
@@ -56,21 +58,42 @@ def floor_to_lots(weights: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("residual_cash", F.col("nav") - held)
 
 
+def executable_weights(lots: DataFrame, keys: list[str], fee_rate: float) -> DataFrame:
+    """(keys.., asset, weight): what the quantities of `lots` weigh on the NAV after fees, for constraint_residuals."""
+    fees = F.sum(F.abs("trade") * F.col("price") * fee_rate).over(Window.partitionBy(*keys))
+    return lots.select(*keys, "asset", (F.col("quantity") * F.col("price") / (F.col("nav") - fees)).alias("weight"))
+
+
 def executable_audit(lots: DataFrame, keys: list[str], fee_rate: float, invested_cap: float = 1.0) -> DataFrame:
-    """(keys.., nav_after, cash_after, invested, cost, distance, illegal_moves, status) of `lots` from floor_to_lots with `cash`."""
+    """(keys.., nav_after, cash_after, invested, noncash, cost, distance, shortfall, illegal_moves, status) of `lots`.
+
+    `lots` come from floor_to_lots, with `cash` and, if the account has other assets, their `noncash` value. Cash,
+    holdings and other assets must make up the NAV less costs. `distance` is squared, on weights after fees;
+    `shortfall` is what of the cap stays uninvested.
+    """
     fee = F.abs("trade") * F.col("price") * fee_rate
     legal = (F.col("trade") % F.col("lot") == 0) | (F.col("quantity") == 0)
+    held = F.col("quantity") * F.col("price")
+    noncash = F.col("noncash") if "noncash" in lots.columns else F.lit(0.0)
     g = lots.groupBy(*keys).agg(
         F.max("nav").alias("nav"),
+        F.max(noncash).alias("noncash"),
         (F.max("cash") - F.sum(F.col("trade") * F.col("price")) - F.sum(fee)).alias("cash_after"),
-        F.sum(F.col("quantity") * F.col("price")).alias("invested"),
+        F.sum(held).alias("invested"),
         F.sum(fee).alias("cost"),
-        F.sum(F.abs(F.col("weight") - F.col("quantity") * F.col("price") / F.col("nav"))).alias("distance"),
+        F.sum(F.col("weight") * F.col("weight")).alias("_ww"),
+        F.sum(F.col("weight") * held).alias("_wh"),
+        F.sum(held * held).alias("_hh"),
         F.sum(F.when(legal, 0).otherwise(1)).alias("illegal_moves"),
     )
-    g = g.withColumn("nav_after", F.col("cash_after") + F.col("invested"))
-    status = F.when(F.col("illegal_moves") > 0, "illegal_move").when(F.col("cash_after") < 0, "negative_cash").when(F.col("invested") > F.col("nav_after") * (invested_cap + 1e-12), "over_invested").otherwise("ok")
-    return g.withColumn("status", status)
+    g = g.withColumn("nav_after", F.col("nav") - F.col("cost")).withColumn("shortfall", invested_cap - F.col("invested") / F.col("nav"))
+    g = g.withColumn("distance", F.col("_ww") - 2 * F.col("_wh") / F.col("nav_after") + F.col("_hh") / F.col("nav_after") / F.col("nav_after"))
+    gap = F.abs(F.col("cash_after") + F.col("invested") + F.col("noncash") - F.col("nav_after"))
+    status = (
+        F.when(F.col("nav_after") <= 0, "nonpositive_nav").when(gap > F.col("nav") * 1e-9, "unbalanced").when(F.col("illegal_moves") > 0, "illegal_move")
+        .when(F.col("cash_after") < 0, "negative_cash").when(F.col("shortfall") < -1e-7, "over_invested").otherwise("ok")
+    )
+    return g.withColumn("status", status).drop("_ww", "_wh", "_hh")
 
 
 def reconcile_accounts(opening: DataFrame, flows: DataFrame, trades: DataFrame, closing: DataFrame, prices: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +158,7 @@ def trade_proposals(
     j = j.withColumn("delta", F.when(F.coalesce(F.col("gap"), F.lit(0.0)) == 0, 0.0).when(F.col("buying"), lots * 100).otherwise(-sold).cast("double"))
     odd = (F.col("delta") < 0) & (-F.col("delta") > F.col("quantity"))
     short = (F.col("delta") < 0) & ~odd & (-F.col("delta") > F.col("available"))
-    j = j.withColumn("why", F.when(odd, "odd_lot_liquidation_requires_manual_review").when(short, "insufficient_available_shares")).withColumn("delta", F.when(F.col("why").isNull(), F.col("delta")).otherwise(0.0))
+    j = j.withColumn("why", F.when(odd, F.concat(F.lit("odd_lot_liquidation_requires_manual_review:"), "symbol")).when(short, F.concat(F.lit("insufficient_available_shares:"), "symbol"))).withColumn("delta", F.when(F.col("why").isNull(), F.col("delta")).otherwise(0.0))
     j = j.withColumn("notional", F.abs("delta") * F.col("execution_price"))
     fee = F.when(F.col("delta") != 0, F.greatest(F.lit(min_commission), F.col("notional") * commission) + F.when(F.col("delta") < 0, F.col("notional") * stamp_tax).otherwise(0.0)).otherwise(0.0)
     j = j.withColumn("fee", fee).withColumn("value_after", (F.col("quantity") + F.col("delta")) * F.col("price"))
@@ -182,7 +205,7 @@ def build_event_schedule(cash_events: DataFrame, fx: DataFrame, marks: DataFrame
         return df.select(*keys, "event_id", "at", "name", "amount", "available_at", "signal_at", F.lit(kind).alias("kind"), (F.row_number().over(w) - 1 + base).alias("sequence"))
 
     prices = fx.withColumn("name", F.concat(F.lit("0:"), "name")).withColumn("_k", F.lit("fx")).unionByName(marks.withColumn("name", F.concat(F.lit("1:"), "name")).withColumn("_k", F.lit("mark")), allowMissingColumns=True)
-    market = numbered(prices, "market", 100).withColumn("kind", F.when(F.col("name").startswith("0:"), "fx").otherwise("mark")).withColumn("name", F.substring("name", 3, 1 << 20))
+    market = numbered(prices, "market", 100).withColumn("kind", F.when(F.col("name").startswith("0:"), "fx").otherwise("mark")).withColumn("name", F.expr("substr(name, 3)"))
     log = numbered(cash_events, "cash", 0).union(market).union(numbered(decisions, "decision", 1000))
     rules = {"late_input": F.coalesce(F.col("available_at") > F.col("at"), F.lit(False)), "signal_not_before": F.coalesce(F.col("signal_at") >= F.col("at"), F.lit(False)), "too_many_events": (F.col("kind") == "cash") & (F.col("sequence") > 99) | F.col("kind").isin("fx", "mark") & (F.col("sequence") > 999)}
     broken = check_rows(log, rules, [*keys, "event_id"])
@@ -194,15 +217,40 @@ def running_ledger(events: DataFrame, keys: list[str]) -> DataFrame:
     """`events(keys.., at, sequence, symbol, quantity, price, fee, flow)` with position, cash, fees and flags after each.
 
     `quantity` is signed; `flow` is external cash. Cash and fees run over the account, the position over the symbol.
+    Decimals stay decimals: products are cut to eight places before they are added.
     """
     w = Window.partitionBy(*keys).orderBy("at", "sequence").rowsBetween(Window.unboundedPreceding, 0)
     one = Window.partitionBy(*keys, "symbol").orderBy("at", "sequence").rowsBetween(Window.unboundedPreceding, 0)
-    delta = F.coalesce("flow", F.lit(0.0)) - F.coalesce(F.col("quantity") * F.col("price"), F.lit(0.0)) - F.coalesce("fee", F.lit(0.0))
-    out = events.withColumn("position", F.sum(F.coalesce("quantity", F.lit(0.0))).over(one)).withColumn("cash", F.sum(delta).over(w))
-    out = out.withColumn("fees", F.sum(F.coalesce("fee", F.lit(0.0))).over(w)).withColumn("flows", F.sum(F.coalesce("flow", F.lit(0.0))).over(w))
+    paid, money = F.col("quantity") * F.col("price"), _money(events)
+    delta = money(F.coalesce("flow", F.lit(0))) - money(F.coalesce(paid, F.lit(0))) - money(F.coalesce("fee", F.lit(0)))
+    out = events.withColumn("position", F.sum(F.coalesce("quantity", F.lit(0))).over(one)).withColumn("cash", F.sum(money(delta)).over(w))
+    out = out.withColumn("fees", F.sum(F.coalesce("fee", F.lit(0))).over(w)).withColumn("flows", F.sum(F.coalesce("flow", F.lit(0))).over(w))
     return out.withColumn("negative_cash", F.col("cash") < 0).withColumn("short_position", F.col("position") < 0)
 
 
+def _money(events: DataFrame):
+    exact = dict(events.dtypes)["quantity"].startswith("decimal")
+    return lambda c: c.cast("decimal(28,8)") if exact else c
+
+
+def valued_ledger(events: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """running_ledger over `events` and `marks(keys.., at, sequence, symbol, price)`, with mark, value, unmarked and nav.
+
+    A position counts at the last mark of its symbol. Each row changes one symbol's value only, so the account's
+    value is a running sum of such changes. `unmarked` positions have no mark yet; while there are any, NAV is null.
+    """
+    both = events.unionByName(marks.select(*keys, "at", "sequence", "symbol", F.col("price").alias("mark")), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("at", "sequence").rowsBetween(Window.unboundedPreceding, 0)
+    one = Window.partitionBy(*keys, "symbol").orderBy("at", "sequence")
+    money = _money(events)
+    position = F.col("position").cast("decimal(20,8)") if dict(events.dtypes)["quantity"].startswith("decimal") else F.col("position")
+    out = running_ledger(both, keys).withColumn("mark", F.last("mark", True).over(one.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("_value", money(F.coalesce(position * F.col("mark"), F.lit(0)))).withColumn("_open", F.when((F.col("position") != 0) & F.col("mark").isNull(), 1).otherwise(0))
+    for total, part in (("value", "_value"), ("unmarked", "_open")):
+        out = out.withColumn(f"{part}_change", F.col(part) - F.coalesce(F.lag(part).over(one), F.lit(0))).withColumn(total, F.sum(f"{part}_change").over(w))
+    return out.withColumn("nav", F.when(F.col("unmarked") == 0, F.col("cash") + F.col("value"))).drop("_value", "_open", "_value_change", "_open_change")
+
+
 def instant_returns(valued: DataFrame, keys: list[str]) -> DataFrame:
     """(keys.., at, ret, flow, nav) from `valued(keys.., at, sequence, nav, flow)`: event returns compounded by instant.
 
@@ -233,3 +281,14 @@ def revision_diff(old: DataFrame, new: DataFrame, ids: list[str], values: list[s
     j = o.join(n, ids, "full_outer")
     rows = F.array(*[F.struct(F.lit(v).alias("column"), F.col(f"o_{v}").alias("old_value"), F.col(f"n_{v}").alias("new_value")) for v in values])
     return j.select(*ids, F.inline(rows)).where("NOT (old_value <=> new_value)")
+
+
+def revision_study(old: DataFrame, new: DataFrame, plan: Callable[[DataFrame, list[str]], DataFrame], keys: list[str], ids: list[str], values: list[str]) -> DataFrame:
+    """revision_diff of what `plan(input, keys)` makes of two versions of its input; one run, with `version` as a key.
+
+    It tells how results depend on revised data; it replaces no decision of the past.
+    """
+    both = old.withColumn("version", F.lit("old")).unionByName(new.withColumn("version", F.lit("new")))
+    out = plan(both, ["version", *keys])
+    pick = lambda v: out.where(F.col("version") == v).drop("version")
+    return revision_diff(pick("old"), pick("new"), ids, values)

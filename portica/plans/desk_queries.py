@@ -48,7 +48,7 @@ def _(t: Tables) -> DataFrame:
 @query("l3_cross_asset_report", whole="portfolio_id", real="gross net turnover linear_cost impact_cost initial_margin_use cash_residual max_participation days_to_liquidate", digits=4, sql="""WITH x AS (SELECT portfolio_id, c.asset, weight * 1.2 AS weight, 0.2 AS held, adv, volatility, linear_rate, CASE WHEN c.asset IN ('click', 'view') THEN 1 ELSE 0 END AS settles FROM {cand} c JOIN {liq_small} l ON l.asset = c.asset),
  y AS (SELECT *, ABS(weight - held) * 100000 AS q FROM x)
 SELECT portfolio_id, SUM(ABS(weight)) AS gross, SUM(weight) AS net, SUM(ABS(weight - held)) AS turnover, SUM(q * linear_rate) AS linear_cost, SUM(q * 0.1 * volatility * SQRT(q / adv)) AS impact_cost, SUM(ABS(weight) * 0.5) AS initial_margin_use,
- 20000 - SUM(settles * (weight - held) * 100000) - SUM(q * linear_rate) - SUM(q * 0.1 * volatility * SQRT(q / adv)) AS cash_residual, MAX(q / adv) AS max_participation, MAX(ABS(weight) * 100000 / (adv * 0.1)) AS days_to_liquidate FROM y GROUP BY 1""")
+ 20000 - SUM(settles * (weight - held) * 100000) - SUM(q * linear_rate) - SUM(q * 0.1 * volatility * SQRT(q / adv)) AS cash_residual, MAX(q / adv) AS max_participation, MAX(q / adv) / 0.1 AS days_to_liquidate FROM y GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     x = t.cand.join(t.liq_small, "asset").select(
         "portfolio_id", F.col("asset").alias("instrument_id"), (F.col("weight") * 1.2).alias("weight"), F.lit(0.2).alias("current"), "adv", "volatility", "linear_rate", F.lit(0.1).alias("impact_coef"),
@@ -58,6 +58,20 @@ def _(t: Tables) -> DataFrame:
     return audit.cross_asset_report(x, accounts, {"gross": 1.5, "participation": 0.1}, ["portfolio_id"])[0]
 
 
+@query("l3_bindings", text="code scope", whole="portfolio_id", real="observed allowed", digits=5, sql="""WITH x AS (SELECT portfolio_id, asset, weight * 1.2 - CASE WHEN asset = 'view' THEN 0.2 ELSE 0 END AS weight, 0.2 AS held FROM {cand}), g AS (SELECT portfolio_id, SUM(ABS(weight)) AS gross, SUM(weight) AS net, SUM(ABS(weight - held)) AS turnover, SUM(CASE WHEN asset LIKE 'p%' OR asset LIKE 's%' THEN ABS(weight) ELSE 0 END) AS deals, SUM(CASE WHEN asset LIKE 'p%' OR asset LIKE 's%' THEN 0 ELSE ABS(weight) END) AS visits, 20000 - SUM((weight - held) * 100000) AS cash FROM x GROUP BY 1)
+SELECT portfolio_id, 'GROSS_LEVERAGE' AS code, gross AS observed, 1.1 AS allowed, 'portfolio' AS scope FROM g WHERE gross > 1.1 UNION ALL SELECT portfolio_id, 'NET_LEVERAGE_MIN', net, 1.0000001, 'portfolio' FROM g WHERE net < 1.0000001 UNION ALL SELECT portfolio_id, 'TURNOVER', turnover, 0.7, 'portfolio' FROM g WHERE turnover > 0.7 UNION ALL SELECT portfolio_id, 'CASH', cash, 20001, 'portfolio' FROM g WHERE cash < 20001
+ UNION ALL SELECT portfolio_id, 'ASSET_CLASS', deals, 0.45, 'DEALS' FROM g WHERE deals > 0.45 UNION ALL SELECT portfolio_id, 'ASSET_CLASS', visits, 0.8, 'visits' FROM g WHERE visits > 0.8""")
+def _(t: Tables) -> DataFrame:
+    weight = F.col("weight") * 1.2 - F.when(F.col("asset") == "view", 0.2).otherwise(0.0)
+    x = t.cand.select(
+        "portfolio_id", F.col("asset").alias("instrument_id"), weight.alias("weight"), F.lit(0.2).alias("current"), F.lit(1e9).alias("adv"), F.lit(0.0).alias("volatility"), F.lit(0.0).alias("linear_rate"), F.lit(0.0).alias("impact_coef"),
+        F.lit(0.5).alias("initial_margin"), F.lit(0.3).alias("maintenance_margin"), F.lit("none").alias("margin_mode"), F.when(F.col("asset").rlike("^[ps]"), "Deals").otherwise("visits").alias("asset_class"),
+    )
+    accounts = t.cand.select("portfolio_id").distinct().select("portfolio_id", F.lit(100000.0).alias("nav"), F.lit(20000.0).alias("cash_value"))
+    caps = t.spark.createDataFrame([("asset_class", "DEALS", 0.45), ("asset_class", "visits", 0.8)], "bucket string, name string, cap double")
+    return audit.cross_asset_report(x, accounts, {"gross": 1.1, "min_net": 1.0000001, "turnover": 0.7, "min_cash": 20001.0}, ["portfolio_id"], caps)[1]
+
+
 @query("l4_minimum_turnover", whole="portfolio_id", real="bound", sql=f"""WITH b AS (SELECT portfolio_id, asset, weight AS held, lo, hi FROM ({_BOXED}) x), a AS (SELECT portfolio_id, ABS(0.95 - SUM(held)) AS gap, SUM(GREATEST(held - hi, 0)) + SUM(GREATEST(lo - held, 0)) AS forced, SUM(held) AS total FROM b GROUP BY 1), g AS (SELECT portfolio_id, SUM(held) AS inside FROM b JOIN {_GRP} g ON g.asset = b.asset AND grp = 'web' GROUP BY 1)
 SELECT a.portfolio_id AS portfolio_id, GREATEST(gap, forced, CASE WHEN inside > 0.5 THEN inside - 0.5 + GREATEST(0.95 - 0.5 - (total - inside), 0) ELSE 0 END) AS bound FROM a JOIN g ON g.portfolio_id = a.portfolio_id""")
 def _(t: Tables) -> DataFrame:
@@ -273,10 +287,20 @@ def _(t: Tables) -> DataFrame:
     return _lotted(t)
 
 
-@query("n4_executable_audit", text="status", whole="portfolio_id illegal_moves", real="nav_after cash_after invested cost distance", digits=3, sql=f"""WITH g AS (SELECT portfolio_id, MAX(cash) - SUM(trade * price) - SUM(ABS(trade) * price * 0.001) AS cash_after, SUM(quantity * price) AS invested, SUM(ABS(trade) * price * 0.001) AS cost, SUM(ABS(weight - quantity * price / nav)) AS distance, SUM(CASE WHEN trade % lot = 0 OR quantity = 0 THEN 0 ELSE 1 END) AS illegal_moves FROM ({_LOTTED}) l GROUP BY 1)
-SELECT *, cash_after + invested AS nav_after, CASE WHEN illegal_moves > 0 THEN 'illegal_move' WHEN cash_after < 0 THEN 'negative_cash' WHEN invested > cash_after + invested THEN 'over_invested' ELSE 'ok' END AS status FROM g""")
+_OTHERS = "1000000.0 - 500000.0 - SUM(held * price) OVER (PARTITION BY portfolio_id) + CASE WHEN portfolio_id % 7 = 0 THEN 1 ELSE 0 END"
+
+
+@query("n4_executable_audit", text="status", whole="portfolio_id illegal_moves", real="nav_after cash_after invested cost distance shortfall", digits=3, sql=f"""WITH g AS (SELECT portfolio_id, MAX(cash) - SUM(trade * price) - SUM(ABS(trade) * price * 0.001) AS cash_after, SUM(quantity * price) AS invested, SUM(ABS(trade) * price * 0.001) AS cost, SUM(CASE WHEN trade % lot = 0 OR quantity = 0 THEN 0 ELSE 1 END) AS illegal_moves FROM ({_LOTTED}) l GROUP BY 1),
+ d AS (SELECT l.portfolio_id AS portfolio_id, SUM((weight - quantity * price / (nav - cost)) * (weight - quantity * price / (nav - cost))) AS distance FROM ({_LOTTED}) l JOIN g ON g.portfolio_id = l.portfolio_id GROUP BY 1)
+SELECT g.*, distance, 1000000 - cost AS nav_after, 0.6 - invested / 1000000 AS shortfall, CASE WHEN g.portfolio_id % 7 = 0 THEN 'unbalanced' WHEN illegal_moves > 0 THEN 'illegal_move' WHEN cash_after < 0 THEN 'negative_cash' WHEN invested / 1000000 > 0.6000001 THEN 'over_invested' ELSE 'ok' END AS status FROM g JOIN d ON d.portfolio_id = g.portfolio_id""")
+def _(t: Tables) -> DataFrame:
+    lots = _lotted(t).withColumnRenamed("current_qty", "held").withColumn("noncash", F.expr(_OTHERS))
+    return ledger.executable_audit(lots, ["portfolio_id"], 0.001, 0.6)
+
+
+@query("n4_weights_after_fees", text="asset", whole="portfolio_id", real="weight", digits=6, sql=f"SELECT portfolio_id, asset, quantity * price / (nav - SUM(ABS(trade) * price * 0.001) OVER (PARTITION BY portfolio_id)) AS weight FROM ({_LOTTED}) l")
 def _(t: Tables) -> DataFrame:
-    return ledger.executable_audit(_lotted(t), ["portfolio_id"], 0.001)
+    return ledger.executable_weights(_lotted(t), ["portfolio_id"], 0.001)
 
 
 @query("n5_reconcile_accounts", text="status reasons", whole="account_id", real="cash nav", digits=4, sql="""WITH t AS (SELECT account_id, symbol, CASE WHEN side = 'buy' THEN 1 ELSE -1 END * CAST(quantity AS DOUBLE) AS q, CASE WHEN side = 'buy' THEN -1 ELSE 1 END * CAST(quantity AS DOUBLE) * CAST(price AS DOUBLE) - CAST(fee AS DOUBLE) AS m FROM {acct_trades}), c AS (SELECT account_id, SUM(m) + 1000000 AS cash FROM t GROUP BY 1), p AS (SELECT account_id, symbol, SUM(q) AS q FROM t GROUP BY 1, 2), v AS (SELECT account_id, SUM(q * px) AS value FROM p JOIN (SELECT symbol, CAST(1000 + LENGTH(symbol) AS DECIMAL(18,8)) AS px FROM {acct_trades} GROUP BY symbol) x ON x.symbol = p.symbol GROUP BY 1)
@@ -326,6 +350,33 @@ def _(t: Tables) -> DataFrame:
     return ledger.running_ledger(e, ["account_id"])
 
 
+_NAV = """x AS (SELECT account_id, trade_id, traded_at, symbol, CAST(quantity AS DOUBLE) * CASE WHEN side = 'buy' THEN 1 ELSE -1 END AS q, CAST(price AS DOUBLE) AS price, CAST(fee AS DOUBLE) AS fee FROM {acct_trades}),
+ p AS (SELECT *, SUM(q) OVER (PARTITION BY account_id, symbol ORDER BY trade_id) AS position, COALESCE(LEAD(trade_id) OVER (PARTITION BY account_id, symbol ORDER BY trade_id), 1000000000) AS until, 100000000 + SUM(-q * price - fee) OVER (PARTITION BY account_id ORDER BY trade_id) AS cash FROM x),
+ v AS (SELECT a.account_id AS account_id, a.trade_id AS trade_id, SUM(b.position * b.price) AS held_value FROM p a JOIN p b ON b.account_id = a.account_id AND b.trade_id <= a.trade_id AND b.until > a.trade_id GROUP BY 1, 2),
+ n AS (SELECT p.account_id AS account_id, p.trade_id AS trade_id, traded_at, cash, held_value, cash + held_value AS nav FROM p JOIN v ON v.account_id = p.account_id AND v.trade_id = p.trade_id)"""
+
+
+def _valued(t: Tables) -> DataFrame:
+    """Every fill is followed by a mark at its price; the account opens with external cash."""
+    sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
+    x = t.acct_trades.withColumn("at", F.col("traded_at").cast("timestamp")).withColumn("sequence", F.col("trade_id") * 2)
+    fills = x.select("account_id", "at", "sequence", "symbol", (sign * F.col("quantity")).cast("decimal(18,8)").alias("quantity"), "price", "fee", F.lit(0).cast("decimal(18,8)").alias("flow"))
+    opening = x.select("account_id").distinct().select("account_id", F.lit("1990-01-01").cast("timestamp").alias("at"), F.lit(0).cast("long").alias("sequence"), F.lit(100000000).cast("decimal(18,8)").alias("flow"))
+    marks = x.select("account_id", "at", (F.col("sequence") + 1).alias("sequence"), "symbol", "price")
+    return ledger.valued_ledger(fills.unionByName(opening, allowMissingColumns=True), marks, ["account_id"])
+
+
+@query("n8_valued_ledger", whole="account_id trade_id", real="cash value nav", digits=3, sql=f"WITH {_NAV}\nSELECT account_id, trade_id, cash, held_value AS value, nav FROM n")
+def _(t: Tables) -> DataFrame:
+    return _valued(t).where("sequence % 2 = 1").withColumn("trade_id", F.floor(F.col("sequence") / 2))
+
+
+@query("n8_instant_returns", text="instant", whole="account_id", real="ret flow nav", digits=6, sql=f"WITH {_NAV}, r AS (SELECT *, nav / COALESCE(LAG(nav) OVER (PARTITION BY account_id ORDER BY trade_id), 100000000) AS growth FROM n)\nSELECT account_id, CAST(traded_at AS TIMESTAMP) AS instant, PRODUCT(growth) - 1 AS ret, 0 AS flow, MAX_BY(nav, trade_id) AS nav FROM r GROUP BY 1, 2 UNION ALL SELECT DISTINCT account_id, TIMESTAMP '1990-01-01', 0, 100000000, 100000000 FROM x")
+def _(t: Tables) -> DataFrame:
+    v = _valued(t).where("sequence = 0 OR sequence % 2 = 1")
+    return ledger.instant_returns(v.select("account_id", "at", "sequence", F.col("nav").cast("double").alias("nav"), F.col("flow").cast("double").alias("flow")).fillna(0.0, ["flow"]), ["account_id"]).withColumnRenamed("at", "instant")
+
+
 _DEC = "SELECT book, asset, t, px AS signal_price, LEAD(px) OVER (PARTITION BY book, asset ORDER BY t) AS price, 1000000.0 + 1000 * EXTRACT(MONTH FROM t) AS notional FROM {px_many}"
 
 
@@ -341,3 +392,12 @@ def _(t: Tables) -> DataFrame:
     new = old.withColumn("quantity", F.when(F.col("trade_id") % 10 == 0, F.col("quantity") + 1).otherwise(F.col("quantity")).cast("decimal(18,8)")).withColumn("side", F.when(F.col("trade_id") % 15 == 0, "sell").otherwise(F.col("side")))
     diff = ledger.revision_diff(old, new, ["account_id", "trade_id", "symbol"], ["quantity", "side", "price"])
     return diff.groupBy("account_id", "symbol", F.col("column").alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("n10_revision_study", text="name", whole="book n", sql=f"""WITH o AS (SELECT * FROM ({_DEC}) d WHERE price IS NOT NULL), u AS (SELECT 'old' AS version, o.* FROM o UNION ALL SELECT 'new', book, asset, t, CASE WHEN EXTRACT(MONTH FROM t) = 6 THEN signal_price * 1.5 ELSE signal_price END, price, notional FROM o), x AS (SELECT *, FLOOR(notional / (signal_price * 2) / 5) * 5 AS target FROM u), y AS (SELECT *, target - COALESCE(LAG(target) OVER (PARTITION BY version, book, asset ORDER BY t), 0) AS q FROM x), z AS (SELECT a.book AS book, a.target <> b.target AS c1, a.q <> b.q AS c2, a.q * a.price <> b.q * b.price AS c3 FROM y a JOIN y b ON b.version = 'new' AND b.book = a.book AND b.asset = a.asset AND b.t = a.t WHERE a.version = 'old')
+SELECT book, name, SUM(c) AS n FROM (SELECT book, 'target' AS name, CAST(c1 AS INT) AS c FROM z UNION ALL SELECT book, 'order', CAST(c2 AS INT) FROM z UNION ALL SELECT book, 'cash_change', CAST(c3 AS INT) FROM z) k GROUP BY 1, 2 HAVING SUM(c) > 0""")
+def _(t: Tables) -> DataFrame:
+    old = t.sql(_DEC).where("price IS NOT NULL").withColumnsRenamed({"asset": "instrument_id", "t": "at"}).withColumn("multiplier", F.lit(2.0)).withColumn("step", F.lit(5.0)).withColumn("unit_fee", F.lit(0.5))
+    new = old.withColumn("signal_price", F.when(F.month("at") == 6, F.col("signal_price") * 1.5).otherwise(F.col("signal_price")))
+    diff = ledger.revision_study(old, new, ledger.decisions_to_orders, ["book"], ["book", "instrument_id", "at"], ["target", "order", "cash_change"])
+    return diff.groupBy("book", F.col("column").alias("name")).agg(F.count("*").alias("n"))
