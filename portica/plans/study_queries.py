@@ -273,7 +273,17 @@ def _(t: Tables) -> DataFrame:
     return risk.cdar(_pnl(t), ["portfolio_id"], 0.8)
 
 
-@query("j6_evar", whole="portfolio_id", real="value", digits=5)
+def _evar_sql(losses: str, beta: float, points: int = 40, rounds: int = 3) -> str:
+    """The rounds of the grid, each around the best point of the round before, as common table expressions."""
+    parts = [f"l AS ({losses})", f"b0 AS (SELECT portfolio_id, MAX(loss) AS top, GREATEST(MAX(ABS(loss)), 1e-12) * 1e-4 AS lo, GREATEST(MAX(ABS(loss)), 1e-12) * 1e3 AS hi FROM l GROUP BY 1)", f"i AS (SELECT UNNEST(RANGE(0, {points})) AS i)"]
+    for r in range(rounds):
+        parts.append(f"g{r} AS (SELECT portfolio_id, top, lo, hi, i, lo * POW(hi / lo, i / {points - 1}.0) AS tau FROM b{r}, i)")
+        parts.append(f"m{r} AS (SELECT g{r}.portfolio_id AS portfolio_id, MAX(top) AS top, MAX(lo) AS lo, MAX(hi) AS hi, g{r}.i AS i, MAX(tau) AS tau, MAX(top) + MAX(tau) * (LN(AVG(EXP((loss - top) / tau))) - LN(1 - {beta})) AS value FROM g{r} JOIN l ON l.portfolio_id = g{r}.portfolio_id GROUP BY g{r}.portfolio_id, g{r}.i)")
+        parts.append(f"b{r + 1} AS (SELECT portfolio_id, MAX(top) AS top, MIN(value) AS value, ARG_MIN(tau, value) / POW(MAX(hi) / MAX(lo), 1.0 / {points - 1}) AS lo, ARG_MIN(tau, value) * POW(MAX(hi) / MAX(lo), 1.0 / {points - 1}) AS hi FROM m{r} GROUP BY 1)")
+    return f"WITH {', '.join(parts)}\nSELECT portfolio_id, value FROM b{rounds}"
+
+
+@query("j6_evar", whole="portfolio_id", real="value", digits=5, sql=_evar_sql(f"SELECT portfolio_id, -pnl AS loss FROM ({_PNL}) p", 0.9))
 def _(t: Tables) -> DataFrame:
     return risk.evar(_pnl(t).select("portfolio_id", (-F.col("pnl")).alias("loss")), ["portfolio_id"], 0.9)
 
@@ -294,6 +304,20 @@ def _(t: Tables) -> DataFrame:
     return _objectives(t).where("kind = 'sharpe'")
 
 
+@query("j7_excess_return_ratio", text="status", whole="portfolio_id", real="ratio", sql="WITH a AS (SELECT portfolio_id, t, SUM((weight - 0.2) * ret) AS active, SUM(weight * ret) AS own, SUM(0.2 * ret) AS bench FROM {cand} w JOIN {ret_small} r ON r.asset = w.asset GROUP BY 1, 2), p AS (SELECT portfolio_id, AVG(own) AS mean, AVG(bench) AS benchmark_mean, STDDEV_SAMP(active) AS te FROM a GROUP BY 1)\nSELECT portfolio_id, CASE WHEN te > 1e-9 AND mean > benchmark_mean THEN (mean - benchmark_mean) / te END AS ratio, CASE WHEN te <= 1e-9 THEN 'undefined_ratio' WHEN mean <= benchmark_mean THEN 'no_positive_excess_return' ELSE 'ok' END AS status FROM p")
+def _(t: Tables) -> DataFrame:
+    a = t.cand.join(t.ret_small, "asset").groupBy("portfolio_id", "t").agg(F.sum((F.col("weight") - 0.2) * F.col("ret")).alias("active"), F.sum(F.col("weight") * F.col("ret")).alias("own"), F.sum(0.2 * F.col("ret")).alias("bench"))
+    p = a.groupBy("portfolio_id").agg(F.avg("own").alias("mean"), F.avg("bench").alias("benchmark_mean"), F.stddev_samp("active").alias("tracking_error"))
+    return risk.excess_return_ratio(p)
+
+
+@query("j9_target_distance", text="kind status", whole="portfolio_id", real="value", sql="SELECT portfolio_id, 'target_distance' AS kind, 'ok' AS status, -SUM((weight - 0.2) * (weight - 0.2) + CASE WHEN weight > 0.1 THEN (weight - 0.1) * 0.001 ELSE (0.1 - weight) * 0.002 END + ABS(weight - 0.1) * 0.01 + 0.05 * POW(ABS(weight - 0.1), 1.5)) AS value FROM {cand} GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    names = t.ret_small.select("asset").distinct()
+    linear = names.select("asset", F.lit(0.1).alias("held"), F.lit(0.001).alias("buy_rate"), F.lit(0.002).alias("sell_rate"))
+    return risk.target_distance_values(t.cand, names.select("asset", F.lit(0.2).alias("weight")), ["portfolio_id"], linear, 0.01, names.select("asset", F.lit(0.05).alias("coef")))
+
+
 @query("j8_diversification_ratio", whole="portfolio_id", real="ratio", sql=_OBJ + "\nSELECT portfolio_id, alone / SQRT(variance) AS ratio FROM o")
 def _(t: Tables) -> DataFrame:
     return risk.diversification_ratio(t.cand, _cov(t), ["portfolio_id"])

@@ -285,3 +285,71 @@ def test_reconcile_reports_unknown_accounts_and_bad_available(spark):
     px = spark.sql("SELECT 'S' AS symbol, CAST(11 AS DECIMAL(18,8)) AS price")
     got = {r["account_id"]: (r["status"], r["reasons"]) for r in ledger.reconcile_accounts(cl.where("1 = 0"), fl, tr, cl, px, acc)[0].collect()}
     assert got == {1: ("blocked", "bad_available"), 2: ("blocked", "unknown_account")}
+
+
+def test_nav_by_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("nav,date,note\n1.5,2024-01-02,x\nabc,2024-01-03,y\n2,2024-01-02,z\n")
+    (tmp_path / "b.csv").write_text("day,value\n2024-01-02T03:04:05Z,7\n")
+    nav = readers.read_nav(spark, str(tmp_path / "a.csv"), "B")
+    assert [r.nav for r in nav.collect()] == [1.5, None, 2.0]
+    assert sorted(r.rule for r in readers.nav_checks(nav).collect()) == ["bad_nav", "repeated"]
+    assert [(r.book, r.nav) for r in readers.read_nav(spark, str(tmp_path / "b.csv"), "C").collect()] == [("C", 7.0)]
+
+
+def test_statement_files(spark, tmp_path):
+    (tmp_path / "opening_positions.csv").write_text("\ufeffsymbol,quantity,average_cost,acquired_on\n000123,100,10,2024-01-01\n")
+    (tmp_path / "trades.csv").write_text("fee,trade_id,symbol,side,quantity,price,event_time\n1,t1,000123,sell,40,12,2024-01-02T10:00:00+08:00\n1,t1,000123,sell,x,12,2024-01-02T10:00:00+08:00\n")
+    (tmp_path / "cash_flows.csv").write_text("transfer_id,amount,event_time\nf1,5,2024-01-02T09:00:00+08:00\n")
+    (tmp_path / "closing_positions.csv").write_text("symbol,quantity,available_quantity\n000123,60,60\n")
+    (tmp_path / "prices.csv").write_text("symbol,venue,price,as_of\n000123,SZSE,12,2024-01-02T15:00:00+08:00\n")
+    t = readers.read_statement(spark, str(tmp_path), "acc")
+    assert [r.symbol for r in t["opening_positions"].collect()] == ["000123"]
+    assert sorted((r.file, r.id, r.rule) for r in readers.statement_checks(t).collect()) == [("trades", "t1", "bad_quantity"), ("trades", "t1", "repeated")]
+    accounts = spark.sql("SELECT 'acc' AS account_id, TIMESTAMP '2024-01-01 00:00:00' AS opening_at, TIMESTAMP '2024-01-02 07:00:00' AS closing_at, CAST(0 AS DECIMAL(18,8)) AS opening_cash, CAST(484 AS DECIMAL(28,8)) AS closing_cash")
+    trades = t["trades"].where("quantity IS NOT NULL")
+    got = ledger.reconcile_accounts(t["opening_positions"], t["cash_flows"], trades, t["closing_positions"], t["prices"].select("symbol", "price"), accounts)[0].collect()
+    assert [(r.status, float(r.cash), float(r.nav)) for r in got] == [("reconciled", 484.0, 1204.0)]
+
+
+def test_candle_files(spark, tmp_path):
+    (tmp_path / "c.json").write_text("[[86400, 1, 3, 2, 2.5, 10], [172800, 1, 3, 2, 2, 20]]")
+    c = readers.read_candles(spark, str(tmp_path / "c.json"), "P")
+    (r,) = readers.candle_quality(c, "1970-01-02", "1970-01-05", ["product"]).collect()
+    assert (r.bars, r.missing_days, r.invalid_bars, r.adv) == (2, 1, 0, 32.5)
+
+
+def test_study_documents(spark, tmp_path):
+    from portica.sources import studies
+
+    (tmp_path / "cap").mkdir()
+    (tmp_path / "cap" / "one.json").write_text('{"schema": "quant-portfolio.capacity-study/v1", "capital": [1, 2], "impact_coefficients": [0.1], "holdings_weights": {"A": 0.5}, "trade_weights": {"A": 0.1, "B": 0.2}, "liquidity": [{"asset": "A", "adv_base": 7}]}')
+    (tmp_path / "cap" / "two.json").write_text("not json")
+    t = studies.read_capacity_json(spark, str(tmp_path / "cap"))
+    assert {k: v.count() for k, v in t.items()} == {"studies": 2, "liquidity": 1, "holdings": 1, "trades": 2, "axes": 3}
+    assert [(r.study_id, r.rule) for r in studies.document_checks(spark, str(tmp_path / "cap"), "capacity").collect()] == [("two", "unknown_schema")]
+    (tmp_path / "o.json").write_text('{"orders": [{"order_id": "1", "notional_base": 10}]}')
+    assert studies.read_calibration_json(spark, str(tmp_path / "o.json"))["orders"].count() == 1
+    (tmp_path / "p.json").write_text('{"instruments": [{"instrument_id": "A", "price_tick": {"units": 5, "scale": 2}}], "owners": {"A": "s"}, "allocations": {"s": {"USD": "600"}}, "cost_policy": {"fee_per_unit": "1"}, "decisions": [{"decision_id": "d", "target_notional": "500.5"}], "cash_events": []}')
+    p = studies.read_plan_json(spark, str(tmp_path / "p.json"))
+    assert float(p["instruments"].first().price_tick) == 0.05 and float(p["decisions"].first().target_notional) == 500.5
+    assert [(r.sleeve, r.currency, float(r.amount)) for r in p["allocations"].collect()] == [("s", "USD", 600.0)] and p["cash_events"].count() == 0
+    (tmp_path / "m.json").write_text('{"observations": [{"observation_id": "o", "prices": {"A": "125", "B": "x"}, "fx": {}}]}')
+    m = studies.read_market_json(spark, str(tmp_path / "m.json"))
+    assert [r.price is None for r in m["marks"].orderBy("instrument_id").collect()] == [False, True] and m["fx"].count() == 0
+
+
+def test_ledger_with_marks(spark):
+    d = "CAST({} AS DECIMAL(18,8))".format
+    events = spark.sql(f"SELECT 1 AS k, TIMESTAMP '2024-01-01 00:00:00' AS at, 0 AS sequence, CAST(NULL AS STRING) AS symbol, {d('NULL')} AS quantity, {d('NULL')} AS price, {d('NULL')} AS fee, {d(100)} AS flow UNION ALL SELECT 1, TIMESTAMP '2024-01-02 00:00:00', 5, 'A', {d(3)}, {d(10)}, {d(1)}, {d(0)}")
+    marks = spark.sql(f"SELECT 1 AS k, TIMESTAMP '2024-01-02 00:00:00' AS at, 6 AS sequence, 'A' AS symbol, {d(10)} AS price UNION ALL SELECT 1, TIMESTAMP '2024-01-03 00:00:00', 1, 'A', {d(12.5)}")
+    v = ledger.valued_ledger(events, marks, ["k"])
+    assert [(None if r.nav is None else float(r.nav), r.unmarked) for r in v.orderBy("at", "sequence").collect()] == [(100.0, 0), (None, 1), (99.0, 0), (106.5, 0)]
+
+
+def test_lots_audit_on_weights_after_fees(spark):
+    lots = spark.createDataFrame([(1, "A", 0.5, 1000.0, 10.0, 10, 50, 50, 500.0, 0.0)], "k int, asset string, weight double, nav double, price double, lot int, quantity int, trade int, cash double, noncash double")
+    (r,) = ledger.executable_audit(lots.withColumn("noncash", F.lit(500.0)), ["k"], 0.01, 0.6).collect()
+    assert (r.status, r.nav_after, r.cash_after, round(r.shortfall, 9)) == ("negative_cash", 995.0, -5.0, 0.1)
+    assert abs(r.distance - (0.5 - 500 / 995) ** 2) < 1e-12
+    assert ledger.executable_audit(lots, ["k"], 0.01).first().status == "unbalanced"
+    assert abs(ledger.executable_weights(lots, ["k"], 0.01).first().weight - 500 / 995) < 1e-12
