@@ -35,6 +35,11 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Sets in a block of step 2; a block's lists are held by one task.
 BLOCK = 256
+#: Bytes of sets in a block of steps 2 and 3, if there are two or more sets in it.
+BLOCK_BYTES = 8 << 20
+#: In step 2 sets of LONG bytes and more meet by themselves, in classes of doubling length and tasks of about
+#: BLOCK_BYTES, as ranges of rows would put many long sets into one task. Links across classes are left to step 3.
+LONG = 1 << 16
 #: Hashes of step 2 by which sets meet; more leave fewer queries to step 3.
 SAMPLES = 2
 #: Query sets and indexed sets, about, that meet in a unit of step 3.
@@ -285,7 +290,7 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _sampled_links(sets: DataFrame) -> DataFrame:
     """Edges between sets that share the smallest token under one of SAMPLES hashes."""
-    n_parts = exchange.targets(sets.sparkSession)
+    n_parts, most = exchange.targets(sets.sparkSession), BLOCK_BYTES
 
     def keyed(batches):
         for batch in batches:
@@ -297,23 +302,33 @@ def _sampled_links(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in keys], pa.int64()), *(batch.column(c) for c in ("n", "sig", "shared"))], names=["key", "n", "sig", "shared"])
 
     def link(batches):
-        key, held = None, ([], [], [])
+        key, held, held_bytes = None, ([], [], []), 0
         for batch in batches:
             for k, n, s, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "sig", "shared")), strict=True):
-                if k != key or len(held[0]) == BLOCK:
+                full = len(held[0]) == BLOCK or (len(held[0]) > 1 and held_bytes + len(raw) > most)
+                if k != key or full:
                     if len(held[0]) > 1 and (found := _block_links(*held)):
                         yield _edges(found)
                     # The last set of a full block starts the next one, so a long run stays in one piece.
                     held = tuple([c[-1]] for c in held) if k == key else ([], [], [])
-                    key = k
+                    key, held_bytes = k, sum(x.nbytes for x in held[2])
+                held_bytes += len(raw)
                 for column, value in zip(held, (s, n, np.frombuffer(raw, np.uint64)), strict=True):
                     column.append(value)
         if len(held[0]) > 1 and (found := _block_links(*held)):
             yield _edges(found)
 
-    rows = sets.mapInArrow(keyed, "key bigint, n bigint, sig bigint, shared binary")
-    ranged = rows.repartitionByRange(n_parts, "key", "n", "sig").sortWithinPartitions("key", "n", "sig")
-    return ranged.mapInArrow(link, "a bigint, b bigint")
+    def met(some: DataFrame, parts: int) -> DataFrame:
+        rows = some.mapInArrow(keyed, "key bigint, n bigint, sig bigint, shared binary")
+        ranged = rows.repartitionByRange(parts, "key", "n", "sig").sortWithinPartitions("key", "n", "sig")
+        return ranged.mapInArrow(link, "a bigint, b bigint")
+
+    length = F.length("shared")
+    doubling = F.floor(F.log2(length / LONG)).cast("int")
+    edges = met(sets.where(length < LONG), n_parts)
+    for row in sets.where(length >= LONG).groupBy(doubling.alias("doubling")).agg(F.sum(length).alias("bytes")).collect():
+        edges = edges.union(met(sets.where((length >= LONG) & (doubling == row["doubling"])), SAMPLES * row["bytes"] // BLOCK_BYTES + 1))
+    return edges
 
 
 def _remaining(sets: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -325,15 +340,16 @@ def _remaining(sets: DataFrame, labels: DataFrame | None) -> DataFrame:
     """
     n_parts = exchange.targets(sets.sparkSession)
     if labels is None:
-        named = sets.select("sig", "prefix", F.col("sig").alias("label"), F.lit(1).cast("long").alias("size"))
+        named = sets.select("sig", "prefix", F.length("shared").alias("bytes"), F.col("sig").alias("label"), F.lit(1).cast("long").alias("size"))
     else:
         sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
-        named = sets.select("sig", "prefix").join(sized, F.col("sig") == F.col("node"), "left").select("sig", "prefix", F.coalesce("label", "sig").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
-    postings = saved(named.select("sig", "label", "size", F.explode("prefix").alias("token")))
+        named = sets.select("sig", "prefix", F.length("shared").alias("bytes")).join(sized, F.col("sig") == F.col("node"), "left").select("sig", "prefix", "bytes", F.coalesce("label", "sig").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
+    postings = saved(named.select("sig", "bytes", "label", "size", F.explode("prefix").alias("token")))
     lists = postings.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("size", "label")).alias("top"))
     mixed = saved(lists.where("lo < hi").select("token", F.col("top.label").alias("hub")))
-    members = saved(postings.join(mixed, "token").select("sig", "label", "hub").distinct())
-    sizes = saved(members.groupBy("hub").agg(F.count("*").alias("all"), F.sum(F.when(F.col("label") != F.col("hub"), 1).otherwise(0)).alias("asking")))
+    members = saved(postings.join(mixed, "token").select("sig", "bytes", "label", "hub").distinct())
+    room = F.greatest(F.count("*"), F.ceil(F.sum("bytes") * UNIT / BLOCK_BYTES))  # long sets take more room in a block
+    sizes = saved(members.groupBy("hub").agg(room.alias("all"), F.sum(F.when(F.col("label") != F.col("hub"), 1).otherwise(0)).alias("asking")))
     slots = lambda c: F.ceil(F.col(c) / UNIT).cast("int")
     placed = members.join(sizes, "hub").select(
         "sig", "label", F.col("hub").alias("meeting"), (F.col("label") != F.col("hub")).alias("asks"), slots("all").alias("blocks"), slots("asking").alias("turns"),
