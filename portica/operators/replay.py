@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import normal_cdf, normal_quantile, ratio
+from .covariance import risk_contributions
 
 EULER = 0.5772156649015329
 
@@ -129,6 +130,16 @@ def compare_methods(replays: DataFrame, keys: list[str], max_turnover: float | N
     )
 
 
+def period_risk(targets: DataFrame, cov: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., method, t, volatility, diversification_ratio, top_share) of targets that carry `method`, by `cov(keys.., a <= b, value)`.
+
+    `top_share` is the largest part of the variance that one asset contributes; null where there is no variance.
+    """
+    by = [*keys, "method", "t"]
+    r = risk_contributions(targets, cov, by, keys)
+    return r.groupBy(*by).agg(F.max("volatility").alias("volatility"), F.max("diversification_ratio").alias("diversification_ratio"), F.max(ratio(F.col("contribution"), F.col("variance"))).alias("top_share"))
+
+
 def group_bounds(n: Column, groups: int, g: Column) -> tuple[Column, Column]:
     """[first, past last) row of group g among `groups` contiguous groups of n rows; half-even rounding."""
     return F.bround(n * g / groups).cast("long"), F.bround(n * (g + 1) / groups).cast("long")

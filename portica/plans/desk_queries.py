@@ -232,6 +232,17 @@ def _(t: Tables) -> DataFrame:
     return replay.compare_methods(out, ["book"], 0.01)
 
 
+_METHODS = "SELECT r.book AS book, r.t AS t, r.asset AS asset, 'equal' AS method, CAST(1 AS DOUBLE) / COUNT(*) OVER (PARTITION BY r.book, r.t) AS weight FROM {ret_many} r UNION ALL SELECT r.book, r.t, r.asset, 'inverse_vol', i / SUM(i) OVER (PARTITION BY r.book, r.t) FROM {ret_many} r JOIN (SELECT book, asset, 1 / STDDEV_SAMP(ret) AS i FROM {ret_many} GROUP BY 1, 2) v ON v.book = r.book AND v.asset = r.asset"
+_BOOK_COV = "SELECT x.book AS book, x.asset AS a, y.asset AS b, COALESCE(COVAR_SAMP(x.ret, y.ret), 0) AS value FROM {ret_many} x JOIN {ret_many} y ON y.book = x.book AND y.t = x.t GROUP BY 1, 2, 3"
+
+
+@query("m6_period_risk", text="method t", whole="book", real="volatility diversification_ratio top_share", sql=f"""WITH w AS ({_METHODS}), c AS ({_BOOK_COV}), s AS (SELECT w.book AS book, w.method AS method, w.t AS t, w.asset AS asset, w.weight AS weight, w.weight * SUM(value * o.weight) AS part FROM w JOIN w o ON o.book = w.book AND o.method = w.method AND o.t = w.t JOIN c ON c.book = w.book AND c.a = w.asset AND c.b = o.asset GROUP BY 1, 2, 3, 4, 5),
+ v AS (SELECT s.book AS book, method, t, SUM(part) AS variance, SUM(ABS(weight) * SQRT(value)) AS alone, MAX(part) AS top FROM s JOIN c ON c.book = s.book AND c.a = s.asset AND c.b = s.asset GROUP BY 1, 2, 3)
+SELECT book, method, t, SQRT(variance) AS volatility, alone / SQRT(variance) AS diversification_ratio, top / variance AS top_share FROM v""")
+def _(t: Tables) -> DataFrame:
+    return replay.period_risk(t.sql(_METHODS), t.sql(_BOOK_COV).where("a <= b"), ["book"])
+
+
 @query("m7_cpcv_splits", text="role", whole="book split n", sql="""WITH s AS (SELECT book, COUNT(DISTINCT t) AS n FROM {ret_many} GROUP BY 1), m AS (SELECT i AS mask, ROW_NUMBER() OVER (ORDER BY i) - 1 AS split FROM (SELECT UNNEST(RANGE(0, 32)) AS i) x WHERE BIT_COUNT(i) = 2), b AS (SELECT book, n, split, ROUND_EVEN(n * g / 5.0, 0) AS lo, ROUND_EVEN(n * (g + 1) / 5.0, 0) AS hi FROM s, m, (SELECT UNNEST(RANGE(0, 5)) AS g) g WHERE (mask & (1 << g)) <> 0),
  r AS (SELECT book, split, row, MAX(CASE WHEN row >= lo AND row < hi THEN 2 WHEN row >= lo - 2 AND row < hi + 3 THEN 1 ELSE 0 END) AS k FROM (SELECT b.*, UNNEST(RANGE(0, n)) AS row FROM b) y GROUP BY 1, 2, 3)
 SELECT book, split, CASE k WHEN 2 THEN 'test' WHEN 1 THEN 'blocked' ELSE 'train' END AS role, COUNT(*) AS n FROM r GROUP BY 1, 2, 3""")
