@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.checks import check_rows
 
-# Kinds of documents and the names of their fields.
+# Kinds of documents, as their schema ids end after any prefix and a dot, and the names of their fields.
 KINDS = {
-    "sleeve": "quant-portfolio.sleeve-study/v1",
-    "capacity": "quant-portfolio.capacity-study/v1",
-    "calibration": "quant-portfolio.cost-calibration/v1",
-    "plan": "quant.capital-plan/v1",
-    "market": "quant.capital-market/v1",
+    "sleeve": "sleeve-study/v1",
+    "capacity": "capacity-study/v1",
+    "calibration": "cost-calibration/v1",
+    "plan": "capital-plan/v1",
+    "market": "capital-market/v1",
 }
 _PERIOD = "ARRAY<STRUCT<start STRING, end STRING, cash_return DOUBLE, cash_known_at STRING>>"
 _MARKET = "ARRAY<STRUCT<observation_id STRING, at STRING, available_at STRING, prices MAP<STRING, STRING>, fx MAP<STRING, STRING>>>"
@@ -58,7 +58,7 @@ def document_checks(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(study_id, rule): documents of another kind, and ids that occur twice."""
     docs = _documents(spark, path, kind).select("study_id", "schema")
     again = docs.groupBy("study_id").agg(F.count("*").alias("n")).where("n > 1").select("study_id", F.lit("repeated_id").alias("rule"))
-    return check_rows(docs, {"unknown_schema": ~F.col("schema").eqNullSafe(KINDS[kind])}, ["study_id"]).union(again)
+    return check_rows(docs, {"unknown_schema": ~F.substring_index("schema", ".", -1).eqNullSafe(KINDS[kind])}, ["study_id"]).union(again)
 
 
 def _decimal(c: str) -> Column:

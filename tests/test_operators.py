@@ -322,7 +322,7 @@ def test_study_documents(spark, tmp_path):
     from portica.sources import studies
 
     (tmp_path / "cap").mkdir()
-    (tmp_path / "cap" / "one.json").write_text('{"schema": "quant-portfolio.capacity-study/v1", "capital": [1, 2], "impact_coefficients": [0.1], "holdings_weights": {"A": 0.5}, "trade_weights": {"A": 0.1, "B": 0.2}, "liquidity": [{"asset": "A", "adv_base": 7}]}')
+    (tmp_path / "cap" / "one.json").write_text('{"schema": "desk.capacity-study/v1", "capital": [1, 2], "impact_coefficients": [0.1], "holdings_weights": {"A": 0.5}, "trade_weights": {"A": 0.1, "B": 0.2}, "liquidity": [{"asset": "A", "adv_base": 7}]}')
     (tmp_path / "cap" / "two.json").write_text("not json")
     t = studies.read_capacity_json(spark, str(tmp_path / "cap"))
     assert {k: v.count() for k, v in t.items()} == {"studies": 2, "liquidity": 1, "holdings": 1, "trades": 2, "axes": 3}
