@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ship
-from . import decontaminate, html_render, license_scan, lm_scoring, mixing, ngram_join, quality_net, quality_rules, simhash, suffix_dedup, token_align, toxicity
+from . import conversation_repair, decontaminate, html_render, license_scan, lm_scoring, mixing, ngram_join, quality_net, quality_rules, simhash, suffix_dedup, token_align, toxicity
 from .oracles import MIXING, ORACLE_SQL
 
 
@@ -99,6 +99,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_render.extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    return conversation_repair.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of two tokenizers meet in every document."""
     return token_align.align_tokens(_table(spark, sf_dir, "documents"))
@@ -113,6 +118,6 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_toxicity, op3_suffix_dedup, op4_quality_rules, quality_rule_ablations, op5_ngram_join, op6_mixing, mixing_languages_by_entropy, mixing_languages_by_repeats, op7_decontamination, op8_license_scan, license_inheritance, op9_quality_classifier, op10_html_text, op12_token_align, op13_simhash)
+    for f in (op1_lm_scoring, op2_toxicity, op3_suffix_dedup, op4_quality_rules, quality_rule_ablations, op5_ngram_join, op6_mixing, mixing_languages_by_entropy, mixing_languages_by_repeats, op7_decontamination, op8_license_scan, license_inheritance, op9_quality_classifier, op10_html_text, op11_conversation_repair, op12_token_align, op13_simhash)
 }
 
