@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +105,7 @@ def load(folder: str) -> Tokenizers:
 
 def _ends(ids: list[list[int]], length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, text number, end byte over all texts) of the tokens of several texts."""
-    flat = np.fromiter((i for x in ids for i in x), dtype=np.int64, count=sum(map(len, ids)))
+    flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=sum(map(len, ids)))
     return flat, np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.cumsum(length[flat])
 
 
