@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.checks import check_rows
 from ..functions.columns import ratio
+from .blocks import attach, pair_sums
 
 
 def _demeaned(returns: DataFrame, keys: list[str]) -> DataFrame:
@@ -16,30 +18,33 @@ def _demeaned(returns: DataFrame, keys: list[str]) -> DataFrame:
     return returns.select(*keys, "t", "asset", (F.col("ret") - F.avg("ret").over(w)).alias("x"))
 
 
-def _pairs(panel: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
-    """All pairs a <= b at the same (keys, t): the panel is dealt once, by (keys, t), for both sides."""
-    on = [*keys, "t"]
-    dealt = panel.repartition(*on)
-    a = dealt.select(*on, F.col("asset").alias("a"), *[F.col(c).alias(f"{c}_a") for c in extra])
-    b = dealt.select(*on, F.col("asset").alias("b"), *[F.col(c).alias(f"{c}_b") for c in extra])
-    return a.join(b, on).where("a <= b")
+def pair_moments(returns: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., a, b, n, s11, s22, s31, s13): moments of demeaned values that the estimators share, by block products."""
+    products = {f"s{p}{q}": (("x", p), ("x", q)) for p, q in ((1, 1), (2, 2), (3, 1), (1, 3))}
+    return pair_sums(_demeaned(returns.where("ret IS NOT NULL"), keys), keys, ["x"], products)
 
 
-def pair_moments(returns: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys.., a, b, n, s11, s22, s31, s13): moments of demeaned values that the estimators share."""
-    p = _pairs(_demeaned(returns, keys), keys, ["x"])
-    x, y = F.col("x_a"), F.col("x_b")
-    return p.groupBy(*keys, "a", "b").agg(
-        F.count("*").alias("n"), F.sum(x * y).alias("s11"), F.sum(x * x * y * y).alias("s22"), F.sum(x * x * x * y).alias("s31"), F.sum(x * y * y * y).alias("s13")
-    )
+def panel_checks(returns: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., asset, rule): assets without a value at some t of their key, and assets that do not vary.
+
+    The shrinkage estimators (E3 to E7) need panels without the first, E7 without the second.
+    """
+    per = returns.groupBy(*keys, "asset").agg(F.count("ret").alias("n"), F.min("ret").alias("lo"), F.max("ret").alias("hi"))
+    times = returns.select(*keys, "t").distinct().groupBy(*keys).agg(F.count("*").alias("times"))
+    return check_rows(attach(per, times, keys), {"incomplete": F.col("n") < F.col("times"), "no_variance": F.col("lo").eqNullSafe(F.col("hi"))}, [*keys, "asset"])
+
+
+def _joint(returns: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums over the common rows of each pair, values demeaned by asset."""
+    products = {f"s{p}{q}": (("x", p), ("x", q)) for p, q in ((1, 1), (1, 0), (0, 1), (2, 0), (0, 2))}
+    return pair_sums(_demeaned(returns.where("ret IS NOT NULL"), keys), keys, ["x"], products)
 
 
 def cov_diagonal(returns: DataFrame, keys: list[str], shrinkage: float = 0.2, annualization: float = 252.0) -> DataFrame:
     """Pairwise-complete sample covariance; off-diagonals shrunk toward zero. Pairs need two joint rows."""
-    p = _pairs(returns.where("ret IS NOT NULL"), keys, ["ret"])
-    out = p.groupBy(*keys, "a", "b").agg(F.count("*").alias("n"), F.covar_samp("ret_a", "ret_b").alias("c"))
+    out = _joint(returns, keys).where("n >= 2").withColumn("c", (F.col("s11") - F.col("s10") * F.col("s01") / F.col("n")) / (F.col("n") - 1))
     scale = F.when(F.col("a") == F.col("b"), F.lit(annualization)).otherwise(F.lit(annualization * (1 - shrinkage)))
-    return out.where("n >= 2").select(*keys, "a", "b", "n", (F.col("c") * scale).alias("value"))
+    return out.select(*keys, "a", "b", "n", (F.col("c") * scale).alias("value"))
 
 
 def _traces(moments: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,12 +59,8 @@ def _traces(moments: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _attach(moments: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
-    return moments.join(per_key, keys) if keys else moments.crossJoin(per_key)
-
-
 def _toward_identity(moments: DataFrame, intensities: DataFrame, keys: list[str], annualization: float) -> DataFrame:
-    j = _attach(moments, intensities.select(*keys, "n_obs", "n_assets", "tr", "intensity"), keys)
+    j = attach(moments, intensities.select(*keys, "n_obs", "n_assets", "tr", "intensity"), keys)
     s, mu = F.col("s11") / F.col("n"), F.col("tr") / F.col("n_assets")
     target = F.when(F.col("a") == F.col("b"), mu).otherwise(0.0)
     value = ((1 - F.col("intensity")) * s + F.col("intensity") * target) * annualization
@@ -71,7 +72,7 @@ def cov_ledoit_wolf(returns: DataFrame, keys: list[str], annualization: float =
     m = pair_moments(returns, keys) if moments is None else moments
     rows = _demeaned(returns, keys).groupBy(*keys, "t").agg(F.sum(F.col("x") * F.col("x")).alias("q"))
     fourth = rows.groupBy(*keys).agg(F.sum(F.col("q") * F.col("q")).alias("q2"))
-    t = _attach(_traces(m, keys), fourth, keys)
+    t = attach(_traces(m, keys), fourth, keys)
     mu = F.col("tr") / F.col("n_assets")
     beta = (F.col("q2") / F.col("n_obs") - F.col("fro")) / (F.col("n_assets") * F.col("n_obs"))
     delta = (F.col("fro") - 2 * mu * F.col("tr") + F.col("n_assets") * mu * mu) / F.col("n_assets")
@@ -97,7 +98,7 @@ def cov_constant_correlation(returns: DataFrame, keys: list[str], annualization:
     j = j.withColumn("s", F.col("s11") / F.col("n")).withColumn("root", F.sqrt(F.col("va") * F.col("vb")))
     off = F.col("a") < F.col("b")
     mean = j.groupBy(*keys).agg(F.avg(F.when(off, ratio(F.col("s"), F.col("root")))).alias("rbar"))
-    j = _attach(j, mean, keys)
+    j = attach(j, mean, keys)
     target = F.when(off, F.col("rbar") * F.col("root")).otherwise(F.col("s"))
     pi = F.col("s22") / F.col("n") - F.col("s") ** 2
     up = F.col("s31") / F.col("n") - F.col("va") * F.col("s")
@@ -111,7 +112,7 @@ def cov_constant_correlation(returns: DataFrame, keys: list[str], annualization:
         F.sum(F.when(off, 2 * gap).otherwise(gap)).alias("gamma"),
     )
     k = F.when(F.col("gamma") > 0, (F.col("phi") - F.col("rho")) / F.when(F.col("gamma") > 0, F.col("gamma")) / F.col("n_obs")).otherwise(0.0)
-    out = _attach(j.withColumn("target", target), per.select(*keys, F.least(F.greatest(k, F.lit(0.0)), F.lit(1.0)).alias("intensity")), keys)
+    out = attach(j.withColumn("target", target), per.select(*keys, F.least(F.greatest(k, F.lit(0.0)), F.lit(1.0)).alias("intensity")), keys)
     return out.select(*keys, "a", "b", (((1 - F.col("intensity")) * F.col("s") + F.col("intensity") * F.col("target")) * annualization).alias("value"), "intensity")
 
 
@@ -119,8 +120,9 @@ def cov_ewma(returns: DataFrame, keys: list[str], decay: float = 0.94, annualiza
     """Exponentially weighted second moments, no demeaning, weights adding to one."""
     w = Window.partitionBy(*keys, "asset").orderBy(F.col("t").desc())
     aged = returns.withColumn("u", F.pow(F.lit(decay), F.row_number().over(w) - 1))
-    p = _pairs(aged.select(*keys, "t", "asset", "ret", "u"), keys, ["ret", "u"])
-    return p.groupBy(*keys, "a", "b").agg((F.sum(F.col("u_a") * F.col("ret_a") * F.col("ret_b")) / F.sum("u_a") * annualization).alias("value"))
+    aged = aged.select(*keys, "t", "asset", "ret", "u", (F.col("u") * F.col("ret")).alias("v"))
+    p = pair_sums(aged, keys, ["ret", "u", "v"], {"top": (("v", 1), ("ret", 1)), "low": (("u", 1), ("ret", 0))})
+    return p.select(*keys, "a", "b", (F.col("top") / F.col("low") * annualization).alias("value"))
 
 
 def cov_factor(loadings: DataFrame, factor_cov: DataFrame, specific: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -144,9 +146,10 @@ def factored_variance(weights: DataFrame, loadings: DataFrame, factor_cov: DataF
 
 def correlation_matrix(returns: DataFrame, keys: list[str]) -> DataFrame:
     """(keys.., a, b, value): Pearson; null where a side is constant."""
-    p = _pairs(returns.where("ret IS NOT NULL"), keys, ["ret"])
-    g = p.groupBy(*keys, "a", "b").agg(F.covar_samp("ret_a", "ret_b").alias("c"), F.stddev_samp("ret_a").alias("sa"), F.stddev_samp("ret_b").alias("sb"))
-    return g.select(*keys, "a", "b", ratio(F.col("c"), F.col("sa") * F.col("sb")).alias("value"))
+    spread = lambda square, total: F.col(square) - F.col(total) ** 2 / F.col("n")
+    varies = lambda square, total: F.when(spread(square, total) > 1e-13 * F.col(square), spread(square, total))
+    root = F.sqrt(varies("s20", "s10") * varies("s02", "s01"))
+    return _joint(returns, keys).select(*keys, "a", "b", ((F.col("s11") - F.col("s10") * F.col("s01") / F.col("n")) / root).alias("value"))
 
 
 def _sigma_w(weights: DataFrame, cov: DataFrame, keys: list[str], cov_keys: list[str], value: str = "weight") -> DataFrame:

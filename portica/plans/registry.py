@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..shipping import ship
 from .prep import Tables, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +25,7 @@ def query(name: str, text: str = "", whole: str = "", real: str = "", sql: str =
 
     def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(Tables(spark, sf_dir))
+            df = f(Tables(ship(spark), sf_dir))
             return df.select(*as_is, *[F.col(c).cast("bigint").alias(c) for c in whole_], *[(F.round(F.col(c).cast("double") * scale + OFF_HALF) / scale + F.lit(0.0)).alias(c) for c in real_])
 
         run.__name__, run.__doc__ = name, f.__doc__

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..shared import remove, saved, shared_folder
 from ..sources import readers, sinks
 from .prep import Tables
 from .registry import query
 
 
-def _place(t: Tables) -> str:
-    """A new place in the folder that driver and executors share; what is written there stays, as the result reads it."""
-    return f"{sinks.shared_folder(t.spark)}/reports-{uuid.uuid4().hex}"
+def _read_back(t: Tables, f: Callable[[str], DataFrame]) -> DataFrame:
+    """What f writes to a new place in the shared folder and reads from there; the files go once the rows are saved."""
+    place = f"{shared_folder(t.spark)}/reports-{uuid.uuid4().hex}"
+    rows = saved(f(place))
+    remove(t.spark, place)
+    return rows
 
 
 # Symbols with leading zeros, and one that spells a missing value.
@@ -22,13 +27,13 @@ _SYMBOLS = "SELECT CASE WHEN p_partkey = 1 THEN 'NA' ELSE LPAD(CAST(p_partkey AS
 
 @query("a1_read_symbol_table", text="symbol", real="price", digits=2, sql=_SYMBOLS)
 def _(t: Tables) -> DataFrame:
-    return readers.read_symbol_table(t.spark, sinks.write_artifacts(t.sql(_SYMBOLS), _place(t), "csv"), ["price"])
+    return _read_back(t, lambda place: readers.read_symbol_table(t.spark, sinks.write_artifacts(t.sql(_SYMBOLS), place, "csv"), ["price"]))
 
 
 @query("a2_read_nav", text="book obs_time", real="nav", digits=2, sql="SELECT 'all' AS book, obs_time, SUM(nav) AS nav FROM {book_nav} GROUP BY obs_time")
 def _(t: Tables) -> DataFrame:
     total = t.sql("SELECT obs_time AS date, SUM(nav) AS nav FROM {book_nav} GROUP BY obs_time")
-    nav = readers.read_nav(t.spark, sinks.write_artifacts(total, _place(t), "csv"), "all")
+    nav = _read_back(t, lambda place: readers.read_nav(t.spark, sinks.write_artifacts(total, place, "csv"), "all"))
     return nav.withColumn("obs_time", F.to_date("obs_time"))
 
 
@@ -46,23 +51,25 @@ _TOTALS = "\nUNION ALL ".join(f"SELECT '{name}' AS file, CAST(account_id AS VARC
 
 @query("a4_read_statement", text="file account_id", whole="n", real="total", digits=2, sql=_TOTALS)
 def _(t: Tables) -> DataFrame:
-    place, out = _place(t), []
-    for name, text in _FILES.items():
-        sinks.write_artifacts(t.sql(text), f"{place}/{name}.csv", "csv")
-    for name, df in readers.read_statement(t.spark, place, "unknown").items():
-        out.append(df.groupBy("account_id").agg(F.count("*").alias("n"), F.sum(_AMOUNTS[name]).alias("total")).select(F.lit(name).alias("file"), "account_id", "n", "total"))
-    first, *others = out
-    for df in others:
-        first = first.union(df)
-    return first
+    def totals(place: str) -> DataFrame:
+        out = []
+        for name, text in _FILES.items():
+            sinks.write_artifacts(t.sql(text), f"{place}/{name}.csv", "csv")
+        for name, df in readers.read_statement(t.spark, place, "unknown").items():
+            out.append(df.groupBy("account_id").agg(F.count("*").alias("n"), F.sum(_AMOUNTS[name]).alias("total")).select(F.lit(name).alias("file"), "account_id", "n", "total"))
+        first, *others = out
+        for df in others:
+            first = first.union(df)
+        return first
+
+    return _read_back(t, totals)
 
 
 @query("a6_publish_json", text="book symbol obs_time", real="weight", sql="SELECT book, symbol, obs_time, weight FROM {book_holdings}")
 def _(t: Tables) -> DataFrame:
-    place = sinks.publish_json(t.book_holdings, _place(t))
-    return t.spark.read.schema("book string, symbol string, obs_time date, weight double").json(place)
+    return _read_back(t, lambda place: t.spark.read.schema("book string, symbol string, obs_time date, weight double").json(sinks.publish_json(t.book_holdings, place)))
 
 
 @query("a7_write_artifacts", text="asset t", real="px", sql="SELECT asset, t, px FROM {px_month}")
 def _(t: Tables) -> DataFrame:
-    return t.spark.read.parquet(sinks.write_artifacts(t.px_month, _place(t)))
+    return _read_back(t, lambda place: t.spark.read.parquet(sinks.write_artifacts(t.px_month, place)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import covariance, risk, signals, targets
+from ..operators import covariance, risk, signals, spectrum, targets
 from .pit_queries import _LABELS, _YEARS, _labels
 from .prep import Tables
 from .registry import query
@@ -79,6 +79,27 @@ def _(t: Tables) -> DataFrame:
 _COR = "SELECT a.asset AS a, b.asset AS b, COVAR_SAMP(a.ret, b.ret) / NULLIF(STDDEV_SAMP(a.ret) * STDDEV_SAMP(b.ret), 0) AS value FROM {ret_small} a JOIN {ret_small} b ON a.t = b.t AND a.asset <= b.asset GROUP BY 1, 2"
 
 
+_VECTORS = "SELECT asset, factor AS t, x AS ret FROM {loadings}"
+
+
+@query("e7_random_matrix", whole="a b n_signals", real="value", digits=6)
+def _(t: Tables) -> DataFrame:
+    """All vectors as assets, their elements as times: more assets than times."""
+    return spectrum.cov_random_matrix(t.sql(_VECTORS), [])
+
+
+@query("e7_cleaned_variances", whole="a", real="value", digits=8, sql=f"SELECT asset AS a, VAR_POP(ret) * 252 AS value FROM ({_VECTORS}) v GROUP BY asset")
+def _(t: Tables) -> DataFrame:
+    """The diagonal of the cleaned covariance: own variances, as its correlations are one there."""
+    return spectrum.cov_random_matrix(t.sql(_VECTORS), []).where("a = b")
+
+
+@query("panel_checks", text="asset rule", sql="SELECT asset, 'incomplete' AS rule FROM {ret_month} GROUP BY asset HAVING COUNT(ret) < (SELECT COUNT(DISTINCT t) FROM {ret_month})")
+def _(t: Tables) -> DataFrame:
+    """Assets of the monthly panel with gaps."""
+    return covariance.panel_checks(t.ret_month, [])
+
+
 @query("e9_correlation", text="a b", real="value", digits=9, sql=_COR)
 def _(t: Tables) -> DataFrame:
     return covariance.correlation_matrix(t.ret_small, [])
