@@ -120,32 +120,55 @@ def overlap_check(obs: DataFrame, keys: list[str]) -> DataFrame:
     return obs.select(*keys, "start", "end").distinct().withColumn("previous_end", F.lag("end").over(w)).where("previous_end > start")
 
 
-def rolling_asof_history(obs: DataFrame, decisions: DataFrame, lookback: int, min_obs: int, n_names: int, name: str = "sleeve", key: str = "study", max_span_days: int | None = None) -> DataFrame:
+def _while_valid(rows: DataFrame, decisions: DataFrame, keys: list[str], bucket_days: int) -> DataFrame:
+    """`rows` with each decision_at of their key from `_from` on and before `_until`, where that is not null.
+
+    Both sides meet by buckets of time, so the join has equal keys; an interval costs a row for each bucket it reaches.
+    """
+    number = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / (bucket_days * 86_400_000_000))
+    asked = decisions.select(*keys, "decision_at").distinct()
+    last = asked.agg(F.max("decision_at")).scalar()
+    dealt = rows.where((F.col("_from") <= last) & (F.col("_until").isNull() | (F.col("_from") < F.col("_until"))))
+    dealt = dealt.withColumn("_bucket", F.explode(F.sequence(number(F.col("_from")), number(F.least(F.coalesce("_until", last), last)))))
+    met = dealt.join(asked.withColumn("_bucket", number(F.col("decision_at"))), [*keys, "_bucket"])
+    within = (F.col("decision_at") >= F.col("_from")) & (F.col("_until").isNull() | (F.col("decision_at") < F.col("_until")))
+    return met.where(within).drop("_bucket", "_from", "_until")
+
+
+def rolling_asof_history(obs: DataFrame, decisions: DataFrame, lookback: int, min_obs: int, n_names: int, name: str = "sleeve", key: str = "study", max_span_days: int | None = None, bucket_days: int = 92) -> DataFrame:
     """(key, decision_at, sleeve, start, end, value.., n_periods, status): the window each decision could see.
 
-    Everything ends and is available by the decision. `max_span_days`, if the calendar allows one, bounds the
-    range join.
+    Everything ends and is available by the decision. A period is complete from the instant at which its last name is
+    first known, and out of every window once `lookback` later ones are complete, so a decision meets little
+    more than its window. `max_span_days` leaves out periods that start longer before the decision.
     """
-    o, d = obs.alias("o"), decisions.alias("d")
-    on = (F.col(f"o.{key}") == F.col(f"d.{key}")) & (F.col("o.end") <= F.col("d.decision_at")) & (F.col("o.available_at") <= F.col("d.decision_at"))
+    period = [key, "start", "end"]
+    known = obs.groupBy(*period, name).agg(F.min("available_at").alias("_known"))
+    full = known.groupBy(*period).agg(F.max("_known").alias("_known"), F.count("*").alias("_n")).where(F.col("_n") >= n_names)
+    full = full.select(*period, F.greatest("end", "_known").alias("_from"))
+    later = Window.partitionBy(key).orderBy("start", "end").rowsBetween(1, lookback)
+    spans = full.withColumn("_until", F.when(F.count("*").over(later) == lookback, F.max("_from").over(later)))
+    met = _while_valid(spans, decisions, [key], bucket_days)
     if max_span_days is not None:
-        on = on & (F.col("o.start") >= F.col("d.decision_at") - F.make_dt_interval(F.lit(max_span_days)))
-    seen = o.join(d, on).select("o.*", "d.decision_at")
-    last = _latest(seen, [key, "decision_at", name, "start", "end"], [F.col("vintage").desc()])
-    full = align_complete_periods(last, n_names, name, [key, "decision_at"])
+        met = met.where(F.col("start") >= F.col("decision_at") - F.make_dt_interval(F.lit(max_span_days)))
     w = Window.partitionBy(key, "decision_at").orderBy(F.col("start").desc(), F.col("end").desc())
-    cut = full.withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= lookback).drop("_r")
     all_ = Window.partitionBy(key, "decision_at")
-    n = F.size(F.collect_set(F.struct("start", "end")).over(all_)).cast("long")
-    return cut.withColumn("n_periods", n).withColumn("status", F.when(F.col("n_periods") < min_obs, "too_few").otherwise("ok"))
+    cut = met.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= lookback).withColumn("n_periods", F.count("*").over(all_)).drop("_r")
+    seen = cut.join(obs, period).where(F.col("available_at") <= F.col("decision_at"))
+    rows = _latest(seen, [*period, "decision_at", name], [F.col("vintage").desc()])
+    return rows.select(*obs.columns, "decision_at", "n_periods", F.when(F.col("n_periods") < min_obs, "too_few").otherwise("ok").alias("status"))
+
 
+def mature_labels(labels: DataFrame, decisions: DataFrame, horizon: int, bucket_days: int = 31) -> DataFrame:
+    """Labels that a decision may use: known, ended and signalled before it; last revision by (signal_at, asset).
 
-def mature_labels(labels: DataFrame, decisions: DataFrame, horizon: int) -> DataFrame:
-    """Labels that a decision may use: known, ended and signalled before it; last revision by (signal_at, asset)."""
-    sane = labels.where((F.col("label_end") > F.col("signal_at")) & (F.col("available_at") >= F.col("label_end")) & (F.col("horizon_sessions") == horizon)).alias("l")
-    d = decisions.alias("d")
-    seen = sane.join(d, (F.col("l.available_at") <= F.col("d.decision_at")) & (F.col("l.label_end") <= F.col("d.decision_at")) & (F.col("l.signal_at") < F.col("d.decision_at")))
-    return _latest(seen.select("d.decision_at", "l.*"), ["decision_at", "signal_at", "asset"], [F.col("available_at").desc()])
+    A revision holds from the instant at which it is known and ended to that of a later one, so each decision meets
+    only the revision that it uses.
+    """
+    sane = labels.where((F.col("label_end") > F.col("signal_at")) & (F.col("available_at") >= F.col("label_end")) & (F.col("horizon_sessions") == horizon))
+    later = Window.partitionBy("signal_at", "asset").orderBy("available_at", "label_end").rowsBetween(1, Window.unboundedFollowing)
+    held = sane.withColumn("_from", F.greatest("available_at", "label_end"))
+    return _while_valid(held.withColumn("_until", F.min("_from").over(later)), decisions, [], bucket_days).select("decision_at", *labels.columns)
 
 
 def non_overlapping_periods(periods: DataFrame, lookback: int, keys: list[str]) -> DataFrame:

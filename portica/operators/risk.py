@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import ratio
+from .blocks import attach
 from .covariance import portfolio_variance
 
 
@@ -34,21 +35,48 @@ def wealth_drawdown(equity: DataFrame, keys: list[str], opening: float | None =
     return equity.withColumn("drawdown", F.col("equity") / peak - 1)
 
 
-def _tail(losses: DataFrame, keys: list[str], beta: float, rank: Column) -> DataFrame:
-    """q + mean(max(l - q, 0)) / (1 - beta), where q is the order statistic of the given rank."""
-    w = Window.partitionBy(*keys)
-    ranked = losses.withColumn("_r", F.row_number().over(w.orderBy("loss"))).withColumn("_n", F.count("*").over(w))
-    q = ranked.withColumn("_q", F.max(F.when(F.col("_r") == rank, F.col("loss"))).over(w))
-    return q.groupBy(*keys).agg(F.first("_q").alias("var"), (F.first("_q") + F.avg(F.greatest(F.col("loss") - F.col("_q"), F.lit(0.0))) / (1 - beta)).alias("value"))
+#: Rank error of the first brackets of an order statistic, as a share of a key's rows: one in ACCURACY.
+ACCURACY = 10_000
 
 
-def cvar(losses: DataFrame, keys: list[str], beta: float) -> DataFrame:
-    """(keys.., var, value): the least of the Rockafellar-Uryasev form, attained at order statistic ceil(n beta).
+def order_statistic(values: DataFrame, keys: list[str], rank: Column, share: float, column: str = "loss") -> DataFrame:
+    """(keys.., value): the value of a rank, from 1, in each key; `rank` is an expression of `_n`, a key's values, near share * _n.
 
-    The quantile comes from an aggregate, so a key with many losses is not sorted by one task.
+    A sketch of fixed size brackets the value; exact counts say whether it is one of the two ends, which may be
+    tied however often, or between which of them it lies. Only rows there, a few thousandths of a percent of a large
+    key, are put in order, so no task holds or sorts a key. Nulls are left out.
     """
-    q = losses.groupBy(*keys).agg(F.expr(f"percentile_disc({beta}) WITHIN GROUP (ORDER BY loss)").alias("var"))
-    return losses.join(q, keys).groupBy(*keys).agg(F.first("var").alias("var"), (F.first("var") + F.avg(F.greatest(F.col("loss") - F.col("var"), F.lit(0.0))) / (1 - beta)).alias("value"))
+    rows = values.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_x"))
+    shares = [max(share - 2 / ACCURACY, 0.0), min(share + 2 / ACCURACY, 1.0)]
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", shares, ACCURACY).alias("_e"))
+    ends = ends.select(*keys, rank.cast("long").alias("_rank"), F.col("_e")[0].alias("_lo"), F.col("_e")[1].alias("_hi"))
+    x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
+    place = F.when(x < lo, 0).when(x == lo, 1).when(x < hi, 2).when(x == hi, 3).otherwise(4)
+    placed = attach(rows, ends, keys).withColumn("_place", place)
+    counts = placed.groupBy(*keys).agg(F.max("_rank").alias("_rank"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), *[F.sum(F.when(F.col("_place") == p, 1).otherwise(0)).alias(f"_c{p}") for p in range(5)])
+    before = [F.lit(0).cast("long")]
+    for p in range(4):
+        before.append(before[-1] + F.col(f"_c{p}"))
+    where_, skipped = F.lit(4), before[4]
+    for p in range(3, -1, -1):
+        inside = F.col("_rank") <= before[p + 1]
+        where_, skipped = F.when(inside, p).otherwise(where_), F.when(inside, before[p]).otherwise(skipped)
+    asked = counts.select(*keys, where_.alias("_where"), (F.col("_rank") - skipped).alias("_left"), F.col("_lo"), F.col("_hi"))
+    tied = asked.where("_where IN (1, 3)").select(*keys, F.when(F.col("_where") == 1, F.col("_lo")).otherwise(F.col("_hi")).alias("value"))
+    few = attach(placed.drop("_rank", "_lo", "_hi"), asked.where("_where NOT IN (1, 3)").select(*keys, "_where", "_left"), keys).where("_place = _where")
+    order = Window.partitionBy(*keys).orderBy("_x")
+    return tied.union(few.withColumn("_r", F.row_number().over(order)).where("_r = _left").select(*keys, F.col("_x").alias("value")))
+
+
+def _tail(losses: DataFrame, keys: list[str], beta: float, rank: Column) -> DataFrame:
+    """(keys.., var, value): q + mean(max(l - q, 0)) / (1 - beta), where q is the order statistic of the given rank."""
+    q = order_statistic(losses, keys, rank, beta).withColumnRenamed("value", "var")
+    return attach(losses, q, keys).groupBy(*keys).agg(F.first("var").alias("var"), (F.first("var") + F.avg(F.greatest(F.col("loss") - F.col("var"), F.lit(0.0))) / (1 - beta)).alias("value"))
+
+
+def cvar(losses: DataFrame, keys: list[str], beta: float) -> DataFrame:
+    """(keys.., var, value): the least of the Rockafellar-Uryasev form, attained at order statistic ceil(n beta)."""
+    return _tail(losses, keys, beta, F.greatest(F.ceil(F.round(F.col("_n") * beta, 9)), F.lit(1)))
 
 
 def cdar(pnl: DataFrame, keys: list[str], beta: float, quantile_rule: str = "higher", order: str = "scenario_no") -> DataFrame:
@@ -56,7 +84,7 @@ def cdar(pnl: DataFrame, keys: list[str], beta: float, quantile_rule: str = "hig
     losses = drawdown_path(pnl, keys, order).select(*keys, F.col("drawdown").alias("loss"))
     if quantile_rule == "minimum":
         return cvar(losses, keys, beta)
-    return _tail(losses, keys, beta, F.ceil(F.round((F.col("_n") - 1) * beta, 9)) + 1)
+    return _tail(losses, keys, beta, F.least(F.ceil(F.round((F.col("_n") - 1) * beta, 9)) + 1, F.col("_n")))
 
 
 def evar(losses: DataFrame, keys: list[str], beta: float, points: int = 40, rounds: int = 3) -> DataFrame:
