@@ -11,6 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..shared import saved, shared_folder
+
+__all__ = ["Sender", "deal", "from_six", "hashable", "pack", "read_all", "rows", "saved", "shared_folder", "six", "targets", "unpack"]
+
 SCHEMA = "part int, payload binary"
 ARROW = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
 FLUSH_BYTES = 12 << 20
@@ -112,22 +116,3 @@ def read_all(batches, owner_kinds: list, entry_kinds: list) -> tuple[list[np.nda
 def hashable(df: DataFrame, name: str) -> Column:
     """A column in a form that Spark can hash: maps as JSON."""
     return F.to_json(F.struct(df[name])) if "map<" in df.schema[name].dataType.simpleString() else df[name]
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or what the session's context has set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder and spark.sparkContext.master.startswith("local["):
-        # One process has no executors elsewhere: the warehouse folder serves.
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder, with the lineage cut; survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
