@@ -52,6 +52,11 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
+def flow_share(amount: Column, volume: Column) -> Column:
+    """An amount as a share of the volume it trades in: 0 for nothing, infinite where there is no volume."""
+    return F.when(amount == 0, 0.0).when(volume > 0, amount / F.when(volume > 0, volume)).when(volume <= 0, float("inf"))
+
+
 def observation_time(text: Column) -> Column:
     """A lenient instant: a date means the end of that UTC day, a stamp without a zone is UTC."""
     day = text.rlike(r"^\d{4}-\d{2}-\d{2}$")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.columns import flow_share
+
 TOLERANCE = 1e-7
 
 
@@ -79,12 +81,12 @@ def cross_asset_report(targets: DataFrame, accounts: DataFrame, limits: dict[str
         F.sum("weight").alias("net"),
         F.sum(F.abs(d)).alias("turnover"),
         F.sum(F.col("_q") * F.col("linear_rate")).alias("linear_cost"),
-        F.sum(F.col("_q") * F.col("impact_coef") * F.col("volatility") * F.sqrt(F.col("_q") / F.col("adv"))).alias("impact_cost"),
+        F.sum(F.when(F.col("_q") == 0, 0.0).otherwise(F.col("_q") * F.col("impact_coef") * F.col("volatility") * F.sqrt(flow_share(F.col("_q"), F.col("adv"))))).alias("impact_cost"),
         F.sum(F.abs("weight") * F.col("initial_margin")).alias("initial_margin_use"),
         F.sum(F.abs("weight") * F.col("maintenance_margin")).alias("maintenance_margin_use"),
         (F.max("cash_value") - F.sum(F.when(settles, d * F.col("nav")).otherwise(0.0))).alias("_cash"),
-        F.max(F.col("_q") / F.col("adv")).alias("max_participation"),
-        (F.max(F.col("_q") / F.col("adv")) / limits.get("participation", 0.1)).alias("days_to_liquidate"),
+        F.max(flow_share(F.col("_q"), F.col("adv"))).alias("max_participation"),
+        (F.max(flow_share(F.col("_q"), F.col("adv"))) / limits.get("participation", 0.1)).alias("days_to_liquidate"),
     )
     r = r.withColumn("cash_residual", F.col("_cash") - F.col("linear_cost") - F.col("impact_cost")).drop("_cash")
     at_most = {"gross": "gross", "max_net": "net", "turnover": "turnover", "participation": "max_participation", "days_to_liquidate": "days_to_liquidate", "initial_margin_use": "initial_margin_use", "maintenance_margin_use": "maintenance_margin_use"}

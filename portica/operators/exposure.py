@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.columns import ratio
+from ..shared import Scratch, saved
+from .pit import greatest_so_far
+
 
 def book_budgets(books: DataFrame, keys: list[str]) -> DataFrame:
-    """`books` has nav, weight and position_scale: capital share, budget and cash by book, and the total NAV."""
+    """`books` has nav, weight and position_scale: capital share, budget and cash by book, and the total NAV.
+
+    Status: ok, or no_weight where the weights of a key sum to nothing, so that there are no shares.
+    """
     w = Window.partitionBy(*keys)
-    capital = F.col("weight") / F.sum("weight").over(w)
+    capital = ratio(F.col("weight"), F.sum("weight").over(w))
     out = books.withColumn("capital_weight", capital)
     return (
         out.withColumn("budget_weight", F.col("capital_weight") * F.col("position_scale"))
         .withColumn("cash_weight", F.col("capital_weight") - F.col("budget_weight"))
         .withColumn("total_nav", F.sum(F.col("nav") * F.col("capital_weight")).over(w))
+        .withColumn("status", F.when(F.col("capital_weight").isNull(), "no_weight").otherwise("ok"))
     )
 
 
@@ -74,40 +82,46 @@ def shifted_factor_bounds(bounds: DataFrame, benchmark: DataFrame, loadings: Dat
 
 
 def fund_look_through(weights: DataFrame, disclosures: DataFrame, keys: list[str], max_depth: int = 8, max_age_days: int = 180) -> tuple[DataFrame, DataFrame]:
-    """(exposures, totals): funds expanded to what they hold, level by level.
+    """(exposures, totals): funds expanded to what they hold, level by level, until a level holds no fund.
 
     `weights(keys.., at, instrument_id, weight)`; `disclosures(fund_id, holding_date, available_at,
     instrument_id, weight)`. A fund is known through its latest disclosure that is available and fresh at
-    `at`, in the last revision of that holding date. Branches that are stale, circular or too deep, and what a fund does not disclose, stay unknown.
+    `at`, in the last revision of that holding date. Branches that are stale, circular or too deep, and what a fund
+    does not disclose, stay unknown. Each level is a table written to the shared folder, so there are as many
+    jobs as the data are deep; only funds that a level holds look for their editions.
     """
-    at = weights.select("at").distinct()
-    editions = disclosures.select("fund_id", "holding_date", "available_at").distinct()
-    seen = editions.crossJoin(at).where("available_at <= at").groupBy("at", "fund_id").agg(F.max(F.struct("holding_date", "available_at")).alias("_last"))
-    seen = seen.select("at", "fund_id", "_last.*").join(disclosures, ["fund_id", "holding_date", "available_at"])
-    fresh = seen.where(F.datediff("at", "holding_date") <= max_age_days).groupBy("at", "fund_id", "instrument_id").agg(F.sum("weight").alias("part"))
     funds = disclosures.select(F.col("fund_id").alias("instrument_id")).distinct().withColumn("is_fund", F.lit(True))
-    level = weights.select(*keys, "at", "instrument_id", "weight", F.array(F.col("instrument_id")).alias("path"))
-    leaves, unknown = [], []
-    for depth in range(max_depth + 1):
-        marked = level.join(funds, "instrument_id", "left")
-        leaves.append(marked.where("is_fund IS NULL").select(*keys, "instrument_id", "weight"))
-        inside = marked.where("is_fund")
-        if depth == max_depth:
-            unknown.append(inside.select(*keys, "weight"))
-            break
-        opened = inside.withColumnRenamed("instrument_id", "fund_id")
-        told = fresh.groupBy("at", "fund_id").agg(F.sum("part").alias("told"))
-        rest = opened.join(told, ["at", "fund_id"], "left").select(*keys, (F.col("weight") * (1 - F.coalesce("told", F.lit(0.0)))).alias("weight"))
-        unknown.append(rest.where("weight <> 0"))
-        down = opened.join(fresh, ["at", "fund_id"]).select(*keys, "at", "instrument_id", (F.col("weight") * F.col("part")).alias("weight"), "path")
-        unknown.append(down.where(F.array_contains("path", F.col("instrument_id"))).select(*keys, "weight"))
-        level = down.where(~F.array_contains("path", F.col("instrument_id"))).withColumn("path", F.concat("path", F.array("instrument_id")))
-    known = leaves[0]
-    for x in leaves[1:]:
-        known = known.union(x)
-    dark = unknown[0]
-    for x in unknown[1:]:
-        dark = dark.union(x)
-    exposures = known.groupBy(*keys, "instrument_id").agg(F.sum("weight").alias("exposure"), F.count("*").alias("n_paths"))
-    totals = known.select(*keys, F.col("weight").alias("known"), F.lit(0.0).alias("unknown")).union(dark.select(*keys, F.lit(0.0), "weight"))
-    return exposures, totals.groupBy(*keys).agg(F.sum("known").alias("known_weight"), F.sum("unknown").alias("unknown_weight"))
+    schema = ", ".join(f"`{k}` {kind}" for k, kind in weights.select(*keys).dtypes) + ", instrument_id string, known double, unknown double"
+    with Scratch(weights.sparkSession) as scratch:
+        parts = [weights.sparkSession.createDataFrame([], schema)]
+
+        def tell(rows: DataFrame, known: str, unknown: str) -> None:
+            parts.append(rows.select(*keys, F.col("instrument_id").cast("string"), F.expr(known).cast("double").alias("known"), F.expr(unknown).cast("double").alias("unknown")))
+
+        level = weights.select(*keys, "at", "instrument_id", "weight", F.array("instrument_id").alias("path"))
+        for depth in range(max_depth + 1):
+            marked = scratch.put(level.join(funds, "instrument_id", "left"))
+            tell(marked.where("is_fund IS NULL"), "weight", "0.0")
+            opened = marked.where("is_fund").withColumn("fund_id", F.col("instrument_id"))
+            if opened.isEmpty():
+                break
+            if depth == max_depth:
+                tell(opened, "NULL", "weight")
+                break
+            asked = opened.select("fund_id", "at").distinct()
+            editions = disclosures.join(asked.select("fund_id").distinct(), "fund_id", "left_semi").select("fund_id", "holding_date", "available_at").distinct()
+            last = greatest_so_far(editions, asked, ["fund_id"], F.col("available_at"), F.struct("holding_date", "available_at"), "at").select("fund_id", "at", "found.*")
+            held = last.where(F.datediff("at", "holding_date") <= max_age_days).join(disclosures, ["fund_id", "holding_date", "available_at"])
+            fresh = scratch.put(held.groupBy("at", "fund_id", "instrument_id").agg(F.sum("weight").alias("part")))
+            told = fresh.groupBy("at", "fund_id").agg(F.sum("part").alias("told"))
+            tell(opened.join(told, ["at", "fund_id"], "left").withColumn("rest", F.col("weight") * (1 - F.coalesce("told", F.lit(0.0)))).where("rest <> 0"), "NULL", "rest")
+            down = opened.drop("instrument_id").join(fresh, ["at", "fund_id"]).withColumn("weight", F.col("weight") * F.col("part"))
+            met = F.array_contains("path", F.col("instrument_id"))
+            tell(down.where(met), "NULL", "weight")
+            level = down.where(~met).select(*keys, "at", "instrument_id", "weight", F.concat("path", F.array("instrument_id")).alias("path"))
+        rows, *others = parts
+        for more in others:
+            rows = rows.union(more)
+        rows = saved(rows)
+    exposures = rows.where("known IS NOT NULL").groupBy(*keys, "instrument_id").agg(F.sum("known").alias("exposure"), F.count("*").alias("n_paths"))
+    return exposures, rows.groupBy(*keys).agg(F.coalesce(F.sum("known"), F.lit(0.0)).alias("known_weight"), F.sum("unknown").alias("unknown_weight"))

@@ -7,24 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.checks import check_rows
+from ..functions.columns import ratio
+from .prefix import running_sums, time_bucket
 
 
 def toward_zero(x: Column, step: Column) -> Column:
-    return F.signum(x) * F.floor(F.abs(x) / step) * step
+    """Cut to whole steps; null where the step is not positive."""
+    return F.signum(x) * F.floor(F.abs(x) / F.when(step > 0, step)) * step
 
 
 def target_quantities(weights: DataFrame) -> DataFrame:
     """`weights(.., weight, nav, price, tick, multiplier, fx, step)` with unit value, quantity and realized weight.
 
     The price is floored to its tick and the quantity cut toward zero to its step; a price that rounds to zero is
-    an error status.
+    an error status, as is a tick or step that is not positive.
     """
-    out = weights.withColumn("rounded_price", F.floor(F.col("price") / F.col("tick")) * F.col("tick"))
+    out = weights.withColumn("rounded_price", F.floor(F.col("price") / F.when(F.col("tick") > 0, F.col("tick"))) * F.col("tick"))
     out = out.withColumn("unit", F.col("rounded_price") * F.col("multiplier") * F.col("fx"))
     ok = F.col("unit") > 0
     quantity = F.when(ok, toward_zero(F.col("weight") * F.col("nav") / F.when(ok, F.col("unit")), F.col("step")))
-    out = out.withColumn("quantity", quantity).withColumn("realized_weight", quantity * F.col("unit") / F.col("nav"))
-    return out.withColumn("status", F.when(ok, "ok").otherwise("zero_price"))
+    out = out.withColumn("quantity", quantity).withColumn("realized_weight", ratio(quantity * F.col("unit"), F.col("nav")))
+    bad = F.when(F.coalesce(F.least("tick", "step"), F.lit(0)) <= 0, "bad_step")
+    return out.withColumn("status", bad.when(ok, "ok").otherwise("zero_price"))
 
 
 def order_intents(targets: DataFrame, positions: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,22 +50,26 @@ def floor_to_lots(weights: DataFrame, keys: list[str]) -> DataFrame:
     """`weights(keys.., asset, weight, nav, price, lot, current_qty, max_buy, max_sell)` with quantity and residual cash.
 
     Trades are whole lots from the current quantity; where the target is zero, an odd remainder may be sold whole.
+    Status bad_price or bad_lot: not positive, so there is no trade and the quantity stays.
     """
-    want = F.floor(F.col("weight") * F.col("nav") / F.col("price"))
+    price, lot = F.when(F.col("price") > 0, F.col("price")), F.when(F.col("lot") > 0, F.col("lot"))
+    want = F.floor(F.col("weight") * F.col("nav") / price)
     gap = want - F.col("current_qty")
-    trade = F.when(gap >= 0, F.floor(F.least(gap, F.col("max_buy")) / F.col("lot")) * F.col("lot"))
+    trade = F.when(gap >= 0, F.floor(F.least(gap, F.col("max_buy")) / lot) * lot)
     sell = F.least(-gap, F.col("max_sell"))
     whole = (F.col("weight") == 0) & (F.col("max_sell") >= F.col("current_qty"))
-    trade = trade.otherwise(F.when(whole, -F.col("current_qty")).otherwise(-F.floor(sell / F.col("lot")) * F.col("lot")))
-    out = weights.withColumn("trade", trade.cast("long")).withColumn("quantity", (F.col("current_qty") + trade).cast("long"))
+    trade = trade.when(gap < 0, F.when(whole, -F.col("current_qty")).otherwise(-F.floor(sell / lot) * lot))
+    status = F.when(price.isNull(), "bad_price").when(lot.isNull(), "bad_lot").otherwise("ok")
+    trade = F.coalesce(F.when(price.isNotNull() & lot.isNotNull(), trade), F.lit(0))
+    out = weights.withColumn("trade", trade.cast("long")).withColumn("quantity", (F.col("current_qty") + trade).cast("long")).withColumn("status", status)
     held = F.sum(F.col("quantity") * F.col("price")).over(Window.partitionBy(*keys))
     return out.withColumn("residual_cash", F.col("nav") - held)
 
 
 def executable_weights(lots: DataFrame, keys: list[str], fee_rate: float) -> DataFrame:
-    """(keys.., asset, weight): what the quantities of `lots` weigh on the NAV after fees, for constraint_residuals."""
+    """(keys.., asset, weight): what the quantities of `lots` weigh on the NAV after fees, for constraint_residuals; null where that is 0."""
     fees = F.sum(F.abs("trade") * F.col("price") * fee_rate).over(Window.partitionBy(*keys))
-    return lots.select(*keys, "asset", (F.col("quantity") * F.col("price") / (F.col("nav") - fees)).alias("weight"))
+    return lots.select(*keys, "asset", ratio(F.col("quantity") * F.col("price"), F.col("nav") - fees).alias("weight"))
 
 
 def executable_audit(lots: DataFrame, keys: list[str], fee_rate: float, invested_cap: float = 1.0) -> DataFrame:
@@ -72,7 +80,7 @@ def executable_audit(lots: DataFrame, keys: list[str], fee_rate: float, invested
     `shortfall` is what of the cap stays uninvested.
     """
     fee = F.abs("trade") * F.col("price") * fee_rate
-    legal = (F.col("trade") % F.col("lot") == 0) | (F.col("quantity") == 0)
+    legal = (F.col("trade") == 0) | (F.col("quantity") == 0) | F.coalesce(F.col("trade") % F.when(F.col("lot") > 0, F.col("lot")) == 0, F.lit(False))
     held = F.col("quantity") * F.col("price")
     noncash = F.col("noncash") if "noncash" in lots.columns else F.lit(0.0)
     g = lots.groupBy(*keys).agg(
@@ -86,8 +94,8 @@ def executable_audit(lots: DataFrame, keys: list[str], fee_rate: float, invested
         F.sum(held * held).alias("_hh"),
         F.sum(F.when(legal, 0).otherwise(1)).alias("illegal_moves"),
     )
-    g = g.withColumn("nav_after", F.col("nav") - F.col("cost")).withColumn("shortfall", invested_cap - F.col("invested") / F.col("nav"))
-    g = g.withColumn("distance", F.col("_ww") - 2 * F.col("_wh") / F.col("nav_after") + F.col("_hh") / F.col("nav_after") / F.col("nav_after"))
+    g = g.withColumn("nav_after", F.col("nav") - F.col("cost")).withColumn("shortfall", invested_cap - ratio(F.col("invested"), F.col("nav")))
+    g = g.withColumn("distance", F.col("_ww") - 2 * ratio(F.col("_wh"), F.col("nav_after")) + ratio(ratio(F.col("_hh"), F.col("nav_after")), F.col("nav_after")))
     gap = F.abs(F.col("cash_after") + F.col("invested") + F.col("noncash") - F.col("nav_after"))
     status = (
         F.when(F.col("nav_after") <= 0, "nonpositive_nav").when(gap > F.col("nav") * 1e-9, "unbalanced").when(F.col("illegal_moves") > 0, "illegal_move")
@@ -153,8 +161,8 @@ def trade_proposals(
     cents = F.round(F.col("price") * 100 * F.when(F.col("buying"), 1 + slippage).otherwise(1 - slippage), 6)
     j = j.withColumn("execution_price", F.when(F.col("buying"), F.ceil(cents)).otherwise(F.floor(cents)) / 100)
     hundred = F.col("execution_price") * 100
-    lots = F.greatest(F.lit(0.0), F.least(F.floor((F.col("gap") - min_commission) / hundred), F.floor(F.col("gap") / (hundred * (1 + commission)))))
-    sold = F.ceil(F.round(-F.col("gap") / F.col("price") / 100, 9)) * 100
+    lots = F.greatest(F.lit(0.0), F.least(F.floor(ratio(F.col("gap") - min_commission, hundred)), F.floor(ratio(F.col("gap"), hundred * (1 + commission)))))
+    sold = F.ceil(F.round(ratio(-F.col("gap"), F.col("price")) / 100, 9)) * 100
     j = j.withColumn("delta", F.when(F.coalesce(F.col("gap"), F.lit(0.0)) == 0, 0.0).when(F.col("buying"), lots * 100).otherwise(-sold).cast("double"))
     odd = (F.col("delta") < 0) & (-F.col("delta") > F.col("quantity"))
     short = (F.col("delta") < 0) & ~odd & (-F.col("delta") > F.col("available"))
@@ -213,18 +221,18 @@ def build_event_schedule(cash_events: DataFrame, fx: DataFrame, marks: DataFrame
     return log, broken.union(again)
 
 
-def running_ledger(events: DataFrame, keys: list[str]) -> DataFrame:
+def running_ledger(events: DataFrame, keys: list[str], bucket_days: int = 366) -> DataFrame:
     """`events(keys.., at, sequence, symbol, quantity, price, fee, flow)` with position, cash, fees and flags after each.
 
     `quantity` is signed; `flow` is external cash. Cash and fees run over the account, the position over the symbol.
-    Decimals stay decimals: products are cut to eight places before they are added.
+    Decimals stay decimals: products are cut to eight places before they are added. An account is sorted in pieces
+    of `bucket_days`.
     """
-    w = Window.partitionBy(*keys).orderBy("at", "sequence").rowsBetween(Window.unboundedPreceding, 0)
-    one = Window.partitionBy(*keys, "symbol").orderBy("at", "sequence").rowsBetween(Window.unboundedPreceding, 0)
-    paid, money = F.col("quantity") * F.col("price"), _money(events)
+    paid, money, bucket = F.col("quantity") * F.col("price"), _money(events), time_bucket(F.col("at"), bucket_days)
     delta = money(F.coalesce("flow", F.lit(0))) - money(F.coalesce(paid, F.lit(0))) - money(F.coalesce("fee", F.lit(0)))
-    out = events.withColumn("position", F.sum(F.coalesce("quantity", F.lit(0))).over(one)).withColumn("cash", F.sum(money(delta)).over(w))
-    out = out.withColumn("fees", F.sum(F.coalesce("fee", F.lit(0))).over(w)).withColumn("flows", F.sum(F.coalesce("flow", F.lit(0))).over(w))
+    order = ["at", "sequence"]
+    out = running_sums(events, [*keys, "symbol"], order, {"position": F.coalesce("quantity", F.lit(0))}, bucket)
+    out = running_sums(out, keys, order, {"cash": money(delta), "fees": F.coalesce("fee", F.lit(0)), "flows": F.coalesce("flow", F.lit(0))}, bucket)
     return out.withColumn("negative_cash", F.col("cash") < 0).withColumn("short_position", F.col("position") < 0)
 
 
@@ -233,21 +241,21 @@ def _money(events: DataFrame):
     return lambda c: c.cast("decimal(28,8)") if exact else c
 
 
-def valued_ledger(events: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+def valued_ledger(events: DataFrame, marks: DataFrame, keys: list[str], bucket_days: int = 366) -> DataFrame:
     """running_ledger over `events` and `marks(keys.., at, sequence, symbol, price)`, with mark, value, unmarked and nav.
 
     A position counts at the last mark of its symbol. Each row changes one symbol's value only, so the account's
     value is a running sum of such changes. `unmarked` positions have no mark yet; while there are any, NAV is null.
     """
     both = events.unionByName(marks.select(*keys, "at", "sequence", "symbol", F.col("price").alias("mark")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("at", "sequence").rowsBetween(Window.unboundedPreceding, 0)
     one = Window.partitionBy(*keys, "symbol").orderBy("at", "sequence")
     money = _money(events)
     position = F.col("position").cast("decimal(20,8)") if dict(events.dtypes)["quantity"].startswith("decimal") else F.col("position")
-    out = running_ledger(both, keys).withColumn("mark", F.last("mark", True).over(one.rowsBetween(Window.unboundedPreceding, 0)))
+    out = running_ledger(both, keys, bucket_days).withColumn("mark", F.last("mark", True).over(one.rowsBetween(Window.unboundedPreceding, 0)))
     out = out.withColumn("_value", money(F.coalesce(position * F.col("mark"), F.lit(0)))).withColumn("_open", F.when((F.col("position") != 0) & F.col("mark").isNull(), 1).otherwise(0))
-    for total, part in (("value", "_value"), ("unmarked", "_open")):
-        out = out.withColumn(f"{part}_change", F.col(part) - F.coalesce(F.lag(part).over(one), F.lit(0))).withColumn(total, F.sum(f"{part}_change").over(w))
+    change = lambda part: F.col(part) - F.coalesce(F.lag(part).over(one), F.lit(0))
+    out = out.withColumns({"_value_change": change("_value"), "_open_change": change("_open")})
+    out = running_sums(out, keys, ["at", "sequence"], {"value": F.col("_value_change"), "unmarked": F.col("_open_change")}, time_bucket(F.col("at"), bucket_days))
     return out.withColumn("nav", F.when(F.col("unmarked") == 0, F.col("cash") + F.col("value"))).drop("_value", "_open", "_value_change", "_open_change")
 
 
@@ -267,7 +275,7 @@ def decisions_to_orders(decisions: DataFrame, keys: list[str]) -> DataFrame:
 
     What is held is the instrument's target before, so a lag is enough.
     """
-    target = F.floor(F.col("notional") / (F.col("signal_price") * F.col("multiplier")) / F.col("step")) * F.col("step")
+    target = F.floor(ratio(ratio(F.col("notional"), F.col("signal_price") * F.col("multiplier")), F.col("step"))) * F.col("step")
     w = Window.partitionBy(*keys, "instrument_id").orderBy("at")
     out = decisions.withColumn("target", target.cast("double"))
     out = out.withColumn("order", F.col("target") - F.coalesce(F.lag("target").over(w), F.lit(0.0)))

@@ -13,7 +13,7 @@ def _latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def _greatest_so_far(obs: DataFrame, asked: DataFrame, by: list[str], known: Column, value: Column, at: str) -> DataFrame:
+def greatest_so_far(obs: DataFrame, asked: DataFrame, by: list[str], known: Column, value: Column, at: str) -> DataFrame:
     """(by.., at, found): for each asked (by.., at) the greatest `value` of the rows known by then.
 
     Both sides go through one sort for each key, so no observation meets more than its own key's rows once.
@@ -33,7 +33,7 @@ def latest_as_of(obs: DataFrame, cutoffs: DataFrame, keys: list[str], max_age_da
     shared = [k for k in keys if k in cutoffs.columns]
     asked = cutoffs if shared == keys else obs.select(*keys).distinct().join(cutoffs, shared) if shared else obs.select(*keys).distinct().crossJoin(cutoffs)
     values = [c for c in obs.columns if c not in (*keys, "obs_time")]
-    found = _greatest_so_far(obs, asked.select(*keys, "cutoff").distinct(), keys, F.col("obs_time"), F.struct("obs_time", *values), "cutoff")
+    found = greatest_so_far(obs, asked.select(*keys, "cutoff").distinct(), keys, F.col("obs_time"), F.struct("obs_time", *values), "cutoff")
     age = age_days(F.col("cutoff"), F.col("obs_time"))
     out = found.select(*keys, "cutoff", "found.*").withColumn("age_days", age)
     status = F.when(F.col("obs_time").isNull(), "missing").when(F.col("age_days") > max_age_days, "stale").when(F.col("age_days") > 0, "carried").otherwise("ok")
@@ -76,7 +76,7 @@ def latest_scores_as_of(scores: DataFrame, cutoffs: DataFrame, keys: list[str])
     """(keys.., cutoff, obs_time, available_at, score): bitemporal, latest (obs_time, available_at) by key."""
     s = scores.withColumn("available_at", F.coalesce("available_at", "obs_time"))
     asked = s.select(*keys).distinct().crossJoin(cutoffs.select("cutoff").distinct())
-    found = _greatest_so_far(s, asked, keys, F.greatest("obs_time", "available_at"), F.struct("obs_time", "available_at", "score"), "cutoff")
+    found = greatest_so_far(s, asked, keys, F.greatest("obs_time", "available_at"), F.struct("obs_time", "available_at", "score"), "cutoff")
     return found.where("found IS NOT NULL").select(*keys, "cutoff", "found.*")
 
 
@@ -210,7 +210,7 @@ def risk_snapshot_as_of(risk: DataFrame, decisions: DataFrame, universe: DataFra
     by = [*keys, "horizon", "asset"]
     wanted = r.select(*by).distinct().join(decisions.select(*keys, "horizon", "decision_at").distinct(), [*keys, "horizon"])
     order = ["available_at", "estimated_at"]
-    found = _greatest_so_far(r, wanted, by, F.col("available_at"), F.struct(*order, *[c for c in r.columns if c not in (*order, *by)]), "decision_at")
+    found = greatest_so_far(r, wanted, by, F.col("available_at"), F.struct(*order, *[c for c in r.columns if c not in (*order, *by)]), "decision_at")
     inputs = found.where("found IS NOT NULL").select(*by, "decision_at", "found.*").select(*r.columns, "decision_at")
     asked = decisions.select(*keys, "decision_at").join(universe, keys)
     late = risk.select(*keys, "asset").distinct().withColumn("exists", F.lit(True))

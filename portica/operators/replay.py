@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import normal_cdf, normal_quantile, ratio
+from ..functions.columns import flow_share, normal_cdf, normal_quantile, ratio
 from .covariance import risk_contributions
 
 EULER = 0.5772156649015329
@@ -18,7 +19,8 @@ def replay_schedule(targets: DataFrame, returns: DataFrame, keys: list[str], cos
     What is held before a trade is the last target grown by the last return, so it needs the row before only.
     An asset without a target on a date of its key has the target zero; the first date of a key starts free.
     `returns(asset, t, ret)`; `cash(t, cash_return)` pays on what is not invested. Status `ruined`: a cost of
-    everything or a gross loss of everything; `missing_return`: a weight without a return, which counts as zero.
+    everything or a gross loss of everything, then or before, which leaves no wealth; after it nothing is held.
+    `missing_return`: a weight without a return, which counts as zero.
     """
     j = _with_exits(targets, keys).join(returns, ["asset", "t"], "left")
     j = j.withColumn("_unknown", F.col("ret").isNull() & (F.col("weight") != 0)).withColumn("ret", F.coalesce("ret", F.lit(0.0)))
@@ -29,11 +31,12 @@ def replay_schedule(targets: DataFrame, returns: DataFrame, keys: list[str], cos
     rows = j.join(day.select(*keys, "t", "gross"), [*keys, "t"])
     turn = rows.withColumn("_d", _trade(keys)).groupBy(*keys, "t").agg(F.sum("_d").alias("turnover"))
     out = day.select(*keys, "t", "gross", "_unknown").join(turn, [*keys, "t"]).withColumn("cost", F.col("turnover") * cost_rate)
-    out = out.withColumn("net", (1 - F.col("cost")) * (1 + F.col("gross")) - 1)
+    out = out.withColumn("_lost", (F.col("cost") >= 1) | (F.col("gross") <= -1))
+    out = out.withColumn("net", F.when(F.col("_lost"), -1.0).otherwise((1 - F.col("cost")) * (1 + F.col("gross")) - 1))
     path = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("wealth", F.product(1 + F.col("net")).over(path))
-    status = F.when((F.col("cost") >= 1) | (F.col("gross") <= -1), "ruined").when(F.col("_unknown"), "missing_return").otherwise("ok")
-    return out.withColumn("status", status).drop("_unknown")
+    out = out.withColumn("wealth", F.product(1 + F.col("net")).over(path)).withColumn("_lost", F.max("_lost").over(path))
+    status = F.when(F.col("_lost"), "ruined").when(F.col("_unknown"), "missing_return").otherwise("ok")
+    return out.withColumn("status", status).drop("_unknown", "_lost")
 
 
 def _with_exits(targets: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,33 +56,37 @@ def _with_exits(targets: DataFrame, keys: list[str]) -> DataFrame:
 def _trade(keys: list[str]) -> Column:
     """What is traded of an asset: its target less what the last target has grown to; nothing on the first date."""
     w = Window.partitionBy(*keys, "asset").orderBy("t")
-    held = F.coalesce(F.lag(F.col("weight") * (1 + F.col("ret")) / (1 + F.col("gross"))).over(w), F.lit(0.0))
+    held = F.coalesce(F.lag(ratio(F.col("weight") * (1 + F.col("ret")), 1 + F.col("gross"))).over(w), F.lit(0.0))
     return F.when(F.col("t") == F.col("_first"), 0.0).otherwise(F.abs(F.col("weight") - held))
 
 
 def replay_with_impact(targets: DataFrame, returns: DataFrame, liquidity: DataFrame, keys: list[str], linear_rate: float, coef: float, capital: float) -> DataFrame:
     """(keys.., t, turnover, cost, net, wealth) where the square-root impact depends on the wealth so far.
 
-    Everything but one number for each date is summed first; wealth is then a fold over the dates of a key, which
-    holds one key's dates (ten thousand are fine). An asset without liquidity trades without impact.
+    Everything but one number for each date is summed first; wealth is then one pass over the dates of a key, four
+    numbers each. An asset without liquidity trades without impact; one with none left (ADV 0) costs everything. A cost
+    or loss of everything leaves no wealth.
     """
     base = replay_schedule(targets, returns, keys)
     j = _with_exits(targets, keys).join(returns, ["asset", "t"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
     d = j.join(base.select(*keys, "t", "gross"), [*keys, "t"]).withColumn("_d", _trade(keys)).join(liquidity, "asset", "left")
-    a = d.groupBy(*keys, "t").agg(F.sum(F.lit(coef) * F.col("volatility") * F.pow("_d", F.lit(1.5)) / F.sqrt("adv")).alias("a")).withColumn("a", F.coalesce("a", F.lit(0.0)))
+    a = d.groupBy(*keys, "t").agg(F.sum(F.when(F.col("_d") == 0, 0.0).otherwise(F.lit(coef) * F.col("volatility") * F.col("_d") * F.sqrt(flow_share(F.col("_d"), F.col("adv"))))).alias("a")).withColumn("a", F.coalesce("a", F.lit(0.0)))
     rows = base.select(*keys, "t", "turnover", "gross").join(a, [*keys, "t"])
-    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "turnover", "gross", "a"))).alias("days"))
-    kind = "struct<wealth:double,out:array<struct<t:timestamp,turnover:double,cost:double,net:double,wealth:double>>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        cost = x["turnover"] * linear_rate + x["a"] * F.sqrt(acc["wealth"] * capital)
-        net = (1 - cost) * (1 + x["gross"]) - 1
-        wealth = acc["wealth"] * (1 + net)
-        row = F.struct(x["t"].cast("timestamp").alias("t"), x["turnover"].alias("turnover"), cost.alias("cost"), net.alias("net"), wealth.alias("wealth"))
-        return F.struct(wealth.alias("wealth"), F.concat(acc["out"], F.array(row)).alias("out")).cast(kind)
+    def walk(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        wealth, out = 1.0, ([], [], [])
+        for turnover, gross, a in zip(*(table[c].to_pylist() for c in ("turnover", "gross", "a")), strict=True):
+            cost = turnover * linear_rate + (a * math.sqrt(wealth * capital) if a and wealth > 0 else 0.0)
+            net = -1.0 if cost >= 1 or gross <= -1 else (1 - cost) * (1 + gross) - 1
+            wealth *= 1 + net
+            for column, value in zip(out, (cost, net, wealth), strict=True):
+                column.append(value)
+        return pa.table([*(table[c] for c in (*keys, "t", "turnover")), *(pa.array(c, pa.float64()) for c in out)], names=[*keys, "t", "turnover", "cost", "net", "wealth"])
 
-    zero = F.struct(F.lit(1.0).alias("wealth"), F.array().alias("out")).cast(kind)
-    return listed.select(*keys, F.inline(F.aggregate("days", zero, step, lambda acc: acc["out"])))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in (*keys, "t", "turnover")) + ", cost double, net double, wealth double"
+    return rows.groupBy(*keys).applyInArrow(walk, schema)
 
 
 def causal_guard(decisions: DataFrame, inputs: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,7 +109,7 @@ def spread_backtest(series: DataFrame, keys: list[str], cost_bps: float) -> Data
     s = s.withColumn("cost", F.col("trade") * cost_bps / 1e4).withColumn("net", F.col("gross") - F.col("cost"))
     path = w.rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("equity", F.product(1 + F.col("net")).over(path))
-    return s.withColumn("drawdown", F.col("equity") / F.max("equity").over(path) - 1).drop("_move")
+    return s.withColumn("drawdown", ratio(F.col("equity"), F.max("equity").over(path)) - 1).drop("_move")
 
 
 def backtest_metrics(net: DataFrame, keys: list[str], periods: float = 252.0) -> DataFrame:

@@ -27,12 +27,12 @@ def max_drawdown(pnl: DataFrame, keys: list[str], order: str = "scenario_no") ->
 
 
 def wealth_drawdown(equity: DataFrame, keys: list[str], opening: float | None = None) -> DataFrame:
-    """`equity(keys.., t, equity)` with drawdown: equity over its running peak less one; the opening capital may count."""
+    """`equity(keys.., t, equity)` with drawdown: equity over its running peak less one, null where the peak is 0; the opening capital may count."""
     w = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     peak = F.max("equity").over(w)
     if opening is not None:
         peak = F.greatest(peak, F.lit(opening))
-    return equity.withColumn("drawdown", F.col("equity") / peak - 1)
+    return equity.withColumn("drawdown", ratio(F.col("equity"), peak) - 1)
 
 
 #: Rank error of the first brackets of an order statistic, as a share of a key's rows: one in ACCURACY.
@@ -70,8 +70,9 @@ def order_statistic(values: DataFrame, keys: list[str], rank: Column, share: flo
 
 def _tail(losses: DataFrame, keys: list[str], beta: float, rank: Column) -> DataFrame:
     """(keys.., var, value): q + mean(max(l - q, 0)) / (1 - beta), where q is the order statistic of the given rank."""
-    q = order_statistic(losses, keys, rank, beta).withColumnRenamed("value", "var")
-    return attach(losses, q, keys).groupBy(*keys).agg(F.first("var").alias("var"), (F.first("var") + F.avg(F.greatest(F.col("loss") - F.col("var"), F.lit(0.0))) / (1 - beta)).alias("value"))
+    some = losses.where("loss IS NOT NULL")
+    q = order_statistic(some, keys, rank, beta).withColumnRenamed("value", "var")
+    return attach(some, q, keys).groupBy(*keys).agg(F.first("var").alias("var"), (F.first("var") + F.avg(F.greatest(F.col("loss") - F.col("var"), F.lit(0.0))) / (1 - beta)).alias("value"))
 
 
 def cvar(losses: DataFrame, keys: list[str], beta: float) -> DataFrame:
