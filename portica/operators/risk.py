@@ -161,25 +161,65 @@ def diversification_ratio(weights: DataFrame, cov: DataFrame, keys: list[str], c
     return alone.join(var, keys).select(*keys, ratio(F.col("alone"), F.sqrt("variance")).alias("ratio"))
 
 
-def objective_values(candidates: DataFrame, mu: DataFrame, cov: DataFrame, keys: list[str], risk_aversion: float = 4.0, rf: float = 0.0, costs: DataFrame | None = None, current: DataFrame | None = None) -> DataFrame:
-    """(keys.., kind, value, status) for candidate portfolios (keys.., asset, weight): mean_variance, sharpe and
-    diversification. Linear costs of the way from `current(asset, weight)` at `costs(asset, buy_rate, sell_rate)`
-    count in mean_variance only."""
+def _paid(d: Column, turnover_penalty: float, impact: bool) -> Column:
+    """Costs of a trade d: linear by side, a penalty on its size and the 3/2-power impact."""
+    zero = F.lit(0.0)
+    paid = F.when(d > 0, d * F.coalesce("buy_rate", zero)).otherwise(-d * F.coalesce("sell_rate", zero)) + F.abs(d) * turnover_penalty
+    return paid + F.coalesce("coef", zero) * F.pow(F.abs(d), F.lit(1.5)) if impact else paid
+
+
+def _ways(candidates: DataFrame, current: DataFrame, costs: DataFrame, keys: list[str], turnover_penalty: float, impact: DataFrame | None) -> DataFrame:
+    """(keys.., cost) of the way from `current(asset, weight)`: what all of it would cost to sell, mended for the assets that a candidate keeps."""
+    rates = costs if impact is None else costs.join(impact, "asset", "full_outer")
+    held = current.select("asset", F.col("weight").alias("held")).join(rates, "asset", "full_outer")
+    held = held.withColumn("held", F.coalesce("held", F.lit(0.0))).withColumn("_sold", _paid(-F.col("held"), turnover_penalty, impact is not None))
+    sold = held.agg(F.coalesce(F.sum("_sold"), F.lit(0.0))).scalar()
+    d = candidates.join(held, "asset", "left").withColumn("_d", F.col("weight") - F.coalesce("held", F.lit(0.0)))
+    mended = d.groupBy(*keys).agg(F.sum(_paid(F.col("_d"), turnover_penalty, impact is not None) - F.coalesce("_sold", F.lit(0.0))).alias("_mended"))
+    return mended.select(*keys, (F.col("_mended") + sold).alias("cost"))
+
+
+def _active_variance(variance: DataFrame, candidates: DataFrame, benchmark: DataFrame, cov: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., active): (w - b)' S (w - b) as w'Sw - 2 w'Sb + b'Sb, so the benchmark is multiplied once for all candidates."""
+    both = cov.select("a", "b", "value").union(cov.where("a < b").select(F.col("b"), F.col("a"), "value"))
+    sb = both.join(benchmark.select(F.col("asset").alias("b"), F.col("weight").alias("_b")), "b").groupBy(F.col("a").alias("asset")).agg(F.sum(F.col("value") * F.col("_b")).alias("_sb"))
+    own = sb.join(benchmark.select("asset", F.col("weight").alias("_b")), "asset").agg(F.coalesce(F.sum(F.col("_sb") * F.col("_b")), F.lit(0.0))).scalar()
+    cross = candidates.join(sb, "asset").groupBy(*keys).agg(F.sum(F.col("weight") * F.col("_sb")).alias("_cross"))
+    active = F.greatest(F.col("variance") - 2 * F.coalesce("_cross", F.lit(0.0)) + own, F.lit(0.0))
+    return variance.join(cross, keys, "left").select(*keys, active.alias("active"))
+
+
+def objective_values(
+    candidates: DataFrame, mu: DataFrame, cov: DataFrame, keys: list[str], risk_aversion: float = 4.0, rf: float = 0.0, costs: DataFrame | None = None, current: DataFrame | None = None,
+    benchmark: DataFrame | None = None, turnover_penalty: float = 0.0, impact: DataFrame | None = None, scenarios: DataFrame | None = None, beta: float = 0.95, target: DataFrame | None = None,
+) -> DataFrame:
+    """(keys.., kind, value, status) for candidate portfolios (keys.., asset, weight), as best_feasible_candidate ranks them.
+
+    Kinds: mean_variance, sharpe and diversification; with `scenarios(scenario_no, asset, ret)` also cvar, evar and
+    cdar, with `target(asset, weight)` also target_distance. Costs of the way from `current(asset, weight)` count in
+    mean_variance and target_distance, not in the ratios: linear at `costs(asset, buy_rate, sell_rate)`, a penalty on turnover
+    and `impact(asset, coef)` times the 3/2-power of a trade. With `benchmark(asset, weight)` the risk of
+    mean_variance is that of the active weights.
+    """
     means = candidates.join(mu, "asset").groupBy(*keys).agg(F.sum(F.col("weight") * F.col("mu")).alias("mean"))
-    base = means.join(portfolio_variance(candidates, cov, keys), keys).join(diversification_ratio(candidates, cov, keys), keys, "left")
-    if costs is not None and current is not None:
-        d = candidates.join(current.withColumnRenamed("weight", "held"), "asset", "left").join(costs, "asset").withColumn("_d", F.col("weight") - F.coalesce("held", F.lit(0.0)))
-        paid = d.groupBy(*keys).agg(F.sum(F.when(F.col("_d") > 0, F.col("_d") * F.col("buy_rate")).otherwise(-F.col("_d") * F.col("sell_rate"))).alias("cost"))
-        base = base.join(paid, keys)
-    else:
-        base = base.withColumn("cost", F.lit(0.0))
+    variance = portfolio_variance(candidates, cov, keys)
+    base = means.join(variance, keys).join(diversification_ratio(candidates, cov, keys), keys, "left")
+    base = base.withColumn("risk", F.col("variance")) if benchmark is None else base.join(_active_variance(variance, candidates, benchmark, cov, keys).withColumnRenamed("active", "risk"), keys)
+    paid = costs is not None and current is not None
+    base = base.join(_ways(candidates, current, costs, keys, turnover_penalty, impact), keys) if paid else base.withColumn("cost", F.lit(0.0))
     s = sharpe_ratio(base, rf)
     rows = F.array(
-        F.struct(F.lit("mean_variance").alias("kind"), (F.col("mean") - F.lit(risk_aversion / 2) * F.col("variance") - F.col("cost")).alias("value"), F.lit("ok").alias("status")),
+        F.struct(F.lit("mean_variance").alias("kind"), (F.col("mean") - F.lit(risk_aversion / 2) * F.col("risk") - F.col("cost")).alias("value"), F.lit("ok").alias("status")),
         F.struct(F.lit("sharpe").alias("kind"), F.col("sharpe").alias("value"), F.col("status").alias("status")),
         F.struct(F.lit("diversification").alias("kind"), F.col("ratio").alias("value"), F.when(F.col("ratio").isNull(), "undefined_ratio").otherwise("ok").alias("status")),
     )
-    return s.select(*keys, F.inline(rows))
+    out = s.select(*keys, F.inline(rows))
+    if scenarios is not None:
+        out = out.union(tail_values(scenario_pnl(candidates, scenarios, keys), keys, beta))
+    if target is not None:
+        linear = costs.join(current.withColumnRenamed("weight", "held"), "asset", "full_outer") if paid else None
+        out = out.union(target_distance_values(candidates, target, keys, linear, turnover_penalty, impact))
+    return out
 
 
 def best_feasible_candidate(values: DataFrame, violations: DataFrame, keys: list[str], portfolio: str = "portfolio_id") -> DataFrame:

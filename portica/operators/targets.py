@@ -158,12 +158,25 @@ def hierarchical_risk_parity(cov: DataFrame, keys: list[str]) -> DataFrame:
 
         sd = np.sqrt(np.diag(s))
         dist = np.sqrt(np.clip((1 - s / np.outer(sd, sd)) / 2, 0, 1))
-        clusters = {i: [i] for i in range(len(s))}
-        while len(clusters) > 1:
-            names = sorted(clusters)
-            best = min(((min(dist[p, q] for p in clusters[a] for q in clusters[b]), a, b) for k, a in enumerate(names) for b in names[k + 1 :]))
-            _, a, b = best
+        # The least distance of each cluster to a later one, and which: the first of equals wins throughout.
+        n = len(s)
+        clusters, d = {i: [i] for i in range(n)}, np.where(np.tri(n, dtype=bool), np.inf, dist)
+        least, to = d.min(axis=1, initial=np.inf), d.argmin(axis=1)
+        for _ in range(n - 1):
+            a = int(least.argmin())
+            b = int(to[a])
             clusters[a] = clusters[a] + clusters.pop(b)
+            row = np.minimum(np.minimum(d[a], d[:, a]), np.minimum(d[b], d[:, b]))
+            row[[i for i in (a, b)]] = np.inf
+            d[b], d[:, b], least[b] = np.inf, np.inf, np.inf
+            alive = np.zeros(n, dtype=bool)
+            alive[list(clusters)] = True
+            row[~alive] = np.inf
+            d[a, a + 1 :], d[:a, a] = row[a + 1 :], row[:a]
+            closer = np.flatnonzero((d[:a, a] < least[:a]) | (d[:a, a] == least[:a]) & (a < to[:a]))
+            least[closer], to[closer] = d[closer, a], a
+            for i in [a, *np.flatnonzero((to == b) & alive).tolist()]:
+                least[i], to[i] = d[i].min(), d[i].argmin()
         w = np.ones(len(s))
 
         def variance(items):

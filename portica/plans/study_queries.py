@@ -243,6 +243,40 @@ def _(t: Tables) -> DataFrame:
     return targets.soft_threshold_trades(t.cand.select("portfolio_id", "asset", F.lit(0.2).alias("current"), F.col("weight").alias("target"), F.length("asset").alias("cost")), 0.01)
 
 
+# Covariances of the three flags of each supplier that has them all, in one row.
+_THREE = "WITH m AS (SELECT a.book AS book, a.asset AS a, b.asset AS b, COVAR_SAMP(a.ret, b.ret) * CASE WHEN a.asset = b.asset THEN 12 ELSE 12 * 0.8 END AS v FROM {ret_many} a JOIN {ret_many} b ON a.book = b.book AND a.t = b.t AND a.asset <= b.asset GROUP BY 1, 2, 3 HAVING COUNT(*) >= 2), s AS (SELECT book, MAX(CASE WHEN a = 'A' AND b = 'A' THEN v END) AS aa, MAX(CASE WHEN a = 'A' AND b = 'N' THEN v END) AS an, MAX(CASE WHEN a = 'A' AND b = 'R' THEN v END) AS ar, MAX(CASE WHEN a = 'N' AND b = 'N' THEN v END) AS nn, MAX(CASE WHEN a = 'N' AND b = 'R' THEN v END) AS nr, MAX(CASE WHEN a = 'R' AND b = 'R' THEN v END) AS rr FROM m GROUP BY 1 HAVING COUNT(*) = 6)"
+
+
+def _three(t: Tables) -> DataFrame:
+    cov = covariance.cov_diagonal(t.ret_many, ["book"], 0.2, 12.0)
+    return cov.join(cov.groupBy("book").agg(F.count("*").alias("pairs")).where("pairs = 6").select("book"), "book")
+
+
+@query("g5_one_view", text="asset", whole="book", real="prior posterior", sql=_THREE + """, f AS (SELECT book, 'A' AS asset, (aa + an + ar) / 3 * 2.5 AS prior, aa - ar AS sp FROM s UNION ALL SELECT book, 'N', (an + nn + nr) / 3 * 2.5, an - nr FROM s UNION ALL SELECT book, 'R', (ar + nr + rr) / 3 * 2.5, ar - rr FROM s), g AS (SELECT book, SUM(CASE WHEN asset = 'A' THEN sp WHEN asset = 'R' THEN -sp ELSE 0 END) AS psp, SUM(CASE WHEN asset = 'A' THEN prior WHEN asset = 'R' THEN -prior ELSE 0 END) AS expected FROM f GROUP BY 1)
+SELECT f.book AS book, asset, prior, prior + sp / (2 * psp) * (0.01 - expected) AS posterior FROM f JOIN g ON g.book = f.book""")
+def _(t: Tables) -> DataFrame:
+    """One view by supplier, where the posterior has a closed form."""
+    cov = _three(t)
+    w = cov.where("a = b").select("book", F.col("a").alias("asset"), F.lit(1 / 3).alias("weight"))
+    views = w.select("book", F.lit(1).alias("view"), "asset", F.when(F.col("asset") == "A", 1.0).when(F.col("asset") == "R", -1.0).otherwise(0.0).alias("p"), F.lit(0.01).alias("q"))
+    return signals.black_litterman(cov, w, views, ["book"])
+
+
+@query("h8_risk_shares", text="asset", whole="book", real="share", digits=5, sql=_THREE + "\nSELECT book, asset, 1.0 / 3 AS share FROM s CROSS JOIN (VALUES ('A'), ('N'), ('R')) AS f(asset)")
+def _(t: Tables) -> DataFrame:
+    """Shares of the variance under equal risk, as E11 finds them."""
+    cov = _three(t)
+    parts = covariance.risk_contributions(targets.equal_risk_contribution(cov, ["book"]), cov, ["book"], ["book"])
+    return parts.withColumn("share", F.col("contribution") / F.col("variance"))
+
+
+@query("h9_three_assets", text="asset", whole="book", real="weight", digits=6, sql=_THREE + """, v AS (SELECT *, (1 / nn + 1 / rr + 2 * nr / (nn * rr)) / ((1 / nn + 1 / rr) * (1 / nn + 1 / rr)) AS pair FROM s)
+SELECT book, 'A' AS asset, pair / (aa + pair) AS weight FROM v UNION ALL SELECT book, 'N', aa / (aa + pair) * rr / (nn + rr) FROM v UNION ALL SELECT book, 'R', aa / (aa + pair) * nn / (nn + rr) FROM v""")
+def _(t: Tables) -> DataFrame:
+    """Three assets: the first stands against the two others, whatever the links."""
+    return targets.hierarchical_risk_parity(_three(t), ["book"])
+
+
 @query("h8_equal_risk", text="asset status", whole="book", real="weight", digits=5)
 def _(t: Tables) -> DataFrame:
     return targets.equal_risk_contribution(covariance.cov_diagonal(t.ret_many, ["book"], 0.2, 12.0), ["book"])
@@ -349,6 +383,42 @@ def _(t: Tables) -> DataFrame:
     return _objectives(t)
 
 
+@query("j9_active", text="kind status", whole="portfolio_id", real="value", digits=7, sql=_OBJ + f""", sb AS (SELECT a AS asset, SUM(value * CASE WHEN b = 'click' THEN 0.5 WHEN b = 'view' THEN 0.3 ELSE 0 END) AS sb FROM c GROUP BY 1), bb AS (SELECT SUM(sb * CASE WHEN asset = 'click' THEN 0.5 WHEN asset = 'view' THEN 0.3 ELSE 0 END) AS bb FROM sb),
+ x AS (SELECT w.portfolio_id AS portfolio_id, SUM(weight * sb) AS wb, SUM(CASE WHEN weight > 0.2 THEN (weight - 0.2) * 0.001 ELSE (0.2 - weight) * 0.002 END + ABS(weight - 0.2) * 0.01 + 0.05 * POW(ABS(weight - 0.2), 1.5)) AS paid FROM {{cand}} w JOIN sb ON sb.asset = w.asset GROUP BY 1)
+SELECT o.portfolio_id AS portfolio_id, 'mean_variance' AS kind, 'ok' AS status, mean - 2 * (variance - 2 * wb + bb) - paid AS value FROM o JOIN x ON x.portfolio_id = o.portfolio_id, bb""")
+def _(t: Tables) -> DataFrame:
+    """Mean-variance against a benchmark, after linear costs, a penalty on turnover and impact."""
+    mu = t.ret_small.groupBy("asset").agg(F.avg("ret").alias("mu"))
+    bench = mu.select("asset", F.when(F.col("asset") == "click", 0.5).otherwise(0.3).alias("weight")).where("asset IN ('click', 'view')")
+    held, rates = mu.select("asset", F.lit(0.2).alias("weight")), mu.select("asset", F.lit(0.001).alias("buy_rate"), F.lit(0.002).alias("sell_rate"))
+    v = risk.objective_values(t.cand, mu, _cov(t), ["portfolio_id"], 4.0, 0.0005, rates, held, bench, 0.01, mu.select("asset", F.lit(0.05).alias("coef")))
+    return v.where("kind = 'mean_variance'")
+
+
+def _tails(t: Tables) -> DataFrame:
+    mu = t.ret_small.groupBy("asset").agg(F.avg("ret").alias("mu"))
+    return risk.objective_values(t.cand, mu, _cov(t), ["portfolio_id"], scenarios=t.ret_small.withColumnRenamed("t", "scenario_no"), beta=0.9, target=mu.select("asset", F.lit(0.2).alias("weight")))
+
+
+_TAIL_ROWS = _DD + f""", l AS (SELECT portfolio_id, -pnl AS loss FROM p), q AS (SELECT portfolio_id, QUANTILE_DISC(loss, 0.9) AS var FROM l GROUP BY 1), cv AS (SELECT l.portfolio_id AS portfolio_id, -(MAX(var) + AVG(GREATEST(loss - var, 0)) / 0.1) AS value FROM l JOIN q ON q.portfolio_id = l.portfolio_id GROUP BY l.portfolio_id),
+ k AS (SELECT portfolio_id, drawdown AS loss, ROW_NUMBER() OVER (PARTITION BY portfolio_id ORDER BY drawdown) AS r, COUNT(*) OVER (PARTITION BY portfolio_id) AS n FROM d), e AS (SELECT *, MAX(CASE WHEN r = CEIL(ROUND((n - 1) * 0.9, 9)) + 1 THEN loss END) OVER (PARTITION BY portfolio_id) AS var FROM k), cd AS (SELECT portfolio_id, -(MAX(var) + AVG(GREATEST(loss - var, 0)) / 0.1) AS value FROM e GROUP BY 1),
+ td AS (SELECT portfolio_id, -SUM((weight - 0.2) * (weight - 0.2)) AS value FROM {{cand}} GROUP BY 1), v AS (SELECT portfolio_id, 'cvar' AS kind, value FROM cv UNION ALL SELECT portfolio_id, 'cdar', value FROM cd UNION ALL SELECT portfolio_id, 'target_distance', value FROM td)"""
+
+
+@query("j9_tail_values", text="kind status", whole="portfolio_id", real="value", sql=_TAIL_ROWS + "\nSELECT portfolio_id, kind, 'ok' AS status, value FROM v")
+def _(t: Tables) -> DataFrame:
+    """CVaR, CDaR and target distance as objectives; j6_evar has the SQL of EVaR."""
+    return _tails(t).where("kind IN ('cvar', 'cdar', 'target_distance')")
+
+
+@query("j10_best_by_tail", text="kind status", whole="grp", real="value", sql=_TAIL_ROWS + "\nSELECT portfolio_id % 50 AS grp, kind, 'ok' AS status, MAX(value) AS value FROM v WHERE portfolio_id NOT IN (SELECT portfolio_id FROM {cand} WHERE weight > 0.3) GROUP BY 1, 2")
+def _(t: Tables) -> DataFrame:
+    """The best feasible candidate of each group by tail risk and by distance."""
+    values = _tails(t).where("kind IN ('cvar', 'cdar', 'target_distance')").withColumn("grp", F.col("portfolio_id") % 50)
+    bad = t.cand.where("weight > 0.3").select((F.col("portfolio_id") % 50).alias("grp"), "portfolio_id").distinct()
+    return risk.best_feasible_candidate(values, bad, ["grp"]).where("status = 'ok'")
+
+
 @query("j10_best_candidate", text="kind status", whole="grp", real="value", sql=_OBJ + f", v AS ({_VALUES}), ok AS (SELECT v.portfolio_id % 50 AS grp, v.* FROM v WHERE portfolio_id NOT IN (SELECT portfolio_id FROM {{cand}} WHERE weight > 0.3)), best AS (SELECT grp, kind, MAX(CASE WHEN status = 'ok' THEN value END) AS value, MIN(CASE WHEN status <> 'ok' THEN status END) AS why FROM ok GROUP BY 1, 2), asked AS (SELECT DISTINCT portfolio_id % 50 AS grp, kind FROM v)\nSELECT asked.grp AS grp, asked.kind AS kind, value, CASE WHEN value IS NOT NULL THEN 'ok' ELSE COALESCE(why, 'infeasible') END AS status FROM asked LEFT JOIN best ON best.grp = asked.grp AND best.kind = asked.kind")
 def _(t: Tables) -> DataFrame:
     values = _objectives(t).withColumn("grp", F.col("portfolio_id") % 50)
