@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..shared import remove, saved, shared_folder
-from ..sources import readers, sinks
+from ..sources import readers, sinks, studies
 from .prep import Tables
 from .registry import query
 
@@ -73,3 +73,57 @@ def _(t: Tables) -> DataFrame:
 @query("a7_write_artifacts", text="asset t", real="px", sql="SELECT asset, t, px FROM {px_month}")
 def _(t: Tables) -> DataFrame:
     return _read_back(t, lambda place: t.spark.read.parquet(sinks.write_artifacts(t.px_month, place)))
+
+
+# Sleeve studies: one for each year, with the observations that start in it.
+_YEAR = "CAST(EXTRACT(YEAR FROM start) AS VARCHAR(4))"
+_SEEN = f"SELECT {_YEAR} AS study_id, sleeve, CAST(start AS VARCHAR(10)) AS start, CAST(end_ AS VARCHAR(10)) AS end_, CAST(known_at AS VARCHAR(10)) || 'T00:00:00Z' AS known_at, net_return, fx_start, fx_end FROM {{obs}}"
+
+
+def _document(kind: str, *fields: Column) -> Column:
+    return F.to_json(F.struct(F.lit(f"desk.{studies.KINDS[kind]}").alias("schema"), "study_id", *fields)).alias("document")
+
+
+def _sleeve_documents(t: Tables) -> DataFrame:
+    told = F.struct("sleeve", "start", F.col("end_").alias("end"), "known_at", "net_return", "fx_start", "fx_end")
+    docs = t.sql(_SEEN).groupBy("study_id").agg(F.collect_list(told).alias("observations"), F.collect_set("sleeve").alias("names"))
+    sleeves = F.transform("names", lambda n: F.struct(n.alias("id"), F.lit("USD").alias("currency"))).alias("sleeves")
+    weights = F.map_from_entries(F.transform("names", lambda n: F.struct(n, 1 / F.size("names")))).alias("initial_weights")
+    return docs.select("study_id", _document("sleeve", F.lit("USD").alias("base_currency"), sleeves, "observations", weights))
+
+
+@query("a3_sleeve_study", text="study_id sleeve start end_ vintage", real="net_return fx_start fx_end", digits=9, sql=f"SELECT study_id, sleeve, start, end_, CAST(SUBSTRING(known_at, 1, 10) AS TIMESTAMP) AS vintage, net_return, fx_start, fx_end FROM ({_SEEN}) s")
+def _(t: Tables) -> DataFrame:
+    """Observations of nested documents, one a year."""
+    def read(place: str) -> DataFrame:
+        return studies.read_study_json(t.spark, sinks.publish_documents(_sleeve_documents(t), place))["observations"].withColumnRenamed("end", "end_")
+
+    return _read_back(t, read)
+
+
+@query("a3_initial_weights", text="study_id sleeve", real="weight", digits=9, sql=f"SELECT study_id, sleeve, 1.0 / COUNT(*) OVER (PARTITION BY study_id) AS weight FROM (SELECT DISTINCT study_id, sleeve FROM ({_SEEN}) s) x")
+def _(t: Tables) -> DataFrame:
+    """Maps of nested documents as rows."""
+    return _read_back(t, lambda place: studies.read_study_json(t.spark, sinks.publish_documents(_sleeve_documents(t), place))["initial_weights"])
+
+
+@query("a3_document_checks", text="study_id rule", sql="SELECT 'n' || CAST(n_nationkey AS VARCHAR(4)) AS study_id, 'unknown_schema' AS rule FROM {nation} WHERE n_nationkey % 5 IN (1, 2)")
+def _(t: Tables) -> DataFrame:
+    """Documents by nation: a fifth are of another kind, a fifth are no JSON, both are rows and not failures."""
+    names = t.sql("SELECT 'n' || CAST(n_nationkey AS VARCHAR(4)) AS study_id, n_nationkey % 5 AS fifth, n_name FROM {nation}")
+    good, other = _document("capacity", F.col("n_name").alias("base_currency")), _document("market")
+    docs = names.select("study_id", F.when(F.col("fifth") == 1, other).when(F.col("fifth") == 2, F.concat(F.lit("{broken "), "n_name")).otherwise(good).alias("document"))
+
+    def read(place: str) -> DataFrame:
+        return studies.document_checks(t.spark, sinks.publish_documents(docs, place), "capacity")
+
+    return _read_back(t, read)
+
+
+@query("a3_market_marks", text="study_id observation_id instrument_id", real="price", digits=4, sql="SELECT 'm' || CAST(EXTRACT(YEAR FROM t) AS VARCHAR(4)) AS study_id, CAST(t AS VARCHAR(10)) AS observation_id, asset AS instrument_id, CAST(px AS DECIMAL(18,8)) AS price FROM {px_month}")
+def _(t: Tables) -> DataFrame:
+    """Marks of market files, one a year; prices are text in the documents and decimals as rows."""
+    by_day = t.px_month.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("asset", F.col("px").cast("decimal(18,8)").cast("string")))).alias("prices"))
+    one = F.struct(F.col("t").cast("string").alias("observation_id"), F.col("t").cast("string").alias("at"), F.col("t").cast("string").alias("available_at"), "prices")
+    docs = by_day.groupBy(F.concat(F.lit("m"), F.year("t").cast("string")).alias("study_id")).agg(F.collect_list(one).alias("observations"))
+    return _read_back(t, lambda place: studies.read_market_json(t.spark, sinks.publish_documents(docs.select("study_id", _document("market", F.col("observations"))), place))["marks"])

@@ -20,3 +20,13 @@ def write_artifacts(df: DataFrame, path: str, fmt: str = "parquet") -> str:
         raise ValueError(f"unknown format {fmt}")
     writer.format(fmt).save(path)
     return path
+
+
+def publish_documents(documents: DataFrame, path: str) -> str:
+    """Writes each row of `documents(study_id, document)` to a file of its own under a path that must not exist.
+
+    The readers of studies take one document a file; files of one id lie in one folder.
+    """
+    rows = documents.select(documents["study_id"].alias("doc"), documents["document"].alias("value"))
+    rows.repartition("doc").write.mode("errorifexists").option("maxRecordsPerFile", 1).partitionBy("doc").text(path)
+    return path

@@ -1,7 +1,7 @@
 """Study documents as tables: sleeve studies, capacity studies, order calibrations, capital plans and market files.
 
-A path may hold many documents; every table carries `study_id`, which is the name of the file where the document has
-none. Amounts that may be text become decimals, and null where they do not fit; instants stay text for the strict
+A path may hold many documents; every table carries `study_id`, which is the name of the file, or of its folder `doc=..`, where the
+document has none. Amounts that may be text become decimals, and null where they do not fit; instants stay text for the strict
 check of times, but for `vintage`. A document that does not parse, or is of another kind, is a row of
 `document_checks`.
 """
@@ -51,11 +51,13 @@ _FIELDS = {
 
 def _documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
     raw = spark.read.schema(f"schema STRING, study_id STRING, {_FIELDS[kind]}").option("multiLine", True).json(path)
-    return raw.withColumn("study_id", F.coalesce("study_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")))
+    place = F.regexp_extract(F.col("_metadata.file_path"), r"/doc=([^/]*)/[^/]*$", 1)
+    named = F.when(place != "", F.url_decode(place)).otherwise(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
+    return raw.withColumn("study_id", F.coalesce("study_id", named))
 
 
 def document_checks(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(study_id, rule): documents of another kind, and ids that occur twice."""
+    """(study_id, rule): documents of another kind or that do not parse, and ids that occur twice."""
     docs = _documents(spark, path, kind).select("study_id", "schema")
     again = docs.groupBy("study_id").agg(F.count("*").alias("n")).where("n > 1").select("study_id", F.lit("repeated_id").alias("rule"))
     return check_rows(docs, {"unknown_schema": ~F.substring_index("schema", ".", -1).eqNullSafe(KINDS[kind])}, ["study_id"]).union(again)

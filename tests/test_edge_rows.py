@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from portica.operators import audit, costs, exposure, ledger, pit, replay, risk
+from portica.operators import audit, costs, exposure, ledger, pit, replay, risk, targets
 
 
 def test_total_loss_is_a_status(spark):
@@ -107,3 +107,56 @@ def test_label_revisions_and_windows(spark):
         periods = sorted({k[:2] for k in seen if {(*k[:2], n) for n in "XY"} <= set(seen)}, reverse=True)[:4]
         want |= {(d, *p, n, seen[(*p, n)], len(periods)) for p in periods for n in "XY"}
     assert {(r.decision_at, r.start, r.end, r.sleeve, r.vintage, r.n_periods) for r in hist.collect()} == want
+
+
+def plain_linkage(s):
+    """Order of assets by merging the closest clusters, the first of equals, by looking at all pairs."""
+    sd = np.sqrt(np.diag(s))
+    dist = np.sqrt(np.clip((1 - s / np.outer(sd, sd)) / 2, 0, 1))
+    clusters = {i: [i] for i in range(len(s))}
+    while len(clusters) > 1:
+        names = sorted(clusters)
+        _, a, b = min((min(dist[p, q] for p in clusters[a] for q in clusters[b]), a, b) for k, a in enumerate(names) for b in names[k + 1 :])
+        clusters[a] = clusters[a] + clusters.pop(b)
+    return next(iter(clusters.values()))
+
+
+def plain_parity(s):
+    w, queue = np.ones(len(s)), [plain_linkage(s)]
+    variance = lambda x: (lambda iv: iv @ s[np.ix_(x, x)] @ iv)((1 / np.diag(s)[x]) / (1 / np.diag(s)[x]).sum())
+    while queue:
+        x = queue.pop()
+        if len(x) > 1:
+            left, right = x[: len(x) // 2], x[len(x) // 2 :]
+            vl, vr = variance(left), variance(right)
+            w[left] *= vr / (vl + vr)
+            w[right] *= vl / (vl + vr)
+            queue += [left, right]
+    return w
+
+
+def test_hierarchical_parity_with_ties(spark):
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for k in range(12):
+        n = int(rng.integers(1, 14))
+        x = np.round(rng.standard_normal((n, 30)) + rng.standard_normal((1, 30)), 0 if k % 2 else 6)
+        s = np.round(x @ x.T / 30, 1 if k % 3 == 0 else 9) + np.eye(n)
+        want |= {(k, f"a{i:02d}"): v for i, v in enumerate(plain_parity(s))}
+        rows += [(k, f"a{i:02d}", f"a{j:02d}", float(s[i, j])) for i in range(n) for j in range(i, n)]
+    got = targets.hierarchical_risk_parity(spark.createDataFrame(rows, "k int, a string, b string, value double"), ["k"]).collect()
+    assert len(got) == len(want) and all(math.isclose(r.weight, want[r.k, r.asset], rel_tol=1e-9) for r in got)
+
+
+def test_way_from_assets_that_a_candidate_leaves(spark):
+    cand = spark.createDataFrame([(1, "A", 1.0), (2, "B", 0.5), (2, "A", 0.5)], "p int, asset string, weight double")
+    mu = spark.createDataFrame([("A", 0.0), ("B", 0.0)], "asset string, mu double")
+    cov = spark.createDataFrame([("A", "A", 0.04), ("A", "B", 0.01), ("B", "B", 0.09)], "a string, b string, value double")
+    current = spark.createDataFrame([("B", 0.5), ("C", 0.5)], "asset string, weight double")
+    rates = spark.createDataFrame([("A", 0.01, 0.02), ("B", 0.03, 0.04), ("C", 0.05, 0.06)], "asset string, buy_rate double, sell_rate double")
+    impact = spark.createDataFrame([("C", 2.0)], "asset string, coef double")
+    bench = spark.createDataFrame([("A", 0.5), ("B", 0.5)], "asset string, weight double")
+    v = risk.objective_values(cand, mu, cov, ["p"], 2.0, 0.0, rates, current, bench, 0.1, impact).where("kind = 'mean_variance'")
+    left = 0.5 * 0.06 + 0.5 * 0.1 + 2.0 * 0.5**1.5  # C is sold in both
+    active = {1: 0.25 * (0.04 - 2 * 0.01 + 0.09), 2: 0.0}
+    paid = {1: left + 1.0 * 0.11 + 0.5 * 0.14, 2: left + 0.5 * 0.11}
+    assert all(math.isclose(r.value, -active[r.p] - paid[r.p]) for r in v.collect())
