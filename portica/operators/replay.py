@@ -22,14 +22,10 @@ def replay_schedule(targets: DataFrame, returns: DataFrame, keys: list[str], cos
     everything or a gross loss of everything, then or before, which leaves no wealth; after it nothing is held.
     `missing_return`: a weight without a return, which counts as zero.
     """
-    j = _with_exits(targets, keys).join(returns, ["asset", "t"], "left")
+    j = targets.select(*keys, "asset", "t", "weight").join(returns, ["asset", "t"], "left")
     j = j.withColumn("_unknown", F.col("ret").isNull() & (F.col("weight") != 0)).withColumn("ret", F.coalesce("ret", F.lit(0.0)))
-    if cash is not None:
-        j = j.join(cash, "t", "left")
-    paid = F.coalesce("cash_return", F.lit(0.0)) if cash is not None else F.lit(0.0)
-    day = j.groupBy(*keys, "t").agg(F.sum(F.col("weight") * F.col("ret")).alias("_g"), F.sum("weight").alias("_in"), F.max(paid).alias("_c"), F.max("_unknown").alias("_unknown")).withColumn("gross", F.col("_g") + (1 - F.col("_in")) * F.col("_c"))
-    rows = j.join(day.select(*keys, "t", "gross"), [*keys, "t"])
-    turn = rows.withColumn("_d", _trade(keys)).groupBy(*keys, "t").agg(F.sum("_d").alias("turnover"))
+    day = _days(j, keys, cash)
+    turn = _trades(j, day, keys).groupBy(*keys, "t").agg(F.sum("trade").alias("turnover"))
     out = day.select(*keys, "t", "gross", "_unknown").join(turn, [*keys, "t"]).withColumn("cost", F.col("turnover") * cost_rate)
     out = out.withColumn("_lost", (F.col("cost") >= 1) | (F.col("gross") <= -1))
     out = out.withColumn("net", F.when(F.col("_lost"), -1.0).otherwise((1 - F.col("cost")) * (1 + F.col("gross")) - 1))
@@ -39,25 +35,27 @@ def replay_schedule(targets: DataFrame, returns: DataFrame, keys: list[str], cos
     return out.withColumn("status", status).drop("_unknown", "_lost")
 
 
-def _with_exits(targets: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys.., asset, t, weight, _first): the targets, and a zero on the date after an asset's last row in a run.
-
-    `_first` is the first date of the key.
-    """
-    days = targets.select(*keys, "t").distinct()
+def _days(j: DataFrame, keys: list[str], cash: DataFrame | None = None) -> DataFrame:
+    """(keys.., t, gross, _unknown, _next, _first): the return of each date, the date after it and the key's first."""
+    day = j.groupBy(*keys, "t").agg(F.sum(F.col("weight") * F.col("ret")).alias("_g"), F.sum("weight").alias("_in"), F.max("_unknown").alias("_unknown"))
+    day = day.withColumn("_c", F.lit(0.0)) if cash is None else day.join(cash.select("t", F.coalesce("cash_return", F.lit(0.0)).alias("_c")), "t", "left").fillna(0.0, ["_c"])
     per_key = Window.partitionBy(*keys)
-    days = days.withColumn("_next", F.lead("t").over(per_key.orderBy("t"))).withColumn("_first", F.min("t").over(per_key))
-    again = F.lead("t").over(Window.partitionBy(*keys, "asset").orderBy("t"))
-    rows = targets.select(*keys, "asset", "t", "weight").join(days, [*keys, "t"]).withColumn("_again", again)
-    gone = rows.where(F.col("_next").isNotNull() & ~F.col("_again").eqNullSafe(F.col("_next")))
-    return rows.select(*keys, "asset", "t", "weight", "_first").union(gone.select(*keys, "asset", "_next", F.lit(0.0), "_first"))
+    gross = F.col("_g") + (1 - F.col("_in")) * F.col("_c")
+    return day.select(*keys, "t", gross.alias("gross"), "_unknown", F.lead("t").over(per_key.orderBy("t")).alias("_next"), F.min("t").over(per_key).alias("_first"))
 
 
-def _trade(keys: list[str]) -> Column:
-    """What is traded of an asset: its target less what the last target has grown to; nothing on the first date."""
+def _trades(j: DataFrame, day: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., t, asset, trade): targets less what the targets of the date before have grown to, in one sort by asset.
+
+    An asset without a row on the next date is sold there. Nothing is traded on the first date.
+    """
     w = Window.partitionBy(*keys, "asset").orderBy("t")
-    held = F.coalesce(F.lag(ratio(F.col("weight") * (1 + F.col("ret")), 1 + F.col("gross"))).over(w), F.lit(0.0))
-    return F.when(F.col("t") == F.col("_first"), 0.0).otherwise(F.abs(F.col("weight") - held))
+    rows = j.join(day.select(*keys, "t", "gross", "_next", "_first"), [*keys, "t"]).withColumn("_grown", F.coalesce(ratio(F.col("weight") * (1 + F.col("ret")), 1 + F.col("gross")), F.lit(0.0)))
+    held = F.when(F.lag("_next").over(w) == F.col("t"), F.lag("_grown").over(w)).otherwise(0.0)
+    rows = rows.withColumn("_trade", F.when(F.col("t") == F.col("_first"), 0.0).otherwise(F.abs(F.col("weight") - held))).withColumn("_again", F.lead("t").over(w))
+    gone = F.col("_next").isNotNull() & ~F.col("_again").eqNullSafe(F.col("_next"))
+    own, sold = F.struct(F.col("t"), F.col("_trade").alias("trade")), F.struct(F.col("_next").alias("t"), F.abs("_grown").alias("trade"))
+    return rows.select(*keys, "asset", F.inline(F.when(gone, F.array(own, sold)).otherwise(F.array(own))))
 
 
 def replay_with_impact(targets: DataFrame, returns: DataFrame, liquidity: DataFrame, keys: list[str], linear_rate: float, coef: float, capital: float) -> DataFrame:
@@ -67,11 +65,11 @@ def replay_with_impact(targets: DataFrame, returns: DataFrame, liquidity: DataFr
     numbers each. An asset without liquidity trades without impact; one with none left (ADV 0) costs everything. A cost
     or loss of everything leaves no wealth.
     """
-    base = replay_schedule(targets, returns, keys)
-    j = _with_exits(targets, keys).join(returns, ["asset", "t"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
-    d = j.join(base.select(*keys, "t", "gross"), [*keys, "t"]).withColumn("_d", _trade(keys)).join(liquidity, "asset", "left")
-    a = d.groupBy(*keys, "t").agg(F.sum(F.when(F.col("_d") == 0, 0.0).otherwise(F.lit(coef) * F.col("volatility") * F.col("_d") * F.sqrt(flow_share(F.col("_d"), F.col("adv"))))).alias("a")).withColumn("a", F.coalesce("a", F.lit(0.0)))
-    rows = base.select(*keys, "t", "turnover", "gross").join(a, [*keys, "t"])
+    j = targets.select(*keys, "asset", "t", "weight").join(returns, ["asset", "t"], "left").withColumn("_unknown", F.lit(False)).withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+    day = _days(j, keys)
+    d = _trades(j, day, keys).withColumnRenamed("trade", "_d").join(liquidity, "asset", "left")
+    a = d.groupBy(*keys, "t").agg(F.sum("_d").alias("turnover"), F.sum(F.when(F.col("_d") == 0, 0.0).otherwise(F.lit(coef) * F.col("volatility") * F.col("_d") * F.sqrt(flow_share(F.col("_d"), F.col("adv"))))).alias("a")).withColumn("a", F.coalesce("a", F.lit(0.0)))
+    rows = day.select(*keys, "t", "gross").join(a, [*keys, "t"])
 
     def walk(table: pa.Table) -> pa.Table:
         table = table.sort_by("t")
