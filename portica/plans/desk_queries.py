@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators import audit, costs, ledger, replay
+from ..operators import audit, costs, covariance, ledger, replay
 from .prep import Tables
 from .registry import query
 from .study_queries import _POS, _positions
@@ -39,6 +39,21 @@ def _(t: Tables) -> DataFrame:
     return _residuals(t).withColumnRenamed("constraint", "name")
 
 
+_COVS = "SELECT a.asset AS a, b.asset AS b, COVAR_SAMP(a.ret, b.ret) AS value FROM {ret_small} a JOIN {ret_small} b ON a.t = b.t GROUP BY 1, 2"
+
+
+@query("l1_tracking_and_spent", text="name", whole="portfolio_id", real="residual", digits=7, sql=f"""WITH c AS ({_COVS}), d AS (SELECT portfolio_id, asset, weight - 0.2 AS d FROM {{cand}})
+SELECT x.portfolio_id AS portfolio_id, 'tracking_error' AS name, SQRT(GREATEST(SUM(x.d * y.d * value), 0)) - 0.01 AS residual FROM d x JOIN d y ON y.portfolio_id = x.portfolio_id JOIN c ON c.a = x.asset AND c.b = y.asset GROUP BY x.portfolio_id UNION ALL SELECT portfolio_id, 'turnover', SUM(ABS(d)) + 0.05 * (portfolio_id % 3) - 0.4 FROM d GROUP BY portfolio_id""")
+def _(t: Tables) -> DataFrame:
+    """Tracking error against equal weights, and turnover of which some is spent already."""
+    w = t.cand.select("portfolio_id", "asset", "weight", F.lit(0.2).alias("current"), F.lit(0.0).alias("lower"), F.lit(1.0).alias("upper"))
+    ids = w.select("portfolio_id").distinct()
+    limits = ids.select("portfolio_id", F.lit(1.0).alias("invested"), F.lit(0.4).alias("max_turnover"), (0.05 * (F.col("portfolio_id") % 3)).alias("turnover_offset"), F.lit(0.01).alias("max_tracking_error"))
+    te = covariance.tracking_error(w.withColumn("benchmark", F.lit(0.2)), covariance.cov_diagonal(t.ret_small, [], 0.0, 1.0), ["portfolio_id"])
+    r = audit.constraint_residuals(w, limits, ["portfolio_id"], tracking=te).withColumnRenamed("constraint", "name")
+    return r.where("name IN ('tracking_error', 'turnover')")
+
+
 @query("l2_retained_holdings", text="status", whole="portfolio_id", sql=_RES + "\nSELECT portfolio_id, CASE WHEN portfolio_id % 7 = 0 OR portfolio_id % 11 = 0 THEN 'unknown' WHEN MAX(residual) <= 1e-7 THEN 'compliant' ELSE 'noncompliant' END AS status FROM r GROUP BY portfolio_id")
 def _(t: Tables) -> DataFrame:
     p = t.cand.select("portfolio_id").distinct().select("portfolio_id", F.when(F.col("portfolio_id") % 7 == 0, -1.0).otherwise(1.0).alias("cash"), (F.col("portfolio_id") % 11 != 0).alias("tradability_known"), F.lit(0).alias("extra_assets"), F.lit(0.0).alias("weight_gap"))

@@ -253,6 +253,13 @@ def _(t: Tables) -> DataFrame:
     return exposure.factor_exposures(t.vec_weights.withColumn("benchmark", F.lit(0.001)), t.loadings, ["grp"])
 
 
+@query("c7_shifted_bounds", text="factor", whole="grp", real="lo hi", digits=5, sql="SELECT grp, factor, -0.1 + SUM(x * weight) AS lo, 0.1 + SUM(x * weight) AS hi FROM {vec_weights} w JOIN {loadings} l ON l.asset = w.asset GROUP BY 1, 2")
+def _(t: Tables) -> DataFrame:
+    """Bounds of active exposures, moved by those of a benchmark for each group."""
+    bounds = t.vec_weights.select("grp").distinct().crossJoin(t.loadings.select("factor").distinct()).withColumns({"lo": F.lit(-0.1), "hi": F.lit(0.1)})
+    return exposure.shifted_factor_bounds(bounds, t.vec_weights, t.loadings, ["grp"])
+
+
 _EDGES = """SELECT 'R' || r_name AS fund_id, 'N' || n_name AS instrument_id, 0.9 / COUNT(*) OVER (PARTITION BY r_name) AS weight FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
  UNION ALL SELECT 'N' || n_name AS fund_id, c_mktsegment AS instrument_id, 0.95 * SUM(c_acctbal + 1000) / SUM(SUM(c_acctbal + 1000)) OVER (PARTITION BY n_name) AS weight FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment"""
 
