@@ -1,22 +1,27 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The normalised word windows of the benchmark form a hash set, and only window sizes that occur are looked for.
-While the set stays within `max_windows` it travels as a literal set inside the plan and every training window
-is looked up in place; a larger set is joined by hash. Hits are then verified on the words themselves. They give
+The normalised word windows of the benchmark form a hash set: a filter of bits of bounded size, which travels as a
+literal inside the plan. Every training window is looked up in place, two bits each, and only those that may be in
+the set are met with the benchmark's windows, by a join on their words, which verifies them. The plan is the
+same for a benchmark of any size; the fuller the filter, the more windows are left to the join. Hits give
 spans and items per document, or the documents to drop.
 
-Rows are named by their id and their text, so that rows which share an id, or have none, are judged apart.
+Rows are named by their id and two hashes of their text, so that rows which share an id, or have none, are judged apart.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .exchange import saved
 
 WINDOW = 10
-#: Distinct benchmark windows up to which the set is sent to every task: 8 bytes each, so 1.6 MB at most.
-MAX_WINDOWS = 200_000
+#: Bits of the filter for each distinct benchmark window, and at most: 2 MB.
+BITS_EACH, BITS_MOST = 64, 1 << 24
+#: Names of contaminated texts, 20 bytes each, up to which they go to every task; more are joined by shuffle.
+FEW = 500_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -30,12 +35,46 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lowered, _BREAK), lambda w: w != "")
 
 
-def _starts(words: Column, size: int, known: list[int] | None) -> Column:
-    """(start, size) of the windows of one size; with `known`, of those whose hash is in it."""
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1)))
-    if known is not None:
-        starts = F.filter(starts, lambda i: F.xxhash64(F.slice(words, i, size)).isin(known))
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(size).alias("size")))
+def text_key(text: Column) -> Column:
+    """A name of a text of 128 bits and its length; null has one of its own."""
+    return F.struct(F.xxhash64(text).alias("hash"), F.xxhash64(F.lit("second"), text).alias("second"), F.octet_length(text).alias("bytes"))
+
+
+class BitFilter:
+    """A set of 64-bit hashes as bits, two for each, in an array literal."""
+
+    def __init__(self, hashes: DataFrame):
+        """`hashes` has a bigint column h. What is collected is at most BITS_MOST / 64 numbers."""
+        n = hashes.count()
+        self.bits = 1 << 10
+        while self.bits < min(BITS_EACH * n, BITS_MOST):
+            self.bits <<= 1
+        spots = hashes.select(F.explode(F.array(*self._spots(F.col("h")))).alias("at"))
+        words = spots.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("ones"))
+        held = [0] * (self.bits // 64)
+        for r in words.collect():
+            held[r["word"]] = r["ones"]
+        self.words = F.from_json(F.lit(json.dumps(held)), "array<bigint>")
+
+    def _spots(self, h: Column) -> list[Column]:
+        mask = F.lit(self.bits - 1).cast("long")
+        return [h.bitwiseAND(mask), F.shiftright(h, 32).bitwiseAND(mask)]
+
+    def may_hold(self, h: Column) -> Column:
+        a, b = self._spots(h)
+        has = lambda at: F.getbit(F.element_at(self.words, (F.shiftright(at, 6) + 1).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+        return has(a) & has(b)
+
+
+def _likely(words: Column, sizes: list[int], seen: BitFilter) -> Column:
+    """(start, size) of the windows that may be in the set."""
+    def of_size(size: int) -> Column:
+        starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1)))
+        hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size)))
+        places = F.transform(hashes, lambda h, i: F.when(seen.may_hold(h), F.struct((i + 1).alias("start"), F.lit(size).alias("size"))))
+        return F.coalesce(F.filter(places, lambda x: x.isNotNull()), F.array().cast("array<struct<start:int,size:int>>"))
+
+    return F.concat(*map(of_size, sizes))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -55,7 +94,13 @@ def _gram(words: Column, start: Column, size: Column) -> Column:
     return F.array_join(F.slice(words, start, size), " ")
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _filter_of(grams: DataFrame) -> tuple[list[int], BitFilter | None]:
+    """The sizes of windows that occur and the filter of their hashes."""
+    sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())
+    return sizes, BitFilter(grams.select(F.xxhash64(F.split("gram", " ")).alias("h")).distinct()) if sizes else None
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, hits, grams): documents(doc, n_words), verified hits(doc, start, size, gram), grams(item_id, size, gram).
 
     `docs` has `doc`, of any type, and `text`; `benchmark` has `item_id` and `text`; other columns are not read.
@@ -63,37 +108,25 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_w
     appear in documents. Items that share a window do not multiply hits.
     """
     grams = benchmark_windows(benchmark, window, "item_id", "text")
-    windows = grams.select("size", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
     worded = docs.select("doc", words_of(F.col("text")).alias("words"))
     documents = worded.select("doc", F.size("words").cast("long").alias("n_words"))
-    bound = windows.select("size", "h").distinct().limit(max_windows + 1).collect()
-    small = len(bound) <= max_windows
-    sizes = sorted({r["size"] for r in bound} if small else {r["size"] for r in windows.select("size").distinct().collect()})
-    known = {z: [r["h"] for r in bound if r["size"] == z] if small else None for z in sizes}
-    if not sizes:
-        none = documents.where("1 = 0").select("doc", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit("").alias("gram"))
-        return documents, none, grams
-    places = F.explode(F.flatten(F.filter(F.array(*[_starts(F.col("words"), z, known[z]) for z in sizes]), lambda a: a.isNotNull())))
-    if small:
-        found = worded.withColumn("place", places).select("doc", "place.start", "place.size", _gram(F.col("words"), F.col("place.start"), F.col("place.size")).alias("gram"))
-        return documents, found.join(windows.select("size", "gram"), ["size", "gram"], "left_semi").select("doc", "start", "size", "gram"), grams
-    # Only hashes travel; the words of the few documents with a hit are met again for the verification.
-    place = worded.withColumn("place", places).select("doc", "place.start", "place.size", F.xxhash64(F.slice("words", F.col("place.start"), F.col("place.size"))).alias("h"))
-    likely = place.join(windows, ["size", "h"]).groupBy(F.col("doc").alias("hit_doc")).agg(F.collect_set(F.struct("start", "size", "gram")).alias("likely"))
-    met = worded.dropDuplicates(["doc"]).join(likely, F.col("doc").eqNullSafe(F.col("hit_doc"))).select("doc", "words", F.inline("likely"))
-    return documents, met.where(_gram(F.col("words"), F.col("start"), F.col("size")) == F.col("gram")).select("doc", "start", "size", "gram"), grams
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    sizes, seen = _filter_of(grams)
+    if seen is None:
+        return documents, documents.where("1 = 0").select("doc", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit("").alias("gram")), grams
+    found = worded.withColumn("place", F.explode(_likely(F.col("words"), sizes, seen))).select("doc", "place.start", "place.size", _gram(F.col("words"), F.col("place.start"), F.col("place.size")).alias("gram"))
+    return documents, found.join(grams.select("size", "gram"), ["size", "gram"], "left_semi").select("doc", "start", "size", "gram"), grams
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated.
 
     A document word inside any occurrence of a benchmark window counts as hit. Null or empty texts give
     zeros. Rows that repeat an id are judged apart, by their own texts; null ids too. An empty benchmark leaves
     every document clean, an empty table gives no rows. Other columns are not read.
     """
-    row = F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("hash"), F.octet_length(docs[text_col]).alias("bytes"))
+    row = F.struct(docs[id_col].alias("id"), text_key(docs[text_col]).alias("key"))
     bench = benchmark.select(benchmark["item_id"].alias("item_id"), benchmark["text"].alias("text"))
-    documents, hits, grams = find_hits(docs.select(row.alias("doc"), docs[text_col].alias("text")), bench, window, max_windows)
+    documents, hits, grams = find_hits(docs.select(row.alias("doc"), docs[text_col].alias("text")), bench, window)
     hits = saved(hits)  # spans and items both read them
     spans = hits.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"))
     items = hits.select("doc", "size", "gram").distinct().join(grams, ["size", "gram"]).groupBy("doc").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
@@ -119,36 +152,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     )
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` without any benchmark window, all columns kept.
 
-    A bounded benchmark is looked up and verified beside each row, without a shuffle; a larger one is joined.
-    Either way a row is judged by its text, whatever its id: null and repeated ids, repeated rows and null texts
-    stay unless their own text has a window. Columns of any type and name come through.
+    Rows with a window that may be in the set are verified by a join, which gives the names of the texts that go; rows
+    travel only if those are many. A row is judged by its text, whatever its id: null and repeated ids, repeated rows and
+    null texts stay unless their own text has a window. Columns of any type and name come through.
     """
-    bench = benchmark.select("item_id", "text")
-    grams = benchmark_windows(bench, window, "item_id", "text").select("size", "gram").distinct()
-    bound = grams.select("size", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).limit(max_windows + 1).collect()
-    if len(bound) > max_windows:
-        # Only the text decides, so rows of equal texts share a key.
-        key = F.struct(F.xxhash64(docs[text_col]), F.octet_length(docs[text_col]))
-        bad = find_hits(docs.select(key.alias("doc"), docs[text_col].alias("text")), bench, window, max_windows)[1].select("doc").distinct()
-        return docs.join(bad, key == bad["doc"], "left_anti")
-
-    def any_size(words: Column) -> Column:
-        found = F.lit(False)
-        for size in sorted({r["size"] for r in bound}):
-            found = found | _has_window(words, size, [r["h"] for r in bound if r["size"] == size], [r["gram"] for r in bound if r["size"] == size])
-        return found
-
+    grams = benchmark_windows(benchmark.select("item_id", "text"), window, "item_id", "text").select("size", "gram").distinct()
+    sizes, seen = _filter_of(grams)
+    if seen is None:
+        return docs
+    text = docs[text_col]
     # The words are bound by a lambda, so that they are split once for a row and not once for a window.
-    return docs.where(~F.exists(F.array(words_of(docs[text_col])), any_size))
-
-
-def _has_window(words: Column, size: int, hashes: list[int], grams: list[str]) -> Column:
-    def hit(start: Column) -> Column:
-        here = F.slice(words, start, size)
-        return F.xxhash64(here).isin(hashes) & F.array_join(here, " ").isin(grams)
-
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1)))
-    return F.coalesce(F.exists(starts, hit), F.lit(False))
+    places = F.flatten(F.transform(F.array(words_of(text)), lambda words: F.transform(_likely(words, sizes, seen), lambda x: F.struct(x["size"].alias("size"), _gram(words, x["start"], x["size"]).alias("gram")))))
+    doubtful = docs.select(text_key(text).alias("key"), F.explode(places).alias("place")).select("key", "place.size", "place.gram")
+    bad = saved(doubtful.join(grams, ["size", "gram"], "left_semi").select("key").distinct())
+    if bad.count() <= FEW:
+        bad = F.broadcast(bad)
+    return docs.join(bad, text_key(text) == bad["key"], "left_anti")

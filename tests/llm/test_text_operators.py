@@ -157,8 +157,9 @@ def bench_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
-@pytest.mark.parametrize("limit", [decontaminate.MAX_WINDOWS, 1])
-def test_contamination(spark, docs, rows, empty, limit):
+@pytest.mark.parametrize("bits", [decontaminate.BITS_MOST, 1])
+def test_contamination(spark, docs, rows, empty, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "BITS_MOST", bits)
     items = [(1, rows[3][1].upper()), (2, " ".join(rows[5][1].split()[2:16])), (3, "one"), (4, None), (5, "!!"), (6, rows[3][1])]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     grams = {}
@@ -176,9 +177,9 @@ def test_contamination(spark, docs, rows, empty, limit):
                     hit |= set(range(j, j + n))
                     found |= grams[tuple(w[j : j + n])]
         want[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
-    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(docs.withColumn("words", F.lit(1)), bench, max_windows=limit).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(docs.withColumn("words", F.lit(1)), bench).collect()}
     assert got == want
-    clean = decontaminate.remove_documents(docs, bench, max_windows=limit)
+    clean = decontaminate.remove_documents(docs, bench)
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {i for i in want if not want[i][4]}
     assert decontaminate.contamination(empty, bench).count() == 0
     assert decontaminate.contamination(docs, bench.where("1 = 0")).where("contaminated").count() == 0
