@@ -75,3 +75,44 @@ SELECT rule, CAST(SUM(CASE WHEN failed & bit <> 0 THEN 1 ELSE 0 END) AS BIGINT)
  FROM f, (VALUES {_BITS}) AS r(bit, rule) GROUP BY rule"""
 
 ORACLE_SQL = {"op3_suffix_dedup": OP3, "op4_quality_rules": OP4, "quality_rule_ablations": ABLATIONS, "op5_ngram_join": OP5, "op6_mixing": mixing_sql(**MIXING["op6_mixing"]), "mixing_languages_by_entropy": mixing_sql(**MIXING["mixing_languages_by_entropy"]), "mixing_languages_by_repeats": mixing_sql(**MIXING["mixing_languages_by_repeats"]), "op7_decontamination": OP7, "license_inheritance": LICENSE_PATHS}
+
+
+def _after(state: str, letter: str, cost: str, line: str | None) -> str:
+    """A state with one more edit, and one more repaired row if there is one; null stays null."""
+    body = f"{state}.body" if line is None else f"CASE WHEN {state}.body IS NULL THEN {line} ELSE {state}.body || chr(10) || {line} END"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letter}', 'body': {body}}} END"
+
+
+def _least(*choices: str) -> str:
+    return f"list_min([{', '.join(choices)}])"
+
+
+def _repair_sql() -> str:
+    """Checksums bit by bit, then a recursion over the rows of each conversation with the best edits by state."""
+    keep, user, assistant = "r.role || ':' || r.text", "'user:' || r.text", "'assistant:' || r.text"
+    extra = "CASE WHEN r.fault = 'truncated' THEN 3 ELSE 0 END"
+    may = lambda initial, state: f"CASE WHEN r.may AND r.initial = '{initial}' THEN {_after(state, 'K', extra, keep)} END"
+    turned = lambda state, line: f"CASE WHEN r.may THEN {_after(state, 'R', f'3 + {extra}', line)} END"
+    gone = lambda state: _after(state, "D", "4", None)
+    after_row = {
+        "z": gone("z"), "s": _least(gone("s"), may("s", "z")), "a": _least(gone("a"), may("a", "u"), turned("u", assistant)),
+        "u": _least(gone("u"), *(may("u", q) for q in "zsa"), *(turned(q, user) for q in "zsa")),
+    }
+    kind = "STRUCT(cost BIGINT, audit VARCHAR, body VARCHAR)"
+    return f"""WITH RECURSIVE crc_table AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i)) x),
+named AS (SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text, COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+drawn AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda ch: CAST(unicode(ch) AS BIGINT))), lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) % 20 AS draw FROM named, crc_table),
+damaged AS (SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, UNNEST(range(CASE WHEN draw = 3 THEN 2 ELSE 1 END)) AS copy FROM drawn WHERE draw <> 0),
+placed AS (SELECT *, left(role, 1) AS initial, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, COALESCE(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), FALSE) AS wrong FROM placed),
+faults AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM seen),
+r AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS may FROM faults),
+totals AS (SELECT conv_id, count(*) AS n, COALESCE(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (wrong) AS illegal FROM r GROUP BY conv_id),
+steps AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST({{'cost': 0, 'audit': '', 'body': NULL}} AS {kind}) AS z, CAST(NULL AS {kind}) AS s, CAST({{'cost': 3, 'audit': 'I', 'body': 'user:'}} AS {kind}) AS u, CAST({{'cost': 6, 'audit': 'II', 'body': 'user:' || chr(10) || 'assistant:'}} AS {kind}) AS a FROM totals
+UNION ALL SELECT conv_id, i, z, s, u, {_least('a', _after('u', 'I', '3', "'assistant:'"))} AS a FROM (SELECT conv_id, i, z, s, a, {_least('u', *(_after(q, 'I', '3', "'user:'") for q in 'zsa'))} AS u FROM (SELECT p.conv_id AS conv_id, r.i AS i, {', '.join(f'{text} AS new_{q}' for q, text in after_row.items())} FROM steps p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1) x(conv_id, i, z, s, a, u)) y),
+ends AS (SELECT steps.conv_id AS conv_id, list_min([z, a]) AS best FROM steps JOIN totals ON totals.conv_id IS NOT DISTINCT FROM steps.conv_id AND totals.n = steps.i)
+SELECT c.conv_id AS conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal, COALESCE(best.cost, 0) AS cost, COALESCE(best.audit, '') AS audit, sha256(COALESCE(best.body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN totals t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+ORACLE_SQL["op11_conversation_repair"] = _repair_sql()

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def oracle():
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
