@@ -87,18 +87,21 @@ def fund_look_through(weights: DataFrame, disclosures: DataFrame, keys: list[str
     `weights(keys.., at, instrument_id, weight)`; `disclosures(fund_id, holding_date, available_at,
     instrument_id, weight)`. A fund is known through its latest disclosure that is available and fresh at
     `at`, in the last revision of that holding date. Branches that are stale, circular or too deep, and what a fund
-    does not disclose, stay unknown. Each level is a table written to the shared folder, so there are as many
+    does not disclose, stay unknown. Decimal weights stay decimals of their scale, cut after each product; others are
+    doubles. Each level is a table written to the shared folder, so there are as many
     jobs as the data are deep; only funds that a level holds look for their editions.
     """
     funds = disclosures.select(F.col("fund_id").alias("instrument_id")).distinct().withColumn("is_fund", F.lit(True))
-    schema = ", ".join(f"`{k}` {kind}" for k, kind in weights.select(*keys).dtypes) + ", instrument_id string, known double, unknown double"
+    number = kind if (kind := dict(weights.dtypes)["weight"]).startswith("decimal") else "double"
+    zero = F.lit(0).cast(number)
+    schema = ", ".join(f"`{k}` {kind}" for k, kind in weights.select(*keys).dtypes) + f", instrument_id string, known {number}, unknown {number}"
     with Scratch(weights.sparkSession) as scratch:
         parts = [weights.sparkSession.createDataFrame([], schema)]
 
         def tell(rows: DataFrame, known: str, unknown: str) -> None:
-            parts.append(rows.select(*keys, F.col("instrument_id").cast("string"), F.expr(known).cast("double").alias("known"), F.expr(unknown).cast("double").alias("unknown")))
+            parts.append(rows.select(*keys, F.col("instrument_id").cast("string"), F.expr(known).cast(number).alias("known"), F.expr(unknown).cast(number).alias("unknown")))
 
-        level = weights.select(*keys, "at", "instrument_id", "weight", F.array("instrument_id").alias("path"))
+        level = weights.select(*keys, "at", "instrument_id", F.col("weight").cast(number).alias("weight"), F.array("instrument_id").alias("path"))
         for depth in range(max_depth + 1):
             marked = scratch.put(level.join(funds, "instrument_id", "left"))
             tell(marked.where("is_fund IS NULL"), "weight", "0.0")
@@ -114,8 +117,8 @@ def fund_look_through(weights: DataFrame, disclosures: DataFrame, keys: list[str
             held = last.where(F.datediff("at", "holding_date") <= max_age_days).join(disclosures, ["fund_id", "holding_date", "available_at"])
             fresh = scratch.put(held.groupBy("at", "fund_id", "instrument_id").agg(F.sum("weight").alias("part")))
             told = fresh.groupBy("at", "fund_id").agg(F.sum("part").alias("told"))
-            tell(opened.join(told, ["at", "fund_id"], "left").withColumn("rest", F.col("weight") * (1 - F.coalesce("told", F.lit(0.0)))).where("rest <> 0"), "NULL", "rest")
-            down = opened.drop("instrument_id").join(fresh, ["at", "fund_id"]).withColumn("weight", F.col("weight") * F.col("part"))
+            tell(opened.join(told, ["at", "fund_id"], "left").withColumn("rest", F.col("weight") * (1 - F.coalesce("told", F.lit(0)))).withColumn("rest", F.col("rest").cast(number)).where("rest <> 0"), "NULL", "rest")
+            down = opened.drop("instrument_id").join(fresh, ["at", "fund_id"]).withColumn("weight", (F.col("weight") * F.col("part")).cast(number))
             met = F.array_contains("path", F.col("instrument_id"))
             tell(down.where(met), "NULL", "weight")
             level = down.where(~met).select(*keys, "at", "instrument_id", "weight", F.concat("path", F.array("instrument_id")).alias("path"))
@@ -124,4 +127,4 @@ def fund_look_through(weights: DataFrame, disclosures: DataFrame, keys: list[str
             rows = rows.union(more)
         rows = saved(rows)
     exposures = rows.where("known IS NOT NULL").groupBy(*keys, "instrument_id").agg(F.sum("known").alias("exposure"), F.count("*").alias("n_paths"))
-    return exposures, rows.groupBy(*keys).agg(F.coalesce(F.sum("known"), F.lit(0.0)).alias("known_weight"), F.sum("unknown").alias("unknown_weight"))
+    return exposures, rows.groupBy(*keys).agg(F.coalesce(F.sum("known"), zero).alias("known_weight"), F.sum("unknown").alias("unknown_weight"))

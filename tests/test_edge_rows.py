@@ -160,3 +160,12 @@ def test_way_from_assets_that_a_candidate_leaves(spark):
     active = {1: 0.25 * (0.04 - 2 * 0.01 + 0.09), 2: 0.0}
     paid = {1: left + 1.0 * 0.11 + 0.5 * 0.14, 2: left + 0.5 * 0.11}
     assert all(math.isclose(r.value, -active[r.p] - paid[r.p]) for r in v.collect())
+
+
+def test_look_through_in_decimals(spark):
+    d, kind = "DATE '2024-01-01'", "decimal(20,10)"
+    w = spark.sql(f"SELECT 1 AS k, DATE '2024-02-01' AS at, 'F' AS instrument_id, CAST('0.3' AS {kind}) AS weight")
+    e = spark.sql(f"SELECT 'F' AS fund_id, {d} AS holding_date, {d} AS available_at, 'G' AS instrument_id, CAST('0.1' AS {kind}) AS weight UNION ALL SELECT 'G', {d}, {d}, 'S', CAST('0.7' AS {kind}) UNION ALL SELECT 'F', {d}, {d}, 'S', CAST('0.2' AS {kind})")
+    exposures, totals = exposure.fund_look_through(w, e, ["k"])
+    assert [(r.instrument_id, str(r.exposure), r.n_paths) for r in exposures.collect()] == [("S", "0.0810000000", 2)]
+    assert [(str(r.known_weight), str(r.unknown_weight)) for r in totals.collect()] == [("0.0810000000", "0.2190000000")]
