@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from portica.operators import audit, costs, exposure, ledger, pit, replay, risk, targets
+from portica.operators import audit, costs, exposure, ledger, pit, prefix, replay, risk, targets
 
 
 def test_total_loss_is_a_status(spark):
@@ -169,3 +170,16 @@ def test_look_through_in_decimals(spark):
     exposures, totals = exposure.fund_look_through(w, e, ["k"])
     assert [(r.instrument_id, str(r.exposure), r.n_paths) for r in exposures.collect()] == [("S", "0.0810000000", 2)]
     assert [(str(r.known_weight), str(r.unknown_weight)) for r in totals.collect()] == [("0.0810000000", "0.2190000000")]
+
+
+def test_running_sums_in_pieces(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["x", "y", None]), rng.randint(0, 400), i, rng.choice([None, 1.5, -2.0, 3.25])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, d int, seq int, v double").selectExpr("k", "date_add(DATE '2024-01-01', d) AS at", "d", "seq", "v").repartition(3)
+    got = prefix.running_sums(df, ["k"], ["at", "seq"], {"total": F.coalesce("v", F.lit(0.0)), "n": F.lit(1)}, prefix.time_bucket(F.col("at"), 30))
+    assert got.columns == ["k", "at", "d", "seq", "v", "total", "n"]
+    want, sums = {}, {}
+    for k, _, seq, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        total, n = sums.get(k, (0.0, 0))
+        want[seq] = sums[k] = (total + (v or 0.0), n + 1)
+    assert {r.seq: (r.total, r.n) for r in got.collect()} == want
