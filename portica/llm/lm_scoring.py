@@ -5,9 +5,11 @@ bytes; the end of text is a class of its own.
 
 * The first factor is a softmax over classes whose scores are sums of weights for hashed features of the
   history: the words one, two and three back (skips) and the pair before (n-gram). The weights start from the
-  counts of feature and class over all training texts, then take gradient steps: every task sums the gradient
-  of all its rows at the shared weights, Spark adds the tasks up, one step follows. So the result does not
-  depend on how the table is split.
+  counts of feature and class over all training texts, then climb the log-likelihood less a Gaussian prior
+  around that start, which has one maximum: every task sums the gradient of all its histories at the shared
+  weights, Spark adds the tasks up, one step of L-BFGS follows, until a step gains less than `GAIN` nats a
+  token. Each history of a task is held once, with how often it stands. So the result does not depend on how
+  the table is split. `rounds` asks for so many steps instead.
 * The second factor is the maximum-entropy model of a class with one feature for each pair of words: its
   constraints are the counts of pairs seen twice or more, less a discount, and the word's share of its class.
   The weights of pairs then have a closed form. Their table grows with the corpus and stays in hash buckets.
@@ -33,7 +35,10 @@ FEATURES = 1 << 16
 TEMPLATES = 4
 ROUNDS = 1
 RATE = 0.5
-#: Pseudo-counts of a feature's class shares, and the share of their log-odds that weights start from.
+#: Steps that L-BFGS remembers; the gain in nats a token below which a step is the last.
+MEMORY, GAIN = 6, 1e-4
+#: Pseudo-counts of a feature's class shares, which are the prior's precision too, and the share of their
+#: log-odds that weights start from.
 SMOOTH, START = 30.0, 0.5
 #: Taken from the count of each pair that is seen MIN_PAIR times or more.
 DISCOUNT, MIN_PAIR = 1.0, 2
@@ -352,47 +357,148 @@ def start_weights(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray((START * odds).T, dtype=np.float32), np.log(share).astype(np.float32)
 
 
-def _forward(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Class probabilities of tokens, of which `rows` has the feature rows by template."""
-    z = weights[rows[0]] + bias
+def _halved(z: np.ndarray, join) -> np.ndarray:
+    """The columns of z joined to one, half by half."""
+    while z.shape[1] > 1:
+        half = z.shape[1] // 2
+        odd = z[:, 2 * half :]
+        z = join(z[:, :half], z[:, half : 2 * half])
+        if odd.size:
+            z[:, :1] = join(z[:, :1], odd)
+    return z
+
+
+def _classes(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class probabilities, log of what they were divided by) of tokens, of which `rows` has the feature rows by template."""
+    z = np.take(weights, rows[0], axis=0, mode="clip")
+    more = np.empty_like(z)
     for r in rows[1:]:
-        z += weights[r]
-    z -= z.max(axis=1, keepdims=True)
+        z += np.take(weights, r, axis=0, out=more, mode="clip")
+    z += bias
+    top = _halved(z, np.maximum)
+    z -= top
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    total = _halved(z, np.add)
+    z /= total
+    return z, (top + np.log(total))[:, 0]
+
+
+def _forward(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return _classes(weights, bias, rows)[0]
+
+
+def _histories(batches):
+    """The distinct histories of a task's texts as sorted feature rows, and how often each stands."""
+    pack, places = zstandard.ZstdCompressor(level=1), [np.uint64(16 * i) for i in range(TEMPLATES)]
+
+    def piece(keys):
+        held, times = np.unique(np.concatenate(keys), return_counts=True)
+        return pack.compress(exchange.pack(*((held >> i).astype(np.uint16) for i in places), times.astype(np.uint32)))
+
+    keys, size = [], 0
+    for _, texts in wordscan.groups(batches, "text"):
+        rows = Tokens(texts).with_ends()[0].astype(np.uint64)
+        keys.append(sum((r << i for r, i in zip(rows[1:], places[1:], strict=True)), start=rows[0]))
+        size += keys[-1].size
+        if size > 2_000_000:
+            yield exchange.rows([0], [piece(keys)])
+            keys, size = [], 0
+    if size:
+        yield exchange.rows([0], [piece(keys)])
+
+
+def _expect(batches, weights: np.ndarray, bias: np.ndarray, n_parts: int):
+    """What the model expects of each cell (kind 1), and the sum of the logs of its divisors (kind 2)."""
+    table, logs, undo = _Table(n_parts), 0.0, zstandard.ZstdDecompressor()
+    for batch in batches:
+        for payload in batch.column("payload").to_pylist():
+            *held, times = exchange.unpack(undo.decompress(payload), *[np.uint16] * TEMPLATES, np.uint32)
+            rows = np.stack(held).astype(np.int64)
+            for at in range(0, times.size, BATCH):
+                r, n = rows[:, at : at + BATCH], times[at : at + BATCH]
+                p, log = _classes(weights, bias, r)
+                logs += float((log.astype(np.float64) * n).sum())
+                p = np.ascontiguousarray((p * n[:, None].astype(np.float32)).T)
+                flat = r.reshape(-1)
+                for k in range(_K):
+                    table.add(k, flat, np.tile(p[k], TEMPLATES))
+    if sent := table.pieces():
+        yield _kinded(exchange.rows(*map(list, zip(*sent, strict=True))), 1)
+        yield _kinded(exchange.rows([0], [exchange.pack(np.array([logs]))]), 2)
+
+
+def _total(batches):
+    tables, logs, part = [], [], 0
+    for batch in batches:
+        for part, kind, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "payload")), strict=True):
+            if kind == 2:
+                logs.append(exchange.unpack(payload, np.float64)[0][0])
+                continue
+            tables.append(payload)
+            if len(tables) == 64:
+                tables = [_sum_pieces(tables)]
+    if tables:
+        yield _kinded(exchange.rows([part], [_sum_pieces(tables).tobytes()]), 1)
+    if logs:
+        yield _kinded(exchange.rows([part], [exchange.pack(np.array([sum(logs)]))]), 2)
+
+
+def _ascent(slope: np.ndarray, scale: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The next step of L-BFGS: `past` holds steps and how much of the slope each took away, `scale` stands for the curvature."""
+    step, shares = slope.copy(), []
+    for s, y in reversed(past):
+        shares.append((s * step).sum() / (s * y).sum())
+        step -= shares[-1] * y
+    step *= scale * ((past[-1][0] * past[-1][1]).sum() / (past[-1][1] ** 2 * scale).sum() if past else RATE)
+    for (s, y), share in zip(past, reversed(shares), strict=True):
+        step += s * (share - (y * step).sum() / (s * y).sum())
+    return step
 
 
-def train(docs: DataFrame, counts: np.ndarray, n_parts: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of the classes: gradient steps over all training texts from the weights of the counts.
+def train(docs: DataFrame, counts: np.ndarray, n_parts: int, rounds: int | None = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of the classes, by steps over all training texts from the weights of the counts.
 
-    The gradient of a cell is its count less what the model expects; a step is scaled by the expected count.
+    What is climbed is the log-likelihood less SMOOTH / 2 times the squared way from the start. The gradient of a
+    cell is its count less what the model expects and the prior's pull; steps are scaled by the expected count.
+    Without `rounds`, steps go on until one gains less than GAIN a token; one that would lose is halved.
     """
-    weights, bias = start_weights(counts)
-    for _ in range(rounds):
-
-        def expect(batches, weights=weights, bias=bias):
-            table = _Table(n_parts)
-            for _, texts in wordscan.groups(batches, "text"):
-                rows, kind, _ = Tokens(texts).with_ends()
-                for at in range(0, kind.size, BATCH):
-                    r = rows[:, at : at + BATCH]
-                    p = np.ascontiguousarray(_forward(weights, bias, r).T)
-                    flat = r.reshape(-1)
-                    for k in range(_K):
-                        table.add(k, flat, np.tile(p[k], TEMPLATES))
-            if sent := table.pieces():
-                yield exchange.rows(*map(list, zip(*sent, strict=True)))
-
-        def total(batches):
-            got = [(batch.column("part")[0].as_py(), p) for batch in batches for p in batch.column("payload").to_pylist()]
-            if got:
-                yield exchange.rows([got[0][0]], [_sum_pieces([p for _, p in got]).tobytes()])
-
-        sent = docs.where(~F.col("held_out")).select("text").mapInArrow(expect, exchange.SCHEMA)
-        expected = _from_pieces([(r["part"], r["payload"]) for r in exchange.deal(sent, n_parts).mapInArrow(total, exchange.SCHEMA).collect()], n_parts)
-        weights = weights + np.ascontiguousarray((RATE * (counts - expected) / (expected + SMOOTH)).T, dtype=np.float32)
-    return weights, bias
+    start, bias = start_weights(counts)
+    if rounds == 0:
+        return start, bias
+    wanted, by_class = counts.T, counts.sum(axis=1) / TEMPLATES
+    least = GAIN * by_class.sum()
+    held = saved(docs.where(~F.col("held_out")).select("text").mapInArrow(_histories, exchange.SCHEMA))
+    # A task sends a table of one size whatever it holds, so few tasks with much each.
+    held = held.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, held.rdd.getNumPartitions() // 8))
+
+    def look(weights):
+        sent = held.mapInArrow(lambda b: _expect(b, weights, bias, n_parts), _ROWS)
+        got = exchange.deal(sent, n_parts).mapInArrow(_total, _ROWS).collect()
+        expected = _from_pieces([(r["part"], r["payload"]) for r in got if r["kind"] == 1], n_parts).T
+        logs = sum(exchange.unpack(r["payload"], np.float64)[0][0] for r in got if r["kind"] == 2)
+        way = weights.astype(np.float64) - start
+        value = (wanted * weights).sum() + by_class @ bias - logs - SMOOTH / 2 * (way**2).sum()
+        return value, wanted - expected - SMOOTH * way, 1 / (expected + SMOOTH)
+
+    weights, past, left = start, [], rounds
+    value, slope, scale = look(weights)
+    while True:
+        step = _ascent(slope, scale, past)
+        if left == 1:
+            return np.ascontiguousarray(weights + step, dtype=np.float32), bias
+        while True:
+            ahead = np.ascontiguousarray(weights + step, dtype=np.float32)
+            at, slope_at, scale_at = look(ahead)
+            if at >= value:
+                break
+            step = step / 2
+            if (slope * step).sum() < least:  # the objective is concave: no step this way gains more
+                return weights, bias
+        gained, left = at - value, left and left - 1
+        past = [*past, (ahead.astype(np.float64) - weights, slope - slope_at)][-MEMORY:]
+        weights, value, slope, scale = ahead, at, slope_at, scale_at
+        if rounds is None and gained < least or gained <= 0:
+            return weights, bias
 
 
 class _Hot:
@@ -419,10 +525,10 @@ class _Hot:
         return out
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = ROUNDS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
-    Scores are log10 probabilities of the whole text with its end. Null and empty texts are one end token.
+    Scores are log10 probabilities of the whole text with its end. Without `rounds` the model is trained to the end. Null and empty texts are one end token.
     Rows that repeat count as often as they stand, and each is scored. A null id is not held out. If every row
     is held out the counts are zero and all words unseen. An empty table gives no rows. Other columns are not
     read, so their names may clash with any of these.

@@ -14,8 +14,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log10 probabilities of all documents under a model of those that are not held out."""
-    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"))
+    """Log10 probabilities of all documents under a model of those that are not held out, trained to the end."""
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"), rounds=None)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
