@@ -50,8 +50,10 @@ _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)"
 _NUMBER = re.compile(r"\s*([0-9]{1,6})")
 #: Columns or rows that one cell spans, at most, as browsers have it.
 MAX_SPAN = 1000
-#: Tables in tables that are aligned; blanks and bars of a padded table against what it holds.
+#: Of the bounded layout alone: tables in tables that are aligned; blanks and bars of a padded table against what it holds.
 ALIGNED, LOOSE = 4, 3
+#: Characters of text in one batch of rows, but for a page that has more.
+BATCH_CHARS = 1 << 24
 
 
 class Node:
@@ -182,17 +184,26 @@ def _span(node: Node, name: str) -> int:
 class _Page:
     """Lines of output; `space` is a pending blank, `gap` the line breaks due before the next text."""
 
-    def __init__(self, depth: int = 0):
+    def __init__(self, bounded: bool, depth: int = 0):
         self.out: list[str] = []
-        self.depth = depth
+        self.bounded, self.depth = bounded, depth
         self.gap, self.space, self.fresh, self.indent = 0, False, True, ""
 
     def break_(self, lines: int) -> None:
         self.gap, self.space = max(self.gap, lines), False
 
+    def trim(self) -> None:
+        """Takes white space off the end of the last line."""
+        while self.out and not self.out[-1].endswith("\n"):
+            if bare := self.out[-1].rstrip():
+                self.out[-1] = bare
+                return
+            self.out.pop()
+
     def put(self, text: str) -> None:
         if self.gap or not self.out:
             if self.out:
+                self.trim()
                 self.out.append("\n" * self.gap)
             self.out.append(self.indent)
             self.gap, self.fresh = 0, True
@@ -202,6 +213,13 @@ class _Page:
         self.out.append(text)
         self.fresh = False
 
+    def lines(self, text: str) -> None:
+        """Lines without white space at their ends."""
+        self.break_(1)
+        if self.indent:
+            text = "\n".join(line and self.indent + line for line in text.split("\n")).removeprefix(self.indent)
+        self.put(text)
+
     def words(self, text: str) -> None:
         bare = _GAP.sub(" ", text)
         if bare.startswith(" "):
@@ -211,7 +229,8 @@ class _Page:
             self.space = bare.endswith(" ")
 
     def text(self) -> str:
-        return "\n".join(line.rstrip() for line in "".join(self.out).split("\n")).strip("\n")
+        self.trim()
+        return "".join(self.out).strip("\n")
 
 
 def _walk(first) -> None:
@@ -321,9 +340,10 @@ def _rows(table: Node, veil: bool):
 def _table(table: Node, page: _Page, veil: bool):
     """Cells padded to their columns; what stands in a table or a section outside rows comes before it.
 
-    A cell that spans rows or columns leaves the places that it takes empty, as far as the widest row has cells. A
-    table whose blanks and bars would be more than LOOSE times what it holds is not padded and has no empty places.
-    Tables more than ALIGNED deep in others have a line for each cell, so no text is copied more often than that.
+    A cell that spans rows or columns leaves the places that it takes empty, as far as the widest row has cells.
+    The bounded layout departs from that by size: a table whose blanks and bars would be more than LOOSE times what
+    it holds is not padded and has no empty places, and tables more than ALIGNED deep in others have a line for each
+    cell, so no text is copied more often than that.
     """
     for kid, hid in _parts(table, veil):
         loose = Node("#loose", {})
@@ -331,7 +351,7 @@ def _table(table: Node, page: _Page, veil: bool):
             loose.kids.append(kid)
             yield _render(loose, page, False, hid)
             page.break_(1)
-    if page.depth >= ALIGNED:
+    if page.bounded and page.depth >= ALIGNED:
         for row, hid in _rows(table, veil):
             for cell, cell_hid in _cells(row, hid):
                 page.break_(1)
@@ -340,57 +360,66 @@ def _table(table: Node, page: _Page, veil: bool):
         return
     rows = [list(_cells(row, hid)) for row, hid in _rows(table, veil)]
     widest = max(map(len, rows), default=0)
-    grid: list[list[list[str]]] = []
+    grid: list[list[str]] = []
     taken: dict[int, int] = {}  # columns that cells of rows above still take, with the rows that are left
     held = 0
     for row in rows:
-        cells: list[list[str]] = []
+        cells: list[str] = []
         below: dict[int, int] = {}
         for cell, hid in row:
             while taken.get(len(cells), 0):
-                cells.append([""])
+                cells.append("")
             wide, tall = max(min(_span(cell, "colspan"), widest - len(cells)), 1), _span(cell, "rowspan")
             if tall > 1:
                 below.update((len(cells) + j, tall - 1) for j in range(wide))
-            inner = _Page(page.depth + 1)
+            inner = _Page(page.bounded, page.depth + 1)
             yield _render(cell, inner, False, hid)
             text = inner.text()
             held += len(text) + 8
-            cells.append(text.split("\n"))
-            cells.extend([""] for _ in range(wide - 1))
+            cells += [text, *[""] * (wide - 1)]
         taken = {j: n - 1 for j, n in taken.items() if n > 1} | below
-        if any(any(c) for c in cells):
+        if any(cells):
             grid.append(cells)
+    if max(map(len, grid), default=0) == 1:
+        for (cell,) in grid:
+            page.lines(cell)
+        page.break_(1)
+        return
+    split = [[c.split("\n") for c in cells] for cells in grid]
     width: list[int] = []
-    for cells in grid:
+    for cells in split:
         width.extend([0] * (len(cells) - len(width)))
         for j, cell in enumerate(cells):
             width[j] = max(width[j], *map(len, cell))
     before = [0]
     for w in width:
         before.append(before[-1] + w + 3)
-    padded = sum(before[len(cells)] * max(map(len, cells)) for cells in grid) <= LOOSE * held + 400
-    for cells in grid:
-        for i in range(max(map(len, cells))):
-            page.break_(1)
-            if padded:
-                page.put(" | ".join((c[i] if i < len(c) else "").ljust(width[j]) for j, c in enumerate(cells)).rstrip())
-            else:
-                page.put(" | ".join(c[i] for c in cells if i < len(c) and any(c)))
+    padded = not page.bounded or sum(before[len(cells)] * max(map(len, cells)) for cells in split) <= LOOSE * held + 400
+    for cells in split:
+        tall = range(max(map(len, cells)))
+        if padded:
+            blanks = [*width[: len(cells) - 1], 0]  # none behind the last cell
+            page.lines("\n".join(" | ".join((c[i] if i < len(c) else "").ljust(w) for c, w in zip(cells, blanks, strict=True)).rstrip() for i in tall))
+        else:
+            page.lines("\n".join(" | ".join(c[i] for c in cells if i < len(c) and any(c)) for i in tall))
     page.break_(1)
 
 
-def render(html: str | None) -> str:
-    """All visible text of a page; null and empty give ''."""
+def render(html: str | None, bounded: bool = True) -> str:
+    """All visible text of a page; null and empty give ''.
+
+    Not bounded, all tables are aligned by one rule, whatever their size and depth; blanks of a table may then be the
+    square of its page. Bounded, the text is about as long as the page, for pages that are not trusted.
+    """
     if not html:
         return ""
-    page = _Page()
+    page = _Page(bounded)
     _walk(_render(build_tree(html), page, False))
     return page.text()
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, text, n_chars, n_lines) for each page; no shuffle.
+def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", bounded: bool = False) -> DataFrame:
+    """(id, text, n_chars, n_lines) for each page; no shuffle. `bounded` as in `render`.
 
     Null or empty html gives '' with zero lines. Malformed markup never fails, however deep: what cannot be
     parsed as a tag is text, as is a tag whose attribute lacks its closing quote. What closed <details> hold
@@ -402,8 +431,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     def run(batches):
         for batch in batches:
-            texts = [render(h) for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
+            ids, at, texts, size = batch.column("id"), 0, [], 0
+            for h in batch.column("html").to_pylist():
+                texts.append(render(h, bounded))
+                size += len(texts[-1])
+                if size >= BATCH_CHARS or at + len(texts) == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array(texts, pa.string())], names=["id", "text"])
+                    at, texts, size = at + len(texts), [], 0
 
     out = narrow.mapInArrow(run, f"id {kind}, text string")
     lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
