@@ -43,7 +43,11 @@ SMOOTH, START = 30.0, 0.5
 #: Taken from the count of each pair that is seen MIN_PAIR times or more.
 DISCOUNT, MIN_PAIR = 1.0, 2
 HEAD, HOT = 1e-6, 1e-3
-BATCH = 1 << 16
+#: Histories whose shares are added to the cells at once; tokens whose class scores are held at once, which a
+#: core's cache has room for.
+BATCH, STEP = 1 << 18, 1 << 12
+#: No sum of exponentials of 32-bit scores overflows or vanishes below.
+TAME = 80.0
 _K = CLASSES + 1
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _RARE, _PRESENT = np.uint64(1 << 63), np.uint64(1 << 62)
@@ -193,8 +197,14 @@ class _Table:
     def __init__(self, n_parts: int):
         self.n_parts, self.cells, self.any = n_parts, np.zeros((_K, FEATURES)), False
 
-    def add(self, kind: int, rows: np.ndarray, weight: np.ndarray | None = None) -> None:
-        self.cells[kind] += np.bincount(rows, weight, FEATURES)
+    def add(self, rows: np.ndarray, weight: np.ndarray) -> None:
+        """Adds weights by class to the rows of each template; those of the last template are in order."""
+        last = rows[-1]
+        heads = np.flatnonzero(np.diff(last, prepend=-1))
+        for cells, w in zip(self.cells, weight, strict=True):
+            for r in rows[:-1]:
+                cells += np.bincount(r, w, FEATURES)
+            cells[last[heads]] += np.add.reduceat(w, heads)
         self.any = True
 
     def count(self, rows: np.ndarray, kind: np.ndarray) -> None:
@@ -368,23 +378,31 @@ def _halved(z: np.ndarray, join) -> np.ndarray:
     return z
 
 
-def _classes(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class probabilities, log of what they were divided by) of tokens, of which `rows` has the feature rows by template."""
+def _tame(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no class score can pass `TAME` either way, so that scores need no shift before exp."""
+    return bool(TEMPLATES * np.abs(weights).max() + np.abs(bias).max() < TAME)
+
+
+def _classes(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials of class scores, their sum, log of that before any shift) of tokens, of which `rows` has the feature rows by template."""
     z = np.take(weights, rows[0], axis=0, mode="clip")
     more = np.empty_like(z)
     for r in rows[1:]:
         z += np.take(weights, r, axis=0, out=more, mode="clip")
     z += bias
-    top = _halved(z, np.maximum)
-    z -= top
+    top = np.zeros((1, 1), dtype=np.float32) if tame else _halved(z, np.maximum)
+    if not tame:
+        z -= top
     np.exp(z, out=z)
-    total = _halved(z, np.add)
-    z /= total
-    return z, (top + np.log(total))[:, 0]
+    total = np.einsum("ij->i", z)
+    return z, total, top[:, 0] + np.log(total)
 
 
-def _forward(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return _classes(weights, bias, rows)[0]
+def _forward(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, tame: bool = False) -> np.ndarray:
+    """Class probabilities of tokens."""
+    z, total, _ = _classes(weights, bias, rows, tame)
+    z /= total[:, None]
+    return z
 
 
 def _histories(batches):
@@ -409,19 +427,20 @@ def _histories(batches):
 
 def _expect(batches, weights: np.ndarray, bias: np.ndarray, n_parts: int):
     """What the model expects of each cell (kind 1), and the sum of the logs of its divisors (kind 2)."""
-    table, logs, undo = _Table(n_parts), 0.0, zstandard.ZstdDecompressor()
+    table, logs, undo, tame = _Table(n_parts), 0.0, zstandard.ZstdDecompressor(), _tame(weights, bias)
+    shares = np.empty((_K, BATCH))
     for batch in batches:
         for payload in batch.column("payload").to_pylist():
             *held, times = exchange.unpack(undo.decompress(payload), *[np.uint16] * TEMPLATES, np.uint32)
-            rows = np.stack(held).astype(np.int64)
             for at in range(0, times.size, BATCH):
-                r, n = rows[:, at : at + BATCH], times[at : at + BATCH]
-                p, log = _classes(weights, bias, r)
-                logs += float((log.astype(np.float64) * n).sum())
-                p = np.ascontiguousarray((p * n[:, None].astype(np.float32)).T)
-                flat = r.reshape(-1)
-                for k in range(_K):
-                    table.add(k, flat, np.tile(p[k], TEMPLATES))
+                rows, n = np.stack([x[at : at + BATCH] for x in held]).astype(np.int64), times[at : at + BATCH]
+                for a in range(0, n.size, STEP):
+                    some = n[a : a + STEP]
+                    p, total, log = _classes(weights, bias, rows[:, a : a + STEP], tame)
+                    logs += float(log.astype(np.float64) @ some)
+                    p *= (some / total).astype(np.float32)[:, None]
+                    shares[:, a : a + some.size] = p.T
+                table.add(rows, shares[:, : n.size])
     if sent := table.pieces():
         yield _kinded(exchange.rows(*map(list, zip(*sent, strict=True))), 1)
         yield _kinded(exchange.rows([0], [exchange.pack(np.array([logs]))]), 2)
@@ -550,16 +569,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups[cells[cells >= n_pairs] - n_pairs] = count[cells >= n_pairs]
     hot = _Hot(heads, cells[cells < n_pairs], count[cells < n_pairs], groups)
     weights, bias = train(rows, counts, n_parts, rounds)
-    by_class = np.append(heads.by_class, 0.0)
+    by_class, tame = np.append(heads.by_class, 0.0), _tame(weights, bias)
 
     def score(batches):
         for part, texts in wordscan.groups(batches, "text"):
             t = Tokens(texts)
             features, kind, doc = t.with_ends()
             lm = -by_class[kind]
-            for at in range(0, kind.size, BATCH):
-                p = _forward(weights, bias, features[:, at : at + BATCH])
-                lm[at : at + BATCH] += np.log10(p[np.arange(len(p)), kind[at : at + BATCH]].astype(np.float64) + 1e-30)
+            for at in range(0, kind.size, STEP):
+                p = _forward(weights, bias, features[:, at : at + STEP], tame)
+                lm[at : at + STEP] += np.log10(p[np.arange(len(p)), kind[at : at + STEP]].astype(np.float64) + 1e-30)
             ids, before = _pairs(t, heads)
             known = ids >= 0
             logs = np.zeros(ids.size)

@@ -1,8 +1,10 @@
 """The class weights of the language model against plain ascent on dense sums."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from portica.llm import lm_scoring as lm, queries
+from portica.llm import exchange, lm_scoring as lm, queries
 
 from .test_lm_scoring import is_held
 from .test_text_operators import SCHEMA, corpus
@@ -43,6 +45,29 @@ def test_training_ends_at_the_maximum(spark):
     assert top - reached[None] < 5 * lm.GAIN * kind.size < top - reached[1]
 
 
+@pytest.mark.parametrize("size", [1, 40])
+def test_a_pass_sums_what_dense_sums_give(monkeypatch, size):
+    """Weights of size 40 have scores whose exponentials overflow without a shift."""
+    monkeypatch.setattr(lm, "BATCH", 300)
+    monkeypatch.setattr(lm, "STEP", 70)
+    rng = np.random.default_rng(3)
+    weights = (size * rng.standard_normal((lm.FEATURES, lm.CLASSES + 1))).astype(np.float32)
+    bias = rng.standard_normal(lm.CLASSES + 1).astype(np.float32)
+    assert lm._tame(weights, bias) == (size == 1)
+    rows = corpus(seed=6, n=40)
+    texts = pa.RecordBatch.from_pydict({"text": [r[1] for r in rows]})
+    got = [r for batch in lm._expect(lm._histories([texts]), weights, bias, 3) for r in batch.to_pylist()]
+    features = np.concatenate([lm.Tokens([(r[1] or "").encode()]).with_ends()[0] for r in rows], axis=1)
+    z = weights.astype(float)[features].sum(axis=0) + bias
+    log = z.max(axis=1) + np.log(np.exp(z - z.max(axis=1)[:, None]).sum(axis=1))
+    expected = np.zeros((lm.FEATURES, lm.CLASSES + 1))
+    for r in features:
+        np.add.at(expected, r, np.exp(z - log[:, None]))
+    pieces = [(r["part"], lm._sum_pieces([r["payload"]]).tobytes()) for r in got if r["kind"] == 1]
+    assert np.allclose(lm._from_pieces(pieces, 3).T, expected, rtol=1e-4, atol=1e-3)
+    assert [exchange.unpack(r["payload"], np.float64)[0][0] for r in got if r["kind"] == 2] == pytest.approx([log.sum()], rel=1e-6)
+
+
 def test_query_trains_to_the_end(spark, tmp_path):
     docs = spark.createDataFrame(corpus(seed=5, n=150), SCHEMA)
     docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
