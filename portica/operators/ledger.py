@@ -153,7 +153,8 @@ def trade_proposals(
 
     `book(account_id, symbol, managed, weight, quantity, available, price)`; `accounts(account_id, nav, cash, status,
     valid_until)`. Prices slip to the cent against the trader; buys are the lots that their gap affords with fees;
-    sells round up to lots; proceeds of sells are not spent. Any reason leaves an account without trades.
+    sells round up to lots; proceeds of sells are not spent. A symbol without a weight is not traded. Any reason
+    leaves an account without trades.
     """
     j = book.join(accounts, "account_id")
     gap = F.round(F.col("nav") * F.col("weight") - F.col("quantity") * F.col("price"), 8)

@@ -46,3 +46,25 @@ def test_same_rows_as_sql(spark, oracle, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def _same_rows(spark, folder, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        if (folder / f"{t}.parquet").exists():
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    df = QUERIES[name](spark, str(folder))
+    cols = sorted(df.columns)
+    rel = con.execute(ORACLES[name])
+    names = [d[0] for d in rel.description]
+    got = sorted(tuple(_plain(r[c]) for c in cols) for r in df.collect())
+    assert got and got == sorted(tuple(_plain(r[names.index(c)]) for c in cols) for r in rel.fetchall())
+    return df
+
+
+def test_proposals_with_holdings_above_their_weights(spark, tmp_path):
+    """Suppliers of six times as many months, some with negative numbers, so that weights fall to 0 and below."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT CASE WHEN k = 5 THEN -1 ELSE 1 END * l_suppkey AS l_suppkey, CAST(l_shipdate + to_years(7 * k) AS TIMESTAMP) AS l_shipdate, * EXCLUDE (l_suppkey, l_shipdate, k) FROM RANGE(6) r(k), '{SF}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    df = _same_rows(spark, tmp_path, "n6_trade_proposals")
+    assert df.where("account_id < 0 AND n_trades = 0").count()
