@@ -87,3 +87,24 @@ def test_random_matrix_covariance(spark, monkeypatch, case):
             vec = mine[mine["rank"] == r + 1].sort_values("asset")
             np.testing.assert_allclose(vec["eigenvalue"], v, rtol=1e-9)
             assert abs(abs(vec["loading"].to_numpy() @ vectors[:, r]) - 1) < 1e-8
+
+
+def test_more_assets_than_times_in_many_blocks(spark, monkeypatch):
+    """Keys solved over their times: in one block and in several, with signals and without; nothing kept outgrows the panel."""
+    for name, size in (("ASSETS", 8), ("TIMES", 7), ("SIDE", 2), ("SPANS", 2), ("CELLS", 50)):
+        monkeypatch.setattr(spectrum, name, size, raising=False)
+    made = {"one": panel(70, 6, 8, 2), "many": panel(60, 16, 9, 1), "none": panel(12, 10, 10, 0)}
+    df = spark.createDataFrame(pd.concat([rows.assign(k=k) for k, (rows, _) in made.items()])).repartition(3)
+    kept, save = [], spectrum.saved
+    monkeypatch.setattr(spectrum, "saved", lambda d: kept.append(save(d)) or kept[-1])
+    found = spectrum.cov_random_matrix(df, ["k"], 1.0)
+    cells = [d.selectExpr(f"SUM(LENGTH({c})) / 8").first()[0] for d in kept for c, kind in d.dtypes if kind == "binary"]
+    assert max(cells) <= sum(x.size for _, x in made.values())
+    found = found.toPandas()
+    for k, (_, x) in made.items():
+        want, values, _ = cleaned(x)
+        one = found[found["k"] == k]
+        i, j = (one[c].str[1:].astype(int).to_numpy() for c in ("a", "b"))
+        assert len(set(zip(i, j, strict=True))) == len(one) == x.shape[1] * (x.shape[1] + 1) // 2 and (i <= j).all() and set(one["n_signals"]) == {len(values)}
+        np.testing.assert_allclose(one["value"], want[i, j], rtol=1e-6, atol=1e-7)
+    assert [len(cleaned(x)[1]) > 0 for _, x in made.values()] == [True, True, False]
