@@ -108,3 +108,12 @@ def test_more_assets_than_times_in_many_blocks(spark, monkeypatch):
         assert len(set(zip(i, j, strict=True))) == len(one) == x.shape[1] * (x.shape[1] + 1) // 2 and (i <= j).all() and set(one["n_signals"]) == {len(values)}
         np.testing.assert_allclose(one["value"], want[i, j], rtol=1e-6, atol=1e-7)
     assert [len(cleaned(x)[1]) > 0 for _, x in made.values()] == [True, True, False]
+
+
+def test_diagonal_of_random_matrix_covariance(spark):
+    rows, x = panel(30, 9, 11, 2)
+    df = spark.createDataFrame(rows)
+    got = spectrum.cov_random_matrix(df, [], 2.0, diagonal=True).toPandas()
+    whole = spectrum.cov_random_matrix(df, [], 2.0).where("a = b").toPandas()
+    assert len(got) == 30 and (got["a"] == got["b"]).all()
+    pd.testing.assert_frame_equal(got.sort_values("a", ignore_index=True), whole.sort_values("a", ignore_index=True), check_exact=False, rtol=1e-12)
