@@ -222,19 +222,33 @@ def build_event_schedule(cash_events: DataFrame, fx: DataFrame, marks: DataFrame
     return log, broken.union(again)
 
 
-def running_ledger(events: DataFrame, keys: list[str], bucket_days: int = 366) -> DataFrame:
+def running_ledger(events: DataFrame, keys: list[str], bucket_days: int | None = 366) -> DataFrame:
     """`events(keys.., at, sequence, symbol, quantity, price, fee, flow)` with position, cash, fees and flags after each.
 
     `quantity` is signed; `flow` is external cash. Cash and fees run over the account, the position over the symbol.
     Decimals stay decimals: products are cut to eight places before they are added. An account is sorted in pieces
-    of `bucket_days`.
+    of `bucket_days`, or in one task if that is None, which suits events that lie by account.
     """
-    paid, money, bucket = F.col("quantity") * F.col("price"), _money(events), time_bucket(F.col("at"), bucket_days)
+    out = _positions(events, keys, bucket_days)
+    return _flagged(running_sums(out, keys, ["at", "sequence"], _account_sums(out), _bucket(bucket_days)))
+
+
+def _bucket(days: int | None) -> Column | None:
+    return None if days is None else time_bucket(F.col("at"), days)
+
+
+def _positions(events: DataFrame, keys: list[str], bucket_days: int | None) -> DataFrame:
+    return running_sums(events, [*keys, "symbol"], ["at", "sequence"], {"position": F.coalesce("quantity", F.lit(0))}, _bucket(bucket_days))
+
+
+def _account_sums(events: DataFrame) -> dict[str, Column]:
+    paid, money = F.col("quantity") * F.col("price"), _money(events)
     delta = money(F.coalesce("flow", F.lit(0))) - money(F.coalesce(paid, F.lit(0))) - money(F.coalesce("fee", F.lit(0)))
-    order = ["at", "sequence"]
-    out = running_sums(events, [*keys, "symbol"], order, {"position": F.coalesce("quantity", F.lit(0))}, bucket)
-    out = running_sums(out, keys, order, {"cash": money(delta), "fees": F.coalesce("fee", F.lit(0)), "flows": F.coalesce("flow", F.lit(0))}, bucket)
-    return out.withColumn("negative_cash", F.col("cash") < 0).withColumn("short_position", F.col("position") < 0)
+    return {"cash": money(delta), "fees": F.coalesce("fee", F.lit(0)), "flows": F.coalesce("flow", F.lit(0))}
+
+
+def _flagged(ledger: DataFrame) -> DataFrame:
+    return ledger.withColumn("negative_cash", F.col("cash") < 0).withColumn("short_position", F.col("position") < 0)
 
 
 def _money(events: DataFrame):
@@ -242,21 +256,23 @@ def _money(events: DataFrame):
     return lambda c: c.cast("decimal(28,8)") if exact else c
 
 
-def valued_ledger(events: DataFrame, marks: DataFrame, keys: list[str], bucket_days: int = 366) -> DataFrame:
+def valued_ledger(events: DataFrame, marks: DataFrame | None, keys: list[str], bucket_days: int | None = 366) -> DataFrame:
     """running_ledger over `events` and `marks(keys.., at, sequence, symbol, price)`, with mark, value, unmarked and nav.
 
-    A position counts at the last mark of its symbol. Each row changes one symbol's value only, so the account's
-    value is a running sum of such changes. `unmarked` positions have no mark yet; while there are any, NAV is null.
+    Events may carry a `mark` of their own, which holds from the event on; then `marks` may be None. A position counts
+    at the last mark of its symbol. Each row changes one symbol's value only, so the account's value is a running sum
+    of such changes. `unmarked` positions have no mark yet; while there are any, NAV is null.
     """
-    both = events.unionByName(marks.select(*keys, "at", "sequence", "symbol", F.col("price").alias("mark")), allowMissingColumns=True)
+    both = events if marks is None else events.unionByName(marks.select(*keys, "at", "sequence", "symbol", F.col("price").alias("mark")), allowMissingColumns=True)
     one = Window.partitionBy(*keys, "symbol").orderBy("at", "sequence")
     money = _money(events)
     position = F.col("position").cast("decimal(20,8)") if dict(events.dtypes)["quantity"].startswith("decimal") else F.col("position")
-    out = running_ledger(both, keys, bucket_days).withColumn("mark", F.last("mark", True).over(one.rowsBetween(Window.unboundedPreceding, 0)))
+    out = _positions(both, keys, bucket_days).withColumn("mark", F.last("mark", True).over(one.rowsBetween(Window.unboundedPreceding, 0)))
     out = out.withColumn("_value", money(F.coalesce(position * F.col("mark"), F.lit(0)))).withColumn("_open", F.when((F.col("position") != 0) & F.col("mark").isNull(), 1).otherwise(0))
     change = lambda part: F.col(part) - F.coalesce(F.lag(part).over(one), F.lit(0))
     out = out.withColumns({"_value_change": change("_value"), "_open_change": change("_open")})
-    out = running_sums(out, keys, ["at", "sequence"], {"value": F.col("_value_change"), "unmarked": F.col("_open_change")}, time_bucket(F.col("at"), bucket_days))
+    sums = _account_sums(out) | {"value": F.col("_value_change"), "unmarked": F.col("_open_change")}
+    out = _flagged(running_sums(out, keys, ["at", "sequence"], sums, _bucket(bucket_days)))
     return out.withColumn("nav", F.when(F.col("unmarked") == 0, F.col("cash") + F.col("value"))).drop("_value", "_open", "_value_change", "_open_change")
 
 

@@ -11,11 +11,15 @@ def time_bucket(at: Column, days: int) -> Column:
     return F.floor(F.unix_micros(at.cast("timestamp")) / (days * 86_400_000_000))
 
 
-def running_sums(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], bucket: Column) -> DataFrame:
+def running_sums(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], bucket: Column | None) -> DataFrame:
     """`rows` with a running sum for each of `sums`, over its key in `order`; `bucket` rises with the order.
 
     A key is sorted in pieces, one for each of its buckets, and only the totals of its buckets meet in one task.
+    Without buckets a key is sorted in one task, but rows that lie by (some of) the keys are not dealt out again.
     """
+    if bucket is None:
+        so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({name: F.sum(c).over(so_far) for name, c in sums.items()})
     parts = {f"_part_{name}": c for name, c in sums.items()}
     dealt = rows.withColumns({"_bucket": bucket, **parts})
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -183,3 +183,16 @@ def test_running_sums_in_pieces(spark):
         total, n = sums.get(k, (0.0, 0))
         want[seq] = sums[k] = (total + (v or 0.0), n + 1)
     assert {r.seq: (r.total, r.n) for r in got.collect()} == want
+
+
+def test_marks_of_events_in_one_piece(spark):
+    """Fills that carry their mark, sorted in one task, end as fills and marks of their own do, sorted in pieces."""
+    rng, d = random.Random(12), "CAST({} AS DECIMAL(18,8))".format
+    rows = [(rng.choice([1, 2, None]), i, rng.randint(0, 300), rng.choice("AB"), rng.randint(-9, 9), rng.randint(1, 50)) for i in range(200)]
+    fills = spark.createDataFrame(rows, "k int, i int, d int, symbol string, q int, p int").selectExpr("k", "CAST(DATE_ADD(DATE '2024-01-01', d) AS TIMESTAMP) AS at", "CAST(i * 2 + 1 AS BIGINT) AS sequence", "symbol", f"{d('q')} AS quantity", f"{d('p')} AS price", f"{d('1')} AS fee", f"{d('IF(i % 9 = 0, 500, 0)')} AS flow")
+    marks = fills.select("k", "at", "sequence", "symbol", "price")
+    whole = ledger.valued_ledger(fills.withColumn("mark", F.col("price")), None, ["k"], bucket_days=None)
+    pieces = ledger.valued_ledger(fills.withColumn("sequence", F.col("sequence") - 1), marks, ["k"], bucket_days=30).where("sequence % 2 = 1")
+    names = ["position", "mark", "cash", "fees", "flows", "value", "unmarked", "nav", "negative_cash", "short_position"]
+    a, b = ({(r.k, r.at, r.sequence): tuple(float(r[c]) for c in names) for r in x.collect()} for x in (whole, pieces))
+    assert len(a) == 200 and a == b

@@ -68,3 +68,8 @@ def test_proposals_with_holdings_above_their_weights(spark, tmp_path):
     con.execute(f"COPY (SELECT CASE WHEN k = 5 THEN -1 ELSE 1 END * l_suppkey AS l_suppkey, CAST(l_shipdate + to_years(7 * k) AS TIMESTAMP) AS l_shipdate, * EXCLUDE (l_suppkey, l_shipdate, k) FROM RANGE(6) r(k), '{SF}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
     df = _same_rows(spark, tmp_path, "n6_trade_proposals")
     assert df.where("account_id < 0 AND n_trades = 0").count()
+
+
+@pytest.mark.parametrize("name", ["n8_valued_ledger"])
+def test_trades_move_once_by_part_and_once_by_account(spark, name):
+    assert str(QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") <= 3
