@@ -70,6 +70,6 @@ def test_proposals_with_holdings_above_their_weights(spark, tmp_path):
     assert df.where("account_id < 0 AND n_trades = 0").count()
 
 
-@pytest.mark.parametrize("name", ["n8_valued_ledger"])
+@pytest.mark.parametrize("name", ["n8_valued_ledger", "n8_instant_returns"])
 def test_trades_move_once_by_part_and_once_by_account(spark, name):
     assert str(QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") <= 3
